@@ -149,11 +149,41 @@ def index_rows(
     chunk: Column | None = None,
     seconds: int | None = None,
 ) -> DataFrame:
-    """0-based row number per key, as ``row_number() - 1`` would give."""
+    """0-based row number per key, as ``row_number() - 1`` would give.
+
+    An index kept by an earlier step (``done(keep_index=True)``) is trusted and reused, so a
+    chain of operators numbers its rows once, next to the scan, from two columns.
+    """
+    if name == INDEX and INDEX in df.columns:
+        return df
     spec = Running(name, "count", F.lit(1))
     return scan(df, keys, order, [spec], chunk, seconds).withColumn(name, F.col(name) - 1)
 
 
+def growth(
+    df: DataFrame, keys: str | Sequence[str], order: Sequence[str], ret: str, start: float = 1.0, seconds: int | None = None,
+) -> DataFrame:
+    """``equity`` = start * running product of (1 + ret) and ``drawdown`` from its running peak, in one pass.
+
+    A chunk is summed up by its total growth and its highest growth, which is all the
+    chunks after it need.
+    """
+    keys = cols(keys)
+    base = df.withColumn(CHUNK, chunk_of(order[0], seconds))
+    inside = Window.partitionBy(*keys, CHUNK).orderBy(*_ordering(order)).rowsBetween(Window.unboundedPreceding, 0)
+    local = base.withColumn("_g", F.product(1 + F.coalesce(F.col(ret), F.lit(0.0))).over(inside))
+    local = local.withColumn("_top", F.max("_g").over(inside))
+    at = F.struct(*_ordering(order))
+    totals = local.groupBy(*keys, CHUNK).agg(F.max_by("_g", at).alias("_end"), F.max("_top").alias("_high"))
+    earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    opened = totals.withColumn("_open", F.coalesce(F.product("_end").over(earlier), F.lit(1.0)))
+    carries = opened.withColumn("_peak", F.max(F.col("_open") * F.col("_high")).over(earlier)).drop("_end", "_high")
+    joined = local.join(carries, [*keys, CHUNK], "left")
+    level = F.col("_open") * F.col("_g")
+    peak = F.greatest(F.col("_peak"), F.col("_open") * F.col("_top"))
+    return joined.withColumns({"equity": F.lit(start) * level, "drawdown": level / peak - 1}).drop(CHUNK, "_g", "_top", "_open", "_peak")
+
+
 @dataclass(frozen=True)
 class Series:
     """Rows cut into blocks, with copies of neighbouring rows flagged as halo."""

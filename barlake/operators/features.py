@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlake.functions.windows import INDEX, Running, Series, add_ema, ema_lookback, full, scan, series, zscore
@@ -92,7 +92,7 @@ FEATURE_COLUMNS = (
 )
 
 
-def build_features(bars: DataFrame, ema: bool = True, **kw) -> DataFrame:
+def build_features(bars: DataFrame, ema: bool = True, keep_index: bool = False, **kw) -> DataFrame:
     """All features in one plan: one indexing pass and one window shuffle."""
     lookback = ema_lookback(2 * MEDIUM) if ema else LONG
     clean = bars.dropna(subset=["timestamp", "open", "high", "low", "close", "volume"])
@@ -105,19 +105,14 @@ def build_features(bars: DataFrame, ema: bool = True, **kw) -> DataFrame:
         "price_zscore": zscore(s, "close", MEDIUM),
         "feature_available_at": F.col("timestamp"),
     })
-    return s.done()
+    return s.done(keep_index)
 
 
 def lagged_liquidity(bars: DataFrame, n: int = 20, **kw) -> DataFrame:
-    """What was known before each bar: mean volume of the n rows before it, last close, last traded value."""
+    """What was known before each bar: mean volume of up to n rows before it, last close, their product."""
     s = bar_series(bars, n, **kw)
-    counted = F.count("volume").over(s.prior(n))
-    close, volume = F.lag("close").over(s.w), F.lag("volume").over(s.w)
-    return s.with_columns({
-        "lagged_adv": F.when(counted == n, F.avg("volume").over(s.prior(n))),
-        "lagged_close": close,
-        "lagged_traded_value": close * volume,
-    }).done()
+    s = s.with_columns({"lagged_adv": F.avg("volume").over(s.prior(n)), "lagged_close": F.lag("close").over(s.w)})
+    return s.with_columns({"lagged_traded_value": F.col("lagged_close") * F.col("lagged_adv")}).done()
 
 
 def add_beta(s: Series, n: int, name: str = "beta") -> Series:
@@ -176,12 +171,15 @@ def month_key(ts: str = "timestamp") -> Column:
 def month_end_flag(bars: DataFrame, per_symbol: bool = True) -> DataFrame:
     """Flag the last row of each calendar month, per symbol or over the whole panel.
 
-    The last timestamps are a partial aggregate joined back, not a window over a month.
+    A symbol's month is bounded by the bar key; the month of a whole panel is not, so its
+    last timestamp is a partial aggregate joined back.
     """
-    keys = ["symbol", "_month"] if per_symbol else ["_month"]
     df = bars.withColumn("_month", month_key())
-    last = df.groupBy(*keys).agg(F.max("timestamp").alias("_last"))
-    return df.join(last, keys).withColumn("month_end", F.col("timestamp") == F.col("_last")).drop("_last", "_month")
+    if per_symbol:
+        last = F.max("timestamp").over(Window.partitionBy("symbol", "_month"))
+        return df.withColumn("month_end", F.col("timestamp") == last).drop("_month")
+    ends = df.groupBy("_month").agg(F.max("timestamp").alias("_last"))
+    return df.join(ends, "_month").withColumn("month_end", F.col("timestamp") == F.col("_last")).drop("_last", "_month")
 
 
 def n_period_return(bars: DataFrame, periods: Sequence[int], **kw) -> DataFrame:
@@ -190,14 +188,15 @@ def n_period_return(bars: DataFrame, periods: Sequence[int], **kw) -> DataFrame:
 
 
 def add_date_zscore(panel: DataFrame, columns: Sequence[str], suffix: str = "_z") -> DataFrame:
-    """Cross-section z per timestamp (sample deviation), by partial aggregation and a join back."""
-    stats = panel.groupBy("timestamp").agg(
-        *[F.avg(c).alias(f"_m_{c}") for c in columns], *[F.stddev_samp(c).alias(f"_s_{c}") for c in columns]
-    )
-    scored = panel.join(stats, "timestamp").withColumns({
-        f"{c}{suffix}": (F.col(c) - F.col(f"_m_{c}")) / F.nullif(F.col(f"_s_{c}"), F.lit(0.0)) for c in columns
+    """Cross-section z per timestamp (sample deviation).
+
+    (symbol, timestamp) is the key of bars, so one timestamp holds at most one row per
+    listed instrument and the window over it is bounded however long the history is.
+    """
+    w = Window.partitionBy("timestamp")
+    return panel.withColumns({
+        f"{c}{suffix}": (F.col(c) - F.avg(c).over(w)) / F.nullif(F.stddev_samp(c).over(w), F.lit(0.0)) for c in columns
     })
-    return scored.drop(*[f"_{p}_{c}" for p in "ms" for c in columns])
 
 
 def session_date(ts: str = "timestamp") -> Column:
@@ -229,7 +228,7 @@ def build_panel(
     """One row per (symbol, timestamp) with features, benchmark, eligibility and point-in-time flags."""
     from barlake.operators.universe import mark_pit
 
-    featured = scan(build_features(bars, **kw), "symbol", ("timestamp",), [Running("observation_count", "count", F.lit(1))])
+    featured = build_features(bars, keep_index=True, **kw).withColumn("observation_count", F.col(INDEX) + 1)
     if sectors is not None:
         featured = featured.drop("sector").join(sectors, "symbol", "left")
     if "sector" in featured.columns:

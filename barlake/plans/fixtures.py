@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.functions.windows import Running, scan
+from barlake.functions.windows import Running, growth, scan
 from barlake.session import prepare
 
 OPEN_OFFSET = "INTERVAL '3' HOUR + INTERVAL '45' MINUTE"
@@ -102,8 +102,8 @@ def _order_lines(spark: SparkSession, sf: str) -> DataFrame:
     return _lines(spark, sf).join(orders, F.col("l_orderkey") == orders.o_orderkey)
 
 
-def fills(spark: SparkSession, sf: str) -> DataFrame:
-    """Fills with a per-run number: a count over time chunks, so no run is one task."""
+def fills(spark: SparkSession, sf: str, numbered: bool = False) -> DataFrame:
+    """Fills; ``numbered`` adds a per-run number and the fill_id built from it."""
     base = _order_lines(spark, sf).select(
         F.expr("concat('run-', o_custkey % 8)").alias("run_id"),
         "symbol", "sector",
@@ -119,13 +119,15 @@ def fills(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_discount").alias("discount"),
         TIE.alias("k"),
     )
+    if not numbered:
+        return base.withColumn("fill_id", F.lit(None).cast("string")).drop("k")
     order = ("timestamp", "symbol", "k")
-    numbered = scan(base, "run_id", order, [Running("fill_no", "count", F.lit(1))], seconds=60 * 86_400)
-    return numbered.withColumn("fill_id", F.concat_ws("-", "run_id", F.col("fill_no").cast("string"))).drop("k")
+    counted = scan(base, "run_id", order, [Running("fill_no", "count", F.lit(1))], seconds=60 * 86_400)
+    return counted.withColumn("fill_id", F.concat_ws("-", "run_id", F.col("fill_no").cast("string"))).drop("k")
 
 
-def round_trips(spark: SparkSession, sf: str) -> DataFrame:
-    f = fills(spark, sf).withColumns({
+def round_trips(spark: SparkSession, sf: str, numbered: bool = False) -> DataFrame:
+    f = fills(spark, sf, numbered).withColumns({
         "entry_timestamp": F.least("requested_at", "timestamp"),
         "exit_timestamp": F.greatest("requested_at", "timestamp"),
         "exit_price": F.col("price") * (F.lit(0.95) + F.col("discount")),
@@ -181,14 +183,8 @@ def equity_curve(spark: SparkSession, sf: str) -> DataFrame:
     d = F.datediff("timestamp", F.lit("1970-01-01").cast("date")).cast("long")
     ret = ((F.col("n") * 7919 + d * 104729 + F.col("r") * 31) % 2001 - 1000) / F.lit(100000.0)
     base = days.select(F.concat(F.lit("run-"), F.col("r")).alias("run_id"), "timestamp", ret.alias("net_return"))
-    grown = scan(base, "run_id", ("timestamp",), [Running("growth", "product", 1 + F.col("net_return"))])
-    peaked = scan(
-        grown.withColumn("equity", F.lit(100_000.0) * F.col("growth")), "run_id", ("timestamp",),
-        [Running("peak", "max", F.col("equity"))],
-    )
-    return peaked.select(
-        "run_id", "timestamp", "net_return", "equity",
-        (F.col("equity") / F.col("peak") - 1).alias("drawdown"),
+    return growth(base, "run_id", ("timestamp",), "net_return", 100_000.0).select(
+        "run_id", "timestamp", "net_return", "equity", "drawdown",
         fold_of("timestamp").alias("fold_id"),
         F.lit("OUT_OF_SAMPLE").alias("evidence_level"),
     )
@@ -248,7 +244,3 @@ def calendar_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]
         F.struct(first_sat, F.lit("SPECIAL_SESSION"), F.lit("10:00"), F.lit("11:00")),
     )))
     return bounds, overrides
-
-
-def window_of(df: DataFrame, key: str):
-    return Window.partitionBy(key)

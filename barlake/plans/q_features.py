@@ -76,3 +76,80 @@ ALL = " ".join(f.FEATURE_COLUMNS)
 add("f14_build_features", lambda s, d: f.build_features(fx.bars(s, d)),
     f"SELECT feats.symbol, feats.day, {', '.join(f.FEATURE_COLUMNS)} FROM feats JOIN ema_rows ON feats.symbol = ema_rows.symbol AND feats.timestamp = ema_rows.timestamp JOIN ema_rec ON ema_rec.symbol = ema_rows.symbol AND ema_rec.rn = ema_rows.rn",
     "symbol day", ALL, **VIEWS, **EMAS)
+
+# --- lagged, beta, oscillators, channels ------------------------------------------------
+LIQ = f"""SELECT symbol, day, timestamp, close, volume, open, avg(volume) {prior(20)} AS lagged_adv, lag(close) {W} AS lagged_close,
+ lag(close) {W} * avg(volume) {prior(20)} AS lagged_traded_value FROM bars"""
+add("f15_lagged_liquidity", lambda s, d: f.lagged_liquidity(fx.bars(s, d)),
+    "SELECT symbol, day, lagged_adv, lagged_close, lagged_traded_value FROM liq", "symbol day", "lagged_adv lagged_close lagged_traded_value", liq=LIQ)
+
+PANEL_RET = f"""SELECT b.*, benchmark_close, close / nullif(lag(close) {W}, 0) - 1 AS rs, benchmark_close / nullif(lag(benchmark_close) {W}, 0) - 1 AS rb
+ FROM bars b JOIN benchmark_bars USING (timestamp)"""
+
+
+def beta_sql(n: int) -> str:
+    return f"CASE WHEN count(rs) {rows(n)} = {n} THEN covar_samp(rs, rb) {rows(n)} / nullif(var_samp(rb) {rows(n)}, 0) END"
+
+
+def panel(s, d):
+    return fx.bars(s, d).join(fx.benchmark(s, d), "timestamp")
+
+
+add("f16_rolling_beta", lambda s, d: f.add_beta(f.bar_series(panel(s, d), 61), 60).done(),
+    f"SELECT symbol, day, {beta_sql(60)} AS beta FROM panel_ret", "symbol day", "beta", panel_ret=PANEL_RET)
+
+DELTA = f"SELECT *, close - lag(close) {W} AS dl FROM bars"
+UPDOWN = "SELECT *, CASE WHEN dl IS NOT NULL THEN greatest(dl, 0) END AS up, CASE WHEN dl IS NOT NULL THEN -least(dl, 0) END AS dn FROM deltas"
+
+
+def rsi_sql(n: int) -> str:
+    return f"100 - 100 / (1 + ({full('avg(up)', 'up', n)}) / nullif({full('avg(dn)', 'dn', n)}, 0))"
+
+
+RSI = {"deltas": DELTA, "updown": UPDOWN}
+add("f17_rsi", lambda s, d: f.add_rsi(f.bar_series(fx.bars(s, d), 14), 14).done(),
+    f"SELECT symbol, day, {rsi_sql(14)} AS rsi FROM updown", "symbol day", "rsi", **RSI)
+add("f18_bollinger", lambda s, d: f.add_bollinger(f.bar_series(fx.bars(s, d), 20)).done(),
+    f"SELECT symbol, day, {full('avg(close)', 'close', 20)} AS band_mid, {full('avg(close)', 'close', 20)} - 2 * {full('stddev_pop(close)', 'close', 20)} AS band_low FROM bars",
+    "symbol day", "band_mid band_low")
+add("f19_donchian", lambda s, d: f.add_donchian(f.bar_series(fx.bars(s, d), 55), 55, 20).done(),
+    f"SELECT symbol, day, {pfull('max(high)', 'high', 55)} AS prior_high, {pfull('min(low)', 'low', 20)} AS prior_low FROM bars", "symbol day", "prior_high prior_low")
+
+WIDTH = f"SELECT *, 4 * {full('stddev_pop(close)', 'close', 20)} / nullif({full('avg(close)', 'close', 20)}, 0) AS band_width FROM bars"
+THRESH = f"SELECT *, CASE WHEN count(band_width) {rows(100)} = 100 THEN quantile_cont(band_width, 0.25) {rows(100)} END AS th0 FROM widths"
+NARROW = f"""SELECT *, lag(th0) {W} AS width_threshold,
+ CAST(coalesce(lag(band_width) {W} <= lag(th0) {W}, false) AS INT) AS nar, row_number() {W} AS rn FROM thresholds"""
+CONTRACT = f"SELECT *, rn >= 5 AND max(nar) {rows(5)} = 1 AS recently_contracted FROM narrows"
+CONTRACTION = {"widths": WIDTH, "thresholds": THRESH, "narrows": NARROW, "contract": CONTRACT}
+add("f20_band_contraction", lambda s, d: f.add_contraction(f.bar_series(fx.bars(s, d), 126)).done(),
+    "SELECT symbol, day, recently_contracted, band_width, width_threshold FROM contract",
+    "symbol day recently_contracted", "band_width width_threshold", **CONTRACTION)
+add("f21_month_end_flag", lambda s, d: f.month_end_flag(fx.bars(s, d)),
+    "SELECT symbol, day, timestamp = max(timestamp) OVER (PARTITION BY symbol, strftime(timestamp, '%Y-%m')) AS month_end FROM bars", "symbol day month_end")
+add("f21_panel_month_end", lambda s, d: f.month_end_flag(fx.bars(s, d), per_symbol=False),
+    "SELECT symbol, day, timestamp = max(timestamp) OVER (PARTITION BY strftime(timestamp, '%Y-%m')) AS month_end FROM bars", "symbol day month_end")
+add("f22_n_period_return", lambda s, d: f.n_period_return(fx.bars(s, d), [5, 21, 252]),
+    "SELECT symbol, day, " + ", ".join(f"close / nullif(lag(close, {p}) {W}, 0) - 1 AS ret_{p}" for p in (5, 21, 252)) + " FROM bars",
+    "symbol day", "ret_5 ret_21 ret_252")
+add("f23_date_zscore", lambda s, d: f.add_date_zscore(fx.bars(s, d), ["close", "volume"]),
+    "SELECT symbol, day, (close - avg(close) OVER t) / nullif(stddev_samp(close) OVER t, 0) AS close_z, "
+    "(volume - avg(volume) OVER t) / nullif(stddev_samp(volume) OVER t, 0) AS volume_z FROM bars WINDOW t AS (PARTITION BY timestamp)",
+    "symbol day", "close_z volume_z")
+PIT = """EXISTS (SELECT 1 FROM constituents c WHERE c.symbol = b.symbol AND c.effective_from <= b.d AND (c.effective_until IS NULL OR b.d < c.effective_until))"""
+add("f24_build_panel",
+    lambda s, d: f.build_panel(fx.bars(s, d), fx.benchmark(s, d), fx.constituents(s, d), ema=False),
+    f"""SELECT b.symbol, b.day, b.sector, b.benchmark_close, b.price_zscore, b.atr, b.rn >= 253 AS eligible, {PIT} AS pit_eligible
+     FROM (SELECT feats.*, benchmark_close, row_number() OVER (PARTITION BY symbol ORDER BY timestamp) AS rn
+           FROM feats JOIN benchmark_bars USING (timestamp)) b""",
+    "symbol day sector eligible pit_eligible", "benchmark_close price_zscore atr", **VIEWS)
+add("f24_panel_problems",
+    lambda s, d: f.panel_problems(
+        fx.bars(s, d).withColumn("adjustment", F.when(F.col("symbol") == "NATION_0", "SPLIT_ADJUSTED").otherwise(F.col("adjustment"))).unionByName(
+            fx.bars(s, d).filter("dayofmonth(timestamp) = 3")),
+        fx.benchmark(s, d).filter("dayofmonth(timestamp) <> 4")),
+    """SELECT 'DUPLICATE_KEYS' AS problem, count(*) AS rows FROM bars WHERE day(d) = 3
+    UNION ALL SELECT 'MISSING_BENCHMARK', count(DISTINCT timestamp) FROM bars WHERE day(d) = 4
+    UNION ALL SELECT 'MIXED_ADJUSTMENT', 2 FROM (SELECT 1 FROM bars WHERE symbol = 'NATION_0' LIMIT 1)""", "problem rows")
+add("f26_time_split", lambda s, d: f.time_split(fx.bars(s, d), 0.7),
+    "SELECT symbol, day, CASE WHEN row_number() OVER (PARTITION BY symbol ORDER BY timestamp) <= floor(count(*) OVER (PARTITION BY symbol) * 0.7::DOUBLE) THEN 'TRAIN' ELSE 'TEST' END AS part FROM bars",
+    "symbol day part")

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from barlake.plans.oracle import with_views
 from barlake.session import prepare
 
+# Added before rounding on both sides, so that decimal ties at the last place break the same way.
+TIE_BREAK = 3.14159e-8
+
 Build = Callable[[SparkSession, str], DataFrame]
 
 
@@ -29,13 +32,13 @@ class Query:
         if "day" in self.keys and "day" not in df.columns:
             df = df.withColumn("day", F.date_format("timestamp", "yyyy-MM-dd"))
         return df.select(
-            *self.keys, *[(F.round(F.col(n).cast("double"), self.digits) + F.lit(0.0)).alias(n) for n in self.nums]
+            *self.keys, *[(F.round(F.col(n).cast("double") + F.lit(TIE_BREAK), self.digits) + F.lit(0.0)).alias(n) for n in self.nums]
         )
 
     def oracle(self) -> str | None:
         if self.sql is None:
             return None
-        nums = [f"ROUND(CAST({n} AS DOUBLE), {self.digits}) + 0.0 AS {n}" for n in self.nums]
+        nums = [f"ROUND(CAST({n} AS DOUBLE) + {TIE_BREAK}::DOUBLE, {self.digits}) + 0.0::DOUBLE AS {n}" for n in self.nums]
         body = f"SELECT {', '.join([*self.keys, *nums])}\nFROM ({self.sql.strip()}) AS answer"
         return with_views(body, dict(self.extra))
 
