@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_features", "q_signals")
+MODULES = ("q_features", "q_signals", "q_quality")
 
 
 def load_queries():

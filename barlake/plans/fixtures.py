@@ -226,8 +226,9 @@ def raw_bars(spark: SparkSession, sf: str) -> DataFrame:
         F.expr("CASE WHEN r % 73 = 0 THEN 'NaN' ELSE CAST(close AS STRING) END").alias("close"),
         F.expr("CASE WHEN r % 89 = 0 THEN CAST(-volume AS STRING) ELSE CAST(volume AS STRING) END").alias("volume"),
     )
-    repeats = text.filter("source_row_number % 71 = 70").withColumn("source_row_number", F.expr("source_row_number + 1000000"))
-    return text.unionByName(repeats)
+    twice = F.expr("CASE WHEN source_row_number % 71 = 70 THEN array(0, 1000000) ELSE array(0) END")
+    return text.withColumn("_copy", F.explode(twice)).withColumn(
+        "source_row_number", F.col("source_row_number") + F.col("_copy")).drop("_copy")
 
 
 def calendar_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -236,11 +237,12 @@ def calendar_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]
         F.to_date(F.min("l_shipdate")).alias("start"), F.to_date(F.max("l_shipdate")).alias("end")
     )
     years = bounds.select(F.explode(F.expr("sequence(year(start), year(end))")).alias("y"))
-    first_sat = F.expr("date_sub(next_day(make_date(y, 10, 31), 'SAT'), 0)")
+    row = lambda day, kind, opens, closes: F.struct(
+        F.expr(day).alias("session_date"), F.lit(kind).alias("kind"),
+        F.lit(opens).cast("string").alias("open_time"), F.lit(closes).cast("string").alias("close_time"))
     overrides = years.select(F.inline(F.array(
-        F.struct(F.expr("make_date(y, 1, 1)").alias("session_date"), F.lit("CLOSED").alias("kind"),
-                 F.lit(None).cast("string").alias("open_time"), F.lit(None).cast("string").alias("close_time")),
-        F.struct(F.expr("make_date(y, 12, 25)"), F.lit("CLOSED"), F.lit(None).cast("string"), F.lit(None).cast("string")),
-        F.struct(first_sat, F.lit("SPECIAL_SESSION"), F.lit("10:00"), F.lit("11:00")),
+        row("make_date(y, 1, 1)", "CLOSED", None, None),
+        row("make_date(y, 12, 25)", "CLOSED", None, None),
+        row("next_day(make_date(y, 10, 31), 'SAT')", "SPECIAL_SESSION", "10:00", "11:00"),
     )))
     return bounds, overrides
