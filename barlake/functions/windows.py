@@ -254,31 +254,33 @@ def zscore(s: Series, value: str, n: int) -> Column:
     return F.coalesce((F.col(value) - F.avg(value).over(s.rows(n))) / spread, F.lit(0.0))
 
 
-def ema_span(span: int) -> int:
+def _weight_block(decay: float) -> int:
     """Rows per weight block: beyond two blocks a weight is under double precision."""
-    decay = 1.0 - 2.0 / (span + 1.0)
     return max(2, math.ceil(40.0 / (-2.0 * math.log(decay))))
 
 
 def ema_lookback(span: int) -> int:
-    return 3 * ema_span(span)
+    return 3 * _weight_block(1.0 - 2.0 / (span + 1.0))
 
 
-def add_ema(s: Series, value: str, span: int, name: str) -> Series:
-    """Recursive exponential mean (first value seeds it) from window sums only.
+def smoothing_lookback(alpha: float) -> int:
+    return 3 * _weight_block(1.0 - alpha)
+
 
-    y(t) = d*y(t-1) + a*x(t) is expanded inside weight blocks, where d**-j stays small,
-    and the two preceding blocks supply the carry.
+def add_smoothing(s: Series, value: str, alpha: float, name: str, seeded: bool = True) -> Series:
+    """y(t) = (1 - alpha)*y(t-1) + alpha*x(t) from window sums only.
+
+    The recursion is expanded inside weight blocks, where decay**-j stays small, and the two
+    preceding blocks supply the carry.  ``seeded`` starts at the first value, else at zero.
     """
-    decay = 1.0 - 2.0 / (span + 1.0)
-    size = ema_span(span)
+    decay = 1.0 - alpha
+    size = _weight_block(decay)
     sub, part = f"_{name}_sub", f"_{name}_part"
     j = (F.col(INDEX) % size).cast("double")
-    weight = F.when(F.col(INDEX) == 0, F.lit(1.0)).otherwise(F.lit(1.0 - decay))
+    weight = F.when(F.col(INDEX) == 0, F.lit(1.0 if seeded else alpha)).otherwise(F.lit(alpha))
     df = s.df.withColumn(sub, F.floor(F.col(INDEX) / size))
-    inner = Window.partitionBy(*s.keys, BLOCK).orderBy(INDEX)
-    weighted = (weight * F.col(value) * F.pow(F.lit(decay), -j)).alias("x")
     run = Window.partitionBy(*s.keys, BLOCK, sub).orderBy(INDEX).rowsBetween(Window.unboundedPreceding, 0)
+    weighted = weight * F.col(value) * F.pow(F.lit(decay), -j)
     df = df.withColumn(part, F.sum(weighted).over(run) * F.pow(F.lit(decay), j))
     back = Window.partitionBy(*s.keys, BLOCK).orderBy(sub)
     last_part = F.max_by(part, INDEX)
@@ -289,6 +291,33 @@ def add_ema(s: Series, value: str, span: int, name: str) -> Series:
     return Series(df, s.keys)
 
 
+def add_ema(s: Series, value: str, span: int, name: str) -> Series:
+    """Recursive exponential mean, seeded by the first value."""
+    return add_smoothing(s, value, 2.0 / (span + 1.0), name)
+
+
+def held_quantity(df: DataFrame, keys: str | Sequence[str], order: Sequence[str], signed: Column, seconds: int | None = None) -> DataFrame:
+    """``held_before`` and ``held_after`` for a long-only holding that a sale cannot take below zero.
+
+    The holding is the running sum minus its running minimum; a chunk is summed up by both.
+    """
+    keys = cols(keys)
+    base = df.withColumns({CHUNK: chunk_of(order[0], seconds), "_q": signed})
+    upto = Window.partitionBy(*keys, CHUNK).orderBy(*_ordering(order)).rowsBetween(Window.unboundedPreceding, 0)
+    local = base.withColumn("_s", F.sum("_q").over(upto))
+    local = local.withColumn("_low", F.min("_s").over(upto))
+    local = local.withColumn("_low0", F.min("_s").over(upto.rowsBetween(Window.unboundedPreceding, -1)))
+    totals = local.groupBy(*keys, CHUNK).agg(F.sum("_q").alias("_sum"), F.min("_low").alias("_min"))
+    earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    opened = totals.withColumn("_s0", F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)))
+    carries = opened.withColumn("_m0", F.least(F.lit(0.0), F.min(F.col("_s0") + F.col("_min")).over(earlier))).drop("_sum", "_min")
+    joined = local.join(carries, [*keys, CHUNK], "left")
+    now = F.col("_s0") + F.col("_s")
+    after = now - F.least(F.col("_m0"), F.col("_s0") + F.col("_low"))
+    before = now - F.col("_q") - F.least(F.col("_m0"), F.col("_s0") + F.col("_low0"))
+    return joined.withColumns({"held_before": before, "held_after": after}).drop(CHUNK, "_q", "_s", "_low", "_low0", "_s0", "_m0")
+
+
 def asof(
     left: DataFrame,
     right: DataFrame,
