@@ -77,7 +77,7 @@ def run_blocks(
     flat = placed.select("*", F.col("_state").isNotNull().alias("_known"), *[F.col(f"_state.{f}").alias(f"_in_{f}") for f in initial])
     flat = flat.drop("_state")
     out_fields = fields(emit_schema)
-    carried = [f for f in df.schema.fields]
+    carried = [f for f in df.schema.fields if f.name not in {o.name for o in out_fields}]
 
     def one_block(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(w.INDEX).reset_index(drop=True)

@@ -396,7 +396,7 @@ def rebalance_summary(fills: DataFrame, targets: DataFrame | None = None, equity
         out = out.join(held, ["run_id", "timestamp"], "left").na.fill(0, ["target_count"])
     if equity is not None:
         out = out.join(equity.select("run_id", "timestamp", "equity"), ["run_id", "timestamp"], "left")
-        out = out.withColumn("replacement_pct", F.col("total_turnover") / F.greatest("equity", F.lit(1e-12)))
+        out = out.withColumn("replacement_pct", F.when(F.col("equity").isNotNull(), F.col("total_turnover") / F.greatest("equity", F.lit(1e-12))))
     return out
 
 

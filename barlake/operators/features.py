@@ -268,9 +268,9 @@ def missing_days(bounds: DataFrame, observed: DataFrame, sessions: DataFrame) ->
 
 
 def time_split(df: DataFrame, fraction: float, keys: str | Sequence[str] = "symbol", order: Sequence[str] = ("timestamp",)) -> DataFrame:
-    """Label the first floor(n * fraction) rows of each key TRAIN and the rest TEST."""
+    """Label the first floor(n * fraction) rows of each key TRAIN and the rest TEST; both get a row at least."""
     names = [keys] if isinstance(keys, str) else list(keys)
     numbered = scan(df, names, order, [Running("_n", "count", F.lit(1))])
     sizes = df.groupBy(*names).agg(F.count(F.lit(1)).alias("_total"))
-    cut = F.floor(F.col("_total") * F.lit(fraction))
+    cut = F.greatest(F.lit(1), F.least(F.col("_total") - 1, F.floor(F.col("_total") * F.lit(fraction))))
     return numbered.join(sizes, names).withColumn("part", F.when(F.col("_n") <= cut, "TRAIN").otherwise("TEST")).drop("_n", "_total")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_features", "q_signals", "q_quality", "q_market")
+MODULES = ("q_features", "q_signals", "q_quality", "q_market", "q_execution")
 
 
 def load_queries():

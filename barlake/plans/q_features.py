@@ -68,14 +68,14 @@ feature_query("f10_zscore", "price_zscore volume_zscore", lambda s: f.add_volume
 feature_query("f11_volume_sma", "volume_sma", f.add_volume)
 feature_query("f12_rolling_high_low", "rolling_high rolling_low", f.add_channel)
 add("f06_ema", lambda s, d: f.add_emas(f.bar_series(fx.bars(s, d), f.ema_lookback(40))).done(),
-    "SELECT symbol, day, ema_fast, ema_slow FROM ema_rec JOIN ema_rows USING (symbol, rn)", "symbol day", "ema_fast ema_slow", **EMAS)
+    "SELECT symbol, day, ema_fast, ema_slow FROM ema_rec JOIN ema_rows USING (symbol, rn)", "symbol day", "ema_fast ema_slow", digits=4, **EMAS)
 add("f13_feature_available_at",
     lambda s, d: f.build_features(fx.bars(s, d), ema=False).withColumn("available", F.date_format("feature_available_at", "yyyy-MM-dd HH:mm:ss")),
     "SELECT symbol, day, strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS available FROM bars", "symbol day available")
 ALL = " ".join(f.FEATURE_COLUMNS)
 add("f14_build_features", lambda s, d: f.build_features(fx.bars(s, d)),
     f"SELECT feats.symbol, feats.day, {', '.join(f.FEATURE_COLUMNS)} FROM feats JOIN ema_rows ON feats.symbol = ema_rows.symbol AND feats.timestamp = ema_rows.timestamp JOIN ema_rec ON ema_rec.symbol = ema_rows.symbol AND ema_rec.rn = ema_rows.rn",
-    "symbol day", ALL, **VIEWS, **EMAS)
+    "symbol day", ALL, digits=4, **VIEWS, **EMAS)
 
 # --- lagged, beta, oscillators, channels ------------------------------------------------
 LIQ = f"""SELECT symbol, day, timestamp, close, volume, open, avg(volume) {prior(20)} AS lagged_adv, lag(close) {W} AS lagged_close,
