@@ -147,18 +147,35 @@ def clusters(runs: DataFrame, pairs: DataFrame, threshold: float = 0.75, rounds:
     return labels.withColumnRenamed("label", "cluster_id")
 
 
-def jaccard_overlap(items: DataFrame, members: Sequence[str]) -> DataFrame:
+def jaccard_overlap(items: DataFrame, members: Sequence[str], tiles: int = 1, slots: int = 8) -> DataFrame:
     """|A and B| / |A or B| of two runs' item sets, for every pair of runs sharing an item.
 
-    Items are reduced to the sorted array of runs that hold them; equal arrays are counted
-    together first, so pairs are formed once per distinct combination of runs.
+    As in ``pair_sums`` runs are hashed into tiles and items into slots; a task counts shared
+    items of its runs with one membership matrix and emits one row per pair.
     """
-    holders = items.select("run_id", *members).distinct().groupBy(*members).agg(F.sort_array(F.collect_set("run_id")).alias("_runs"))
-    combos = holders.groupBy("_runs").agg(F.count(F.lit(1)).alias("_c"))
-    sizes = combos.select(F.explode("_runs").alias("run_id"), "_c").groupBy("run_id").agg(F.sum("_c").alias("_size"))
-    first = combos.select("_runs", "_c", F.posexplode("_runs").alias("_p", "run_id_a"))
-    both = first.select("run_id_a", F.explode(F.slice("_runs", F.col("_p") + 2, F.size("_runs"))).alias("run_id_b"), "_c")
-    shared = both.groupBy("run_id_a", "run_id_b").agg(F.sum("_c").alias("_both"))
+    schema = "run_id_a string, run_id_b string, shared double"
+    held = items.select("run_id", *members).distinct()
+    tile = F.pmod(F.xxhash64("run_id"), F.lit(tiles)).cast("int")
+    placed = held.withColumns({"_t": tile, "_slot": F.pmod(F.xxhash64(*members), F.lit(slots)).cast("int")})
+    placed = placed.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).withColumns({
+        "_i": F.least("_t", "_o"), "_j": F.greatest("_t", "_o")}).drop("_o")
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        item = pdf.groupby(list(members), dropna=False).ngroup().to_numpy()
+        code, names = pd.factorize(pdf["run_id"], sort=True)
+        held_by = np.zeros((item.max() + 1, len(names)))
+        held_by[item, code] = 1.0
+        tiles_of = pdf.drop_duplicates("run_id").set_index("run_id")["_t"]
+        i, j = int(pdf["_i"].iloc[0]), int(pdf["_j"].iloc[0])
+        both = held_by.T @ held_by
+        rows = [
+            (names[a], names[b], both[a, b]) for a in range(len(names)) for b in range(a + 1, len(names))
+            if both[a, b] > 0 and {int(tiles_of[names[a]]), int(tiles_of[names[b]])} == {i, j}
+        ]
+        return pd.DataFrame(rows, columns=["run_id_a", "run_id_b", "shared"])
+
+    shared = placed.groupBy("_i", "_j", "_slot").applyInPandas(one, schema).groupBy("run_id_a", "run_id_b").agg(F.sum("shared").alias("_both"))
+    sizes = held.groupBy("run_id").agg(F.count(F.lit(1)).alias("_size"))
     named = lambda s: sizes.select(F.col("run_id").alias(f"run_id_{s}"), F.col("_size").alias(f"_n{s}"))
     df = shared.join(named("a"), "run_id_a").join(named("b"), "run_id_b")
     return df.select("run_id_a", "run_id_b", (F.col("_both") / (F.col("_na") + F.col("_nb") - F.col("_both"))).alias("overlap"))

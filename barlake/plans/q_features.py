@@ -151,5 +151,5 @@ add("f24_panel_problems",
     UNION ALL SELECT 'MISSING_BENCHMARK', count(DISTINCT timestamp) FROM bars WHERE day(d) = 4
     UNION ALL SELECT 'MIXED_ADJUSTMENT', 2 FROM (SELECT 1 FROM bars WHERE symbol = 'NATION_0' LIMIT 1)""", "problem rows")
 add("f26_time_split", lambda s, d: f.time_split(fx.bars(s, d), 0.7),
-    "SELECT symbol, day, CASE WHEN row_number() OVER (PARTITION BY symbol ORDER BY timestamp) <= floor(count(*) OVER (PARTITION BY symbol) * 0.7::DOUBLE) THEN 'TRAIN' ELSE 'TEST' END AS part FROM bars",
+    "SELECT symbol, day, CASE WHEN row_number() OVER (PARTITION BY symbol ORDER BY timestamp) <= greatest(1, least(count(*) OVER (PARTITION BY symbol) - 1, floor(count(*) OVER (PARTITION BY symbol) * 0.7::DOUBLE))) THEN 'TRAIN' ELSE 'TEST' END AS part FROM bars",
     "symbol day part")
