@@ -198,6 +198,15 @@ add("g21_rank_and_weight",
     rank_sql("SELECT *, close AS score FROM pbase", "price", 1, 0.3, 0.5, 3), "symbol day signal reason", "target_weight score rank",
     panel_ret=q.PANEL_RET, pbase=PBASE)
 
+def logistic(s, d):
+    from barlake.operators.learned import walk_forward_logistic
+
+    return walk_forward_logistic(panel(s, d))
+
+
+# No SQL twin: the model is fitted by iteration; tests compare it with a direct fit.
+add("g19c_walk_forward_logistic", logistic, None, "symbol day signal reason", "target_weight score rank")
+
 # --- sizing --------------------------------------------------------------------------------
 SIG = f"SELECT *, greatest(-1, least(1, coalesce(close / nullif(lag(close, 5) {W}, 0) - 1, 0))) AS target_position FROM feats"
 SIZED = {**q.VIEWS, "sig": SIG}

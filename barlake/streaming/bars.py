@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barlake.functions.windows import Running, index_rows, scan, value_chunk
+
 # Supported bar lengths in seconds.
 TIMEFRAME_SECONDS = {
     "1s": 1, "5s": 5, "10s": 10, "15s": 15, "30s": 30, "1m": 60, "3m": 180, "5m": 300, "15m": 900, "30m": 1800, "1h": 3600, "1d": 86400,
@@ -43,3 +45,107 @@ def resample(bars: DataFrame, timeframe: str) -> DataFrame:
         F.min_by("open", "timestamp").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
         F.max_by("close", "timestamp").alias("close"), F.sum("volume").alias("volume"), F.count(F.lit(1)).alias("bars"),
     ).withColumnRenamed("_start", "timestamp").withColumn("timeframe", F.lit(timeframe))
+
+
+# --- streams ------------------------------------------------------------------------------------
+
+def tick_bars(ticks: DataFrame, timeframe: str, lateness: str = "2 seconds") -> DataFrame:
+    """Tumbling bars of a tick stream; a bar is final when the watermark passes its end.
+
+    Rows without a price are heartbeats: they move the watermark and close idle windows but
+    add nothing to a bar.  Daily bars start at 09:15 local.
+    """
+    seconds = TIMEFRAME_SECONDS[timeframe]
+    start = "3 hours 45 minutes" if timeframe == "1d" else "0 seconds"
+    order = F.struct("exchange_timestamp", "sequence_number")
+    df = ticks.withWatermark("exchange_timestamp", lateness).withColumn("_qty", F.col("last_traded_qty"))
+    grouped = df.groupBy(F.window("exchange_timestamp", f"{seconds} seconds", startTime=start).alias("_w"), "symbol", "exchange")
+    real = F.when(F.col("ltp").isNotNull(), order)
+    bars = grouped.agg(
+        F.min_by("ltp", real).alias("open"), F.max("ltp").alias("high"), F.min("ltp").alias("low"), F.max_by("ltp", real).alias("close"),
+        F.sum(F.when(F.col("ltp").isNotNull(), F.col("_qty"))).cast("long").alias("volume"), F.count("ltp").alias("tick_count"))
+    return bars.filter("tick_count > 0").select(
+        "symbol", "exchange", F.col("_w.start").alias("timestamp"), F.col("_w.end").alias("bar_end"), "open", "high", "low", "close", "volume", "tick_count",
+        F.lit(timeframe).alias("timeframe"))
+
+
+def with_heartbeats(ticks: DataFrame, beats: DataFrame) -> DataFrame:
+    """Union a clock stream (exchange_timestamp only) so that silence still closes windows."""
+    beat = beats.select(*[
+        F.col("exchange_timestamp") if f.name == "exchange_timestamp" else F.lit("__CLOCK__").alias("symbol") if f.name == "symbol"
+        else F.lit(None).cast(f.dataType).alias(f.name) for f in ticks.schema.fields])
+    return ticks.unionByName(beat)
+
+
+def close_elapsed(bars: DataFrame, now: Column, timeframe: str, lateness_seconds: float = 2.0) -> DataFrame:
+    """``is_final`` of stored bars at ``now``: the timer rule."""
+    end = F.col("timestamp").cast("double") + TIMEFRAME_SECONDS[timeframe]
+    return bars.withColumn("is_final", now.cast("double") - lateness_seconds >= end)
+
+
+def current_bar(ticks: DataFrame, timeframe: str) -> DataFrame:
+    """The newest, still open bar of every symbol."""
+    bars = resample_ticks(ticks, timeframe)
+    values = ("exchange", "open", "high", "low", "close", "volume", "turnover", "tick_count")
+    newest = bars.groupBy("symbol").agg(F.max("timestamp").alias("timestamp"), F.max_by(F.struct(*values), "timestamp").alias("_b"))
+    return newest.select("symbol", "timestamp", "_b.*", F.lit(False).alias("is_final"))
+
+
+def late_count(progress: list[dict]) -> int:
+    """Ticks dropped behind the watermark, from a streaming query's progress reports."""
+    return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in progress for op in p.get("stateOperators", []))
+
+
+# --- tick tables ---------------------------------------------------------------------------------
+
+def volume_deltas(ticks: DataFrame, order: tuple[str, ...] = ("received_at", "event_id")) -> DataFrame:
+    """Traded quantity per tick from the cumulative volume of the UTC day.
+
+    The first tick of a day counts its own traded quantity; a late tick counts 0 and never
+    lowers the baseline.
+    """
+    day = F.to_date("exchange_timestamp")
+    run = scan(ticks.withColumn("_day", day), ("symbol", "_day"), order, [Running("_base", "max", F.col("cumulative_volume"), inclusive=False)], seconds=3600)
+    first = F.greatest(F.col("last_traded_qty"), F.lit(0))
+    step = F.greatest(F.col("cumulative_volume") - F.col("_base"), F.lit(0))
+    return run.withColumn("volume_delta", F.when(F.col("_base").isNull(), first).otherwise(step)).drop("_day", "_base")
+
+
+def sequence_gaps(ticks: DataFrame, keys: tuple[str, ...] = ("exchange", "token"), order: tuple[str, ...] = ("received_at", "event_id")) -> DataFrame:
+    """Gap, duplicate and gap size against the highest sequence number seen before in the stream."""
+    known = ticks.filter("sequence_number > 0")
+    run = scan(known, keys, order, [Running("_top", "max", F.col("sequence_number"), inclusive=False)], seconds=3600)
+    size = F.greatest(F.col("sequence_number") - F.col("_top") - 1, F.lit(0))
+    return run.withColumns({
+        "is_duplicate": F.coalesce(F.col("sequence_number") <= F.col("_top"), F.lit(False)), "gap_size": F.coalesce(size, F.lit(0)),
+        "is_gap": F.coalesce(size > 0, F.lit(False))}).drop("_top")
+
+
+def mark_untrusted(bars: DataFrame, gaps: DataFrame, timeframe: str) -> DataFrame:
+    """UNTRUSTED where a bar overlaps an unrepaired gap.
+
+    A closed gap is expanded to the bars it touches and joined by equality; open gaps are
+    reduced to their earliest start per symbol.
+    """
+    seconds = TIMEFRAME_SECONDS[timeframe]
+    step = F.expr(f"INTERVAL '{seconds}' SECOND")
+    live = gaps.filter("status = 'UNREPAIRED'")
+    closed = live.filter("end_time IS NOT NULL AND end_time > start_time")
+    last = bar_start(F.timestamp_micros(F.unix_micros("end_time") - 1), timeframe)
+    touched = closed.select("symbol", F.explode(F.sequence(bar_start(F.col("start_time"), timeframe), last, step)).alias("timestamp")).distinct()
+    opened = live.filter("end_time IS NULL").groupBy("symbol").agg(F.min("start_time").alias("_open"))
+    df = bars.join(touched.withColumn("_hit", F.lit(True)), ["symbol", "timestamp"], "left").join(opened, "symbol", "left")
+    running = F.coalesce(F.col("_open") < F.col("timestamp") + step, F.lit(False))
+    bad = F.coalesce("_hit", F.lit(False)) | running
+    return df.withColumns({"quality_status": F.when(bad, "UNTRUSTED").otherwise("TRUSTED"), "is_authoritative": ~bad}).drop("_hit", "_open")
+
+
+def latency_stats(ticks: DataFrame, keys: tuple[str, ...] = ("exchange",), value: str = "latency_ms", quantiles: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """Exact nearest-rank percentiles (row int(n*p)), maximum and count of non-negative latencies."""
+    present = ticks.filter(F.col(value) >= 0).select(*keys, value)
+    ranked = index_rows(present, keys, (value,), name="_rank", chunk=value_chunk(F.col(value)))
+    sizes = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), F.max(value).alias("max"))
+    joined = ranked.join(sizes, list(keys))
+    spot = lambda q: F.least(F.floor(F.col("count") * F.lit(q)), F.col("count") - 1)
+    picked = [F.max(F.when(F.col("_rank") == spot(q), F.col(value))).alias(f"p{round(q * 100)}") for q in quantiles]
+    return joined.groupBy(*keys).agg(*picked, F.first("max").alias("max"), F.first("count").alias("count"))
