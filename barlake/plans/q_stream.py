@@ -63,7 +63,7 @@ SC = "CASE WHEN event_id % 5 = 0 THEN 10000000.0 ELSE 100.0 END"
 add("s01_decode_packets",
     lambda s, d: pk.decode_packets(packed(s, d)).withColumns({"best_bid": F.get("bids", F.lit(0))["price"], "best_ask": F.get("asks", F.lit(0))["price"], "depth": F.coalesce(F.size("bids"), F.lit(-1)), "ms": F.col("exchange_ms").cast("string")}).na.fill({"depth": -1}),
     f"""SELECT event_id AS packet_id, CASE WHEN bad THEN 'INVALID_PACKET_SIZE' END AS error, CASE WHEN NOT bad THEN CASE md WHEN 1 THEN 'LTP' WHEN 2 THEN 'QUOTE' WHEN 3 THEN 'SNAP_QUOTE' ELSE 'DEPTH20' END END AS mode,
-    CASE WHEN NOT bad THEN CASE WHEN event_id % 5 = 0 THEN 'CDE_FO' ELSE 'NSE_CM' END END AS exchange, CASE WHEN NOT bad THEN token END AS token, CASE WHEN NOT bad THEN epoch_ms(exchange_timestamp)::VARCHAR END AS ms, CASE WHEN NOT bad AND md < 4 THEN sequence_number END AS sequence_number,
+    CASE WHEN NOT bad THEN CASE WHEN event_id % 5 = 0 THEN 'CDE_FO' ELSE 'NSE_CM' END END AS exchange, CASE WHEN NOT bad THEN token END AS token, CASE WHEN NOT bad THEN (epoch_us(exchange_timestamp) // 1000)::VARCHAR END AS ms, CASE WHEN NOT bad AND md < 4 THEN sequence_number END AS sequence_number,
     CASE WHEN NOT bad AND md < 4 THEN raw / {SC} END AS ltp, CASE WHEN NOT bad AND md IN (2, 3) THEN cumulative_volume END AS cumulative_volume, CASE WHEN NOT bad AND md IN (2, 3) THEN (raw + 7) / {SC} END AS day_high,
     CASE WHEN NOT bad AND md = 3 THEN (raw - 1) / {SC} WHEN NOT bad AND md = 4 THEN raw / {SC} END AS best_bid, CASE WHEN NOT bad AND md >= 3 THEN (raw + 1) / {SC} END AS best_ask, CASE WHEN bad OR md < 3 THEN -1 WHEN md = 3 THEN 5 ELSE 20 END AS depth
     FROM (SELECT *, event_id % 4 + 1 AS md, event_id % 50 = 49 AS bad, round(ltp * 100) AS raw FROM ticks)""", "packet_id error mode exchange token ms", "sequence_number ltp cumulative_volume day_high best_bid best_ask depth")
