@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from barlake.functions.windows import INDEX, full
 from barlake.operators import features as ft
 from barlake.operators.signals import rank_and_weight
-from barlake.session import ensure_checkpoint_dir
+from barlake.session import staged
 
 NAMES = ("momentum_21", "momentum_126", "volatility_20", "volume_change")
 
@@ -101,11 +101,10 @@ def fit_folds(rows: DataFrame, dates: np.ndarray, minimum: int, strength: float
 def walk_forward_scores(panel: DataFrame, horizon: int = 20, minimum: int = 500) -> DataFrame:
     """Probability of a rise per symbol on every month-end date, from a model refitted for that date.
 
-    The feature frame is checkpointed once, because each fitting step reads it again.
+    The feature frame is written once, because each fitting step reads it again.
     """
     spark = panel.sparkSession
-    ensure_checkpoint_dir(spark)
-    frame = learning_frame(panel, horizon).checkpoint()
+    frame = staged(learning_frame(panel, horizon))
     complete = frame.dropna(subset=list(NAMES))
     last = ft.month_end_flag(frame, per_symbol=False).filter("month_end").select("timestamp").distinct()
     stamps = [r.us for r in last.select(F.unix_micros("timestamp").alias("us")).orderBy("us").collect()]

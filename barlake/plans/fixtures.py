@@ -25,19 +25,30 @@ def _suppliers(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-PRICE = F.expr("l_extendedprice / l_quantity")
-TIE = F.expr("struct(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity)")
+def price() -> Column:
+    return F.col("l_extendedprice") / F.col("l_quantity")
+
+
+def tie_break() -> Column:
+    """A total order of the lines of one ship date."""
+    return F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "lineitem")
+    lines = _spread(table(spark, sf, "lineitem"), "l_shipdate")
     return lines.join(_suppliers(spark, sf), lines.l_suppkey == F.col("s_suppkey"))
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash a small single-file input over the cores; inputs with enough splits are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def bars(spark: SparkSession, sf: str) -> DataFrame:
     return (
         _lines(spark, sf)
-        .withColumns({"p": PRICE, "k": TIE})
+        .withColumns({"p": price(), "k": tie_break()})
         .groupBy("symbol", "sector", "l_shipdate")
         .agg(
             F.min_by("p", "k").alias("open"),
@@ -110,14 +121,14 @@ def fills(spark: SparkSession, sf: str, numbered: bool = False) -> DataFrame:
         F.col("l_shipdate").cast("timestamp").alias("timestamp"),
         F.expr("CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END").alias("side"),
         F.col("l_quantity").alias("quantity"),
-        PRICE.alias("price"),
+        price().alias("price"),
         F.expr("l_extendedprice * l_tax / 100").alias("fees"),
         F.col("l_orderkey").alias("order_id"),
         F.col("o_orderdate").cast("timestamp").alias("requested_at"),
         F.col("l_linestatus").alias("exit_reason"),
         F.col("o_orderpriority").alias("entry_reason"),
         F.col("l_discount").alias("discount"),
-        TIE.alias("k"),
+        tie_break().alias("k"),
     )
     if not numbered:
         return base.withColumn("fill_id", F.lit(None).cast("string")).drop("k")

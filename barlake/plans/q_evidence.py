@@ -16,7 +16,9 @@ from barlake.plans import q_execution as qx
 from barlake.plans import q_quality as qq
 from barlake.plans import q_signals as qs
 from barlake.plans.q_quality import NUM
+from barlake.functions.windows import INDEX
 from barlake.plans.registry import add
+from barlake.session import staged
 
 RF = ("run_id", "fold_id")
 METRIC_NAMES = ["total_return", "cagr", "volatility", "sharpe", "sortino", "calmar", "max_drawdown", "return_profit_factor"]
@@ -34,7 +36,7 @@ def metric_sql(source: str, keys: str, equity: str = "arg_max(equity, timestamp)
 def trend_report(s, d):
     """Trend rule over every symbol: features, signals, vectorised back-test and metrics in one plan."""
     signals = g.trend_following(f.build_features(fx.bars(s, d), keep_index=True), min_volatility=0.01)
-    signals = signals.withColumn("target_position", F.col("target_position") * 0.5)
+    signals = staged(signals.select("symbol", "timestamp", INDEX, "close", (F.col("target_position") * 0.5).alias("target_position")))
     curve = x.vector_backtest(signals, cost_bps=10.0)
     return m.metrics(curve, ("symbol",)).withColumn("final_log", F.log(F.col("final_equity") / 100_000)).orderBy(F.col("sharpe").desc())
 
@@ -203,6 +205,7 @@ GRID = g.parameter_grid({"fast": (3, 5), "slow": (20, 40)})
 def candidate_scores(s, d):
     """All candidates back-tested at once, scored per calendar-year fold."""
     swept = g.sma_cross_sweep(fx.bars(s, d), GRID).withColumn("target_position", F.col("target_position") * 0.5)
+    swept = staged(swept.select("symbol", "timestamp", "close", "param_id", "fast", "slow", "target_position"))
     curve = x.vector_backtest(swept, keys=("param_id", "symbol"))
     text = F.format_string('{"fast":%d,"slow":%d}', "fast", "slow")
     return m.metrics(curve.withColumns({"fold_id": fx.fold_of("timestamp"), "parameters_json": text}), ("fold_id", "symbol", "parameters_json"))

@@ -11,6 +11,7 @@ from barlake.operators import features as f
 from barlake.plans import fixtures as fx
 from barlake.plans import q_features as qf
 from barlake.plans.registry import add
+from barlake.session import staged
 
 W = qf.W
 SCHEDULES = x.dated(x.DEFAULT_SCHEDULES, [date(1995, 1, 1), date(1997, 6, 1), date(1999, 10, 1), date(2001, 4, 1)])
@@ -25,7 +26,12 @@ EXCH = "CASE WHEN timestamp < '1999-10-01' THEN 0.325 WHEN timestamp < '2001-04-
 add("x01_cost_schedule_asof", lambda s, d: costed(s, d).select("fill_id", F.col("schedule.version").alias("version"), F.col("schedule.stt_sell_bps").alias("stt"), F.col("schedule.exchange_transaction_bps").alias("exch")),
     f"""SELECT fill_id, CASE WHEN timestamp < '1997-06-01' THEN 'delivery-2010-01' WHEN timestamp < '1999-10-01' THEN 'delivery-2016-06' WHEN timestamp < '2001-04-01' THEN 'delivery-2024-10' ELSE 'delivery-2026-04' END AS version,
     {STT} AS stt, {EXCH} AS exch FROM fills""", "fill_id version", "stt exch")
-PART = F.expr("(CAST(quantity AS INT) % 10) / 100.0D")
+
+
+def participation():
+    return F.expr("(CAST(quantity AS INT) % 10) / 100.0D")
+
+
 PARTS = "((CAST(quantity AS INT) % 10) / 100.0::DOUBLE)"
 IMPACT = f"(10.0 * least(greatest({PARTS}, 0), 0.05::DOUBLE) / 0.05::DOUBLE)"
 COSTS = f"""SELECT *, brokerage + stt + exchange_transaction + sebi + ipft + dp_charge + gst + stamp_duty AS statutory_fees, spread + slippage + market_impact AS execution_drag,
@@ -34,10 +40,10 @@ COSTS = f"""SELECT *, brokerage + stt + exchange_transaction + sebi + ipft + dp_
  SELECT *, least(20, greatest(5, n * 10 / 10000)) AS brokerage, n * {STT} / 10000 AS stt, n * {EXCH} / 10000 AS exchange_transaction, n * 0.01::DOUBLE / 10000 AS sebi, n * 0.00001::DOUBLE / 10000 AS ipft,
  CASE WHEN side = 'SELL' THEN 20.0 ELSE 0 END AS dp_charge, CASE WHEN side = 'BUY' THEN n * 1.5 / 10000 ELSE 0 END AS stamp_duty, n * 2 / 10000 AS spread, n * 3 / 10000 AS slippage, n * {IMPACT} / 10000 AS market_impact
  FROM (SELECT *, quantity * price AS n FROM fills)))"""
-add("x02_cost_breakdown", lambda s, d: x.cost_breakdown(costed(s, d), F.col("quantity") * F.col("price"), F.col("side"), PART),
+add("x02_cost_breakdown", lambda s, d: x.cost_breakdown(costed(s, d), F.col("quantity") * F.col("price"), F.col("side"), participation()),
     f"SELECT fill_id, {', '.join(x.COMPONENTS)}, statutory_fees, execution_drag, total_cost FROM costs", "fill_id", " ".join([*x.COMPONENTS, "statutory_fees", "execution_drag", "total_cost"]), costs=COSTS)
 add("x03_execution_price",
-    lambda s, d: x.execution_price(costed(s, d), F.when(F.col("order_id") % 50 == 0, 0.0).otherwise(F.col("price")), F.col("side"), F.when(F.col("order_id") % 77 == 0, -1.0).otherwise(PART)),
+    lambda s, d: x.execution_price(costed(s, d), F.when(F.col("order_id") % 50 == 0, 0.0).otherwise(F.col("price")), F.col("side"), F.when(F.col("order_id") % 77 == 0, -1.0).otherwise(participation())),
     f"""SELECT fill_id, CASE WHEN order_id % 50 = 0 THEN 'INVALID_PRICE' WHEN order_id % 77 = 0 THEN 'MAX_PARTICIPATION_EXCEEDED' END AS reject_code,
     CASE WHEN order_id % 50 <> 0 AND order_id % 77 <> 0 THEN price * CASE WHEN side = 'BUY' THEN 1 + (5 + {IMPACT}) / 10000 ELSE 1 - (5 + {IMPACT}) / 10000 END END AS execution_price FROM fills""",
     "fill_id reject_code", "execution_price")
@@ -151,7 +157,7 @@ MV = {**POSV, "flow": FLOW, "marks": MARKS}
 
 
 def marks(s, d):
-    return x.mark_to_market(held(s, d), *whole(s, d))
+    return x.mark_to_market(staged(held(s, d)), *whole(s, d))
 
 
 add("x12_mark_to_market", lambda s, d: day_of(marks(s, d)),
@@ -248,7 +254,7 @@ add("x18_opening_observation", opening,
     LEFT JOIN (SELECT symbol, ld, arg_min(ltp, row(exchange_timestamp, sequence_number)) AS p, arg_min(event_id, row(exchange_timestamp, sequence_number)) AS e FROM tk GROUP BY 1, 2) t ON t.symbol = a.symbol AND t.ld = a.dd) g""",
     "symbol day execution_source rejection_reason", "base_price", tk=TK)
 BOOKED = """SELECT run_id, d, sum(v) AS gross, max(v) AS sec, sum(n) AS cnt FROM (SELECT p.run_id, p.d, sector, sum(abs(quantity * price)) AS v, count(*) AS n FROM pos p JOIN (SELECT DISTINCT symbol, sector FROM bars) s ON s.symbol = p.symbol GROUP BY 1, 2, 3) GROUP BY 1, 2"""
-add("x19_risk_state", lambda s, d: day_of(x.risk_state(held(s, d), marks(s, d), fx.bars(s, d).select("symbol", "sector").distinct())),
+add("x19_risk_state", lambda s, d: day_of(x.risk_state(held(s, d), staged(marks(s, d)), fx.bars(s, d).select("symbol", "sector").distinct())),
     """SELECT m.run_id, strftime(m.d, '%Y-%m-%d') AS day, coalesce(gross, 0) AS current_gross_exposure, coalesce(sec, 0) AS current_sector_exposure, coalesce(cnt, 0) AS open_position_count,
     greatest((pk - equity) / greatest(pk, 1e-12), 0) AS current_drawdown, 1.65 * 0.015 * sqrt(coalesce(cnt, 0) + 1) * coalesce(gross, 0) / 100000 AS estimated_portfolio_var_pct
     FROM (SELECT *, greatest(100000, max(equity) OVER (PARTITION BY run_id ORDER BY d)) AS pk FROM marks) m LEFT JOIN booked b ON b.run_id = m.run_id AND b.d = m.d""",

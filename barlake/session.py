@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "barlake", cores: int | str = "*", **conf: str) -> SparkSession:
@@ -43,3 +44,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = configured or tempfile.mkdtemp(prefix="spark-barlake-", dir="/tmp")
     context.setCheckpointDir(path)
     return path
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write a derived table to the shared checkpoint folder once and read it back.
+
+    For plans that use an expensive intermediate more than once: it is computed once, its
+    lineage ends at files that outlive any executor, and later scans prune columns.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -135,24 +135,31 @@ class _Gate:
         return ACCEPT, [*reasons, "VALID_TICK"]
 
 
-def _judge(pdf: pd.DataFrame, gate: _Gate, seen) -> pd.DataFrame:
+def _facts(pdf: pd.DataFrame) -> tuple:
+    """(local session, sequence, microseconds, price, volume) arrays of a batch."""
     at = pd.to_datetime(pdf["exchange_timestamp"])
     at = at.dt.tz_localize("UTC") if at.dt.tz is None else at.dt.tz_convert("UTC")
     us = at.astype("datetime64[us, UTC]").astype("int64").to_numpy()
-    local = at.dt.tz_convert(LOCAL_TZ).dt.strftime("%Y%m%d").astype(int).to_numpy()
+    local = at.dt.tz_convert(LOCAL_TZ)
+    session = (local.dt.year * 10_000 + local.dt.month * 100 + local.dt.day).to_numpy()
     sequence = pdf["sequence_number"].fillna(0).astype("int64").to_numpy()
-    price, volume = pdf["ltp"].to_numpy(dtype=float), pdf["cumulative_volume"].fillna(0).astype("int64").to_numpy()
-    actions, reasons = [], []
-    for i in range(len(pdf)):
+    return session, sequence, us, pdf["ltp"].to_numpy(dtype=float), pdf["cumulative_volume"].fillna(0).astype("int64").to_numpy()
+
+
+def _walk(facts: tuple, lo: int, hi: int, gate: _Gate, seen) -> Iterator[tuple[str, str]]:
+    session, sequence, us, price, volume = facts
+    for i in range(lo, hi):
         key = f"{sequence[i]}:{us[i]}:{price[i]:.4f}:{volume[i]}"
-        action, why = gate.verdict(int(local[i]), int(sequence[i]), int(us[i]), float(price[i]), int(volume[i]), seen.known(key, int(local[i])))
+        day = int(session[i])
+        action, why = gate.verdict(day, int(sequence[i]), int(us[i]), float(price[i]), int(volume[i]), seen.known(key, day))
         if action == ACCEPT:
-            seen.add(key, int(local[i]))
-        actions.append(action)
-        reasons.append(",".join(why))
-    out = pdf[list(STATE_COLUMNS)].copy()
-    out["exchange_timestamp"] = at
-    return out.assign(action=actions, reasons=reasons)
+            seen.add(key, day)
+        yield action, ",".join(why)
+
+
+def _judge(pdf: pd.DataFrame, gate: _Gate, seen) -> pd.DataFrame:
+    verdicts = list(_walk(_facts(pdf), 0, len(pdf), gate, seen))
+    return pdf[list(STATE_COLUMNS)].assign(action=[v[0] for v in verdicts], reasons=[v[1] for v in verdicts])
 
 
 class _Memory:
@@ -169,16 +176,30 @@ class _Memory:
 def admit_batch(ticks: DataFrame, policy: AdmissionPolicy = AdmissionPolicy(), arrival: Sequence[str] = ("received_at", "event_id")) -> DataFrame:
     """The state rules over stored ticks.
 
-    Nothing carries over between local sessions, so a group is one token for one day, which
-    the feed rate bounds however much history a token has.
+    Nothing carries over between local sessions, so rows are spread by (token, session) and
+    sorted by Spark; a task then streams over its rows batch by batch and only remembers the
+    fingerprints of the session it is in.
     """
     order = list(arrival)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _judge(pdf.sort_values(order).reset_index(drop=True), _Gate(policy), _Memory())
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, gate, seen = None, _Gate(policy), _Memory()
+        for pdf in batches:
+            keys = pdf["token"].astype(str) + "|" + pdf["_session"].astype(str)
+            starts = [0, *(i for i in range(1, len(keys)) if keys.iat[i] != keys.iat[i - 1]), len(keys)]
+            facts = _facts(pdf)
+            verdicts: list[tuple[str, str]] = []
+            for lo, hi in zip(starts, starts[1:]):
+                if keys.iat[lo] != current:
+                    current, gate, seen = keys.iat[lo], _Gate(policy), _Memory()
+                verdicts.extend(_walk(facts, lo, hi, gate, seen))
+            out = pdf[list(STATE_COLUMNS)].copy()
+            out["action"], out["reasons"] = [v[0] for v in verdicts], [v[1] for v in verdicts]
+            yield out
 
     needed = ticks.select(*dict.fromkeys([*STATE_COLUMNS, *order])).withColumn("_session", session_date("exchange_timestamp"))
-    return needed.groupBy("token", "_session").applyInPandas(one, VERDICT)
+    spread = needed.repartition("token", "_session").sortWithinPartitions("token", "_session", *order)
+    return spread.mapInPandas(run, VERDICT)
 
 
 class _TickState(StatefulProcessor):
