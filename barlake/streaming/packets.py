@@ -105,6 +105,8 @@ def decode_packets(raw: DataFrame, packet_id: str = "packet_id", payload: str =
             if parts:
                 whole = pd.concat(parts, ignore_index=True).reindex(columns=FIELDS)
                 ints = ["sequence_number", "exchange_ms", "received_ms", "last_traded_qty", "cumulative_volume", "last_trade_ms", "open_interest", "open_interest_change"]
-                yield whole.astype({c: "Int64" for c in ints}).astype({"error": object}).where(lambda d: d.notna(), None)
+                texts = ["mode", "exchange", "token", "error", "bids", "asks"]
+                typed = whole.astype({**{c: "Int64" for c in ints}, **{c: object for c in texts}})
+                yield typed.assign(**{c: typed[c].where(typed[c].notna(), None) for c in texts})
 
     return raw.select(packet_id, payload).mapInPandas(run, SCHEMA)

@@ -1,6 +1,8 @@
 """Streams of small hand-made files: late, repeated, missing and jumping ticks."""
 
 import json
+import os
+from datetime import datetime
 
 import pandas as pd
 import pytest
@@ -18,16 +20,17 @@ SCHEMA = (
 
 
 def tick(i, at, price=100.0, seq=None, volume=None, token="T"):
-    when = pd.Timestamp("2024-01-03 04:00:00") + pd.Timedelta(seconds=at)
-    return (i, token, f"S{token}", "X", when, pd.Timestamp("2024-01-03 04:00:00") + pd.Timedelta(seconds=i), seq if seq is not None else i, price, 1, volume if volume is not None else 10 * i)
+    when = lambda s: (pd.Timestamp("2024-01-03 04:00:00", tz="UTC") + pd.Timedelta(seconds=s)).to_pydatetime()
+    return (i, token, f"S{token}", "X", when(at), when(i), seq if seq is not None else i, price, 1, volume if volume is not None else 10 * i)
 
 
 def files(path, *batches):
     path.mkdir()
     for n, rows in enumerate(batches):
         names = [f.split()[0] for f in SCHEMA.split(", ")]
-        text = "\n".join(json.dumps({k: (str(v) if isinstance(v, pd.Timestamp) else v) for k, v in zip(names, r)}) for r in rows)
+        text = "\n".join(json.dumps({k: (f"{v:%Y-%m-%d %H:%M:%S}" if isinstance(v, datetime) else v) for k, v in zip(names, r)}) for r in rows)
         (path / f"{n}.json").write_text(text)
+        os.utime(path / f"{n}.json", (1_700_000_000 + 10 * n,) * 2)  # files are read in order of age
     return str(path)
 
 
@@ -42,12 +45,12 @@ def drain(writer):
 
 
 def test_bars_close_by_watermark_and_drop_late_ticks(spark, tmp_path):
-    path = files(tmp_path / "in", [tick(1, 5, 10.0), tick(2, 50, 12.0)], [tick(3, 30, 9.0), tick(4, 200, 20.0)], [tick(5, 10, 99.0), tick(6, 400, 21.0)])
+    path = files(tmp_path / "in", [tick(1, 5, 10.0), tick(2, 50, 12.0)], [tick(3, 30, 9.0), tick(4, 200, 20.0)], [tick(5, 201, 20.0)], [tick(6, 10, 99.0), tick(7, 400, 21.0)])
     out, check = str(tmp_path / "out"), str(tmp_path / "check")
     query = drain(sinks.sink_bars(b.tick_bars(source(spark, path), "1m"), out, check).outputMode("append"))
     got = {r.timestamp.minute: (r.open, r.high, r.low, r.close, r.tick_count) for r in spark.read.parquet(out).collect()}
     assert got[0] == (10.0, 12.0, 9.0, 12.0, 3)
-    assert got[3] == (20.0, 20.0, 20.0, 20.0, 1) and 6 not in got
+    assert got[3] == (20.0, 20.0, 20.0, 20.0, 2) and 6 not in got
     assert b.late_count([json.loads(p.json) if hasattr(p, "json") else p for p in query.recentProgress]) == 1
 
 
