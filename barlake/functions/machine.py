@@ -48,7 +48,8 @@ def run_blocks(
     blocked = indexed.withColumn(w.BLOCK, F.floor(F.col(w.INDEX) / size))
     needed = blocked.select(*keys, w.BLOCK, w.INDEX, *[c for c in inputs if c not in keys])
 
-    final = blocked.groupBy(*keys).agg(F.floor(F.max(w.INDEX) / size).alias("_final"))
+    rows = F.max(w.INDEX) if w.INDEX in df.columns else F.count(F.lit(1)) - 1
+    final = df.groupBy(*keys).agg(F.floor(rows / size).alias("_final"))
     early = needed.join(final, keys).filter(F.col(w.BLOCK) < F.col("_final")).drop("_final")
     key_fields = [needed.schema[k] for k in keys]
     block_field = T.StructField(w.BLOCK, T.LongType())

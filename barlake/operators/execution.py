@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlake.functions.machine import run_blocks
-from barlake.functions.windows import Running, add_smoothing, asof, growth, held_quantity, scan, series, smoothing_lookback
+from barlake.functions.windows import INDEX, Running, add_smoothing, asof, growth, held_quantity, scan, series, smoothing_lookback
 from barlake.operators.features import session_date
 
 
@@ -309,7 +309,7 @@ def ledger(fills: DataFrame, keys: Sequence[str] = ("run_id", "symbol"), drag_bp
         "holding_period_days": F.when(sell, (F.unix_micros("timestamp") - F.col("entry_us")) / F.lit(86_400e6)),
         "exit_classification": F.when(sell, leaving).otherwise("ENTRY"),
     })
-    return df.drop("_drag", "_cost", "_reason", "_opens", "_us", "entry_us")
+    return df.drop("_drag", "_cost", "_reason", "_opens", "_us", "entry_us", INDEX)
 
 
 def ledger_round_trips(booked: DataFrame) -> DataFrame:
