@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlake.functions.windows import Running, growth, scan
-from barlake.session import prepare
+from barlake.session import broadcast_if_small, prepare
 
 OPEN_OFFSET = "INTERVAL '3' HOUR + INTERVAL '45' MINUTE"
 
@@ -18,11 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _suppliers(spark: SparkSession, sf: str) -> DataFrame:
     nation, region = table(spark, sf, "nation"), table(spark, sf, "region")
     supplier = table(spark, sf, "supplier")
-    return (
+    named = (
         supplier.join(nation, supplier.s_nationkey == nation.n_nationkey)
         .join(region, nation.n_regionkey == region.r_regionkey)
         .select("s_suppkey", F.col("n_name").alias("symbol"), F.col("r_name").alias("sector"))
     )
+    # Spark estimates this three-way join by multiplying sizes and would rather ship the lines.
+    return broadcast_if_small(named, supplier)
 
 
 def price() -> Column:

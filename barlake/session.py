@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(app: str = "barlake", cores: int | str = "*", **conf: str) -> SparkSession:
@@ -55,3 +56,12 @@ def staged(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, source: DataFrame, limit: int = 8 * 1024 * 1024) -> DataFrame:
+    """Hint a broadcast only where the scan behind ``df`` is measured to be under ``limit`` bytes.
+
+    ``df`` must not have more rows than ``source``.  Beyond the limit the join is left to Spark.
+    """
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= limit else df
