@@ -269,9 +269,12 @@ def oos_curve(curve: DataFrame, dates: DataFrame, capital: float = 100_000.0, ke
 
 
 def fold_slice(events: DataFrame, folds: DataFrame, ts: str = "timestamp") -> DataFrame:
-    """Events inside a fold's test range: the latest fold started, if it has not ended."""
+    """Events inside a fold's test range: the latest fold started, if it has not ended.
+
+    All events share one key here, so they are chunked by day.
+    """
     starts = folds.select(F.lit(1).alias("_one"), F.col("test_start"), "test_end", "fold_id")
-    marked = asof(events.drop("fold_id").withColumn("_one", F.lit(1)), starts, "_one", ts, "test_start", ["fold_id", "test_end"])
+    marked = asof(events.drop("fold_id").withColumn("_one", F.lit(1)), starts, "_one", ts, "test_start", ["fold_id", "test_end"], seconds=86_400)
     inside = marked.filter(F.col("fold_id").isNotNull() & (F.col(ts) <= F.col("test_end")))
     return inside.drop("_one", "test_end", "test_start_asof")
 

@@ -403,7 +403,7 @@ def rebalance_summary(fills: DataFrame, targets: DataFrame | None = None, equity
 def asof_target(signals: DataFrame, times: DataFrame, key: str, at: str) -> DataFrame:
     """For each (key, time) the whole signal set of the latest signal time at or before it."""
     stamps = signals.select(key, F.col("timestamp").alias("_stamp")).distinct()
-    hit = asof(times, stamps, key, at, "_stamp", ["_stamp"]).select(*times.columns, F.col("_stamp").alias("timestamp"))
+    hit = asof(times, stamps, key, at, "_stamp", ["_stamp"], seconds=86_400).select(*times.columns, F.col("_stamp").alias("timestamp"))
     return hit.filter("timestamp IS NOT NULL").join(signals, [key, "timestamp"])
 
 

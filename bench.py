@@ -29,7 +29,7 @@ def timed(query, spark, sf_dir: str) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", "8")
-    repeats = int(os.environ.get("BENCH_REPEATS", "3"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "2"))
     names = os.environ.get("BENCH_QUERIES", "").split() or HEADLINE
     spark = local_session("bench", cores)
     spark.sparkContext.setLogLevel("ERROR")
