@@ -42,7 +42,7 @@ def test_matches_sql(spark, duck, sf, name):
 def test_registry_is_complete():
     queries, oracle = entry_module.queries(), entry_module.oracle_sql()
     assert set(oracle) <= set(queries)
-    assert set(queries) - set(oracle) == {"g19c_walk_forward_logistic", "q05_dataset_hash"}
+    assert set(queries) - set(entry_module.EXTRA) - set(oracle) == {"g19c_walk_forward_logistic", "q05_dataset_hash"}
 
 
 def test_entry_runs(spark):
