@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.llm import chat
+from barlake.llm import bpe, chat
 from barlake.llm.common import table
 
 
@@ -34,5 +34,22 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM turns GROUP BY conv_id
 """
 
-QUERIES = {"op10_chat": op10_chat}
+def vocabulary() -> tuple[dict[bytes, int], str]:
+    """Ranks and split pattern of the public byte-level vocabulary that is installed beside Spark."""
+    import public_tokenizers
+
+    return bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode and decode every document; digests of the ids and of the decoded bytes."""
+    ranks, pattern = vocabulary()
+    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern)
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(bpe.decode(F.col("ids"), ranks), 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {"op7_bpe": op7_bpe, "op10_chat": op10_chat}
 SQL = {"op10_chat": OP10_SQL}
