@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from barlake.llm.common import fresh, let, slices
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 32 << 20
 NONE = 2**31 - 1
+MARK = chr(256)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -51,33 +52,44 @@ def _rank(piece: Column, table: Column, size: int) -> Column:
     return F.coalesce(F.try_element_at(slot, piece), F.lit(NONE))
 
 
-def encode_word(word: Column, ranks: dict[bytes, int]) -> Column:
-    """Ids of a word: start from its bytes and fold over merges, the lowest rank first and the leftmost of equals."""
+def encode_words(words: Column, ranks: dict[bytes, int]) -> Column:
+    """Ids of each word of an array.  The literal is bound once per array, so the plan holds it once."""
     table, size = rank_table(ranks)
+    return let(table, lambda bound: F.transform(words, lambda w: _encode_word(w, bound, size)))
+
+
+def _encode_word(word: Column, table: Column, size: int) -> Column:
+    """Start from the bytes of the word and fold over merges, the lowest rank first and the leftmost of equals.
+
+    The state holds the parts and the rank of each part joined to the next.  A mark that no byte has stands before the
+    first and after the last part, so joins over the ends find no rank and need no case of their own.
+    """
+    rest = F.lit(1 << 30)
     rank = lambda piece: _rank(piece, table, size)
-    pairs = lambda parts: F.transform(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), lambda p, i: rank(F.concat(p, F.element_at(parts, i + 2))))
 
     def merge(state: Column, _: Column) -> Column:
         parts, order = state["parts"], state["order"]
-
-        def at(place: Column) -> Column:
-            joined = F.concat(F.element_at(parts, place), F.element_at(parts, place + 1))
-            before = F.when(place > 1, F.array(rank(F.concat(F.try_element_at(parts, place - 1), joined)))).otherwise(F.array().cast("array<int>"))
-            after = F.when(place + 2 <= F.size(parts), F.array(rank(F.concat(joined, F.try_element_at(parts, place + 2))))).otherwise(F.array().cast("array<int>"))
-            return F.struct(
-                F.concat(F.slice(parts, F.lit(1), place - 1), F.array(joined), F.slice(parts, place + 2, F.size(parts))).alias("parts"),
-                F.concat(F.slice(order, F.lit(1), F.greatest(place - 2, F.lit(0))), before, after, F.slice(order, place + 2, F.size(parts))).alias("order"),
-            )
-
-        return let(F.coalesce(F.array_min(order), F.lit(NONE)), lambda least: F.when(least == NONE, state).otherwise(let(F.array_position(order, least).cast("int"), at)))
+        # aggregate over one value binds it without a copy of the state
+        take = lambda place: F.aggregate(F.array(F.concat(F.element_at(parts, place), F.element_at(parts, place + 1))), state, lambda _, joined: F.struct(
+            F.concat(F.slice(parts, F.lit(1), place - 1), F.array(joined), F.slice(parts, place + 2, rest)).alias("parts"),
+            F.concat(
+                F.slice(order, F.lit(1), place - 2),
+                F.array(rank(F.concat(F.element_at(parts, place - 1), joined)), rank(F.concat(joined, F.element_at(parts, place + 2)))),
+                F.slice(order, place + 2, rest),
+            ).alias("order"),
+        ))
+        # rank and place as one number: array_min finds the leftmost of the lowest ranks (array_position takes far longer)
+        least = F.array_min(F.transform(order, lambda r, i: F.shiftleft(r.cast("long"), 31).bitwiseOR(i)))
+        return F.aggregate(F.array(least), state, lambda _, m: F.when(m >= NONE << 31, state).otherwise(take(m.bitwiseAND(F.lit((1 << 31) - 1)).cast("int") + 1)))
 
     def fold(parts: Column) -> Column:
-        steps = F.sequence(F.lit(2), F.size(parts))
-        return F.aggregate(steps, F.struct(parts.alias("parts"), pairs(parts).alias("order")), merge, lambda state: F.transform(state["parts"], rank))
+        order = F.transform(F.slice(parts, F.lit(2), rest), lambda p, i: rank(F.concat(F.element_at(parts, i + 1), p)))
+        inner = lambda p: F.slice(p, F.lit(2), F.size(p) - 2)
+        return F.aggregate(F.sequence(F.lit(4), F.size(parts)), F.struct(parts.alias("parts"), order.alias("order")), merge, lambda state: F.transform(inner(state["parts"]), rank))
 
     def one(chars: Column) -> Column:
         whole = let(rank(chars), lambda r: F.when(r != NONE, F.array(r)))
-        return F.when(F.length(chars) == 0, F.array().cast("array<int>")).otherwise(F.coalesce(whole, let(F.split(chars, ""), fold)))
+        return F.when(F.length(chars) == 0, F.array().cast("array<int>")).otherwise(F.coalesce(whole, let(F.split(F.concat(F.lit(MARK), chars, F.lit(MARK)), ""), fold)))
 
     return let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), one)
 
@@ -108,7 +120,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
     spark, place, names = df.sparkSession, df.columns.index(text), [*df.columns, ids]
     row = df.schema.simpleString()
     packed = df.mapInArrow(lambda source: _blocks(source, place, pattern), f"rows array<{row}>, words array<string>")
-    coded = packed.select("rows", "words", F.transform("words", lambda w: encode_word(w, ranks)).alias("codes"))
+    coded = packed.select("rows", "words", encode_words(F.col("words"), ranks).alias("codes"))
     schema = spark.createDataFrame([], df.schema).withColumn(ids, F.array().cast("array<int>")).schema
 
     def assemble(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.llm import bpe, chat
+from barlake.llm import bpe, chat, warc
 from barlake.llm.common import table
+from barlake.session import ensure_checkpoint_dir
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,5 +54,29 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op7_bpe": op7_bpe, "op10_chat": op10_chat}
-SQL = {"op10_chat": OP10_SQL}
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all pages as archives in the shared folder and read them back; a revisit's size is its response's."""
+    path = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    page = lambda name: F.regexp_extract(name, r"^<urn:page:(-?\d+)>$", 1).cast("long")
+    read = warc.read_warc(spark, path).select(page("record_id").alias("page_id"), "record_type", "payload_bytes", F.substring("digest", 6, 32).alias("named"), "payload_digest", F.when(F.col("record_type") == "revisit", page("refers_to")).alias("refers_to"))
+    responses, revisits = read.where("record_type = 'response'"), read.where("record_type = 'revisit'")
+    target = responses.select(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("bytes"), F.col("payload_digest").alias("checked"))
+    resolved = revisits.join(target, "refers_to").where("named = checked").select("page_id", F.col("bytes").alias("payload_bytes"), F.col("checked").alias("payload_digest"), "record_type", "refers_to")
+    return responses.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").unionByName(resolved)
+
+
+# Base32 of SHA-1 from its hex digits: five bits a letter.
+OP6_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
+bits AS (SELECT *, list_aggregate(list_transform(range(1, 41), i -> (('0x' || hex[i])::INTEGER::BIT::VARCHAR)[29:32]), 'string_agg', '') AS b FROM p),
+d AS (SELECT page_id, body, list_aggregate(list_transform(range(0, 32), i -> 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1
+  + 16 * b[5*i+1]::INT + 8 * b[5*i+2]::INT + 4 * b[5*i+3]::INT + 2 * b[5*i+4]::INT + b[5*i+5]::INT]), 'string_agg', '') AS digest FROM bits),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS top FROM d)
+SELECT page_id, octet_length(body::BLOB)::BIGINT AS payload_bytes, digest AS payload_digest,
+  CASE WHEN top = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN top <> page_id THEN top END AS refers_to
+FROM m
+"""
+
+QUERIES = {"op6_warc": op6_warc, "op7_bpe": op7_bpe, "op10_chat": op10_chat}
+SQL = {"op6_warc": OP6_SQL, "op10_chat": OP10_SQL}
