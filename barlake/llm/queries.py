@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.llm import bpe, chat, warc
+from barlake.llm import bpe, chat, decontaminate, quality, simhash, warc
 from barlake.llm.common import table
 from barlake.session import ensure_checkpoint_dir
 
@@ -69,14 +69,31 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Base32 of SHA-1 from its hex digits: five bits a letter.
 OP6_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
-bits AS (SELECT *, list_aggregate(list_transform(range(1, 41), i -> (('0x' || hex[i])::INTEGER::BIT::VARCHAR)[29:32]), 'string_agg', '') AS b FROM p),
-d AS (SELECT page_id, body, list_aggregate(list_transform(range(0, 32), i -> 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1
+bits AS (SELECT *, list_aggregate(list_transform(range(1, 41), lambda i: (('0x' || hex[i])::INTEGER::BIT::VARCHAR)[29:32]), 'string_agg', '') AS b FROM p),
+d AS (SELECT page_id, body, list_aggregate(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1
   + 16 * b[5*i+1]::INT + 8 * b[5*i+2]::INT + 4 * b[5*i+3]::INT + 2 * b[5*i+4]::INT + b[5*i+5]::INT]), 'string_agg', '') AS digest FROM bits),
 m AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS top FROM d)
-SELECT page_id, octet_length(body::BLOB)::BIGINT AS payload_bytes, digest AS payload_digest,
+SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes, digest AS payload_digest,
   CASE WHEN top = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN top <> page_id THEN top END AS refers_to
 FROM m
 """
 
-QUERIES = {"op6_warc": op6_warc, "op7_bpe": op7_bpe, "op10_chat": op10_chat}
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measure and score every document with a model fitted on the labelled rows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"))).drop("text")
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint every document and link those at most two bits apart."""
+    prints = simhash.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return simhash.link_fingerprints(prints).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, benchmark item) with an overlapping window."""
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op3_quality": op3_quality, "op5_simhash": op5_simhash, "op6_warc": op6_warc, "op7_bpe": op7_bpe, "op10_chat": op10_chat}
 SQL = {"op6_warc": OP6_SQL, "op10_chat": OP10_SQL}

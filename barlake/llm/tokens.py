@@ -17,6 +17,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _powers(base: int, size: int) -> np.ndarray:
+    out = np.full(size, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
 class _Powers:
     """Powers of the base and of its inverse, grown when a longer batch comes."""
 
@@ -26,7 +32,7 @@ class _Powers:
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > len(self.up):
             size = 1 << (n - 1).bit_length()
-            self.up, self.down = (np.cumprod(np.concatenate(([1], np.full(size - 1, b, np.uint64))).astype(np.uint64)) for b in (_BASE, _INVERSE))
+            self.up, self.down = (_powers(b, size) for b in (_BASE, _INVERSE))
         return self.up[:n], self.down[:n]
 
 
