@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from barlake.llm.common import fresh, let, slices
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 12 << 20
 NONE = 2**31 - 1
 MARK = chr(256)
 

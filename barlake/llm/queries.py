@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.llm import bpe, chat, decontaminate, quality, simhash, warc
+from barlake.llm import bpe, chat, decontaminate, lines, quality, simhash, substrings, warc
 from barlake.llm.common import table
 from barlake.session import ensure_checkpoint_dir
 
@@ -95,5 +95,17 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op3_quality": op3_quality, "op5_simhash": op5_simhash, "op6_warc": op6_warc, "op7_bpe": op7_bpe, "op10_chat": op10_chat}
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that an earlier line equals or nearly equals, and a digest of the text without them."""
+    done = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that windows of earlier documents cover, and a digest of the words without them."""
+    done = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op3_quality": op3_quality, "op4_lines": op4_lines, "op5_simhash": op5_simhash, "op8_substrings": op8_substrings, "op6_warc": op6_warc, "op7_bpe": op7_bpe, "op10_chat": op10_chat}
 SQL = {"op6_warc": OP6_SQL, "op10_chat": OP10_SQL}
