@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.llm import bpe, chat, decontaminate, lines, quality, simhash, substrings, warc
+from barlake.llm import bpe, chat, decontaminate, lines, ngram, quality, simhash, substrings, warc
 from barlake.llm.common import table
 from barlake.session import ensure_checkpoint_dir
 
@@ -107,5 +107,10 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op3_quality": op3_quality, "op4_lines": op4_lines, "op5_simhash": op5_simhash, "op8_substrings": op8_substrings, "op6_warc": op6_warc, "op7_bpe": op7_bpe, "op10_chat": op10_chat}
+def op2_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every document with an interpolated bigram model of the training documents."""
+    return ngram.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_ngram": op2_ngram, "op3_quality": op3_quality, "op4_lines": op4_lines, "op5_simhash": op5_simhash, "op8_substrings": op8_substrings, "op6_warc": op6_warc, "op7_bpe": op7_bpe, "op10_chat": op10_chat}
 SQL = {"op6_warc": OP6_SQL, "op10_chat": OP10_SQL}
