@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.llm import bpe, chat, decontaminate, lines, ngram, quality, simhash, substrings, warc
+from barlake.llm import bpe, chat, decontaminate, lines, ngram, personal, quality, simhash, substrings, warc
 from barlake.llm.common import table
 from barlake.session import ensure_checkpoint_dir
 
@@ -112,5 +112,12 @@ def op2_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_ngram": op2_ngram, "op3_quality": op3_quality, "op4_lines": op4_lines, "op5_simhash": op5_simhash, "op8_substrings": op8_substrings, "op6_warc": op6_warc, "op7_bpe": op7_bpe, "op10_chat": op10_chat}
+def op9_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts and digest of the base spans, and all spans."""
+    found = personal.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    counts = [personal.of_kind(F.col("base"), kind).cast("long").alias(f"n_{kind}") for kind in personal.KINDS]
+    return found.select("doc_id", *counts, F.sha2(personal.listed(F.col("base")), 256).alias("base_sha256"), personal.listed(F.col("spans")).alias("spans"))
+
+
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_ngram": op2_ngram, "op3_quality": op3_quality, "op4_lines": op4_lines, "op5_simhash": op5_simhash, "op8_substrings": op8_substrings, "op9_personal": op9_personal, "op6_warc": op6_warc, "op7_bpe": op7_bpe, "op10_chat": op10_chat}
 SQL = {"op6_warc": OP6_SQL, "op10_chat": OP10_SQL}
