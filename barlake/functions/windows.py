@@ -256,6 +256,8 @@ def zscore(s: Series, value: str, n: int) -> Column:
 
 def _weight_block(decay: float) -> int:
     """Rows per weight block: beyond two blocks a weight is under double precision."""
+    if decay <= 0:
+        return 2
     return max(2, math.ceil(40.0 / (-2.0 * math.log(decay))))
 
 
@@ -273,6 +275,8 @@ def add_smoothing(s: Series, value: str, alpha: float, name: str, seeded: bool =
     The recursion is expanded inside weight blocks, where decay**-j stays small, and the two
     preceding blocks supply the carry.  ``seeded`` starts at the first value, else at zero.
     """
+    if alpha >= 1:  # nothing is carried over
+        return s.with_columns({name: F.col(value)})
     decay = 1.0 - alpha
     size = _weight_block(decay)
     sub, part = f"_{name}_sub", f"_{name}_part"

@@ -125,18 +125,17 @@ def regime_correlation(curves: DataFrame, tiles: int = 1) -> DataFrame:
     return sums.join(loud, ["run_id_a", "run_id_b"])
 
 
-def clusters(runs: DataFrame, pairs: DataFrame, threshold: float = 0.75, rounds: int = 50) -> DataFrame:
+def clusters(runs: DataFrame, pairs: DataFrame, threshold: float = 0.75) -> DataFrame:
     """Connected components of strongly correlated runs, labelled by their smallest run id.
 
-    Labels spread along edges and are then shortened by one jump, so the number of rounds
-    grows with the logarithm of a component's width.  Each round's lineage is cut by a
+    Labels spread along edges and are then shortened by one jump, until none moves.  Each round's lineage is cut by a
     checkpoint in the cluster's shared folder.
     """
     ensure_checkpoint_dir(runs.sparkSession)
     close = pairs.filter(F.abs("return_correlation") >= threshold)
     edges = close.select("run_id_a", "run_id_b").union(close.select("run_id_b", "run_id_a")).toDF("src", "dst").checkpoint()
     labels = runs.select("run_id").distinct().withColumn("label", F.col("run_id"))
-    for _ in range(rounds):
+    while True:
         near = edges.join(labels, edges.dst == labels.run_id).groupBy("src").agg(F.min("label").alias("_near"))
         spread = labels.join(near, labels.run_id == near.src, "left").select("run_id", "label", F.least("label", F.coalesce("_near", "label")).alias("_new"))
         roots = spread.select(F.col("run_id").alias("_root"), F.col("_new").alias("_jump"))

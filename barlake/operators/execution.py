@@ -152,7 +152,7 @@ def signal_deltas(
     s = s.with_columns({
         "delta_position": F.col("_want") - F.coalesce(held, F.lit(0.0)),
         "_next_open": F.lead("open").over(s.w), "_next_ts": F.lead("timestamp").over(s.w)})
-    df = s.done().filter("delta_position <> 0")
+    df = s.done().filter(F.abs("delta_position") > DUST)  # a filter never quite reaches its target
     source = F.col("close") if at_close else F.coalesce("_next_open", "close")
     sign = F.signum("delta_position")
     df = df.withColumns({
@@ -197,6 +197,10 @@ def vector_backtest(signals: DataFrame, capital: float = 100_000.0, cost_bps: fl
     return growth(s.done().drop("_before"), keys, ("timestamp",), "net_return", capital)
 
 
+# What running sums of fractional quantities leave of a holding that was sold, relative to its size.
+DUST = 1e-9
+
+
 # --- ledgers ------------------------------------------------------------------------------------
 
 class _Book:
@@ -209,7 +213,7 @@ class _Book:
         take = lambda c: pdf[c].to_numpy(dtype=float)
         self.quantity, self.price, self.cost, self.drag, self.held = (take(c) for c in ("quantity", "price", "_cost", "_drag", "held_before"))
         self.closed = np.where(self.buy, 0.0, np.minimum(self.quantity, self.held))
-        self.empty = ~self.buy & (self.held - self.closed == 0)
+        self.empty = ~self.buy & (self.held - self.closed <= DUST * np.maximum(self.held, 1.0))
         self.extra = self.cost if fees_in_average else np.zeros(len(pdf))
 
     def terms(self) -> tuple[np.ndarray, np.ndarray]:
@@ -228,6 +232,7 @@ def _ledger(fills: DataFrame, keys: Sequence[str], fees_in_average: bool, block_
     order = ("timestamp", "fill_id") if "fill_no" not in fills.columns else ("timestamp", "fill_no")
     signed = F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(-F.col("quantity"))
     df = held_quantity(fills, list(keys), order, signed)
+    df = df.withColumn("held_before", F.when(F.col("held_before") > DUST * F.greatest("quantity", F.lit(1.0)), F.col("held_before")).otherwise(0.0))
     df = df.withColumns({"_opens": (F.col("side") == "BUY") & (F.col("held_before") <= 0), "_us": F.unix_micros("timestamp")})
     names = [*_Book.POOLS, "entry_us"]
     entry = "entry_us bigint, entry_reason string"

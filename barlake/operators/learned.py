@@ -73,10 +73,11 @@ def _newton_step(rows: DataFrame, dates: np.ndarray, center: np.ndarray, scale:
     return values[:, :m], values[:, m:].reshape(-1, m, m)
 
 
-def fit_folds(rows: DataFrame, dates: np.ndarray, minimum: int, strength: float = 1.0, steps: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def fit_folds(rows: DataFrame, dates: np.ndarray, minimum: int, strength: float = 1.0, steps: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """L2-penalised logistic weights per rebalance date on the rows whose label was known by then.
 
-    What reaches the driver is one weight vector and its sums per date, never rows.
+    What reaches the driver is one weight vector and its sums per date, never rows.  A fit
+    that has not settled after ``steps`` Newton steps is an error, not a result.
     """
     sums = _moments(rows, dates)
     n, pos, k = sums["n"].to_numpy(), sums["pos"].to_numpy(), len(NAMES)
@@ -93,9 +94,9 @@ def fit_folds(rows: DataFrame, dates: np.ndarray, minimum: int, strength: float
         for f in np.flatnonzero(usable):
             move[f] = np.linalg.solve(hess[f] + penalty, grad[f] + penalty @ beta[f])
         beta -= move
-        if np.abs(move).max() < 1e-9:
-            break
-    return beta, center, scale, usable
+        if np.abs(move).max(initial=0.0) < 1e-9:
+            return beta, center, scale, usable
+    raise RuntimeError(f"no convergence in {steps} Newton steps; the last moved a weight by {np.abs(move).max():.3g}")
 
 
 def walk_forward_scores(panel: DataFrame, horizon: int = 20, minimum: int = 500) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -71,35 +72,45 @@ def var_cvar(curve: DataFrame, keys: Sequence[str] = RUN, level: float = 0.05) -
     return tail.withColumn("cvar_95", F.coalesce("cvar_95", "var_95"))
 
 
-# Cumulative Poisson(1) probabilities.
-POISSON_CDF = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676)
-PRIME = 2_147_483_647
+HEX_DIGITS = 13
 
 
-def bootstrap_weight(day: Column, rep: Column) -> Column:
-    """How often a row enters resample ``rep``: Poisson(1) from a hash of both, the same on every retry."""
-    mixed = (day * 48271 + rep * 69621 + ((day % 30_011 + 31) * (rep + 17) * 16807)) % PRIME
-    u = mixed / F.lit(float(PRIME))
-    weight = F.lit(len(POISSON_CDF))
-    for k in reversed(range(len(POISSON_CDF))):
-        weight = F.when(u < POISSON_CDF[k], k).otherwise(weight)
+def poisson_steps() -> list[float]:
+    """Cumulative Poisson(1) probabilities, as far as a uniform draw of 52 bits can tell them apart."""
+    term, total, steps = math.exp(-1.0), 0.0, []
+    while 1.0 - total > 16.0**-HEX_DIGITS:
+        total += term
+        steps.append(total)
+        term /= len(steps)
+    return steps
+
+
+def bootstrap_weight(name: Column, rep: Column) -> Column:
+    """How often a row enters resample ``rep``: Poisson(1) from the MD5 of both, the same on every retry."""
+    digest = F.md5(F.concat_ws("|", name, rep.cast("string")))
+    u = F.conv(F.substring(digest, 1, HEX_DIGITS), 16, 10).cast("double") / F.lit(16.0**HEX_DIGITS)
+    weight = F.lit(0)
+    for k, step in enumerate(poisson_steps(), 1):
+        weight = F.when(u >= step, k).otherwise(weight)
     return weight
 
 
 def bootstrap_sharpe(curve: DataFrame, keys: Sequence[str] = RUN, reps: int = 1000, minimum: int = 30) -> DataFrame:
-    """Share of resamples with a positive mean, for runs longer than ``minimum``.
+    """Share of resamples with a positive Sharpe ratio, for runs longer than ``minimum`` whose returns vary.
 
-    Rows are expanded in the map stage and summed per resample before the shuffle, so
-    ``reps`` sums per run and task are what moves.
+    Resamples without deviation don't count.  Rows are expanded in the map stage and summed per
+    resample before the shuffle, so ``reps`` sums per run and task are what moves.
     """
-    day = F.unix_seconds("timestamp") / 86_400
-    base = curve.select(*keys, F.floor(day).alias("_day"), "net_return")
+    name = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.unix_micros("timestamp").cast("string"))
+    base = curve.select(*keys, name.alias("_name"), "net_return")
     drawn = base.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    w = bootstrap_weight(F.col("_day"), F.col("_rep").cast("long"))
-    sums = drawn.withColumn("_w", w).groupBy(*keys, "_rep").agg(
-        F.sum(F.col("_w") * F.col("net_return")).alias("_s"), F.count(F.lit(1)).alias("_n"))
-    share = F.avg((F.col("_s") > 0).cast("double"))
-    return sums.groupBy(*keys).agg(F.when(F.max("_n") > minimum, share).otherwise(0.0).alias("monte_carlo_sharpe_prob"))
+    drawn = drawn.withColumn("_w", bootstrap_weight(F.col("_name"), F.col("_rep")))
+    r, w = F.col("net_return"), F.col("_w")
+    inside = lambda f: f(F.when(w > 0, r))
+    sums = drawn.groupBy(*keys, "_rep").agg(
+        F.sum(w * r).alias("_s"), F.count(F.lit(1)).alias("_n"), (F.max(r) > F.min(r)).alias("_varies"), (inside(F.max) > inside(F.min)).alias("_valid"))
+    share = F.avg(F.when(F.col("_valid"), (F.col("_s") > 1e-12).cast("double")))
+    return sums.groupBy(*keys).agg(F.when((F.max("_n") > minimum) & F.bool_or("_varies"), F.coalesce(share, F.lit(0.0))).otherwise(0.0).alias("monte_carlo_sharpe_prob"))
 
 
 def drawdown_duration(curve: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:

@@ -54,11 +54,13 @@ add("m01_fold_metrics", lambda s, d: m.metrics(fx.equity_curve(s, d), RF), metri
 add("m01_cost_metrics", lambda s, d: m.cost_metrics(fx.fills(s, d).withColumn("slippage_bps", F.lit(3.0))), "SELECT run_id, sum(fees) AS fees, 3 * count(*) AS slippage FROM fills GROUP BY 1", "run_id", "fees slippage", digits=4)
 add("m02_var_cvar", lambda s, d: m.var_cvar(fx.equity_curve(s, d)),
     "SELECT run_id, max(v) AS var_95, avg(net_return) FILTER (net_return <= v) AS cvar_95 FROM curve JOIN (SELECT run_id, quantile_cont(net_return, 0.05) AS v FROM curve GROUP BY 1) USING (run_id) GROUP BY 1", "run_id", "var_95 cvar_95")
-CDF = " ".join(f"WHEN u < {c}::DOUBLE THEN {k}" for k, c in enumerate(m.POISSON_CDF))
-add("m03_bootstrap_sharpe", lambda s, d: m.bootstrap_sharpe(fx.equity_curve(s, d), reps=200),
-    f"""SELECT run_id, CASE WHEN max(n) > 30 THEN avg(CAST(s > 1e-12 AS DOUBLE)) ELSE 0 END AS monte_carlo_sharpe_prob FROM (SELECT run_id, rep, sum(CASE {CDF} ELSE 7 END * net_return) AS s, count(*) AS n FROM (
-    SELECT run_id, net_return, rep, ((dy * 48271 + rep * 69621 + ((dy % 30011 + 31) * (rep + 17) * 16807)) % 2147483647) / 2147483647.0::DOUBLE AS u FROM (
-    SELECT run_id, net_return, date_diff('day', DATE '1970-01-01', timestamp) AS dy, unnest(range(200)) AS rep FROM curve)) GROUP BY 1, 2) GROUP BY 1""", "run_id", "monte_carlo_sharpe_prob")
+CDF = " ".join(f"WHEN u < {c!r}::DOUBLE THEN {k}" for k, c in enumerate(m.poisson_steps()))
+add("m03_bootstrap_sharpe", lambda s, d: m.bootstrap_sharpe(fx.equity_curve(s, d)),
+    f"""SELECT run_id, CASE WHEN max(n) > 30 AND bool_or(varies) THEN coalesce(avg(CASE WHEN valid THEN CAST(s > 1e-12 AS DOUBLE) END), 0) ELSE 0 END AS monte_carlo_sharpe_prob FROM (
+    SELECT run_id, rep, sum(w * net_return) AS s, count(*) AS n, max(net_return) > min(net_return) AS varies, max(net_return) FILTER (w > 0) > min(net_return) FILTER (w > 0) AS valid FROM (
+    SELECT run_id, net_return, rep, CASE {CDF} ELSE {len(m.poisson_steps())} END AS w FROM (
+    SELECT run_id, net_return, rep, CAST('0x' || substr(md5(run_id || '|' || epoch_us(timestamp) || '|' || rep), 1, {m.HEX_DIGITS}) AS BIGINT) / {16.0**m.HEX_DIGITS!r}::DOUBLE AS u FROM (
+    SELECT run_id, net_return, timestamp, unnest(range(1000)) AS rep FROM curve))) GROUP BY 1, 2) GROUP BY 1""", "run_id", "monte_carlo_sharpe_prob")
 add("m04_drawdown_duration", lambda s, d: m.drawdown_duration(fx.equity_curve(s, d)),
     """SELECT run_id, max(n) AS max_drawdown_duration FROM (SELECT run_id, isl, count(*) FILTER (drawdown < 0) AS n FROM (
     SELECT *, sum(CAST(drawdown >= 0 AS BIGINT)) OVER (PARTITION BY run_id ORDER BY timestamp) AS isl FROM curve) GROUP BY 1, 2) GROUP BY 1""", "run_id", "max_drawdown_duration")

@@ -66,7 +66,7 @@ add("x05_signal_deltas", lambda s, d: x.signal_deltas(ups(s, d), fee_bps=4.0, co
     "symbol day side", "delta_position price requested_quantity quantity fees", deltas_src=f"SELECT *, target_position - coalesce(lag(target_position) {W}, 0) AS delta FROM ups", **UV)
 HELD = """/*RECURSIVE_MARK*/SELECT symbol, 0::BIGINT AS rn, 0.0::DOUBLE AS held FROM (SELECT DISTINCT symbol FROM ups_rn)
  UNION ALL SELECT u.symbol, u.rn, h.held + 0.4::DOUBLE * (u.target_position - h.held) FROM held_rec h JOIN ups_rn u ON u.symbol = h.symbol AND u.rn = h.rn + 1"""
-add("x05_signal_deltas_partial", lambda s, d: x.signal_deltas(ups(s, d), fee_bps=4.0, cost_bps=5.0, fraction=0.4).filter("abs(delta_position) > 1e-9"), DELTAS.replace("FRAC", "0.4::DOUBLE").replace("delta <> 0", "abs(delta) > 1e-9"),
+add("x05_signal_deltas_partial", lambda s, d: x.signal_deltas(ups(s, d), fee_bps=4.0, cost_bps=5.0, fraction=0.4), DELTAS.replace("FRAC", "0.4::DOUBLE").replace("delta <> 0", "abs(delta) > 1e-9"),
     "symbol day side", "delta_position price requested_quantity quantity fees", ups_rn=f"SELECT *, row_number() {W} AS rn FROM ups", held_rec=HELD,
     deltas_src="SELECT u.*, target_position - h.held AS delta FROM ups_rn u JOIN held_rec h ON h.symbol = u.symbol AND h.rn = u.rn - 1", **UV)
 

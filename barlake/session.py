@@ -36,12 +36,17 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared checkpoint folder; fall back to a fresh one only where unset."""
+    """Use the cluster's shared checkpoint folder; a local session without one gets a fresh folder.
+
+    On a cluster a machine's own folder would be read back incomplete, so there it is an error.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     configured = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not context.master.startswith("local[") and context.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = configured or tempfile.mkdtemp(prefix="spark-barlake-", dir="/tmp")
     context.setCheckpointDir(path)
     return path

@@ -4,19 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barlake.functions.windows import first_per_key
+from barlake.session import staged
 
 IDENTITY = ("timestamp", "open", "high", "low", "close", "volume", "symbol", "timeframe", "exchange", "asset_class")
 
 
 def upsert_ignore(target: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Sequence[Column] | None = None) -> DataFrame:
-    """The rows to append when the first writer wins."""
+    """The rows to append when the first writer wins: the stored row, else the first by ``order``.
+
+    Without an order equal keys are settled by all their columns, so a retry picks the same row.
+    """
     fresh = incoming.join(target.select(*keys), list(keys), "left_anti")
-    return first_per_key(fresh, keys, order or [F.lit(1)])
+    return first_per_key(fresh, keys, order or [F.col(c) for c in sorted(incoming.columns)])
 
 
 def upsert_replace(target: DataFrame, incoming: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
@@ -70,22 +75,52 @@ def write_bars(bars: DataFrame, path: str, mode: str = "append", rows_per_file:
 
 
 def archive_bars(bars: DataFrame, before: Column, path: str) -> bool:
-    """Write bars older than the cutoff and check the row count of what was written."""
-    old = bars.filter(F.col("timestamp") < before)
-    write_bars(old, path, mode="overwrite")
-    return bars.sparkSession.read.parquet(path).count() == old.count()
-
-
-def replace_scope(df: DataFrame, path: str, scope: Sequence[str] = ("run_id", "fold_id")) -> None:
-    """Rewrite only the partitions present in ``df``.
+    """Append the bars older than the cutoff that the archive lacks; False if there are none.
 
+    A trimmed source archived again leaves what is stored.  The rows to add are written once
+    to the shared folder, counted there and counted again in the archive.
+    """
+    spark, keys = bars.sparkSession, ["symbol", "timeframe", "timestamp"]
+    old = bars.filter(F.col("timestamp") < before)
+    try:
+        stored = spark.read.parquet(path).select(*keys)
+        new, have = staged(old.join(stored, keys, "left_anti")), stored.count()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        new, have = staged(old), 0
+    rows = new.count()
+    if rows:
+        write_bars(new, path)
+        if spark.read.parquet(path).count() != have + rows:
+            raise RuntimeError(f"the archive at {path} does not hold the rows written to it")
+    return rows > 0
+
+
+def replace_scope(df: DataFrame, path: str, scope: Sequence[str] = ("run_id", "fold_id"), cleared: DataFrame | None = None) -> None:
+    """Rewrite the partitions present in ``df``, and empty those that ``cleared`` (scope columns) names besides.
+
+    A rerun without rows thus leaves none of the old ones: pass the scopes that were run.
     Rows of a hot scope are salted over several files; the salt is not stored.
     """
+    if cleared is not None:
+        _drop_scopes(cleared.select(*scope).distinct().join(df.select(*scope).distinct(), list(scope), "left_anti"), path, scope)
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(16)))
     writer = salted.repartition(*scope, "_salt").drop("_salt").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy(*scope).parquet(path)
 
 
+def _drop_scopes(scopes: DataFrame, path: str, scope: Sequence[str]) -> None:
+    """Delete partition folders, one per scope, through the file system of the path."""
+    spark = scopes.sparkSession
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    escape = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for row in scopes.toLocalIterator():
+        folder = "/".join(f"{c}={'__HIVE_DEFAULT_PARTITION__' if row[c] is None else escape(str(row[c]))}" for c in scope)
+        files.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root, folder), True)
+
+
 def write_report_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
