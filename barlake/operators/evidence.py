@@ -261,6 +261,15 @@ def select_parameters(scores: DataFrame, keys: Sequence[str] = ("fold_id",)) ->
     return scores.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.parameters_json", F.col("b.sharpe").alias("training_score"))
 
 
+def walk_forward_select(training: DataFrame, testing: DataFrame, keys: Sequence[str] = ("fold_id",)) -> DataFrame:
+    """Per fold the candidate that was best on the training window, with its score on the test window.
+
+    Both tables hold one row per ``keys`` and candidate; folds without a test window are left out.
+    """
+    tested = testing.select(*keys, "parameters_json", F.col("sharpe").alias("test_score"))
+    return select_parameters(training, keys).join(tested, [*keys, "parameters_json"])
+
+
 def oos_curve(curve: DataFrame, dates: DataFrame, capital: float = 100_000.0, keys: Sequence[str] = ("run_id", "fold_id")) -> DataFrame:
     """Test-window rows of each fold with equity re-based and drawdown recomputed."""
     tested = curve.drop("fold_id", "equity", "drawdown").join(dates, "timestamp")

@@ -204,25 +204,40 @@ add("wf1_walk_forward_folds", lambda s, d: folds(s, d).select("fold_id", "train_
 GRID = g.parameter_grid({"fast": (3, 5), "slow": (20, 40)})
 
 
-def candidate_scores(s, d):
-    """All candidates back-tested at once, scored per calendar-year fold."""
+def candidate_curve(s, d):
+    """All candidates back-tested at once; ``fold`` numbers the calendar years."""
     swept = g.sma_cross_sweep(fx.bars(s, d), GRID).withColumn("target_position", F.col("target_position") * 0.5)
     swept = staged(swept.select("symbol", "timestamp", "close", "param_id", "fast", "slow", "target_position"))
     curve = x.vector_backtest(swept, keys=("param_id", "symbol"))
     text = F.format_string('{"fast":%d,"slow":%d}', "fast", "slow")
-    return m.metrics(curve.withColumns({"fold_id": fx.fold_of("timestamp"), "parameters_json": text}), ("fold_id", "symbol", "parameters_json"))
+    return curve.withColumns({"fold": F.year("timestamp") - 1994, "parameters_json": text})
+
+
+def fold_scores(curve):
+    scored = m.metrics(curve.withColumn("fold_id", F.concat(F.lit("wf-"), "fold")), ("fold_id", "symbol", "parameters_json"))
+    return scored.withColumns({"sharpe": F.round("sharpe", 9), "max_drawdown": F.round("max_drawdown", 9)})
+
+
+def walk_forward(s, d):
+    """Train on all years before a fold's year, select, score the selected candidate on that year."""
+    curve = staged(candidate_curve(s, d))
+    last = curve.agg(F.max("fold")).first()[0] or 0
+    before = curve.filter(F.col("fold") < last).withColumn("fold", F.explode(F.sequence(F.col("fold") + 1, F.lit(last))))
+    return e.walk_forward_select(fold_scores(before), fold_scores(curve), ("fold_id", "symbol"))
 
 
 SWEEP = " UNION ALL ".join(
     f"SELECT symbol, timestamp, day, close, {i} AS pid, '{{\"fast\":{c['fast']},\"slow\":{c['slow']}}}' AS parameters_json, CASE WHEN coalesce({qs.full('avg(close)', 'close', c['fast'])} > {qs.full('avg(close)', 'close', c['slow'])}, false) THEN 0.5 ELSE 0 END::DOUBLE AS target_position FROM bars"
     for i, c in enumerate(GRID))
 WP = "OVER (PARTITION BY pid, symbol ORDER BY timestamp)"
-CAND = f"""SELECT *, exp(lg - greatest(lg, max(lg) {WP})) - 1 AS drawdown, exp(lg) * 100000 AS equity, 'wf-' || (year(timestamp) - 1994) AS fold_id FROM (SELECT *, sum(ln(1 + net_return)) {WP} AS lg FROM (
+CAND = f"""SELECT *, exp(lg - greatest(lg, max(lg) {WP})) - 1 AS drawdown, exp(lg) * 100000 AS equity, year(timestamp) - 1994 AS fold FROM (SELECT *, sum(ln(1 + net_return)) {WP} AS lg FROM (
  SELECT *, coalesce(lag(target_position) {WP}, 0) * coalesce(close / lag(close) {WP} - 1, 0) AS net_return FROM sweep))"""
-PICK = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold_id, symbol ORDER BY round(sharpe, 9) DESC, round(max_drawdown, 9) DESC, parameters_json DESC) AS rn FROM ({metric_sql('cand', 'fold_id, symbol, parameters_json')})) WHERE rn = 1"
-add("wf2_select_parameters",
-    lambda s, d: e.select_parameters(candidate_scores(s, d).withColumns({"sharpe": F.round("sharpe", 9), "max_drawdown": F.round("max_drawdown", 9)}), ("fold_id", "symbol")),
-    "SELECT fold_id, symbol, parameters_json, sharpe AS training_score FROM pick", "fold_id symbol parameters_json", "training_score", sweep=SWEEP, cand=CAND, pick=PICK)
+TRAINED = f"SELECT c.* EXCLUDE (fold), 'wf-' || n.fold AS fold_id FROM cand c JOIN (SELECT DISTINCT fold FROM cand) n ON c.fold < n.fold"
+SCORED = metric_sql("(SELECT *, 'wf-' || fold AS fold_id FROM cand)", "fold_id, symbol, parameters_json")
+PICK = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold_id, symbol ORDER BY round(sharpe, 9) DESC, round(max_drawdown, 9) DESC, parameters_json DESC) AS rn FROM ({metric_sql('trained', 'fold_id, symbol, parameters_json')})) WHERE rn = 1"
+add("wf2_select_parameters", walk_forward,
+    "SELECT fold_id, symbol, parameters_json, p.sharpe AS training_score, t.sharpe AS test_score FROM pick p JOIN scored t USING (fold_id, symbol, parameters_json)", "fold_id symbol parameters_json",
+    "training_score test_score", sweep=SWEEP, cand=CAND, trained=TRAINED, scored=SCORED, pick=PICK)
 TESTED = "SELECT c.run_id, c.timestamp, c.day, c.net_return, f.fold_id FROM curve c JOIN folded f ON date_trunc('day', f.timestamp) = c.timestamp"
 WO = "OVER (PARTITION BY run_id, fold_id ORDER BY timestamp)"
 add("wf3_oos_curve",

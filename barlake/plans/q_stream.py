@@ -109,19 +109,20 @@ add("s03_check_book", lambda s, d: a.check_book(books(s, d)),
     f"SELECT event_id, book_fault, CASE WHEN book_fault IS NULL THEN 'ACCEPT' WHEN book_fault IN ('INVALID_DEPTH_PRICE', 'INVALID_DEPTH_QUANTITY') THEN 'REJECT_MALFORMED' ELSE 'QUARANTINE' END AS book_action FROM (SELECT event_id, {FAULT} AS book_fault FROM ticks WHERE ltp > 1)",
     "event_id book_fault book_action")
 add("s04_dedup", lambda s, d: a.dedup(good(s, d).unionByName(good(s, d).filter("event_id % 3 = 0"))).groupBy("token").agg(F.count(F.lit(1)).alias("ticks")), f"SELECT token, count(*) AS ticks FROM ({GOOD}) GROUP BY 1", "token", "ticks")
-STATE_ROWS = "SELECT *, row_number() OVER (PARTITION BY token, CAST(exchange_timestamp + INTERVAL 330 MINUTE AS DATE) ORDER BY received_at, event_id) AS srn, CAST(exchange_timestamp + INTERVAL 330 MINUTE AS DATE) AS ld FROM ticks WHERE ltp > 0"
-LATE = "r.acc > 0 AND r.us - epoch_us(t.exchange_timestamp) > 500000"
-LESS = "r.acc > 0 AND t.cumulative_volume > 0 AND t.cumulative_volume < r.vol"
-JUMP = "r.acc > 0 AND abs(t.ltp - r.px) / r.px > 0.5::DOUBLE"
-SAME = "r.acc > 0 AND t.sequence_number = r.sq"
+STATE_ROWS = "SELECT *, row_number() OVER (PARTITION BY token ORDER BY received_at, event_id) AS srn, CAST(exchange_timestamp + INTERVAL 330 MINUTE AS DATE) AS ld FROM ticks WHERE ltp > 0"
+LATE = "r.ld = t.ld AND r.us - epoch_us(t.exchange_timestamp) > 500000"
+LESS = "r.ld = t.ld AND t.cumulative_volume > 0 AND t.cumulative_volume < r.vol"
+JUMP = "r.ld = t.ld AND abs(t.ltp - r.px) / r.px > 0.5::DOUBLE"
+SAME = "r.ld = t.ld AND r.sq > 0 AND t.sequence_number > 0 AND t.sequence_number = r.sq"
+GAP = "r.ld = t.ld AND r.sq > 0 AND t.sequence_number > 0 AND t.sequence_number <> r.sq + 1"
 TAKE = f"NOT ({SAME}) AND NOT ({LATE}) AND NOT ({LESS}) AND NOT ({JUMP})"
-STATE_REC = f"""/*RECURSIVE_MARK*/SELECT token, ld, 0::BIGINT AS srn, 0::BIGINT AS acc, 0::BIGINT AS sq, 0::BIGINT AS us, 0.0::DOUBLE AS px, 0::BIGINT AS vol, '' AS action, '' AS gap FROM (SELECT DISTINCT token, ld FROM state_rows)
- UNION ALL SELECT t.token, t.ld, t.srn, CASE WHEN {TAKE} THEN 1 ELSE r.acc END, CASE WHEN {TAKE} THEN greatest(r.sq, t.sequence_number) ELSE r.sq END, CASE WHEN {TAKE} THEN epoch_us(t.exchange_timestamp) ELSE r.us END, CASE WHEN {TAKE} THEN t.ltp ELSE r.px END,
+STATE_REC = f"""/*RECURSIVE_MARK*/SELECT token, DATE '1900-01-01' AS ld, 0::BIGINT AS srn, 0::BIGINT AS sq, 0::BIGINT AS us, 0.0::DOUBLE AS px, 0::BIGINT AS vol, '' AS action, '' AS gap FROM (SELECT DISTINCT token FROM state_rows)
+ UNION ALL SELECT t.token, CASE WHEN {TAKE} THEN t.ld ELSE r.ld END, t.srn, CASE WHEN {TAKE} THEN greatest(r.sq, t.sequence_number) ELSE r.sq END, CASE WHEN {TAKE} THEN epoch_us(t.exchange_timestamp) ELSE r.us END, CASE WHEN {TAKE} THEN t.ltp ELSE r.px END,
  CASE WHEN {TAKE} THEN t.cumulative_volume ELSE r.vol END, CASE WHEN {SAME} THEN 'DROP_DUPLICATE' WHEN {LATE} THEN 'DROP_STALE' WHEN {LESS} THEN 'QUARANTINE' WHEN {JUMP} THEN 'QUARANTINE' ELSE 'ACCEPT' END,
- CASE WHEN NOT ({SAME}) AND r.acc > 0 AND t.sequence_number <> r.sq + 1 THEN 'SEQUENCE_GAP_DETECTED,' ELSE '' END || CASE WHEN {SAME} THEN 'DUPLICATE_SEQUENCE_NUMBER' WHEN {LATE} THEN 'OUT_OF_ORDER_TIMESTAMP' WHEN {LESS} THEN 'CUMULATIVE_VOLUME_DECREASE' WHEN {JUMP} THEN 'EXTREME_PRICE_VELOCITY' ELSE 'VALID_TICK' END
- FROM state_rec r JOIN state_rows t ON t.token = r.token AND t.ld = r.ld AND t.srn = r.srn + 1"""
+ CASE WHEN {GAP} AND NOT ({SAME}) THEN 'SEQUENCE_GAP_DETECTED,' ELSE '' END || CASE WHEN {SAME} THEN 'DUPLICATE_SEQUENCE_NUMBER' WHEN {LATE} THEN 'OUT_OF_ORDER_TIMESTAMP' WHEN {LESS} THEN 'CUMULATIVE_VOLUME_DECREASE' WHEN {JUMP} THEN 'EXTREME_PRICE_VELOCITY' ELSE 'VALID_TICK' END
+ FROM state_rec r JOIN state_rows t ON t.token = r.token AND t.srn = r.srn + 1"""
 add("s05_admit_stateful_batch", lambda s, d: a.admit_batch(good(s, d), a.AdmissionPolicy(max_price_velocity=0.5)),
-    "SELECT t.token, event_id, action, gap AS reasons FROM state_rec r JOIN state_rows t ON t.token = r.token AND t.ld = r.ld AND t.srn = r.srn", "token event_id action reasons", state_rows=STATE_ROWS, state_rec=STATE_REC)
+    "SELECT t.token, event_id, action, gap AS reasons FROM state_rec r JOIN state_rows t ON t.token = r.token AND t.srn = r.srn", "token event_id action reasons", state_rows=STATE_ROWS, state_rec=STATE_REC)
 add("s06_quarantined", lambda s, d: a.quarantined(admitted(s, d)).withColumn("held_id", F.get_json_object("raw_payload_json", "$.event_id").cast("long")), f"SELECT event_id AS held_id, reason, {ACT} AS action FROM adm WHERE reason <> 'VALID_TICK'", "held_id reason action", adm=ADM)
 add("s07_admission_stats", lambda s, d: a.admission_stats(admitted(s, d)),
     f"""SELECT count(*) AS total_evaluated, count(*) FILTER (act = 'ACCEPT') AS accepted, count(*) FILTER (act = 'DROP_STALE') AS dropped_stale, count(*) FILTER (act = 'DROP_OUT_OF_SESSION') AS dropped_out_of_session, count(*) FILTER (act = 'REJECT_MALFORMED') AS rejected_malformed,

@@ -164,28 +164,33 @@ def _judge(pdf: pd.DataFrame, gate: _Gate, seen) -> pd.DataFrame:
 
 class _Memory:
     def __init__(self):
-        self.keys: set[str] = set()
+        self.keys: dict[str, int] = {}
 
     def known(self, key: str, session: int) -> bool:
         return key in self.keys
 
     def add(self, key: str, session: int) -> None:
-        self.keys.add(key)
+        self.keys[key] = session
+
+    def forget(self, session: int) -> None:
+        """Keep the fingerprints of a session only."""
+        if any(s != session for s in self.keys.values()):
+            self.keys = {k: s for k, s in self.keys.items() if s == session}
 
 
 def admit_batch(ticks: DataFrame, policy: AdmissionPolicy = AdmissionPolicy(), arrival: Sequence[str] = ("received_at", "event_id")) -> DataFrame:
-    """The state rules over stored ticks.
+    """The state rules over stored ticks, as the stream applies them in order of arrival.
 
-    Nothing carries over between local sessions, so rows are spread by (token, session) and
-    sorted by Spark; a task then streams over its rows batch by batch and only remembers the
-    fingerprints of the session it is in.
+    The highest sequence number carries over from one local session to the next, so the ticks of
+    a token are read by one task, batch by batch in Spark's order; it remembers the fingerprints
+    of the sessions that ticks still arrive for.
     """
     order = list(arrival)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, gate, seen = None, _Gate(policy), _Memory()
         for pdf in batches:
-            keys = pdf["token"].astype(str) + "|" + pdf["_session"].astype(str)
+            keys = pdf["token"].astype(str)
             starts = [0, *(i for i in range(1, len(keys)) if keys.iat[i] != keys.iat[i - 1]), len(keys)]
             facts = _facts(pdf)
             verdicts: list[tuple[str, str]] = []
@@ -193,13 +198,13 @@ def admit_batch(ticks: DataFrame, policy: AdmissionPolicy = AdmissionPolicy(), a
                 if keys.iat[lo] != current:
                     current, gate, seen = keys.iat[lo], _Gate(policy), _Memory()
                 verdicts.extend(_walk(facts, lo, hi, gate, seen))
+                seen.forget(gate.session)
             out = pdf[list(STATE_COLUMNS)].copy()
             out["action"], out["reasons"] = [v[0] for v in verdicts], [v[1] for v in verdicts]
             yield out
 
-    needed = ticks.select(*dict.fromkeys([*STATE_COLUMNS, *order])).withColumn("_session", session_date("exchange_timestamp"))
-    spread = needed.repartition("token", "_session").sortWithinPartitions("token", "_session", *order)
-    return spread.mapInPandas(run, VERDICT)
+    needed = ticks.select(*dict.fromkeys([*STATE_COLUMNS, *order]))
+    return needed.repartition("token").sortWithinPartitions("token", *order).mapInPandas(run, VERDICT)
 
 
 class _TickState(StatefulProcessor):

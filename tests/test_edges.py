@@ -9,6 +9,7 @@ from barlake.functions.windows import add_smoothing, series
 from barlake.operators import execution, metrics, signals
 from barlake.session import ensure_checkpoint_dir
 from barlake.sources.tables import archive_bars, replace_scope, upsert_ignore
+from barlake.streaming.admission import admit_batch
 
 DAY = dt.datetime(2020, 1, 1)
 
@@ -69,6 +70,16 @@ def test_bootstrap_weights_are_independent_draws(spark):
         assert abs(mean - 1) < 0.08 and abs(lag) < 0.08 and abs(sum((a - mean) ** 2 for a in w) / len(w) - 1) < 0.15
 
 
+def test_sequence_carries_over_to_the_next_session(spark):
+    noon = dt.datetime(2024, 1, 8, 6, 0)
+    ticks = [(noon + dt.timedelta(days=d, seconds=i), n) for d, numbers in enumerate(((48, 49, 50), (1, 2, 3))) for i, n in enumerate(numbers)]
+    rows = spark.createDataFrame(
+        [("t", i, at, at, n, 100.0, 10 + i) for i, (at, n) in enumerate(ticks)],
+        "token string, event_id long, exchange_timestamp timestamp, received_at timestamp, sequence_number long, ltp double, cumulative_volume long")
+    got = [r.reasons for r in admit_batch(rows).orderBy("event_id").collect()]
+    assert got == ["VALID_TICK"] * 4 + ["SEQUENCE_GAP_DETECTED,VALID_TICK"] * 2
+
+
 def test_grid_is_whole():
     assert len(signals.parameter_grid({"a": range(10), "b": range(7)})) == 70
 
