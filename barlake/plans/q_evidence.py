@@ -94,14 +94,14 @@ STOCK = "coalesce(nullif(split_part(r.run_id, ':', 2), ''), symbol, 'PORTFOLIO')
 add("m07_strategy_aggregate", lambda s, d: m.strategy_aggregate(runs(s, d), long_metrics(s, d)),
     f"""SELECT strategy_name, count(DISTINCT r.run_id) AS total_runs, count(DISTINCT {STOCK}) AS total_stocks, avg(total_return) AS avg_total_return, avg(sharpe) AS avg_sharpe, avg(max_drawdown) AS avg_max_drawdown
     FROM rns r JOIN rmet USING (run_id) GROUP BY 1""", "strategy_name", "total_runs total_stocks avg_total_return avg_sharpe avg_max_drawdown", **RV)
-SOME = "SELECT * FROM round_trips WHERE run_id NOT IN ('run-2', 'run-5')"
+SOME = "SELECT * REPLACE (CASE WHEN run_id IN ('run-2', 'run-5') THEN 'unknown-' || run_id ELSE run_id END AS run_id) FROM round_trips"
 BEST = f"""SELECT * FROM (SELECT r.*, {STOCK} AS instrument, coalesce(n, 0) > 0 AS has_trades, coalesce(pnl, 0) AS net_pnl, row_number() OVER (PARTITION BY strategy_name, {STOCK} ORDER BY CAST(coalesce(n, 0) > 0 AS INT) DESC, started_at DESC, r.run_id) AS rn
  FROM rns r LEFT JOIN (SELECT run_id, count(*) AS n, sum(net_pnl) AS pnl FROM some_trips GROUP BY 1) t ON t.run_id = r.run_id) JOIN rmet USING (run_id) WHERE rn = 1"""
 BV = {**RV, "some_trips": SOME, "best": BEST}
 
 
 def best(s, d):
-    return m.best_run_per_symbol(runs(s, d), long_metrics(s, d), fx.round_trips(s, d).filter("run_id NOT IN ('run-2', 'run-5')"))
+    return m.best_run_per_symbol(runs(s, d), long_metrics(s, d), fx.round_trips(s, d).withColumn("run_id", F.expr("CASE WHEN run_id IN ('run-2', 'run-5') THEN 'unknown-' || run_id ELSE run_id END")))
 
 
 add("m08_best_run_per_symbol", best, "SELECT strategy_name, instrument, run_id, has_trades, total_return, net_pnl FROM best", "strategy_name instrument run_id has_trades", "total_return net_pnl", digits=4, **BV)
@@ -179,7 +179,7 @@ add("r07_strategy_summary", lambda s, d: e.strategy_summary(fold_metrics(s, d),
 add("r08_explain_loss", lambda s, d: e.explain_loss(fx.attribution(s, d), "run-2"),
     "SELECT run_id, symbol, reason, exit_classification, sum(realized_pnl) AS pnl, sum(gross_pnl) AS gross_pnl, sum(cost) AS cost, sum(quantity) AS quantity, avg(holding_period_days) AS average_holding_days, count(*) AS events FROM attribution WHERE run_id = 'run-2' GROUP BY 1, 2, 3, 4",
     "run_id symbol reason exit_classification", "pnl gross_pnl cost quantity average_holding_days events", digits=4)
-add("r08_loss_by_sector", lambda s, d: e.loss_by_sector(fx.attribution(s, d), fx.bars(s, d).filter("sector <> 'ASIA'").select("symbol", "sector").distinct()),
+add("r08_loss_by_sector", lambda s, d: e.loss_by_sector(fx.attribution(s, d), fx.bars(s, d).select("symbol", F.nullif("sector", F.lit("ASIA")).alias("sector")).distinct()),
     "SELECT run_id, CASE WHEN sector = 'ASIA' THEN 'UNKNOWN' ELSE sector END AS sector, sum(realized_pnl) AS pnl, sum(cost) AS cost FROM attribution GROUP BY 1, 2", "run_id sector", "pnl cost", digits=4)
 add("r08_loss_groupings", lambda s, d: e.loss_groupings(fx.attribution(s, d)),
     "SELECT run_id, reason, symbol, sum(realized_pnl) AS pnl, sum(cost) AS cost FROM attribution GROUP BY GROUPING SETS ((run_id), (run_id, reason), (run_id, symbol))", "run_id reason symbol", "pnl cost", digits=4)

@@ -190,7 +190,7 @@ add("cal8_completed_only", lambda s, d: cal.completed_only(fx.bars(s, d), sessio
 add("cal9_latest_completed_session", lambda s, d: dayed(cal.latest_completed_session(sessions(s, d), ts("1999-06-30 08:00:00"))),
     "SELECT max(day) AS day FROM sessions WHERE close_at <= '1999-06-30 08:00:00'", "day")
 add("cal10_backfill_plan",
-    lambda s, d: cal.backfill_plan(fx.bars(s, d).filter("substring_index(symbol, '_', -1) % 4 <> 1"), fx.bars(s, d).select("symbol").distinct(), "1994-01-01", "2003-12-31", 200).select(
+    lambda s, d: cal.backfill_plan(fx.bars(s, d).withColumn("symbol", F.expr("CASE WHEN substring_index(symbol, '_', -1) % 4 = 1 THEN 'unknown-' || symbol ELSE symbol END")), fx.bars(s, d).select("symbol").distinct(), "1994-01-01", "2003-12-31", 200).select(
         "symbol", F.date_format("window_start", "yyyy-MM-dd").alias("a"), F.date_format("window_end", "yyyy-MM-dd").alias("b")),
     f"""SELECT symbol, strftime(w, '%Y-%m-%d') AS a, strftime(least((w + INTERVAL 199 DAY)::DATE, e), '%Y-%m-%d') AS b FROM (SELECT symbol, e, unnest(generate_series(s::TIMESTAMP, e::TIMESTAMP, INTERVAL 200 DAY))::DATE AS w FROM (
     SELECT symbol, DATE '1994-01-01' AS s, coalesce(f - 1, DATE '2003-12-31') AS e FROM have UNION ALL SELECT symbol, l + 1, DATE '2003-12-31' FROM have WHERE l IS NOT NULL) WHERE s <= e)""", "symbol a b",
@@ -287,9 +287,9 @@ add("u11_resolve_token",
     "symbol exchange token", ins=INS, req=REQ)
 add("u12_search_symbol", lambda s, d: u.search_symbol(instruments(s, d), "tion_1"), "SELECT symbol FROM ins WHERE upper(symbol) LIKE '%TION\\_1%' ESCAPE '\\'", "symbol", ins=INS)
 add("u13_sector_map",
-    lambda s, d: u.sector_map(fx.bars(s, d), members(s, d).filter("sector <> 'ASIA'")).groupBy("symbol", "sector").agg(F.count(F.lit(1)).alias("n")),
+    lambda s, d: u.sector_map(fx.bars(s, d), members(s, d).withColumn("sector", F.nullif("sector", F.lit("ASIA")))).groupBy("symbol", "sector").agg(F.count(F.lit(1)).alias("n")),
     "SELECT symbol, CASE WHEN sector = 'ASIA' THEN 'UNKNOWN' ELSE sector END AS sector, count(*) AS n FROM bars GROUP BY 1, 2", "symbol sector", "n")
-add("u13_missing_sectors", lambda s, d: u.missing_sectors(fx.bars(s, d), members(s, d).filter("sector <> 'ASIA'")), "SELECT DISTINCT symbol FROM bars WHERE sector = 'ASIA'", "symbol")
+add("u13_missing_sectors", lambda s, d: u.missing_sectors(fx.bars(s, d), members(s, d).withColumn("sector", F.nullif("sector", F.lit("ASIA")))), "SELECT DISTINCT symbol FROM bars WHERE sector = 'ASIA'", "symbol")
 add("u14_infer_market", lambda s, d: u.infer_market(instruments(s, d)),
     """SELECT symbol, CASE WHEN exchange = 'MCX' THEN 'COMMODITY' WHEN instrument_type LIKE '%IDX%' THEN 'INDEX' ELSE 'INDIA_EQUITY' END AS asset_class, 'INR' AS currency,
     CASE WHEN exchange = 'MCX' THEN '23:30' ELSE '15:30' END AS session_close, CASE WHEN exchange = 'MCX' THEN '09:00' ELSE '09:15' END AS session_open, 0.05 AS tick_size FROM ins""",

@@ -280,14 +280,15 @@ def datasets(s, d):
 
 
 def certificates(s, d):
-    c = q.certify_datasets(mixed(s, d)).filter("substring_index(symbol, '_', -1) % 8 <> 7")
-    return c.select(F.concat(F.lit("ds-"), F.col("symbol")).alias("dataset_id"), F.concat(F.lit("cert-"), F.col("symbol")).alias("certification_id"),
+    c = q.certify_datasets(mixed(s, d))
+    owner = F.when(F.substring_index("symbol", "_", -1).cast("int") % 8 == 7, "other-").otherwise("ds-")
+    return c.select(F.concat(owner, F.col("symbol")).alias("dataset_id"), F.concat(F.lit("cert-"), F.col("symbol")).alias("certification_id"),
                     "status", "issue_count", F.current_timestamp().alias("completed_at"))
 
 
 def child_checks(s, d):
-    return mixed(s, d).filter("check_type <> 'schema' OR substring_index(symbol, '_', -1) % 6 <> 3").select(
-        F.concat(F.lit("cert-"), F.col("symbol")).alias("certification_id"), "check_type", "issue_count")
+    kind = F.expr("CASE WHEN check_type = 'schema' AND substring_index(symbol, '_', -1) % 6 = 3 THEN 'other' ELSE check_type END")
+    return mixed(s, d).select(F.concat(F.lit("cert-"), F.col("symbol")).alias("certification_id"), kind.alias("check_type"), "issue_count")
 
 
 DS = f"SELECT symbol, 'ds-' || symbol AS dataset_id, CASE WHEN {NUM} % 5 = 4 THEN 'PENDING' ELSE 'VERIFIED' END AS status, CASE WHEN {NUM} % 7 = 6 THEN 'RAW_RECORDED' ELSE 'CANONICAL_PROMOTED' END AS lifecycle_status FROM (SELECT DISTINCT symbol FROM bars)"
@@ -305,12 +306,12 @@ add("q23_frame_checks", lambda s, d: q.frame_checks(broken(s, d)),
 def tables(s, d):
     f_ = fx.fills(s, d).select("order_id", F.xxhash64("run_id", "order_id").alias("fill_id"))
     return {
-        "fills": f_, "orders": fx.table(s, d, "orders").filter("o_orderkey % 50 <> 0").select(F.col("o_orderkey").alias("order_id")),
+        "fills": f_, "orders": fx.table(s, d, "orders").select(F.expr("CASE WHEN o_orderkey % 50 = 0 THEN -1 - o_orderkey ELSE o_orderkey END").alias("order_id")),
         "costs": f_.select(F.when(F.col("order_id") % 20 == 0, -F.col("order_id")).otherwise(F.col("fill_id")).alias("fill_id")),
-        "bars": fx.bars(s, d).select(F.concat(F.lit("ds-"), F.col("symbol")).alias("dataset_id")), "datasets": datasets(s, d).filter("status = 'VERIFIED'"),
+        "bars": fx.bars(s, d).select(F.concat(F.lit("ds-"), F.col("symbol")).alias("dataset_id")), "datasets": datasets(s, d).withColumn("dataset_id", F.expr("CASE WHEN status = 'VERIFIED' THEN dataset_id ELSE 'other-' || dataset_id END")),
         "members": fx.constituents(s, d).withColumn("symbol", F.when(F.col("token").cast("int") % 6 == 0, " ").otherwise(F.col("symbol"))),
         "quarantined": datasets(s, d), "issues": q.validate_raw(some_clean(s, d)),
-        "paper_sessions": fx.promotion_reviews(s, d).select("run_id"), "runs": fx.equity_curve(s, d).filter("run_id <> 'run-3'").select("run_id"),
+        "paper_sessions": fx.promotion_reviews(s, d).select("run_id"), "runs": fx.equity_curve(s, d).select(F.expr("CASE WHEN run_id = 'run-3' THEN 'other' ELSE run_id END").alias("run_id")),
     }
 
 
@@ -332,7 +333,7 @@ def gap_reports(s, d):
 add("q25_systemic_gaps", lambda s, d: q.systemic_gaps(gap_reports(s, d), 0.7),
     f"""SELECT day AS gap_date, count(*) AS symbols FROM ({MISSING.format(kind="s.kind <> 'SPECIAL_SESSION' AND")}) GROUP BY 1
     HAVING count(*) >= greatest(2, ceil((SELECT count(DISTINCT symbol) FROM bars) * 0.7::DOUBLE))""", "gap_date", "symbols", bounds=BOUND)
-add("q26_resolve_stranded", lambda s, d: q.resolve_stranded(datasets(s, d), fx.raw_bars(s, d).filter("substring_index(symbol, '_', -1) % 2 = 0")),
+add("q26_resolve_stranded", lambda s, d: q.resolve_stranded(datasets(s, d), fx.raw_bars(s, d).withColumn("dataset_id", F.expr("CASE WHEN substring_index(symbol, '_', -1) % 2 = 0 THEN dataset_id ELSE 'other-' || dataset_id END"))),
     f"""SELECT ds.dataset_id, coalesce(n, 0) AS rows, CASE WHEN n > 0 THEN 'REPLAY' ELSE 'REJECT_EMPTY' END AS action FROM ds
     LEFT JOIN (SELECT dataset_id, count(*) AS n FROM raw_bars WHERE {NUM} % 2 = 0 GROUP BY 1) r USING (dataset_id) WHERE lifecycle_status = 'RAW_RECORDED'""",
     "dataset_id action", "rows", ds=DS)

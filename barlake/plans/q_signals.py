@@ -56,7 +56,7 @@ add("g02_mean_reversion_short", lambda s, d: g.mean_reversion(f.build_features(f
 
 # Intraday bars: ticks cut to quarter hours, so a session has several bars.
 INTRA = """SELECT symbol, time_bucket(INTERVAL 15 MINUTE, exchange_timestamp) AS timestamp, arg_min(ltp, row(exchange_timestamp, event_id)) AS open,
- max(ltp) AS high, min(ltp) AS low, arg_max(ltp, row(exchange_timestamp, event_id)) AS close, CAST(sum(last_traded_qty) AS BIGINT) AS volume FROM ticks WHERE ltp > 0 GROUP BY 1, 2"""
+ max(ltp) AS high, min(ltp) AS low, arg_max(ltp, row(exchange_timestamp, event_id)) AS close, CAST(sum(last_traded_qty) AS BIGINT) AS volume FROM (SELECT * REPLACE (greatest(ltp, 0.01::DOUBLE) AS ltp) FROM ticks) GROUP BY 1, 2"""
 ORB = """SELECT symbol, strftime(timestamp, '%Y-%m-%d %H:%M') AS minute, coalesce(last_value(ev IGNORE NULLS) OVER (PARTITION BY symbol, sd ORDER BY timestamp ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS target_position,
  CASE WHEN ev = 1 THEN 'breakout_up' WHEN ev = -1 THEN 'breakout_down' ELSE '' END AS reason FROM (
  SELECT *, CASE WHEN n > 2 AND volume >= ov AND high >= oh * 1.0005::DOUBLE THEN 1.0 WHEN n > 2 AND volume >= ov AND low <= ol * 0.9995::DOUBLE THEN -1.0 END AS ev FROM (
@@ -68,7 +68,7 @@ ORB = """SELECT symbol, strftime(timestamp, '%Y-%m-%d %H:%M') AS minute, coalesc
 def intraday(s, d):
     from barlake.streaming.bars import resample_ticks
 
-    return resample_ticks(fx.ticks(s, d).filter("ltp > 0"), "15m")
+    return resample_ticks(fx.ticks(s, d).withColumn("ltp", F.greatest("ltp", F.lit(0.01))), "15m")
 
 
 add("g03_opening_range_breakout",

@@ -23,10 +23,11 @@ POLICY = a.AdmissionPolicy(allowed_exchanges=("X",))
 
 
 def good(s, d):
-    return fx.ticks(s, d).filter("ltp > 0")
+    """All ticks; the few without a positive price get a cent, so that bars and states see every row."""
+    return fx.ticks(s, d).withColumn("ltp", F.greatest("ltp", F.lit(0.01)))
 
 
-GOOD = "SELECT * FROM ticks WHERE ltp > 0"
+GOOD = "SELECT * REPLACE (greatest(ltp, 0.01::DOUBLE) AS ltp) FROM ticks"
 US = "epoch_us(exchange_timestamp)"
 
 
@@ -96,20 +97,20 @@ add("s02_admit", admitted, f"SELECT event_id, reason, {ACT} AS action FROM adm",
 
 def books(s, d):
     """Three-level books around each price; faults by event number."""
-    e, p, q = F.col("event_id"), F.col("ltp"), F.col("last_traded_qty")
+    e, p, q = F.col("event_id"), F.greatest("ltp", F.lit(2.0)), F.col("last_traded_qty")
     level = lambda price, qty: F.struct(price.alias("price"), qty.cast("long").alias("quantity"))
     bids = F.array(level(p + F.when(e % 11 == 0, 2.0).otherwise(0.0), q), level(p - 0.5 + F.when(e % 13 == 0, 5.0).otherwise(0.0), q - F.when(e % 17 == 0, 200).otherwise(0)), level(F.when(e % 19 == 0, 0.0).otherwise(p - 0.8), q))
     asks = F.array(level(p + 1, q), level(p + 2 - F.when(e % 23 == 0, 1.5).otherwise(0.0), q), level(p + 3, q))
-    return good(s, d).filter("ltp > 1").withColumns({"bids": bids, "asks": F.when(e % 29 != 0, asks)})
+    return good(s, d).withColumns({"bids": bids, "asks": F.when(e % 29 != 0, asks)})
 
 
 FAULT = """CASE WHEN event_id % 29 = 0 THEN NULL WHEN event_id % 17 = 0 THEN 'INVALID_DEPTH_QUANTITY' WHEN event_id % 13 = 0 AND ltp + 4.5 > ltp + CASE WHEN event_id % 11 = 0 THEN 2 ELSE 0 END THEN 'INVALID_DEPTH_ORDERING'
  WHEN event_id % 19 = 0 THEN 'INVALID_DEPTH_PRICE' WHEN event_id % 23 = 0 THEN 'INVALID_DEPTH_ORDERING' WHEN event_id % 11 = 0 THEN 'CROSSED_BOOK_BID_GE_ASK' END"""
 add("s03_check_book", lambda s, d: a.check_book(books(s, d)),
-    f"SELECT event_id, book_fault, CASE WHEN book_fault IS NULL THEN 'ACCEPT' WHEN book_fault IN ('INVALID_DEPTH_PRICE', 'INVALID_DEPTH_QUANTITY') THEN 'REJECT_MALFORMED' ELSE 'QUARANTINE' END AS book_action FROM (SELECT event_id, {FAULT} AS book_fault FROM ticks WHERE ltp > 1)",
+    f"SELECT event_id, book_fault, CASE WHEN book_fault IS NULL THEN 'ACCEPT' WHEN book_fault IN ('INVALID_DEPTH_PRICE', 'INVALID_DEPTH_QUANTITY') THEN 'REJECT_MALFORMED' ELSE 'QUARANTINE' END AS book_action FROM (SELECT event_id, {FAULT} AS book_fault FROM ticks)",
     "event_id book_fault book_action")
 add("s04_dedup", lambda s, d: a.dedup(good(s, d).unionByName(good(s, d).filter("event_id % 3 = 0"))).groupBy("token").agg(F.count(F.lit(1)).alias("ticks")), f"SELECT token, count(*) AS ticks FROM ({GOOD}) GROUP BY 1", "token", "ticks")
-STATE_ROWS = "SELECT *, row_number() OVER (PARTITION BY token ORDER BY received_at, event_id) AS srn, CAST(exchange_timestamp + INTERVAL 330 MINUTE AS DATE) AS ld FROM ticks WHERE ltp > 0"
+STATE_ROWS = "SELECT *, row_number() OVER (PARTITION BY token ORDER BY received_at, event_id) AS srn, CAST(exchange_timestamp + INTERVAL 330 MINUTE AS DATE) AS ld FROM (SELECT * REPLACE (greatest(ltp, 0.01::DOUBLE) AS ltp) FROM ticks)"
 LATE = "r.ld = t.ld AND r.us - epoch_us(t.exchange_timestamp) > 500000"
 LESS = "r.ld = t.ld AND t.cumulative_volume > 0 AND t.cumulative_volume < r.vol"
 JUMP = "r.ld = t.ld AND abs(t.ltp - r.px) / r.px > 0.5::DOUBLE"
@@ -148,7 +149,7 @@ def tick_stream(s, d):
     """The event files as a stream of priced ticks."""
     fields = fx.table(s, d, "events").schema
     raw = s.readStream.schema(fields).parquet(f"{d}/events*.parquet")
-    return raw.filter("value > 0").select(
+    return raw.withColumn("value", F.greatest("value", F.lit(0.01))).select(
         "event_id", F.col("user_id").cast("string").alias("token"), F.concat(F.lit("U"), F.col("user_id")).alias("symbol"), F.lit("X").alias("exchange"), F.col("ts").cast("timestamp").alias("exchange_timestamp"),
         F.col("event_id").alias("sequence_number"), F.col("value").alias("ltp"), F.get_json_object("props", "$.k").cast("long").alias("last_traded_qty"), F.lit(0).cast("long").alias("cumulative_volume"), F.col("ts").cast("timestamp").alias("received_at"))
 
@@ -168,7 +169,7 @@ def stream_bars(timeframe: str):
     return build
 
 
-CLOSED = "(SELECT max(exchange_timestamp) - INTERVAL 2 SECOND FROM ticks WHERE ltp > 0)"
+CLOSED = "(SELECT max(exchange_timestamp) - INTERVAL 2 SECOND FROM ticks)"
 add("s08_tick_bars_stream", stream_bars("30m"),
     f"SELECT * FROM (SELECT symbol, strftime(time_bucket(INTERVAL 30 MINUTE, exchange_timestamp), '%Y-%m-%d %H:%M') AS minute, max(time_bucket(INTERVAL 30 MINUTE, exchange_timestamp)) AS st, {BAR} FROM ({GOOD}) GROUP BY 1, 2) WHERE st + INTERVAL 30 MINUTE <= {CLOSED}",
     "symbol minute", "open high low close volume tick_count")
@@ -188,11 +189,12 @@ add("s14_sequence_gaps", lambda s, d: b.sequence_gaps(fx.ticks(s, d)),
 
 def gap_events(s, d):
     e = F.col("event_id")
-    return fx.ticks(s, d).filter("event_id % 10 = 0").select("symbol", F.col("exchange_timestamp").alias("start_time"), F.when(e % 400 != 0, F.col("exchange_timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), (e % 90).cast("int"))).alias("end_time"),
+    minutes = F.when(e % 10 == 0, e % 90).otherwise(0).cast("int")  # most gaps close at once
+    return fx.ticks(s, d).select("symbol", F.col("exchange_timestamp").alias("start_time"), F.when(e % 400 != 0, F.col("exchange_timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), minutes)).alias("end_time"),
                                                        F.when(e % 30 == 0, "REPAIRED").otherwise("UNREPAIRED").alias("status"))
 
 
-GAPS = "SELECT symbol, exchange_timestamp AS st, CASE WHEN event_id % 400 <> 0 THEN exchange_timestamp + (event_id % 90) * INTERVAL 1 MINUTE END AS et FROM ticks WHERE event_id % 10 = 0 AND event_id % 30 <> 0"
+GAPS = "SELECT symbol, exchange_timestamp AS st, CASE WHEN event_id % 400 <> 0 THEN exchange_timestamp + CASE WHEN event_id % 10 = 0 THEN event_id % 90 ELSE 0 END * INTERVAL 1 MINUTE END AS et FROM ticks WHERE event_id % 30 <> 0"
 add("s15_mark_untrusted", lambda s, d: minute(b.mark_untrusted(b.resample_ticks(good(s, d), "30m"), gap_events(s, d), "30m")),
     f"""SELECT symbol, strftime(ws, '%Y-%m-%d %H:%M') AS minute, CASE WHEN EXISTS (SELECT 1 FROM gap_rows g WHERE g.symbol = w.symbol AND g.st < w.ws + INTERVAL 30 MINUTE AND (g.et IS NULL OR (g.et > w.ws AND g.et > g.st))) THEN 'UNTRUSTED' ELSE 'TRUSTED' END AS quality_status
     FROM (SELECT DISTINCT symbol, time_bucket(INTERVAL 30 MINUTE, exchange_timestamp) AS ws FROM ({GOOD})) w""", "symbol minute quality_status", gap_rows=GAPS)
@@ -204,9 +206,9 @@ add("s17_resample", lambda s, d: minute(b.resample(b.resample_ticks(good(s, d),
 
 
 def sink_dead(s, d):
-    failed = tick_stream(s, d).filter("event_id % 9 = 0").withColumn("error", F.lit("WRITE_FAILED"))
+    failed = tick_stream(s, d).withColumn("error", F.when(F.col("event_id") % 9 == 0, "WRITE_FAILED").otherwise("DECODE_FAILED"))
     return drained(s, lambda out, check: sinks.sink_dead_letter(failed, out, check)).withColumn("event_id", F.get_json_object("payload_json", "$.event_id").cast("long"))
 
 
-add("io17_sink_dead_letter", sink_dead, "SELECT event_id, 'WRITE_FAILED' AS error FROM events WHERE event_id % 9 = 0 AND value > 0", "event_id error")
-add("io16_sink_ticks", lambda s, d: drained(s, lambda out, check: sinks.sink_ticks(tick_stream(s, d), out, check)), "SELECT event_id, value AS ltp FROM events WHERE value > 0", "event_id", "ltp")
+add("io17_sink_dead_letter", sink_dead, "SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 'WRITE_FAILED' ELSE 'DECODE_FAILED' END AS error FROM events", "event_id error")
+add("io16_sink_ticks", lambda s, d: drained(s, lambda out, check: sinks.sink_ticks(tick_stream(s, d), out, check)), "SELECT event_id, greatest(value, 0.01::DOUBLE) AS ltp FROM events", "event_id", "ltp")
