@@ -85,13 +85,17 @@ def poisson_steps() -> list[float]:
     return steps
 
 
-def bootstrap_weight(name: Column, rep: Column) -> Column:
-    """How often a row enters resample ``rep``: Poisson(1) from the MD5 of both, the same on every retry."""
+def bootstrap_draw(name: Column, rep: Column) -> Column:
+    """A uniform draw for a row and a resample from the MD5 of both, the same on every retry."""
     digest = F.md5(F.concat_ws("|", name, rep.cast("string")))
-    u = F.conv(F.substring(digest, 1, HEX_DIGITS), 16, 10).cast("double") / F.lit(16.0**HEX_DIGITS)
-    weight = F.lit(0)
-    for k, step in enumerate(poisson_steps(), 1):
-        weight = F.when(u >= step, k).otherwise(weight)
+    return F.conv(F.substring(digest, 1, HEX_DIGITS), 16, 10).cast("double") / F.lit(16.0**HEX_DIGITS)
+
+
+def bootstrap_weight(draw: Column) -> Column:
+    """How often a row enters a resample: Poisson(1) by inversion; ``draw`` should be a plain column, as it is read often."""
+    weight = F.lit(len(poisson_steps()))
+    for k, step in reversed([*enumerate(poisson_steps())]):
+        weight = F.when(draw < step, k).otherwise(weight)
     return weight
 
 
@@ -104,7 +108,8 @@ def bootstrap_sharpe(curve: DataFrame, keys: Sequence[str] = RUN, reps: int = 10
     name = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.unix_micros("timestamp").cast("string"))
     base = curve.select(*keys, name.alias("_name"), "net_return")
     drawn = base.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    drawn = drawn.withColumn("_w", bootstrap_weight(F.col("_name"), F.col("_rep")))
+    # exploded, so that the optimiser keeps the draw as a column of its own
+    drawn = drawn.withColumn("_u", F.explode(F.array(bootstrap_draw(F.col("_name"), F.col("_rep"))))).withColumn("_w", F.explode(F.array(bootstrap_weight(F.col("_u")))))
     r, w = F.col("net_return"), F.col("_w")
     inside = lambda f: f(F.when(w > 0, r))
     sums = drawn.groupBy(*keys, "_rep").agg(

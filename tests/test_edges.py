@@ -64,7 +64,7 @@ def test_first_writer_is_the_same_on_every_retry(spark):
 def test_bootstrap_weights_are_independent_draws(spark):
     days = spark.range(2400).select(F.col("id").cast("string").alias("name"))
     for rep in (0, 1, 50, 199):
-        w = [r[0] for r in days.select(metrics.bootstrap_weight(F.col("name"), F.lit(rep))).collect()]
+        w = [r[0] for r in days.select(metrics.bootstrap_weight(metrics.bootstrap_draw(F.col("name"), F.lit(rep)))).collect()]
         mean = sum(w) / len(w)
         lag = sum((a - mean) * (b - mean) for a, b in zip(w, w[1:], strict=False)) / sum((a - mean) ** 2 for a in w)
         assert abs(mean - 1) < 0.08 and abs(lag) < 0.08 and abs(sum((a - mean) ** 2 for a in w) / len(w) - 1) < 0.15
