@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from barlake.llm.common import fresh, let, slices
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 16 << 20
 NONE = 2**31 - 1
 MARK = chr(256)
 
@@ -95,18 +95,23 @@ def _encode_word(word: Column, table: Column, size: int) -> Column:
 
 
 def _blocks(batches: Iterable[pa.RecordBatch], text: int, pattern: str) -> Iterator[pa.RecordBatch]:
-    """Pack documents into blocks; each block carries its distinct words."""
+    """Pack documents into blocks; each block carries its distinct words and each document's words as numbers."""
     import regex
 
     find = regex.compile(pattern).findall
     for batch in batches:
         for start, end in slices(batch.column(text), BLOCK_BYTES):
             part = batch.slice(start, end - start)
-            found: set[str] = set()
-            for value in part.column(text):
-                found.update(find(value.as_py() or ""))
+            parts, size = [], []
+            for a, b in slices(part.column(text), 1 << 20):
+                found = [find(t or "") for t in part.column(text)[a:b].to_pylist()]
+                size.extend(map(len, found))
+                parts.append(pa.array([w for f in found for w in f], pa.string()))
+            coded = pa.chunked_array(parts, pa.string()).combine_chunks().dictionary_encode()
+            coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
             rows = pa.StructArray.from_arrays([pa.concat_arrays([c]) for c in part.columns], fields=list(part.schema))
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows), pa.array([sorted(found)], pa.list_(pa.string()))], ["rows", "words"])
+            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            yield pa.RecordBatch.from_arrays([one(rows), one(coded.dictionary), one(coded.indices), one(pa.array(size, pa.int32()))], ["rows", "words", "places", "sizes"])
 
 
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -119,31 +124,26 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
         raise ValueError(f"column {ids} exists")
     spark, place, names = df.sparkSession, df.columns.index(text), [*df.columns, ids]
     row = df.schema.simpleString()
-    packed = df.mapInArrow(lambda source: _blocks(source, place, pattern), f"rows array<{row}>, words array<string>")
-    coded = packed.select("rows", "words", encode_words(F.col("words"), ranks).alias("codes"))
+    packed = df.mapInArrow(lambda source: _blocks(source, place, pattern), f"rows array<{row}>, words array<string>, places array<int>, sizes array<int>")
+    coded = packed.select("rows", encode_words(F.col("words"), ranks).alias("codes"), "places", "sizes")
     schema = spark.createDataFrame([], df.schema).withColumn(ids, F.array().cast("array<int>")).schema
 
     def assemble(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
-        import regex
 
-        find = regex.compile(pattern).findall
         for batch in source:
             for i in range(batch.num_rows):
-                rows, distinct, codes = (batch.column(k)[i].values for k in range(3))
+                rows, codes, places, sizes = (batch.column(k)[i].values for k in range(4))
                 if rows is None or not len(rows):
                     continue
-                number = {w: k for k, w in enumerate(distinct.to_pylist())}
                 bounds, flat = codes.offsets.to_numpy(), codes.values.to_numpy()
-                columns = rows.flatten()
+                columns, word = rows.flatten(), np.concatenate(([0], np.cumsum(sizes.to_numpy(), dtype=np.int64)))
                 for start, end in slices(columns[place], 1 << 20):
-                    texts = columns[place].slice(start, end - start).to_pylist()
-                    which = [np.fromiter(map(number.__getitem__, find(t or "")), np.int64) for t in texts]
-                    every = np.concatenate(which)
+                    every = places.to_numpy()[word[start] : word[end]]
                     size = bounds[every + 1] - bounds[every]
                     offset = np.concatenate(([0], np.cumsum(size)))
                     out = flat[np.repeat(bounds[every] - offset[:-1], size) + np.arange(offset[-1])]
-                    until = offset[np.concatenate(([0], np.cumsum([len(w) for w in which])))]
+                    until = offset[word[start : end + 1] - word[start]]
                     yield pa.RecordBatch.from_arrays([*(c.slice(start, end - start) for c in columns), pa.ListArray.from_arrays(pa.array(until, pa.int32()), pa.array(out, pa.int32()))], names=names)
 
     return coded.mapInArrow(assemble, schema)
