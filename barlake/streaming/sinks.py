@@ -4,29 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.utils import AnalysisException
 
 from barlake.sources.tables import upsert_ignore
 from barlake.streaming.admission import ACCEPT, quarantined
 
 
-def _stored(batch: DataFrame, path: str) -> DataFrame | None:
+BATCH = "batch"
+
+
+def _stored(batch: DataFrame, path: str, number: int) -> DataFrame | None:
+    """What other batches have stored; None before the first."""
     try:
-        return batch.sparkSession.read.parquet(path)
-    except AnalysisException:
+        return batch.sparkSession.read.parquet(path).filter(F.col(BATCH) != number)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return None
 
 
 def upsert_batch(path: str, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """foreachBatch body: append the rows whose key the table does not have, so a replayed batch adds nothing."""
+    """foreachBatch body: store the rows whose key no other batch has.
+
+    A batch owns the folder of its number and overwrites it, so a replay after a failure half-way
+    replaces what was written instead of adding to it.
+    """
 
-    def write(batch: DataFrame, _: int) -> None:
-        table = _stored(batch, path)
+    def write(batch: DataFrame, number: int) -> None:
+        table = _stored(batch, path, number)
         fresh = batch.dropDuplicates(list(keys)) if table is None else upsert_ignore(table, batch, keys)
-        fresh.write.mode("append").parquet(path)
+        fresh.write.mode("overwrite").parquet(f"{path}/{BATCH}={number}")
 
     return write
 
