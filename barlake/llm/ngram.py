@@ -26,8 +26,8 @@ from barlake.llm.common import slices
 from barlake.session import staged
 
 FOLDS, TEST, HELD = 7, 2, 3
-CHUNK_BYTES = 6 << 20
-KEYS_PER_BUCKET = 1 << 21
+CHUNK_BYTES = 4 << 20
+KEYS_PER_BUCKET = 1 << 20
 END = np.uint64(0x5EED)  # the token after each text, and the context of a text's first word
 TOLERANCE = 1e-3  # the weights have settled when none moves by more
 FLOOR = 1e-6  # share of the uniform mixture in every bucket, so that no text is impossible
@@ -97,6 +97,15 @@ def _dealt(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(bucket[order], np.arange(n + 1))
 
 
+def squeeze(counts: np.ndarray) -> bytes:
+    """Counts as compressed bytes: most are small, so shuffles and tables shrink to a fraction."""
+    return pa.compress(counts.astype(np.int64).tobytes(), codec="zstd", asbytes=True)
+
+
+def widen(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, decompressed_size=8 * n, codec="zstd", asbytes=True), np.int64)
+
+
 ANSWER = "chunk long, gram int, bucket int, fitted binary, held binary, distinct long, total long, fitted_total long"
 
 
@@ -119,21 +128,21 @@ def counts(packed: DataFrame, n: int) -> DataFrame:
                 role = np.repeat(fold, np.diff(first))
                 _, pairs, pair = _pairs(words, code, first)
                 for gram, (keys, which) in enumerate(((words, code), (pairs, pair)), 1):
-                    fitted, held = (np.bincount(which[chosen], minlength=len(keys)).astype(np.uint32) for chosen in ((role != TEST) & (role != HELD), role == HELD))
+                    fitted, held = (np.bincount(which[chosen], minlength=len(keys)) for chosen in ((role != TEST) & (role != HELD), role == HELD))
                     order, at = _dealt(keys, n)
                     cut = [(b, order[at[b] : at[b + 1]]) for b in range(n) if at[b] < at[b + 1]]
                     yield pa.RecordBatch.from_arrays([
                         pa.array([b for b, _ in cut], pa.int32()), pa.array([gram] * len(cut), pa.int32()), pa.array([row["chunk"]] * len(cut), pa.int64()),
-                        *(pa.array([x[own].tobytes() for _, own in cut], pa.binary()) for x in (keys, fitted, held)),
+                        pa.array([keys[own].tobytes() for _, own in cut], pa.binary()), *(pa.array([squeeze(x[own]) for _, own in cut], pa.binary()) for x in (fitted, held)),
                     ], ["bucket", "gram", "chunk", "keys", "fitted", "held"])
 
     def add(group: pa.Table) -> pa.Table:
         bucket, gram = group.column("bucket")[0].as_py(), group.column("gram")[0].as_py()
         keys = [np.frombuffer(x, np.uint64) for x in group.column("keys").to_pylist()]
         distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = [np.bincount(which, np.concatenate([np.frombuffer(x, np.uint32) for x in group.column(c).to_pylist()]), len(distinct)).astype(np.int64) for c in ("fitted", "held")]
+        sums = [np.bincount(which, np.concatenate([widen(x, len(k)) for x, k in zip(group.column(c).to_pylist(), keys, strict=True)]), len(distinct)).astype(np.int64) for c in ("fitted", "held")]
         cuts = np.cumsum([len(k) for k in keys])[:-1]
-        answers = [[x.astype(np.int64).tobytes() for x in np.split(s[which], cuts)] for s in sums]
+        answers = [[squeeze(x) for x in np.split(s[which], cuts)] for s in sums]
         every = sums[0] + sums[1]
         m = len(keys)
         return pa.table({
@@ -155,7 +164,7 @@ def _answers(right: pa.Table, words: np.ndarray, pairs: np.ndarray, n: int, name
         for row in right.to_pylist():
             if row["gram"] == gram:
                 own = order[at[row["bucket"]] : at[row["bucket"] + 1]]
-                total[own] += sum(np.frombuffer(row[c], np.int64) for c in names)
+                total[own] += sum(widen(row[c], len(own)) for c in names)
         out.append(total)
     return out
 
