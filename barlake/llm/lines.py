@@ -13,49 +13,73 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlake.llm.common import fresh, words
+from barlake.llm.common import BLANK, fresh, let
 from barlake.session import staged
 
 MIN_WORDS = 8
+LOWEST = "-9223372036854775809"  # stands for a null doc_id, before every long
+
+
+def normal(line: Column) -> Column:
+    """The words of a line joined by single blanks; only lines with other blanks pay for a regular expression."""
+    odd = F.contains(line, F.lit("  "))
+    for c in "\t\v\f\r":
+        odd = odd | F.contains(line, F.lit(c))
+    return F.btrim(F.when(odd, F.regexp_replace(line, BLANK, " ")).otherwise(line))
+
+
+def _place(doc: Column, pos: Column) -> Column:
+    """(doc, pos) as one ordered number, so that minima need no sort; a null doc comes first."""
+    return F.coalesce(doc.cast("decimal(20,0)"), F.lit(LOWEST).cast("decimal(20,0)")) * F.lit(2**31).cast("decimal(11,0)") + pos.cast("decimal(10,0)")
 
 
 def _lines(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, version, pos, w) of the lines with a word; version tells rows of one doc_id with different texts apart."""
-    split = docs.select(F.col(doc).alias("doc"), F.xxhash64(text).alias("version"), F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
-    return split.select("doc", "version", "pos", words(F.col("line")).alias("w")).where("size(w) > 0")
+    """(doc, version, pos, line, h, g) of the lines with a word; h and g are 96 bits of its words.
+
+    version tells rows of one doc_id with different texts apart.
+    """
+    split = docs.select(F.col(doc).alias("doc"), F.xxhash64(text).alias("version"), F.posexplode(F.split(F.col(text), "\n")).alias("pos", "raw"))
+    named = split.select("doc", "version", "pos", normal(F.col("raw")).alias("line")).where("line <> ''")
+    return named.withColumns({"h": F.xxhash64("line"), "g": F.hash("line")})
 
 
-def _name(w: Column) -> Column:
-    """96 bits of a line's words."""
-    return F.struct(F.xxhash64(w).alias("h"), F.hash(w).alias("g"))
+def _size(line: Column) -> Column:
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
-def _halves(w: Column) -> Column:
+def _halves(line: Column) -> list[Column]:
     """Keys of the first and of the last half, for pairs in which the line is the shorter or equal (c = size) or longer one (c = size - 1)."""
     def of(c: Column, side: int) -> Column:
         half = F.floor(c / 2).cast("int")
-        part = F.slice(w, F.lit(1), half) if side == 0 else F.slice(w, F.size(w) - half + 1, half)
+        part = F.call_function("substring_index", line, F.lit(" "), half if side == 0 else -half)
         return F.xxhash64(F.lit(side), c, part)
 
-    size = F.size(w)
-    return F.array(of(size, 0), of(size, 1), of(size - 1, 0), of(size - 1, 1))
+    size = F.col("size")
+    return [of(size, 0), of(size, 1), of(size - 1, 0), of(size - 1, 1)]
 
 
-def _without(w: Column, place: Column) -> Column:
-    return F.concat(F.slice(w, F.lit(1), place - 1), F.slice(w, place + 1, F.size(w)))
-
-
-def _variants(w: Column) -> Column:
+def _variants(w: Column, front: Column, back: Column) -> Column:
     """Keys with their kind: 0 the line itself, 1 the line without a word, 2 the same and the place of the word.
 
-    Two lines of one key of kind 2 differ by a substitution; kinds 0 and 1 meet where a word was added.
+    Two lines of one key of kind 2 differ by a substitution; kinds 0 and 1 meet where a word was added.  A key is the
+    exclusive-or of the hashes of (word, place), so leaving a word out takes one step: the words before it keep their
+    places and those after it move up by one.  A line that shares only its first half with others leaves out words of
+    the back, one that shares only its last half words of the front.
     """
-    places = F.sequence(F.lit(1), F.size(w))
-    return F.concat(
-        F.array(F.struct(F.lit(0).alias("kind"), F.xxhash64(w).alias("key"))),
-        F.array_distinct(F.transform(places, lambda i: F.struct(F.lit(1).alias("kind"), F.xxhash64(_without(w, i)).alias("key")))),
-        F.transform(places, lambda i: F.struct(F.lit(2).alias("kind"), F.xxhash64(F.xxhash64(_without(w, i)), i).alias("key"))),
-    )
+    here = F.transform(w, lambda x, i: F.xxhash64(x, i))
+    moved = F.transform(w, lambda x, i: F.xxhash64(x, i - 1))
+    whole = lambda hashes: F.aggregate(hashes, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
+    start = F.struct(F.lit(0).cast("long").alias("before"), whole(moved).alias("after"), F.array().cast("array<bigint>").alias("out"))
+
+    def step(state: Column, pair: Column) -> Column:
+        after = state["after"].bitwiseXOR(pair["moved"])
+        return F.struct(state["before"].bitwiseXOR(pair["here"]).alias("before"), after.alias("after"), F.concat(state["out"], F.array(state["before"].bitwiseXOR(after))).alias("out"))
+
+    without = F.aggregate(F.arrays_zip(here.alias("here"), moved.alias("moved")), start, step, lambda s: s["out"])
+    kind = lambda k, key: F.struct(F.lit(k).alias("kind"), key.alias("key"))
+    half = F.floor((F.size(w) - 1) / 2).cast("int")
+    placed = F.filter(F.transform(without, lambda x, i: F.struct(x.alias("key"), i.alias("i"))), lambda p: (back & (p["i"] >= half)) | (front & (p["i"] < F.size(w) - half)))
+    return let(placed, lambda keys: F.concat(F.array(kind(0, whole(here))), F.transform(F.array_distinct(F.transform(keys, lambda p: p["key"])), lambda x: kind(1, x)), F.transform(keys, lambda p: kind(2, F.xxhash64(p["key"], p["i"])))))
 
 
 def within_one(a: Column, b: Column) -> Column:
@@ -69,32 +93,40 @@ def within_one(a: Column, b: Column) -> Column:
 
 
 def first_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Distinct lines (name, keep): keep is the earliest (doc, pos) of the line and of all lines near to it."""
-    every = _lines(docs, doc, text)
-    at = F.struct("doc", "pos")
-    distinct = staged(every.select(_name(F.col("w")).alias("name"), at.alias("at"), F.when(F.size("w") >= min_words, _halves(F.col("w"))).alias("halves"))
-                      .groupBy("name").agg(F.min("at").alias("first"), F.first("halves").alias("halves")))
-    keyed = distinct.where("halves IS NOT NULL").select("name", "first", F.explode("halves").alias("half"))
-    shared = staged(keyed.groupBy("half").agg(F.min("name").alias("low"), F.max("name").alias("high")).where("low <> high").select("half"))
-    wanted = keyed.join(shared, "half", "left_semi").select("name", "first").distinct()
-    places = wanted.select(F.col("first.doc").alias("doc"), F.col("first.pos").alias("pos"), "name").groupBy("doc").agg(F.collect_list(F.struct("pos", "name")).alias("wanted"))
-    raw = docs.select(F.col(doc).alias("doc"), F.split(F.col(text), "\n").alias("lines"))
-    found = raw.join(places, "doc").select("doc", "lines", F.explode("wanted").alias("x")).where(F.col("x.pos") < F.size("lines"))
-    found = found.select(F.struct("doc", F.col("x.pos").alias("pos")).alias("first"), F.col("x.name").alias("name"), words(F.element_at("lines", F.col("x.pos") + 1)).alias("w"))
-    near = staged(found.where(_name(F.col("w")) == F.col("name")).dropDuplicates(["name"]))
-    keys = near.select("name", "first", F.explode(_variants(F.col("w"))).alias("v")).select("name", "first", F.when(F.col("v.kind") == 2, 2).otherwise(0).alias("group"), "v.kind", "v.key")
-    one = F.struct("first", "name")
-    best = keys.groupBy("group", "key").agg(
-        F.min(F.when(F.col("kind") != 1, one)).alias("whole"), F.min(F.when(F.col("kind") == 1, one)).alias("part"), F.max(F.when(F.col("kind") != 1, one)).alias("last"))
+    """Distinct lines (h, g, keep): keep is the place of the earliest of the line and of all lines near to it."""
+    every = _lines(docs, doc, text).select("h", "g", _place(F.col("doc"), F.col("pos")).alias("place"), "line", _size(F.col("line")).alias("size"))
+    halves = [F.when(F.col("size") >= min_words, x).alias(f"half{i}") for i, x in enumerate(_halves(F.col("line")))]
+    names = [f"half{i}" for i in range(len(halves))]
+    distinct = staged(every.select("h", "g", "place", *halves).groupBy("h", "g").agg(F.min("place").alias("first"), *[F.first(n).alias(n) for n in names]))
+    side = F.explode(F.array(*[F.struct(F.col(n).alias("half"), F.lit(i % 2 == 0).alias("back")) for i, n in enumerate(names)])).alias("x")
+    keyed = distinct.where("half0 IS NOT NULL").select("h", "g", "first", side).select("h", "g", "first", "x.half", "x.back")
+    shared = staged(keyed.groupBy("half").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("half"))
+    wanted = keyed.join(shared, "half", "left_semi").groupBy("h", "g", "first").agg(F.max("back").alias("back"), F.max(~F.col("back")).alias("front"))
+    # sorted and numbered once: the number orders lines like their places do, in eight bytes
+    near = staged(_texts(docs, wanted, doc, text).orderBy("first").withColumn("line", F.monotonically_increasing_id()))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a line makes many keys, so small files must not decide
+    keys = near.repartition(tasks, "line").select("line", F.explode(_variants(F.col("w"), F.col("front"), F.col("back"))).alias("v")).select("line", "v.kind", "v.key")
+    keys = staged(keys)
+    plain, cut = F.when(F.col("kind") != 1, F.col("line")), F.when(F.col("kind") == 1, F.col("line"))
+    best = keys.groupBy("key").agg(F.min(plain).alias("whole"), F.min(cut).alias("part"), F.max(plain).alias("last"))
     # of a key: kind 2 needs two lines; kinds 0 and 1 need one of each
-    best = staged(best.where("(group = 2 AND whole <> last) OR (group = 0 AND whole IS NOT NULL AND part IS NOT NULL)").drop("last"))
-    partner = F.when(F.col("kind") == 0, F.col("part")).otherwise(F.col("whole"))
-    earlier = keys.join(best, ["group", "key"]).select("name", "first", partner.alias("partner")).where("partner.first < first")
-    pairs = earlier.groupBy("name").agg(F.min("partner").alias("partner"))
-    mine = near.select("name", F.col("w").alias("own"))
-    theirs = near.select(F.col("name").alias("other"), F.col("w").alias("its"))
-    checked = pairs.select("name", F.col("partner.name").alias("other"), F.col("partner.first").alias("before")).join(mine, "name").join(theirs, "other").where(within_one(F.col("own"), F.col("its")))
-    return distinct.select("name", "first").join(checked.select("name", "before"), "name", "left").select("name", F.coalesce("before", "first").alias("keep"))
+    best = staged(best.where("whole <> last OR (whole IS NOT NULL AND part IS NOT NULL)").drop("last"))
+    earlier = keys.join(best, "key").select("line", F.when(F.col("kind") == 0, F.col("part")).otherwise(F.col("whole")).alias("other")).where("other < line")
+    pairs = earlier.groupBy("line").agg(F.min("other").alias("other"))
+    theirs = near.select(F.col("line").alias("other"), F.col("w").alias("its"), F.col("first").alias("before"))
+    checked = pairs.join(near.select("h", "g", "line", "w"), "line").join(theirs, "other").where(within_one(F.col("w"), F.col("its"))).select("h", "g", "before")
+    return distinct.select("h", "g", "first").join(checked, ["h", "g"], "left").select("h", "g", F.coalesce("before", "first").alias("keep"))
+
+
+def _texts(docs: DataFrame, wanted: DataFrame, doc: str, text: str) -> DataFrame:
+    """The words (w) of the lines (h, g, first), read again where they first stand."""
+    split = F.lit(2**31).cast("decimal(11,0)")
+    at = wanted.withColumn("pos", F.pmod("first", split).cast("int")).withColumn("doc", ((F.col("first") - F.col("pos")) / split).cast("decimal(20,0)"))
+    places = at.groupBy("doc").agg(F.collect_list(F.struct("pos", "h", "g", "first", "front", "back")).alias("wanted"))
+    whole = docs.select(F.coalesce(F.col(doc).cast("decimal(20,0)"), F.lit(LOWEST).cast("decimal(20,0)")).alias("doc"), F.split(F.col(text), "\n").alias("lines"))
+    found = whole.join(places, "doc").select("lines", F.explode("wanted").alias("x")).where(F.col("x.pos") < F.size("lines"))
+    found = found.select("x.h", "x.g", "x.first", "x.front", "x.back", normal(F.element_at("lines", F.col("x.pos") + 1)).alias("line")).where("xxhash64(line) = h AND hash(line) = g")
+    return found.dropDuplicates(["h", "g"]).select("h", "g", "first", "front", "back", F.split("line", " ").alias("w"))
 
 
 def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -107,8 +139,8 @@ def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_wo
     if {"n_lines", "n_removed"} & {*docs.columns}:
         raise ValueError("columns n_lines or n_removed exist")
     keep = staged(first_lines(docs, doc, text, min_words))
-    every = _lines(docs, doc, text).select("doc", "version", "pos", _name(F.col("w")).alias("name"))
-    gone = every.join(keep, "name").where(F.struct("doc", "pos") > F.col("keep")).groupBy("doc", "version").agg(F.collect_set("pos").alias("gone"))
+    every = _lines(docs, doc, text).select("doc", "version", "pos", "h", "g")
+    gone = every.join(keep, ["h", "g"]).where(_place(F.col("doc"), F.col("pos")) > F.col("keep")).groupBy("doc", "version").agg(F.collect_set("pos").alias("gone"))
     ver, out = fresh(docs, "version"), fresh(docs, "gone")
     marked = docs.withColumn(ver, F.xxhash64(text))
     gone = gone.select(F.col("doc").alias(f"{out}_doc"), F.col("version").alias(f"{out}_version"), F.col("gone").alias(out))
@@ -116,5 +148,5 @@ def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_wo
     lines = F.split(F.col(text), "\n")
     places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(out))
     kept = F.when(F.col(out).isNull(), F.col(text)).otherwise(F.array_join(F.transform(places, lambda p: F.element_at(lines, p + 1)), "\n"))
-    counted = F.size(F.filter(F.coalesce(lines, F.array().cast("array<string>")), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    counted = F.size(F.filter(F.coalesce(lines, F.array().cast("array<string>")), lambda x: F.btrim(x, F.lit(" \t\n\v\f\r")) != ""))
     return joined.select(*[kept.alias(c) if c == text else F.col(c) for c in docs.columns], counted.cast("long").alias("n_lines"), F.coalesce(F.size(out), F.lit(0)).cast("long").alias("n_removed"))
