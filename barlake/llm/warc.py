@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barlake.llm.common import let
 from barlake.session import staged
 
 MAGIC = b"WARC/1.0\r\n"
@@ -24,8 +25,14 @@ RECORDS_PER_FILE = 5000
 
 def base32_sha1(payload: Column) -> Column:
     """Bare upper-case base32 SHA-1: every five hex digits are four letters."""
-    digits = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.lpad(F.conv(F.substring(F.sha1(payload), i * 5 + 1, F.lit(5)), 16, 2), 20, "0"))
-    bits = F.array_join(digits, "")
+    return let(let(F.sha1(payload), _bits), _letters)
+
+
+def _bits(hex_digits: Column) -> Column:
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.lpad(F.conv(F.substring(hex_digits, i * 5 + 1, F.lit(5)), 16, 2), 20, "0")), "")
+
+
+def _letters(bits: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.substring(F.lit(BASE32), F.conv(F.substring(bits, i * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1))), "")
 
 
@@ -100,16 +107,17 @@ def _candidates(source: Iterable[pa.RecordBatch], schema: pa.Schema) -> Iterator
                     rows, size = [], 0
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     """Records of the archives under ``path``: those that the chain from each file's start reaches.
 
-    Columns as FIELDS; ``payload_digest`` is computed from the payload read, ``digest`` is what the header says.  What
+    Columns as FIELDS, without the payloads themselves if ``payload`` is false; ``payload_digest`` is computed from the payload read, ``digest`` is what the header says.  What
     follows a break in a file's chain is not returned.  An empty folder gives no rows.  Files are read whole by one
     task each, so archives should be rotated, as ``write_warc`` does; candidates are stored once in the shared folder.
     """
     files = spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content")
     schema = pa.schema([("path", pa.string()), ("start", pa.int64()), ("next", pa.int64()), ("record_id", pa.string()), ("record_type", pa.string()), ("url", pa.string()), ("refers_to", pa.string()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
-    found = staged(files.mapInArrow(lambda source: _candidates(source, schema), FIELDS))
+    found = files.mapInArrow(lambda source: _candidates(source, schema), FIELDS)
+    found = staged(found if payload else found.drop("payload"))
     return found.join(reachable(found.select("path", "start", "next")), ["path", "start"], "left_semi")
 
 
