@@ -4,7 +4,8 @@ Reading every document against every shard would cost documents times shards, so
 passages that can match in it.  A window of 50 words is named by the smallest hash among its 8-word runs, its anchor;
 equal windows have equal anchors.  Anchors that two documents share are few; around those, the windows that an anchor
 names form a passage.  Passages of one anchor go to one shard, equal ones once, and the shard's automaton, which knows
-the smallest document of each state, gives for each window the first document that holds it.
+the smallest document of each state, gives for each window the first document that holds it.  An anchor with more
+passages than a shard should hold has no automaton: the first document of each of its windows is an aggregation.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from barlake.session import staged
 
 WINDOW = 50
 RUN = 8
-PASSAGES = 1000  # that a shard should hold
+PASSAGES = 1000  # that a shard should hold, and of one anchor at most
 
 
 def _anchors(hashes: np.ndarray, window: int, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -157,8 +158,9 @@ def spans(docs: DataFrame, doc: str = "doc_id", text: str = "text", window: int
     types, names = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()], ["anchor", "passage", "doc", "start", "end"]
     placed = staged(texts.join(wanted, "doc").mapInArrow(passages, "anchor long, passage binary, doc long, start long, end long"))
     each = staged(placed.groupBy("anchor", "passage").agg(F.min(F.struct("doc", "start", "end")).alias("at")))
-    shards = max(1, each.count() // PASSAGES)
-    read = each.select(F.col("at.doc").alias("doc"), F.struct("anchor", "passage", "at.start", "at.end").alias("p")).groupBy("doc").agg(F.collect_list("p").alias("passages"))
+    large = staged(each.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > PASSAGES))
+    most = large.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shards = max(1, (each.count() - most) // PASSAGES)
 
     def cut(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, i, hashes in _per_text(source, "text"):
@@ -172,7 +174,11 @@ def spans(docs: DataFrame, doc: str = "doc_id", text: str = "text", window: int
                 keep = pa.array(fits[good])
                 yield pa.RecordBatch.from_arrays([anchor.take(keep), name.take(keep), pa.array([batch.column("doc")[i].as_py()] * len(keep), pa.int64()), pa.array([d for d, g in zip(data, good, strict=True) if g], pa.binary())], ["anchor", "passage", "doc", "words"])
 
-    reference = texts.join(read, "doc").mapInArrow(cut, "anchor long, passage binary, doc long, words binary").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    def words_of(rows: DataFrame) -> DataFrame:
+        read = rows.select(F.col("at.doc").alias("doc"), F.struct("anchor", "passage", "at.start", "at.end").alias("p")).groupBy("doc").agg(F.collect_list("p").alias("passages"))
+        return texts.join(read, "doc").mapInArrow(cut, "anchor long, passage binary, doc long, words binary")
+
+    reference = words_of(each.join(large, "anchor", "left_anti") if most else each).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
 
     def match(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -187,7 +193,29 @@ def spans(docs: DataFrame, doc: str = "doc_id", text: str = "text", window: int
         owners = [np.array(automaton.owners(s, window), np.int64).tobytes() for s in sequences]
         return pa.table({"anchor": group.column("anchor"), "passage": group.column("passage"), "owners": pa.array(owners, pa.binary())})
 
-    judged = staged(reference.groupBy("shard").applyInArrow(match, "anchor long, passage binary, owners binary").dropDuplicates(["anchor", "passage"]))
+    def windows(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                own = [[hashlib.blake2b(raw[8 * i : 8 * (i + window)], digest_size=16).digest() for i in range(len(raw) // 8 - window + 1)] for raw in part.column("words").to_pylist()]
+                size = np.array([len(x) for x in own], np.int64)
+                row = pa.array(np.repeat(np.arange(len(own)), size))
+                place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(row) for c in ("anchor", "passage", "doc")), pa.array(place, pa.int64()), pa.array([x for y in own for x in y], pa.binary())], ["anchor", "passage", "doc", "place", "window"])
+
+    def joined_owners(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            packed = [np.array([x["low"] for x in row], np.int64).tobytes() for row in batch.column("owners").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("anchor"), batch.column("passage"), pa.array(packed, pa.binary())], ["anchor", "passage", "owners"])
+
+    owned = "anchor long, passage binary, owners binary"
+    judged = reference.groupBy("shard").applyInArrow(match, owned)
+    if most:
+        cuts = staged(words_of(each.join(large, "anchor", "left_semi")).dropDuplicates(["anchor", "passage"]).mapInArrow(windows, "anchor long, passage binary, doc long, place long, window binary"))
+        low = cuts.groupBy("window").agg(F.min("doc").alias("low"))
+        listed = cuts.join(low, "window").groupBy("anchor", "passage").agg(F.array_sort(F.collect_list(F.struct("place", "low"))).alias("owners"))
+        judged = judged.unionByName(listed.mapInArrow(joined_owners, owned))
+    judged = staged(judged.dropDuplicates(["anchor", "passage"]))
 
     def covered(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
