@@ -58,7 +58,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all pages as archives in the shared folder and read them back; a revisit's size is its response's."""
     path = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_warc(table(spark, sf_dir, "pages"), path)
-    page = lambda name: F.regexp_extract(name, r"^<urn:page:(-?\d+)>$", 1).cast("long")
+    page = lambda name: F.nullif(F.regexp_extract(name, r"^<urn:page:(-?\d+)>$", 1), F.lit("")).cast("long")
     read = warc.read_warc(spark, path, payload=False).select(page("record_id").alias("page_id"), "record_type", "payload_bytes", F.substring("digest", 6, 32).alias("named"), "payload_digest", F.when(F.col("record_type") == "revisit", page("refers_to")).alias("refers_to"))
     responses, revisits = read.where("record_type = 'response'"), read.where("record_type = 'revisit'")
     target = responses.select(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("bytes"), F.col("payload_digest").alias("checked"))

@@ -45,7 +45,7 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
     """Write one record per row to files under ``path``; the payload is the text in UTF-8 (null: empty).
 
     Of rows with equal payloads the one with the largest key is written whole (response), the others refer to it
-    (revisit).  Rows with a null key can't be referred to and are refused by the caller's contract; repeated keys
+    (revisit).  Rows with a null key have an empty id and are whole, as nothing can refer to them; repeated keys
     with equal payloads are all responses.  The payload moves once, to meet its digest's winner; only digests that
     occur more than once are joined.
     """
@@ -53,7 +53,7 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), body.alias("body"), base32_sha1(body).alias("digest"))
     winners = staged(rows.groupBy("digest").agg(F.max("key").alias("winner"), F.count("*").alias("n")).where("n > 1").select("digest", "winner"))
     head = lambda kind, block, *more: F.concat(
-        F.lit("WARC/1.0\r\nWARC-Type: " + kind + "\r\nWARC-Record-ID: <urn:page:"), F.col("key").cast("string"), F.lit(">\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Target-URI: "), _one_line(F.col("url")),
+        F.lit("WARC/1.0\r\nWARC-Type: " + kind + "\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("key").cast("string"), F.lit("")), F.lit(">\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Target-URI: "), _one_line(F.col("url")),
         F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("digest"), *more, F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit(CRLF * 2), block,
     )
     status = F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n")
