@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlake.llm import bpe, chat, decontaminate, lines, ngram, personal, quality, simhash, substrings, warc
+from barlake.llm import bpe, chat, decontaminate, divergence, lines, ngram, packing, personal, quality, resampling, simhash, substrings, warc
 from barlake.llm.common import table
 from barlake.session import ensure_checkpoint_dir
 
@@ -119,5 +119,46 @@ def op9_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(personal.listed(F.col("base")), 256).alias("base_sha256"), personal.listed(F.col("spans")).alias("spans"))
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_ngram": op2_ngram, "op3_quality": op3_quality, "op4_lines": op4_lines, "op5_simhash": op5_simhash, "op8_substrings": op8_substrings, "op9_personal": op9_personal, "op6_warc": op6_warc, "op7_bpe": op7_bpe, "op10_chat": op10_chat}
-SQL = {"op6_warc": OP6_SQL, "op10_chat": OP10_SQL}
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack the ids of every document into sequences of at most 2,048 tokens."""
+    import public_tokenizers
+
+    pieces = packing.pack_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"])
+    return pieces.select("doc_id", "start", "length", F.crc32("piece").alias("ids_crc32"), F.col("total").alias("doc_tokens"), "sequence_id", "offset")
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weigh every document against the benchmark's texts and draw a quarter of those with 20 words or more."""
+    done = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return done.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of each language, and the terms that mark a source."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+# A term's share is 1 + floor(10^9 * (n + 2) / (total + 2 * kept)); a pair sums over all kept terms of the language.
+OP13_SQL = """
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+t AS (SELECT id, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT id) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+s AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, (1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (s.total + 2 * v.v)) AS p,
+    (1 + 1000000000::HUGEINT * (k.n + 2) // (v.total + 2 * v.v)) AS q
+  FROM g JOIN s USING (lang, source) JOIN v USING (lang) JOIN kept k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(x.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b USING (lang, term) GROUP BY ALL) x
+    ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+terms AS (SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p WHERE n > 0 AND p > q),
+every AS (SELECT *, 'pair' AS part FROM pairs UNION ALL BY NAME SELECT *, 'term' AS part FROM terms),
+ranked AS (SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM every)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_ngram": op2_ngram, "op3_quality": op3_quality, "op4_lines": op4_lines, "op5_simhash": op5_simhash, "op8_substrings": op8_substrings, "op9_personal": op9_personal, "op6_warc": op6_warc, "op7_bpe": op7_bpe, "op10_chat": op10_chat, "op11_packing": op11_packing, "op12_resampling": op12_resampling, "op13_divergence": op13_divergence}
+SQL = {"op6_warc": OP6_SQL, "op10_chat": OP10_SQL, "op13_divergence": OP13_SQL}
