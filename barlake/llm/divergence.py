@@ -28,7 +28,7 @@ TOP = 10
 HELD = 1 << 18  # (source, term) cells that a task adds up before it sends them on
 PACKS = 64  # buckets of terms that a task packs its cells into
 SLICE = 64  # tasks that are combined before the rows of a term meet
-BLOCK = 1 << 19  # (term, source) cells of a block of terms
+BLOCK = 1 << 16  # (term, source) cells of a block of terms
 SPREAD = 1 << 20  # pairs of sources that a block visits at once
 
 # ASCII letters and all bytes beyond ASCII belong to terms; A-Z become a-z and all else a blank.
