@@ -1,24 +1,30 @@
-"""Byte-level BPE: merges folded by higher-order functions over the distinct words of blocks of documents.
+"""Byte-level BPE: merges folded by higher-order functions over the distinct words of a table.
 
-A document never moves: a task packs its documents into blocks of bounded text with the block's distinct words, Spark
-folds the ranked merges over each distinct word's bytes, and the next step puts the ids of each text together.  There
-is no shuffle, so neither a frequent word nor a frequent document can gather in one place.
+A task cuts its documents into chunks of bounded text and writes each word as its id, if the vocabulary has it whole, or
+as the number of a word of the chunk that has to be folded.  The words to fold are dealt by hash; every 64 tasks form a
+slice, in which Spark folds the ranked merges once over the bytes of each distinct word, and each chunk gets its ids back
+in its own order.  Texts never move, a frequent word costs one entry a chunk, and a group holds the chunks of one slice.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlake.llm.common import fresh, let, slices
+from barlake.session import staged
 
-BLOCK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
+BUCKETS = 64  # that the words of a slice are dealt to
+SLICE = 64  # tasks whose words are folded together
 NONE = 2**31 - 1
 MARK = chr(256)
 
@@ -94,59 +100,149 @@ def _encode_word(word: Column, table: Column, size: int) -> Column:
     return let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), one)
 
 
-def _blocks(batches: Iterable[pa.RecordBatch], text: int, pattern: str) -> Iterator[pa.RecordBatch]:
-    """Pack documents into blocks; each block carries its distinct words and each document's words as numbers."""
-    import regex
+def _squeeze(values: np.ndarray) -> bytes:
+    return pa.compress(values.astype("<i4").tobytes(), codec="zstd", asbytes=True)
 
-    find = regex.compile(pattern).findall
-    for batch in batches:
-        for start, end in slices(batch.column(text), BLOCK_BYTES):
-            part = batch.slice(start, end - start)
-            parts, size = [], []
-            for a, b in slices(part.column(text), 1 << 20):
-                found = [find(t or "") for t in part.column(text)[a:b].to_pylist()]
-                size.extend(map(len, found))
-                parts.append(pa.array([w for f in found for w in f], pa.string()))
-            coded = pa.chunked_array(parts, pa.string()).combine_chunks().dictionary_encode()
-            coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-            rows = pa.StructArray.from_arrays([pa.concat_arrays([c]) for c in part.columns], fields=list(part.schema))
-            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([one(rows), one(coded.dictionary), one(coded.indices), one(pa.array(size, pa.int32()))], ["rows", "words", "places", "sizes"])
+
+def _widen(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw, decompressed_size=4 * n, codec="zstd", asbytes=True), "<i4")
 
 
-def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Add ``ids`` (array of int): each match of ``pattern`` in the whole text encoded by itself.
+def _chunks(source: Iterable[pa.RecordBatch], text: int, keep: list[int], whole: dict[str, int], pattern: str) -> Iterator[pa.RecordBatch]:
+    """Chunks of documents: each word as an id or as -1 - number of a word to fold; those words are listed by bucket."""
+    import regex
+    from pyspark import TaskContext
 
-    Null texts are encoded as empty; special tokens are ordinary text.  Rows, their order and all other columns stay.
-    An output column that clashes with an input column is refused.
+    find, task, count = regex.compile(pattern).findall, TaskContext.get().partitionId(), 0
+    for batch in source:
+        for start, end in slices(batch.column(text), CHUNK_BYTES):
+            part = batch.slice(start, end - start)
+            other: dict[str, int] = {}
+            codes, sizes = [], []
+            for a, b in slices(part.column(text), 1 << 18):
+                for value in part.column(text)[a:b].to_pylist():
+                    found = find(value or "")
+                    codes.append(np.array([whole[w] if w in whole else other.setdefault(w, -1 - len(other)) for w in found], np.int32))
+                    sizes.append(len(found))
+            words = [w.encode() for w in other]
+            bucket = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % BUCKETS
+            order = np.argsort(bucket, kind="stable")
+            rows = pa.StructArray.from_arrays([pa.concat_arrays([part.column(k)]) for k in keep], fields=[part.schema.field(k) for k in keep]) if keep else pa.array([{}] * part.num_rows, pa.struct([]))
+            asked = pa.array([words[i] for i in order.tolist()], pa.binary()).cast(pa.string())
+            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            every = np.concatenate(codes) if codes else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([(task << 32) + count]), pa.array([task // SLICE]), one(rows), pa.array([len(every)]), pa.array([_squeeze(every)], pa.binary()), pa.array([_squeeze(np.array(sizes))], pa.binary()),
+                one(asked), one(pa.array(bucket[order].astype(np.int32))), pa.array([_squeeze(order)], pa.binary()),
+            ], ["chunk", "slice", "rows", "n_words", "codes", "sizes", "words", "buckets", "places"])
+            count += 1
+
+
+def _ask(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each chunk and bucket with the chunk's words to fold."""
+    for batch in source:
+        for i in range(batch.num_rows):
+            words, bucket = batch.column("words")[i].values, batch.column("buckets")[i].values
+            if words is None or not len(words):
+                continue
+            names, first = np.unique(bucket.to_numpy(), return_index=True)
+            offsets = pa.array([*first, len(words)], pa.int32())
+            same = lambda c: pa.array([batch.column(c)[i].as_py()] * len(names), pa.int64())  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([same("chunk"), same("slice"), pa.array(names, pa.int32()), pa.ListArray.from_arrays(offsets, words)], ["chunk", "slice", "bucket", "words"])
+
+
+def _distinct(group: pa.Table) -> pa.Table:
+    """The distinct words of a bucket and slice, and which of them each chunk asked for."""
+    lists = group.column("words").combine_chunks()
+    coded = lists.flatten().dictionary_encode()
+    codes, size = coded.indices.to_numpy(), np.diff(lists.offsets.to_numpy())
+    asked = [_squeeze(c) for c in np.split(codes, np.cumsum(size)[:-1])]
+    asks = pa.StructArray.from_arrays([group.column("chunk").combine_chunks(), pa.array(size.astype(np.int64)), pa.array(asked, pa.binary())], ["chunk", "n", "asked"])
+    one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+    return pa.table({"bucket": group.column("bucket")[:1], "words": one(coded.dictionary), "asks": one(asks)})
+
+
+def _answer(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each chunk and bucket the ids of the words asked for: sizes, and all ids in order."""
+    for batch in source:
+        for i in range(batch.num_rows):
+            codes, asks = batch.column("codes")[i].values, batch.column("asks")[i].as_py()
+            bounds, flat, rows = codes.offsets.to_numpy(), codes.values.to_numpy(), []
+            for ask in asks:
+                out, size = _gather(bounds, flat, _widen(ask["asked"], ask["n"]))
+                rows.append((ask["chunk"], batch.column("bucket")[i].as_py(), ask["n"], len(out), _squeeze(size), _squeeze(out)))
+            columns = zip(*rows, strict=True)
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["chunk", "bucket", "n", "n_ids", "sizes", "ids"])
+
+
+def _gather(bounds: np.ndarray, flat: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the lists ``which`` one after another, the size of each) of lists flat[bounds[i]:bounds[i + 1]]."""
+    size = bounds[which + 1] - bounds[which]
+    offset = np.cumsum(size) - size
+    return flat[np.repeat(bounds[which] - offset, size) + np.arange(size.sum())], size
+
+
+def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
+    """The ``keep`` columns (default: all) and ``ids`` (array of int): each match of ``pattern`` in the whole text encoded by itself.
+
+    Null texts are encoded as empty; special tokens are ordinary text; a text of any length is one piece of work.  All
+    rows stay, repeated ones too; an empty table gives no rows.  An output column that clashes with a kept one is refused.
     """
-    if ids in df.columns:
+    keep = list(df.columns) if keep is None else keep
+    if ids in keep:
         raise ValueError(f"column {ids} exists")
-    spark, place, names = df.sparkSession, df.columns.index(text), [*df.columns, ids]
-    row = df.schema.simpleString()
-    packed = df.mapInArrow(lambda source: _blocks(source, place, pattern), f"rows array<{row}>, words array<string>, places array<int>, sizes array<int>")
-    coded = packed.select("rows", encode_words(F.col("words"), ranks).alias("codes"), "places", "sizes")
-    schema = spark.createDataFrame([], df.schema).withColumn(ids, F.array().cast("array<int>")).schema
-
-    def assemble(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        for batch in source:
-            for i in range(batch.num_rows):
-                rows, codes, places, sizes = (batch.column(k)[i].values for k in range(4))
-                if rows is None or not len(rows):
-                    continue
-                bounds, flat = codes.offsets.to_numpy(), codes.values.to_numpy()
-                columns, word = rows.flatten(), np.concatenate(([0], np.cumsum(sizes.to_numpy(), dtype=np.int64)))
-                for start, end in slices(columns[place], 1 << 20):
-                    every = places.to_numpy()[word[start] : word[end]]
-                    size = bounds[every + 1] - bounds[every]
-                    offset = np.concatenate(([0], np.cumsum(size)))
-                    out = flat[np.repeat(bounds[every] - offset[:-1], size) + np.arange(offset[-1])]
-                    until = offset[word[start : end + 1] - word[start]]
-                    yield pa.RecordBatch.from_arrays([*(c.slice(start, end - start) for c in columns), pa.ListArray.from_arrays(pa.array(until, pa.int32()), pa.array(out, pa.int32()))], names=names)
-
-    return coded.mapInArrow(assemble, schema)
+    spark, names = df.sparkSession, [*keep, ids]
+    needed = [*dict.fromkeys([text, *keep])]
+    whole = {}
+    for piece, rank in ranks.items():
+        try:
+            whole[piece.decode()] = rank
+        except UnicodeDecodeError:  # part of a character, never a word
+            continue
+    shared = spark.sparkContext.broadcast(whole)  # the vocabulary, whatever the input
+    source = df.select(*needed)
+    kept = df.select(*keep).schema
+    place, places = needed.index(text), [needed.index(k) for k in keep]
+    schema = f"chunk long, slice long, rows array<{kept.simpleString()}>, n_words long, codes binary, sizes binary, words array<string>, buckets array<int>, places binary"
+    packed = staged(source.mapInArrow(lambda batches: _chunks(batches, place, places, shared.value, pattern), schema))
+    asked = packed.select("chunk", "slice", "words", "buckets").mapInArrow(_ask, "chunk long, slice long, bucket int, words array<string>")
+    distinct = asked.groupBy("slice", "bucket").applyInArrow(_distinct, "bucket int, words array<string>, asks array<struct<chunk:long,n:long,asked:binary>>")
+    answers = distinct.select("bucket", encode_words(F.col("words"), ranks).alias("codes"), "asks").mapInArrow(_answer, "chunk long, bucket int, n long, n_ids long, sizes binary, ids binary")
+
+    def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.slice(0, 1)
+        rows = row.column("rows").combine_chunks().values
+        n_docs = len(rows)
+        order = _widen(row.column("places")[0].as_py(), row.column("n_asked")[0].as_py())
+        found = sorted(right.to_pylist(), key=lambda r: r["bucket"])
+        size = np.zeros(len(order), np.int64)
+        size[order] = np.concatenate([_widen(r["sizes"], r["n"]) for r in found]) if found else 0
+        flat = np.concatenate([_widen(r["ids"], r["n_ids"]) for r in found]) if found else np.zeros(0, np.int32)
+        start = np.zeros(len(order), np.int64)
+        start[order] = np.cumsum(size[order]) - size[order]
+        codes = _widen(row.column("codes")[0].as_py(), row.column("n_words")[0].as_py())
+        folded = -1 - codes.astype(np.int64)
+        length = np.ones(len(codes), np.int64)
+        length[codes < 0] = size[folded[codes < 0]]
+        until = np.cumsum(length)
+        out = np.empty(until[-1] if len(until) else 0, np.int32)
+        out[(until - length)[codes >= 0]] = codes[codes >= 0]
+        own = folded[codes < 0]
+        span = size[own]
+        offset = np.cumsum(span) - span
+        inside = np.arange(span.sum()) - np.repeat(offset, span)
+        out[np.repeat((until - length)[codes < 0], span) + inside] = flat[np.repeat(start[own], span) + inside]
+        words = np.concatenate(([0], np.cumsum(_widen(row.column("sizes")[0].as_py(), n_docs), dtype=np.int64)))
+        bounds = np.concatenate(([0], until))[words]
+        columns = rows.flatten() if keep else []
+        return pa.Table.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(out))], names=names)
+
+    from pyspark.sql.types import ArrayType, IntegerType, StructType
+
+    result = StructType([*kept.fields]).add(ids, ArrayType(IntegerType()))
+    left = packed.select("chunk", "rows", "n_words", "codes", "sizes", F.size("words").alias("n_asked"), "places").where(F.size("rows") > 0)
+    return left.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(assemble, result)
 
 
 def decode(ids: Column, ranks: dict[bytes, int]) -> Column:

@@ -47,7 +47,7 @@ def vocabulary() -> tuple[dict[bytes, int], str]:
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document; digests of the ids and of the decoded bytes."""
     ranks, pattern = vocabulary()
-    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern)
+    coded = bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern, keep=["doc_id"])
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2(bpe.decode(F.col("ids"), ranks), 256).alias("decoded_sha256"),
