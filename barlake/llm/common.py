@@ -37,9 +37,19 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def sizes(texts: pa.Array) -> np.ndarray:
+    """Bytes of each text."""
+    return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def slices(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes of text; a longer text stands alone, whole."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    return cuts(sizes(texts), limit)
+
+
+def cuts(bytes_: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of numbers with a sum of about ``limit``; a larger number stands alone."""
+    size = np.cumsum(bytes_)
     start, n = 0, len(size)
     while start < n:
         base = size[start - 1] if start else 0
@@ -53,8 +63,3 @@ def batches(source: Iterable[pa.RecordBatch], text: str, limit: int = 1 << 20) -
     for batch in source:
         for start, end in slices(batch.column(text), limit):
             yield batch.slice(start, end - start)
-
-
-def checked_broadcast(df: DataFrame, size_bytes: int, limit: int = 8 << 20) -> DataFrame:
-    """Hint a broadcast where the measured size is under ``limit``; else leave the join to Spark."""
-    return F.broadcast(df) if size_bytes <= limit else df

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlake.llm import tokens
-from barlake.llm.common import slices
+from barlake.llm.common import cuts, sizes, slices
 from barlake.session import staged
 
 FOLDS, TEST, HELD = 7, 2, 3
@@ -54,25 +54,33 @@ def chunks(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFram
 
     def pack(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            ids = batch.column(names[0]).to_pylist()
-            folds = np.array([zlib.crc32(b"" if d is None else str(d).encode()) % FOLDS for d in ids], np.int32)
+            folds = np.array([zlib.crc32(b"" if d is None else str(d).encode()) % FOLDS for d in batch.column(names[0]).to_pylist()], np.int32)
+            size = sizes(batch.column(names[1]))
             for held in (False, True):
-                part = batch.take(pa.array(np.flatnonzero((folds == HELD) == held)))
-                fold = folds[(folds == HELD) == held]
-                for start, end in slices(part.column(names[1]), CHUNK_BYTES):
-                    texts = part.column(names[1])[start:end].to_pylist()
-                    found, first = [], [0]
-                    for a, b in slices(pa.array(texts, pa.string())):
-                        words = tokens.split(texts[a:b], lower=True)
-                        found.append(np.insert(words.hashes(), words.first[1:], END))
-                        first.extend((first[-1] + np.cumsum(words.count + 1)).tolist())
-                    distinct, code = np.unique(np.concatenate(found), return_inverse=True)
-                    row = {"chunk": [uuid.uuid4().int >> 65], "held": [held], "docs": [part.column(names[0])[start:end].to_pylist()], "folds": [fold[start:end].tolist()], "first": [first], "words": [distinct.tobytes()], "tokens": [code.astype(np.uint32).tobytes()]}
-                    yield pa.RecordBatch.from_pydict(row, schema=_CHUNK)
+                chosen = np.flatnonzero((folds == HELD) == held)
+                for start, end in cuts(size[chosen], CHUNK_BYTES):
+                    yield _pack(batch.take(pa.array(chosen[start:end])), folds[chosen[start:end]], held)
 
     return staged(docs.select(F.col(doc).cast("long"), text).mapInArrow(pack, CHUNK))
 
 
+def _pack(part: pa.RecordBatch, folds: np.ndarray, held: bool) -> pa.RecordBatch:
+    found, first = [], [0]
+    for a, b in slices(part.column(1), 1 << 19):
+        words = tokens.split(part.column(1)[a:b].to_pylist(), lower=True)
+        found.append(np.insert(words.hashes(), words.first[1:], END))
+        first.extend((first[-1] + np.cumsum(words.count + 1)).tolist())
+    distinct, code = np.unique(np.concatenate(found), return_inverse=True)
+    row = {"chunk": [uuid.uuid4().int >> 65], "held": [held], "docs": [part.column(0).to_pylist()], "folds": [folds.tolist()], "first": [first], "words": [distinct.tobytes()], "tokens": [pa.compress(code.astype(np.uint32).tobytes(), codec="zstd", asbytes=True)]}
+    return pa.RecordBatch.from_pydict(row, schema=_CHUNK)
+
+
+def _each(batch: pa.RecordBatch | pa.Table) -> Iterator[dict]:
+    """The rows one at a time: a chunk is large."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 _CHUNK = pa.schema([("chunk", pa.int64()), ("held", pa.bool_()), ("docs", pa.list_(pa.int64())), ("folds", pa.list_(pa.int32())), ("first", pa.list_(pa.int64())), ("words", pa.binary()), ("tokens", pa.binary())])
 
 
@@ -87,14 +95,16 @@ def _pairs(words: np.ndarray, code: np.ndarray, first: np.ndarray) -> tuple[np.n
 
 def _open(row: dict) -> tuple[np.ndarray, ...]:
     first = np.array(row["first"], np.int64)
-    return np.array(row["folds"], np.int64), first, np.frombuffer(row["words"], np.uint64), np.frombuffer(row["tokens"], np.uint32).astype(np.int64)
+    code = np.frombuffer(pa.decompress(row["tokens"], decompressed_size=4 * int(first[-1]), codec="zstd", asbytes=True), np.uint32)
+    return np.array(row["folds"], np.int64), first, np.frombuffer(row["words"], np.uint64), code.astype(np.int64)
 
 
-def _dealt(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order of the keys by bucket, where each bucket starts)."""
+def _dealt(keys: np.ndarray, n: int) -> dict[int, np.ndarray]:
+    """For each bucket with keys, in order: (bucket, indices of its keys)."""
     bucket = (keys >> np.uint64(33)).astype(np.int64) % n
     order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(n + 1))
+    found, first = np.unique(bucket[order], return_index=True)
+    return dict(zip(found.tolist(), np.split(order, first[1:]), strict=False))
 
 
 def squeeze(counts: np.ndarray) -> bytes:
@@ -111,7 +121,7 @@ ANSWER = "chunk long, gram int, bucket int, fitted binary, held binary, distinct
 
 def buckets(packed: DataFrame) -> int:
     """Buckets of bounded size, from the number of tokens: no chunk has more keys of an order than tokens."""
-    size = packed.select(F.sum(F.octet_length("tokens") / 4)).first()[0] or 0
+    size = packed.select(F.sum(F.element_at("first", -1))).first()[0] or 0
     return max(1, math.ceil(size / KEYS_PER_BUCKET))
 
 
@@ -123,14 +133,13 @@ def counts(packed: DataFrame, n: int) -> DataFrame:
     """
     def send(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            for row in batch.to_pylist():
+            for row in _each(batch):
                 fold, first, words, code = _open(row)
                 role = np.repeat(fold, np.diff(first))
                 _, pairs, pair = _pairs(words, code, first)
                 for gram, (keys, which) in enumerate(((words, code), (pairs, pair)), 1):
                     fitted, held = (np.bincount(which[chosen], minlength=len(keys)) for chosen in ((role != TEST) & (role != HELD), role == HELD))
-                    order, at = _dealt(keys, n)
-                    cut = [(b, order[at[b] : at[b + 1]]) for b in range(n) if at[b] < at[b + 1]]
+                    cut = [*_dealt(keys, n).items()]
                     yield pa.RecordBatch.from_arrays([
                         pa.array([b for b, _ in cut], pa.int32()), pa.array([gram] * len(cut), pa.int32()), pa.array([row["chunk"]] * len(cut), pa.int64()),
                         pa.array([keys[own].tobytes() for _, own in cut], pa.binary()), *(pa.array([squeeze(x[own]) for _, own in cut], pa.binary()) for x in (fitted, held)),
@@ -159,11 +168,10 @@ def _answers(right: pa.Table, words: np.ndarray, pairs: np.ndarray, n: int, name
     """The summed counts of a chunk's words and of its pairs, put back into its order."""
     out = []
     for gram, keys in ((1, words), (2, pairs)):
-        order, at = _dealt(keys, n)
-        total = np.zeros(len(keys), np.int64)
-        for row in right.to_pylist():
+        dealt, total = _dealt(keys, n), np.zeros(len(keys), np.int64)
+        for row in _each(right):
             if row["gram"] == gram:
-                own = order[at[row["bucket"]] : at[row["bucket"] + 1]]
+                own = dealt[row["bucket"]]
                 total[own] += sum(widen(row[c], len(own)) for c in names)
         out.append(total)
     return out
@@ -179,7 +187,7 @@ def learn(packed: DataFrame, counted: DataFrame, n: int) -> Mixture:
     total, distinct, fit_total = row.n or 0, row.v or 0, row.f or 0
     def triples(left: pa.Table, right: pa.Table) -> pa.Table:
         out = np.zeros((4, 0), np.int64)
-        for chunk in left.to_pylist():
+        for chunk in _each(left):
             _, first, words, code = _open(chunk)
             context, pairs, pair = _pairs(words, code, first)
             one, two = _answers(right, words, pairs, n, ("fitted",))
@@ -220,7 +228,7 @@ def score(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram) and score (the model), both
     base-10 logarithms of the whole text with its end.  Rows with equal ids are scored each; a null id counts as the
-    empty string in the fold.  An empty table gives no rows.
+    empty string in the fold; a text of any length is one piece of work, whole.  An empty table gives no rows.
     """
     packed = chunks(docs, doc, text)
     n = buckets(packed)
@@ -229,7 +237,7 @@ def score(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame
 
     def rate(left: pa.Table, right: pa.Table) -> pa.Table:
         rows: list[pa.Table] = []
-        for chunk in left.to_pylist():
+        for chunk in _each(left):
             fold, first, words, code = _open(chunk)
             context, pairs, pair = _pairs(words, code, first)
             one, two = _answers(right, words, pairs, n, ("fitted", "held"))

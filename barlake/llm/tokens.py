@@ -5,9 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+LONG = 48  # code points of a word beyond which its bytes are hashed by the library
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -17,28 +18,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: int, size: int) -> np.ndarray:
-    out = np.full(size, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-class _Powers:
-    """Powers of the base and of its inverse, grown when a longer batch comes."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            size = 1 << (n - 1).bit_length()
-            self.up, self.down = (_powers(b, size) for b in (_BASE, _INVERSE))
-        return self.up[:n], self.down[:n]
-
-
-_POWERS = _Powers()
-
-
 @dataclass
 class Words:
     codes: np.ndarray  # code points of all texts, one line feed after each
@@ -57,13 +36,31 @@ class Words:
 
 
 def span_hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each span of code points; equal spans have equal hashes."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    up, down = _POWERS.upto(len(codes) + 1)
-    total = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum((codes.astype(np.uint64) + np.uint64(0x51ED27)) * up[:-1], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """Hash of each span of code points; equal spans have equal hashes.
+
+    Three code points make one number and each number is scrambled into the hash, so no arithmetic relation between
+    spans carries over to their hashes.  Long spans are hashed by XXH64.
+    """
+    size = end - start
+    out = mix(size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x51ED27))
+    wide = np.zeros(len(codes) + 2, np.uint64)
+    wide[: len(codes)] = codes
+    wide = wide[:-2] | (wide[1:-1] << np.uint64(21)) | (wide[2:] << np.uint64(42))
+    active, done = np.flatnonzero(size <= LONG), 0
+    while True:
+        left = size[active] - done
+        active, left = active[left > 0], left[left > 0]
+        if not len(active):
+            break
+        value = wide[start[active] + done] & _MASKS[np.minimum(left, 3)]
+        out[active] = mix(out[active] * np.uint64(_BASE) + value)
+        done += 3
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = xxhash.xxh64_intdigest(codes[start[i] : end[i]].astype("<u4").tobytes(), 42)
+    return out
+
+
+_MASKS = np.array([0, (1 << 21) - 1, (1 << 42) - 1, (1 << 63) - 1], np.uint64)
 
 
 def split(texts: list[str | None], lower: bool = False) -> Words:

@@ -118,3 +118,16 @@ def test_chat(spark):
     assert one.learned == "fine &lt;<document 1>" and one.n_tokens == 3 + 256 + 7 + 2 + 512
     assert [t.role for t in done[2].turns] == ["a\nb", "a\nb"] and len(done[None].turns) == 1
     assert chat.format_chat(rows.limit(0)).count() == 0
+
+
+def test_structured_words_have_their_own_hashes(spark):
+    """The Thue-Morse word and its complement collide in any polynomial hash modulo a power of two."""
+    from barlake.llm import tokens
+
+    one = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    words = ["", "a", "a\0", "aa", "abc", "abcd", "abc\0", one[:48], two[:48], one[:49], two[:49], one, two, "\U0010ffff" * 4, "\U0010ffff" * 5]
+    assert len({*tokens.split([f"{w} " for w in words]).hashes().tolist()}) == len(words) - 1
+    rest = " ".join(f"w{i}" for i in range(49))
+    rows = spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{two} {rest}")], "doc_id long, text string")
+    assert [r.n_removed for r in substrings.remove_repeats(rows).collect()] == [0, 0]
