@@ -20,7 +20,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlake.llm.common import fresh, let, slices
-from barlake.session import staged
 
 CHUNK_BYTES = 8 << 20
 BUCKETS = 64  # that the words of a slice are dealt to
@@ -101,19 +100,37 @@ def _encode_word(word: Column, table: Column, size: int) -> Column:
 
 
 def _squeeze(values: np.ndarray) -> bytes:
-    return pa.compress(values.astype("<i4").tobytes(), codec="zstd", asbytes=True)
+    """Numbers of 32 bits compressed byte by byte: the high bytes are nearly constant."""
+    planes = values.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
 def _widen(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(raw, decompressed_size=4 * n, codec="zstd", asbytes=True), "<i4")
+    planes = np.frombuffer(pa.decompress(raw, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
+
+
+def _list_words(words: list[bytes]) -> tuple[int, int, bytes, bytes]:
+    """(number, bytes, sizes, text) of words, compressed."""
+    text = b"".join(words)
+    return len(words), len(text), _squeeze(np.fromiter(map(len, words), np.int64, len(words))), pa.compress(text, codec="zstd", asbytes=True)
+
+
+def _read_words(n: int, size: int, sizes: bytes, text: bytes) -> pa.Array:
+    until = np.concatenate(([0], np.cumsum(_widen(sizes, n)))).astype(np.int32)
+    return pa.StringArray.from_buffers(n, pa.py_buffer(until), pa.py_buffer(pa.decompress(text, decompressed_size=size, codec="zstd", asbytes=True)))
+
+
+def _beyond(whole: dict[str, int]) -> int:
+    return max(whole.values(), default=-1) + 1
 
 
 def _chunks(source: Iterable[pa.RecordBatch], text: int, keep: list[int], whole: dict[str, int], pattern: str) -> Iterator[pa.RecordBatch]:
-    """Chunks of documents: each word as an id or as -1 - number of a word to fold; those words are listed by bucket."""
+    """Chunks of documents: each word as an id or, beyond the ids, as the number of a word to fold; those are listed by bucket."""
     import regex
     from pyspark import TaskContext
 
-    find, task, count = regex.compile(pattern).findall, TaskContext.get().partitionId(), 0
+    find, task, count, beyond = regex.compile(pattern).findall, TaskContext.get().partitionId(), 0, _beyond(whole)
     for batch in source:
         for start, end in slices(batch.column(text), CHUNK_BYTES):
             part = batch.slice(start, end - start)
@@ -122,44 +139,34 @@ def _chunks(source: Iterable[pa.RecordBatch], text: int, keep: list[int], whole:
             for a, b in slices(part.column(text), 1 << 18):
                 for value in part.column(text)[a:b].to_pylist():
                     found = find(value or "")
-                    codes.append(np.array([whole[w] if w in whole else other.setdefault(w, -1 - len(other)) for w in found], np.int32))
+                    codes.append(np.array([whole[w] if w in whole else other.setdefault(w, beyond + len(other)) for w in found], np.int32))
                     sizes.append(len(found))
             words = [w.encode() for w in other]
             bucket = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % BUCKETS
             order = np.argsort(bucket, kind="stable")
             rows = pa.StructArray.from_arrays([pa.concat_arrays([part.column(k)]) for k in keep], fields=[part.schema.field(k) for k in keep]) if keep else pa.array([{}] * part.num_rows, pa.struct([]))
-            asked = pa.array([words[i] for i in order.tolist()], pa.binary()).cast(pa.string())
-            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
             every = np.concatenate(codes) if codes else np.zeros(0, np.int32)
+            found, first = np.unique(bucket[order], return_index=True)
+            asks = [(b, *_list_words([words[i] for i in own.tolist()])) for b, own in zip(found.tolist(), np.split(order, first[1:]), strict=False)]
             yield pa.RecordBatch.from_arrays([
-                pa.array([(task << 32) + count]), pa.array([task // SLICE]), one(rows), pa.array([len(every)]), pa.array([_squeeze(every)], pa.binary()), pa.array([_squeeze(np.array(sizes))], pa.binary()),
-                one(asked), one(pa.array(bucket[order].astype(np.int32))), pa.array([_squeeze(order)], pa.binary()),
-            ], ["chunk", "slice", "rows", "n_words", "codes", "sizes", "words", "buckets", "places"])
+                pa.array([(task << 32) + count]), pa.array([task // SLICE]), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows), pa.array([len(every)]), pa.array([_squeeze(every)], pa.binary()), pa.array([_squeeze(np.array(sizes))], pa.binary()),
+                pa.array([len(words)]), pa.array([_squeeze(order)], pa.binary()), pa.array([[dict(zip(_ASK.names, a, strict=True)) for a in asks]], pa.list_(_ASK)),
+            ], ["chunk", "slice", "rows", "n_words", "codes", "sizes", "n_other", "places", "asks"])
             count += 1
 
 
-def _ask(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each chunk and bucket with the chunk's words to fold."""
-    for batch in source:
-        for i in range(batch.num_rows):
-            words, bucket = batch.column("words")[i].values, batch.column("buckets")[i].values
-            if words is None or not len(words):
-                continue
-            names, first = np.unique(bucket.to_numpy(), return_index=True)
-            offsets = pa.array([*first, len(words)], pa.int32())
-            same = lambda c: pa.array([batch.column(c)[i].as_py()] * len(names), pa.int64())  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([same("chunk"), same("slice"), pa.array(names, pa.int32()), pa.ListArray.from_arrays(offsets, words)], ["chunk", "slice", "bucket", "words"])
+_ASK = pa.struct([("bucket", pa.int32()), ("n", pa.int64()), ("size", pa.int64()), ("sizes", pa.binary()), ("text", pa.binary())])
+ASK = "bucket int, n long, size long, sizes binary, text binary"
 
 
 def _distinct(group: pa.Table) -> pa.Table:
     """The distinct words of a bucket and slice, and which of them each chunk asked for."""
-    lists = group.column("words").combine_chunks()
-    coded = lists.flatten().dictionary_encode()
-    codes, size = coded.indices.to_numpy(), np.diff(lists.offsets.to_numpy())
-    asked = [_squeeze(c) for c in np.split(codes, np.cumsum(size)[:-1])]
-    asks = pa.StructArray.from_arrays([group.column("chunk").combine_chunks(), pa.array(size.astype(np.int64)), pa.array(asked, pa.binary())], ["chunk", "n", "asked"])
+    asked = [_read_words(r["n"], r["size"], r["sizes"], r["text"]) for r in group.column("ask").to_pylist()]
+    coded = pa.concat_arrays(asked).dictionary_encode()
+    parts = [_squeeze(c) for c in np.split(coded.indices.to_numpy(), np.cumsum([len(a) for a in asked])[:-1])]
+    asks = pa.StructArray.from_arrays([group.column("chunk").combine_chunks(), pa.array([len(a) for a in asked], pa.int64()), pa.array(parts, pa.binary())], ["chunk", "n", "asked"])
     one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-    return pa.table({"bucket": group.column("bucket")[:1], "words": one(coded.dictionary), "asks": one(asks)})
+    return pa.table({"bucket": pa.array([group.column("bucket")[0].as_py()], pa.int32()), "words": one(coded.dictionary), "asks": one(asks)})
 
 
 def _answer(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,17 +211,27 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
     source = df.select(*needed)
     kept = df.select(*keep).schema
     place, places = needed.index(text), [needed.index(k) for k in keep]
-    schema = f"chunk long, slice long, rows array<{kept.simpleString()}>, n_words long, codes binary, sizes binary, words array<string>, buckets array<int>, places binary"
-    packed = staged(source.mapInArrow(lambda batches: _chunks(batches, place, places, shared.value, pattern), schema))
-    asked = packed.select("chunk", "slice", "words", "buckets").mapInArrow(_ask, "chunk long, slice long, bucket int, words array<string>")
+    schema = f"chunk long, slice long, rows array<{kept.simpleString()}>, n_words long, codes binary, sizes binary, n_other long, places binary, asks array<struct<{ASK.replace(' ', ':').replace(',:', ',')}>>"
+    # both uses below read this exchange: chunks are cut and moved once
+    packed = source.mapInArrow(lambda batches: _chunks(batches, place, places, shared.value, pattern), schema).repartition("chunk")
+
+    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                asks = batch.column("asks")[i].values
+                if asks is not None and len(asks):
+                    same = lambda c: pa.array([batch.column(c)[i].as_py()] * len(asks), pa.int64())  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays([same("chunk"), same("slice"), asks.field("bucket"), asks], ["chunk", "slice", "bucket", "ask"])
+
+    asked = packed.mapInArrow(ask, f"chunk long, slice long, bucket int, ask struct<{ASK.replace(' ', ':').replace(',:', ',')}>")
     distinct = asked.groupBy("slice", "bucket").applyInArrow(_distinct, "bucket int, words array<string>, asks array<struct<chunk:long,n:long,asked:binary>>")
     answers = distinct.select("bucket", encode_words(F.col("words"), ranks).alias("codes"), "asks").mapInArrow(_answer, "chunk long, bucket int, n long, n_ids long, sizes binary, ids binary")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = left.slice(0, 1)
+        row, first = left.slice(0, 1), _beyond(shared.value)
         rows = row.column("rows").combine_chunks().values
         n_docs = len(rows)
-        order = _widen(row.column("places")[0].as_py(), row.column("n_asked")[0].as_py())
+        order = _widen(row.column("places")[0].as_py(), row.column("n_other")[0].as_py())
         found = sorted(right.to_pylist(), key=lambda r: r["bucket"])
         size = np.zeros(len(order), np.int64)
         size[order] = np.concatenate([_widen(r["sizes"], r["n"]) for r in found]) if found else 0
@@ -222,17 +239,17 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
         start = np.zeros(len(order), np.int64)
         start[order] = np.cumsum(size[order]) - size[order]
         codes = _widen(row.column("codes")[0].as_py(), row.column("n_words")[0].as_py())
-        folded = -1 - codes.astype(np.int64)
+        whole_word = codes < first
+        own = codes[~whole_word] - first
         length = np.ones(len(codes), np.int64)
-        length[codes < 0] = size[folded[codes < 0]]
+        length[~whole_word] = size[own]
         until = np.cumsum(length)
         out = np.empty(until[-1] if len(until) else 0, np.int32)
-        out[(until - length)[codes >= 0]] = codes[codes >= 0]
-        own = folded[codes < 0]
+        out[(until - length)[whole_word]] = codes[whole_word]
         span = size[own]
         offset = np.cumsum(span) - span
         inside = np.arange(span.sum()) - np.repeat(offset, span)
-        out[np.repeat((until - length)[codes < 0], span) + inside] = flat[np.repeat(start[own], span) + inside]
+        out[np.repeat((until - length)[~whole_word], span) + inside] = flat[np.repeat(start[own], span) + inside]
         words = np.concatenate(([0], np.cumsum(_widen(row.column("sizes")[0].as_py(), n_docs), dtype=np.int64)))
         bounds = np.concatenate(([0], until))[words]
         columns = rows.flatten() if keep else []
@@ -241,8 +258,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
     from pyspark.sql.types import ArrayType, IntegerType, StructType
 
     result = StructType([*kept.fields]).add(ids, ArrayType(IntegerType()))
-    left = packed.select("chunk", "rows", "n_words", "codes", "sizes", F.size("words").alias("n_asked"), "places").where(F.size("rows") > 0)
-    return left.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(assemble, result)
+    return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(assemble, result)
 
 
 def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
