@@ -2,24 +2,39 @@
 
 from __future__ import annotations
 
+import math
+import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlake.functions.windows import Running, asof, growth, index_rows, scan
-from barlake.session import ensure_checkpoint_dir
+from barlake.session import ensure_checkpoint_dir, staged
 
 SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
-PAIR_SCHEMA = (
-    "run_id_a string, run_id_b string, "
-    + ", ".join(f"{p}{c} double" for p in ("", "up_", "down_") for c in SUMS)
-    + ", both_down double, either_down double"
-)
+PAIR_SCHEMA = "run_id_a string, run_id_b string, " + ", ".join(f"{c} double" for c in SUMS) + ", both_down double, either_down double"
+LEVELS = ("OUT_OF_SAMPLE", "IN_SAMPLE")
+
+
+def evidence_of(curves: DataFrame, level: str = "OUT_OF_SAMPLE") -> DataFrame:
+    """The rows of one evidence level, so that in-sample results never enter a comparison of runs.
+
+    Refuses an unknown level, a table without ``evidence_level`` and a table without any row of the level.
+    """
+    if level not in LEVELS:
+        raise ValueError(f"evidence level must be one of {LEVELS}")
+    if "evidence_level" not in curves.columns:
+        raise ValueError("no column evidence_level")
+    chosen = curves.filter(F.col("evidence_level") == level)
+    if chosen.isEmpty():
+        raise ValueError(f"no {level} evidence for these runs")
+    return chosen
 
 
 def _tiled(curves: DataFrame, tiles: int, slot_seconds: int | None) -> DataFrame:
@@ -40,55 +55,63 @@ def _matrices(pdf: pd.DataFrame, value: str) -> tuple[np.ndarray, list[str], np.
     return wide[left].to_numpy(dtype=float), left, wide[right].to_numpy(dtype=float), right, i == j
 
 
-def _pairs(left: list[str], right: list[str], same: bool):
-    for a, x in enumerate(left):
-        for b, y in enumerate(right):
-            if x < y or (x > y and not same):
-                yield a, b, x, y
+def _named(left: list[str], right: list[str], same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block of pairs: (place on the left, on the right, smaller name, larger name, whether they swap)."""
+    x, y = np.array(left, dtype=object)[:, None], np.array(right, dtype=object)[None, :]
+    p, q = np.nonzero((x < y) if same else (x != y))
+    swap = x[p, 0] > y[0, q]
+    return p, q, np.where(swap, y[0, q], x[p, 0]), np.where(swap, x[p, 0], y[0, q]), swap
 
 
-def _sums(x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> list[float]:
-    x, y = x[mask], y[mask]
-    return [float(mask.sum()), x.sum(), y.sum(), (x * x).sum(), (y * y).sum(), (x * y).sum()]
+def product_sums(a: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
+    """Sums over shared points of each column of ``a`` with each of ``b``; NaN is a missing point."""
+    ma, mb = (~np.isnan(a)).astype(float), (~np.isnan(b)).astype(float)
+    a, b = np.nan_to_num(a), np.nan_to_num(b)
+    return {"n": ma.T @ mb, "sx": a.T @ mb, "sy": ma.T @ b, "sxx": (a * a).T @ mb, "syy": ma.T @ (b * b), "sxy": a.T @ b}
+
+
+def correlation_of(s: dict[str, np.ndarray]) -> np.ndarray:
+    """Correlations from ``product_sums``; 0 with fewer than two points or without spread."""
+    n = np.maximum(s["n"], 1)
+    vx, vy = (np.maximum(s[q] - s[m] * s[m] / n, 0.0) for q, m in (("sxx", "sx"), ("syy", "sy")))
+    spread = np.sqrt(vx) * np.sqrt(vy)
+    ok = (s["n"] >= 2) & (vx > 1e-12 * s["sxx"]) & (vy > 1e-12 * s["syy"])
+    return np.where(ok, np.clip((s["sxy"] - s["sx"] * s["sy"] / n) / np.where(ok, spread, 1.0), -1, 1), 0.0)
 
 
 def pair_sums(curves: DataFrame, tiles: int = 1, slot_seconds: int = 10 * 365 * 86_400) -> DataFrame:
-    """Additive sums of every pair of runs over shared timestamps, overall and by pair regime.
+    """Additive sums of every pair of runs over shared timestamps, and their counts under water.
 
-    Runs are hashed into tiles and time into slots.  A task sees two tiles for one slot as
-    matrices and emits one row per pair, so the data is copied ``tiles`` times instead of
-    being joined to itself row by row.
+    The report of all pairs.  Runs are hashed into tiles and time into slots; a task sees two tiles for one slot as
+    matrices, so the data is copied ``tiles`` times and the sums are matrix products.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         a, left, b, right, same = _matrices(pdf, "net_return")
         da, _, db, _, _ = _matrices(pdf, "drawdown")
-        rows = []
-        for p, q, x, y in _pairs(left, right, same):
-            u, v = a[:, p], b[:, q]
-            ok = ~np.isnan(u) & ~np.isnan(v)
-            mean = (u + v) / 2
-            with np.errstate(invalid="ignore"):
-                up, down, dx, dy = mean > 0, mean < 0, da[:, p] < 0, db[:, q] < 0
-            swap = x > y
-            parts = [_sums(u, v, m) if not swap else _sums(v, u, m) for m in (ok, ok & up, ok & down)]
-            rows.append([min(x, y), max(x, y), *sum(parts, []), float((dx & dy).sum()), float((dx | dy).sum())])
-        return pd.DataFrame(rows, columns=[f.split()[0] for f in PAIR_SCHEMA.split(", ")])
+        p, q, x, y, swap = _named(left, right, same)
+        sums = {k: v[p, q] for k, v in product_sums(a, b).items()}
+        for u, v in (("sx", "sy"), ("sxx", "syy")):
+            sums[u], sums[v] = np.where(swap, sums[v], sums[u]), np.where(swap, sums[u], sums[v])
+        with np.errstate(invalid="ignore"):
+            under, other = (da < 0).astype(float), (db < 0).astype(float)
+        both = (under.T @ other)[p, q]
+        either = under.sum(axis=0)[p] + other.sum(axis=0)[q] - both
+        return pd.DataFrame({"run_id_a": x, "run_id_b": y, **sums, "both_down": both, "either_down": either})
 
     partial = _tiled(curves, tiles, slot_seconds).groupBy("_i", "_j", "_slot").applyInPandas(one, PAIR_SCHEMA)
-    names = [f.split()[0] for f in PAIR_SCHEMA.split(", ")][2:]
-    return partial.groupBy("run_id_a", "run_id_b").agg(*[F.sum(c).alias(c) for c in names])
+    return partial.groupBy("run_id_a", "run_id_b").agg(*[F.sum(c).alias(c) for c in (*SUMS, "both_down", "either_down")])
 
 
-def _corr(prefix: str = "") -> Column:
-    c = lambda name: F.col(prefix + name)
+def _corr() -> Column:
+    c = F.col
     cov = c("sxy") - c("sx") * c("sy") / c("n")
     spread = F.sqrt(F.greatest(c("sxx") - c("sx") * c("sx") / c("n"), F.lit(0.0))) * F.sqrt(F.greatest(c("syy") - c("sy") * c("sy") / c("n"), F.lit(0.0)))
     return F.when((c("n") >= 2) & (spread > 0), cov / spread).otherwise(0.0)
 
 
 def return_correlation(curves: DataFrame, tiles: int = 1) -> DataFrame:
-    """Correlation of net returns per pair of runs, 0 where fewer than two points are shared."""
+    """The matrix of all correlations of net returns, 0 where fewer than two points are shared; see ``close_pairs``."""
     return pair_sums(curves, tiles).select("run_id_a", "run_id_b", _corr().alias("return_correlation"), F.col("n").alias("points"))
 
 
@@ -101,28 +124,133 @@ def drawdown_overlap(curves: DataFrame, tiles: int = 1) -> DataFrame:
 def regime_correlation(curves: DataFrame, tiles: int = 1) -> DataFrame:
     """Correlation where the pair mean is positive, negative, or at least its median size.
 
-    The median of a pair needs all its timestamps, so here a task holds two tiles of whole
-    curves; raise ``tiles`` until that fits.
+    The median of a pair needs all its timestamps, so a task holds two tiles of whole curves; raise ``tiles`` until that
+    fits.  A run is compared with its whole tile at once.
     """
-    schema = "run_id_a string, run_id_b string, high_vol double"
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         a, left, b, right, same = _matrices(pdf, "net_return")
-        rows = []
-        for p, q, x, y in _pairs(left, right, same):
-            u, v = a[:, p], b[:, q]
-            ok = ~np.isnan(u) & ~np.isnan(v)
-            u, v = u[ok], v[ok]
-            size = np.abs((u + v) / 2)
-            big = size >= np.median(size) if size.size else np.zeros(0, dtype=bool)
-            u, v = u[big], v[big]
-            spread = u.std() * v.std() if u.size >= 2 else 0.0
-            rows.append([min(x, y), max(x, y), float(((u - u.mean()) * (v - v.mean())).mean() / spread) if spread > 0 else 0.0])
-        return pd.DataFrame(rows, columns=["run_id_a", "run_id_b", "high_vol"])
-
-    loud = _tiled(curves, tiles, None).groupBy("_i", "_j").applyInPandas(one, schema)
-    sums = pair_sums(curves, tiles).select("run_id_a", "run_id_b", _corr("up_").alias("up"), _corr("down_").alias("down"))
-    return sums.join(loud, ["run_id_a", "run_id_b"])
+        p, q, x, y, _ = _named(left, right, same)
+        found = {k: np.zeros((len(left), len(right))) for k in ("up", "down", "high_vol")}
+        for i in range(len(left)):
+            own = np.where(np.isnan(b), np.nan, a[:, [i]])
+            mean = (own + b) / 2
+            with np.errstate(invalid="ignore"), warnings.catch_warnings():
+                warnings.simplefilter("ignore", RuntimeWarning)  # a pair without a shared point
+                masks = {"up": mean > 0, "down": mean < 0, "high_vol": np.abs(mean) >= np.nanmedian(np.abs(mean), axis=0)}
+            for name, mask in masks.items():
+                u, v = np.where(mask, own, 0.0), np.where(mask, b, 0.0)
+                sums = {"n": mask.sum(axis=0), "sx": u.sum(axis=0), "sy": v.sum(axis=0), "sxx": (u * u).sum(axis=0), "syy": (v * v).sum(axis=0), "sxy": (u * v).sum(axis=0)}
+                found[name][i] = correlation_of(sums)
+        return pd.DataFrame({"run_id_a": x, "run_id_b": y, **{k: v[p, q] for k, v in found.items()}})
+
+    return _tiled(curves, tiles, None).groupBy("_i", "_j").applyInPandas(one, "run_id_a string, run_id_b string, up double, down double, high_vol double")
+
+
+# --- threshold search ------------------------------------------------------------------------------
+#
+# Runs with the same timestamps form a class.  In a class, standardised curves are unit vectors and the angle between two
+# of them, arccos of their correlation, obeys the triangle inequality.  Angles to a few pivot curves therefore bound the
+# angle between two tiles of runs, and tiles that cannot hold a close pair are never multiplied.  Classes of few runs are
+# pooled in tiles that meet all others.  A task multiplies two tiles and returns close pairs only.
+
+PIVOTS = 8
+CELLS = 1 << 20  # points of curves that a tile holds
+LEAST_CLASS = 64  # runs of a class with tiles of its own
+
+
+def _points(curves: DataFrame) -> DataFrame:
+    return curves.select(F.col("run_id").cast("string").alias("run_id"), "timestamp", F.col("net_return").cast("double").alias("x")).where("run_id IS NOT NULL AND timestamp IS NOT NULL AND x IS NOT NULL AND NOT isnan(x)")
+
+
+def tiles_of(points: DataFrame, pivots: int = PIVOTS, cells: int = CELLS, least: int = LEAST_CLASS) -> DataFrame:
+    """(run_id, tile, class, angles): the tile of each run; class and angles to the class's pivots are null where pooled."""
+    stamp = F.xxhash64("timestamp")
+    stats = points.groupBy("run_id").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"), F.bit_xor(stamp).alias("_a"), F.sum(F.shiftrightunsigned(stamp, 33)).alias("_b"))
+    named = staged(stats.withColumn("class", F.xxhash64("n", "_a", "_b")).drop("_a", "_b"))
+    classes = named.groupBy("class").agg(F.count("*").alias("runs")).where(F.col("runs") >= least)
+    own = named.where("sd > 0").join(classes, "class")
+    order = Window.partitionBy("class").orderBy(F.xxhash64("run_id"), "run_id")
+    chosen = own.withColumn("k", F.row_number().over(order)).where(F.col("k") <= pivots).select("class", "run_id", "k", "mean", "sd")
+    z = (F.col("x") - F.col("mean")) / F.col("sd")
+    curves = points.join(chosen, "run_id").groupBy("class", "timestamp").agg(*[F.max(F.when(F.col("k") == k, z)).alias(f"z{k}") for k in range(1, pivots + 1)])
+    dots = points.join(own, "run_id").join(curves, ["class", "timestamp"]).groupBy("run_id", "class", "n").agg(*[(F.sum(z * F.col(f"z{k}")) / F.count("*")).alias(f"c{k}") for k in range(1, pivots + 1)])
+    angle = lambda k: F.when(F.col(f"c{k}").isNull(), math.pi / 2).otherwise(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), f"c{k}"))))
+    near = F.array(*[F.struct(-F.abs(F.coalesce(f"c{k}", F.lit(0.0))).alias("far"), F.when(F.col(f"c{k}") < 0, -k).otherwise(k).alias("k")) for k in range(1, pivots + 1)])
+    placed = staged(dots.select("run_id", "class", "n", F.array(*[angle(k) for k in range(1, pivots + 1)]).alias("angles"), F.array_min(near)["k"].alias("pivot")))
+    parts = placed.groupBy("class", "pivot").agg(F.ceil(F.sum("n") / cells).alias("parts"))
+    pure = placed.join(parts, ["class", "pivot"]).select("run_id", F.concat_ws(":", "class", "pivot", F.pmod(F.xxhash64("run_id"), F.col("parts"))).alias("tile"), "class", "angles")
+    rest = named.join(pure.select("run_id"), "run_id", "left_anti")
+    pooled = max(1, math.ceil((rest.agg(F.sum("n")).first()[0] or 0) / cells))
+    mixed = rest.select("run_id", F.pmod(F.xxhash64("run_id"), F.lit(pooled)).cast("string").alias("tile"), F.lit(None).cast("long").alias("class"), F.lit(None).cast("array<double>").alias("angles"))
+    return staged(pure.unionByName(mixed))
+
+
+def tile_pairs(tiles: DataFrame, threshold: float) -> DataFrame:
+    """(i, j): the tiles that may hold a pair with a correlation of ``threshold`` or more in size; each pair once."""
+    reach = math.acos(threshold) + 1e-6  # rounding of angles
+    ends = staged(tiles.where("class IS NOT NULL").select("tile", "class", F.posexplode("angles").alias("k", "angle")).groupBy("tile", "class", "k").agg(F.min("angle").alias("lo"), F.max("angle").alias("hi")).groupBy("tile", "class").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("k", "lo"))), lambda s: s["lo"]).alias("lo"), F.transform(F.array_sort(F.collect_list(F.struct("k", "hi"))), lambda s: s["hi"]).alias("hi")))
+    other = ends.select(F.col("tile").alias("j"), "class", F.col("lo").alias("lo_j"), F.col("hi").alias("hi_j"))
+    gap = lambda lo, hi: F.array_max(F.zip_with(F.zip_with("lo", hi, lambda x, y: x - y), F.zip_with(lo, "hi", lambda x, y: x - y), lambda x, y: F.greatest(x, y)))
+    flip = lambda c: F.transform(c, lambda x: F.lit(math.pi) - x)
+    pure = ends.join(other, "class").where(F.col("tile") <= F.col("j")).where((gap("lo_j", "hi_j") <= reach) | (gap(flip("hi_j"), flip("lo_j")) <= reach)).select(F.col("tile").alias("i"), "j")
+    pooled = staged(tiles.where("class IS NULL").select(F.col("tile").cast("int").alias("m")).distinct())
+    last = pooled.agg(F.max("m")).first()[0]
+    if last is None:
+        return pure
+    among = pooled.select(F.col("m").cast("string").alias("i"), F.explode(F.sequence("m", F.lit(last)).cast("array<string>")).alias("j"))
+    across = ends.select(F.explode(F.sequence(F.lit(0), F.lit(last)).cast("array<string>")).alias("i"), F.col("tile").alias("j"))
+    return pure.unionByName(among).unionByName(across)
+
+
+def _tile_matrices(rows: pa.Table) -> tuple[list[str], np.ndarray, list[str], np.ndarray]:
+    """Names and matrices [timestamp, run] of both sides; curves are centred, which no correlation notices."""
+    _, at = np.unique(rows.column("timestamp").cast(pa.int64()).to_numpy(), return_inverse=True)
+    side, out = rows.column("side").to_numpy(), []
+    for k in (0, 1):
+        own = np.flatnonzero(side == k)
+        names = rows.column("run_id").take(pa.array(own)).combine_chunks().dictionary_encode()
+        names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
+        grid = np.full((at.max(initial=-1) + 1, len(names.dictionary)), np.nan)
+        grid[at[own], names.indices.to_numpy()] = rows.column("x").to_numpy()[own]
+        mean = np.nanmean(grid, axis=0) if len(own) else np.zeros(0)
+        grid = grid - mean
+        grid[np.abs(grid) < 1e-12 * np.abs(mean)] = 0.0
+        out += [names.dictionary.to_pylist(), grid]
+    return tuple(out)
+
+
+def _side_by_side(points: DataFrame, left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The points of both tiles of each pair of tiles; ``left`` and ``right`` place runs in tiles."""
+    one = points.join(left.select("run_id", F.col("tile").alias("i")), "run_id").join(pairs, "i").withColumn("side", F.lit(0))
+    two = points.join(right.select("run_id", F.col("tile").alias("j")), "run_id").join(pairs, "j").withColumn("side", F.lit(1))
+    return one.unionByName(two)
+
+
+def close_pairs(curves: DataFrame, threshold: float, pivots: int = PIVOTS, cells: int = CELLS, least: int = LEAST_CLASS) -> DataFrame:
+    """(run_id_a, run_id_b, return_correlation, points) of the pairs with a correlation of ``threshold`` or more in size.
+
+    Exactly the rows of ``return_correlation`` that pass the threshold (between 0 and 1), without the others.  Runs
+    without points, rows without a timestamp or a return are left out; a repeated timestamp of a run counts once.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be over 0 and at most 1")
+    points = _points(curves)
+    tiles = tiles_of(points, pivots, cells, least)
+
+    def product(key: tuple, rows: pa.Table) -> pa.Table:
+        left, a, right, b = _tile_matrices(rows)
+        sums = product_sums(a, b)
+        corr = correlation_of(sums)
+        p, q = np.nonzero(np.abs(corr) >= threshold - 1e-12)
+        x, y = np.array(left, dtype=object)[p], np.array(right, dtype=object)[q]
+        keep = x < y if key[0].as_py() == key[1].as_py() else x != y
+        x, y, value, n = x[keep], y[keep], corr[p, q][keep], sums["n"][p, q][keep]
+        return pa.table({"run_id_a": pa.array(np.minimum(x, y), pa.string()), "run_id_b": pa.array(np.maximum(x, y), pa.string()), "return_correlation": value, "points": n})
+
+    placed = _side_by_side(points, tiles, tiles, staged(tile_pairs(tiles, threshold)))
+    return placed.groupBy("i", "j").applyInArrow(product, "run_id_a string, run_id_b string, return_correlation double, points double")
 
 
 def clusters(runs: DataFrame, pairs: DataFrame, threshold: float = 0.75) -> DataFrame:
@@ -180,11 +308,63 @@ def jaccard_overlap(items: DataFrame, members: Sequence[str], tiles: int = 1, sl
     return df.select("run_id_a", "run_id_b", (F.col("_both") / (F.col("_na") + F.col("_nb") - F.col("_both"))).alias("overlap"))
 
 
-def effective_bets(runs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(sum of eigenvalues)^2 / sum of squares = runs^2 / sum of squared correlations."""
-    n = runs.select("run_id").distinct().agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))
-    off = pairs.agg(F.coalesce(F.sum(2 * F.pow("return_correlation", F.lit(2))), F.lit(0.0)).alias("_o")).withColumn("_one", F.lit(1))
-    return n.join(off, "_one").select((F.col("_n") * F.col("_n") / (F.col("_n") + F.col("_o"))).alias("effective_bets"))
+SPAN = 1024  # timestamps of one side of a block of the Gram matrix
+
+
+def effective_bets(curves: DataFrame, span: int = SPAN, cells: int = CELLS) -> DataFrame:
+    """(sum of eigenvalues)^2 / sum of squares = runs^2 / sum of squared correlations, without pairs of runs.
+
+    Of runs on the same timestamps the squared correlations add up to the squares of the Gram matrix over timestamps,
+    whose blocks are sums over runs.  Each pair of classes of runs is restricted to the timestamps both have, where the
+    same holds with the product of two Gram matrices.  A run without spread correlates with itself only.
+    """
+    points = _points(curves).dropDuplicates(["run_id", "timestamp"])
+    stamp = F.xxhash64("timestamp")
+    stats = points.groupBy("run_id").agg(F.count("*").alias("n"), F.bit_xor(stamp).alias("_a"), F.sum(F.shiftrightunsigned(stamp, 33)).alias("_b"))
+    named = staged(stats.select("run_id", "n", F.xxhash64("n", "_a", "_b").alias("class")))
+    days = staged(points.join(named, "run_id").select("class", "timestamp").distinct())
+    two = lambda c, d: days.select("timestamp", F.col("class").alias(c), F.col("class").alias(d))
+    shared = two("c", "_1").drop("_1").join(two("d", "_2").drop("_2"), "timestamp").where("c <= d")
+    place = F.row_number().over(Window.partitionBy("c", "d").orderBy("timestamp")) - 1
+    numbered = staged(shared.select("c", "d", "timestamp", place.alias("at")))
+    sides = F.explode(F.when(F.col("c") == F.col("d"), F.array(F.struct(F.col("c").alias("class"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("c").alias("class"), F.lit(0).alias("side")), F.struct(F.col("d").alias("class"), F.lit(1).alias("side")))))
+    dated = numbered.select("c", "d", "timestamp", "at", sides.alias("s")).select("c", "d", "timestamp", "at", "s.class", "s.side")
+    mine = points.join(named.select("run_id", "class"), "run_id").join(dated, ["class", "timestamp"])
+    moments = staged(mine.groupBy("c", "d", "side", "run_id").agg(F.count("*").alias("m"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"), F.max(F.abs("x")).alias("size")))
+    real = (F.col("m") >= 2) & (F.col("sd") > 1e-12 * F.col("size"))
+    z = staged(mine.join(moments.where(real).drop("size"), ["c", "d", "side", "run_id"]).select("c", "d", "side", "run_id", "at", ((F.col("x") - F.col("mean")) / (F.col("sd") * F.sqrt("m"))).alias("z")))
+    blocks = z.select("c", "d", F.floor(F.col("at") / span).alias("b")).distinct()
+    mates = blocks.join(blocks.withColumnRenamed("b", "b2"), ["c", "d"]).where("b <= b2")
+    copies = F.explode(F.when(F.col("b") == F.col("b2"), F.array(F.col("b"))).otherwise(F.array("b", "b2"))).alias("own")
+    part = F.pmod(F.xxhash64("run_id"), F.lit(max(1, math.ceil(z.count() / cells)))).alias("part")
+    dealt = z.withColumn("own", F.floor(F.col("at") / span)).join(mates.select("c", "d", "b", "b2", copies), ["c", "d", "own"]).select("c", "d", "side", "b", "b2", part, "run_id", "at", "z")
+
+    def gram(key: tuple, rows: pa.Table) -> pa.Table:
+        first, second = (key[i].as_py() * span for i in (3, 4))
+        run = rows.column("run_id").combine_chunks().dictionary_encode()
+        run = run.combine_chunks() if isinstance(run, pa.ChunkedArray) else run
+        at, value = rows.column("at").to_numpy(), rows.column("z").to_numpy()
+        sides = []
+        for start in (first, second):
+            grid, inside = np.zeros((len(run.dictionary), span)), (at >= start) & (at < start + span)
+            grid[run.indices.to_numpy()[inside], at[inside] - start] = value[inside]
+            sides.append(grid)
+        return pa.table({**{n: pa.array([k.as_py()], pa.int64()) for n, k in zip(("c", "d", "side", "b", "b2"), key[:5], strict=True)}, "gram": pa.array([(sides[0].T @ sides[1]).tobytes()], pa.binary())})
+
+    def squares(key: tuple, rows: pa.Table) -> pa.Table:
+        c, d, b, b2 = (k.as_py() for k in key)
+        total = [np.zeros(span * span), np.zeros(span * span)]
+        for side, raw in zip(rows.column("side").to_pylist(), rows.column("gram"), strict=True):
+            total[side] += np.frombuffer(raw.as_py(), float)
+        dot = float(total[0] @ total[0 if c == d else 1])
+        return pa.table({"square": [dot * (1 if b == b2 else 2) * (1 if c == d else 2)]})
+
+    names = "c long, d long, side long, b long, b2 long"
+    grams = dealt.withColumn("side", F.col("side").cast("long")).groupBy("c", "d", "side", "b", "b2", "part").applyInArrow(gram, f"{names}, gram binary")
+    found = grams.groupBy("c", "d", "b", "b2").applyInArrow(squares, "square double").agg(F.coalesce(F.sum("square"), F.lit(0.0)).alias("square"), F.lit(1).alias("_one"))
+    own = moments.where("c = d").agg(F.sum(F.when(real, 1).otherwise(0)).alias("real"), F.lit(1).alias("_one"))
+    runs = curves.select("run_id").distinct().agg(F.count("run_id").alias("_n"), F.lit(1).alias("_one"))
+    return runs.join(found, "_one").join(own, "_one").select((F.col("_n") * F.col("_n") / (F.col("_n") + F.col("square") - F.coalesce("real", F.lit(0)))).alias("effective_bets"))
 
 
 SUMMARY_METRICS = ("sharpe", "sortino", "calmar", "max_drawdown")
@@ -370,12 +550,28 @@ def latest_promoted(reviews: DataFrame, order: Sequence[str] = ("reviewed_at",))
     return newest.select("run_id", "r.*").filter("stage IN ('PAPER_CANDIDATE', 'PAPER_ACTIVE') AND decision = 'PASS' AND human_approved")
 
 
-def max_correlation_to_promoted(pairs: DataFrame, promoted: DataFrame) -> DataFrame:
-    """Largest absolute correlation of each run to a promoted one, whichever side it is on."""
-    size = F.abs("return_correlation").alias("c")
-    both = pairs.select(F.col("run_id_a").alias("run_id"), F.col("run_id_b").alias("_p"), size).union(pairs.select("run_id_b", "run_id_a", size))
-    hit = both.join(promoted.select(F.col("run_id").alias("_p")), "_p", "left_semi")
-    return hit.groupBy("run_id").agg(F.max("c").alias("maximum_correlation"))
+def max_correlation_to_promoted(curves: DataFrame, promoted: DataFrame, cells: int = CELLS) -> DataFrame:
+    """(run_id, maximum_correlation): the largest absolute correlation of each run to another, promoted one.
+
+    Tiles of all runs meet tiles of promoted runs only; a task returns one row a run.
+    """
+    points = _points(curves)
+    chosen = promoted.select(F.col("run_id").cast("string").alias("run_id")).distinct()
+    sizes = points.groupBy("run_id").agg(F.count("*").alias("n"))
+    some = lambda df: max(1, math.ceil((df.agg(F.sum("n")).first()[0] or 0) / cells))
+    all_tiles, few = some(sizes), some(sizes.join(chosen, "run_id", "left_semi"))
+    tile = lambda df, n: df.withColumn("tile", F.pmod(F.xxhash64("run_id"), F.lit(n)))
+    pairs = curves.sparkSession.range(all_tiles).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(few - 1)).cast("array<bigint>")).alias("j"))
+
+    def largest(rows: pa.Table) -> pa.Table:
+        left, a, right, b = _tile_matrices(rows)
+        corr = np.abs(correlation_of(product_sums(a, b)))
+        other = np.array(left, dtype=object)[:, None] != np.array(right, dtype=object)[None, :]
+        has = np.flatnonzero(other.any(axis=1)) if len(right) else np.zeros(0, np.int64)
+        return pa.table({"run_id": pa.array([left[i] for i in has], pa.string()), "c": np.where(other, corr, -1.0)[has].max(axis=1) if len(has) else np.zeros(0)})
+
+    placed = _side_by_side(points, tile(sizes.select("run_id"), all_tiles), tile(chosen, few), pairs)
+    return placed.groupBy("i", "j").applyInArrow(largest, "run_id string, c double").groupBy("run_id").agg(F.max("c").alias("maximum_correlation"))
 
 
 def certify_runs(

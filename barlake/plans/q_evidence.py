@@ -143,26 +143,36 @@ CORRS = "SELECT run_id_a, run_id_b, coalesce(corr(x, y), 0) AS return_correlatio
 CV = {"pairs": PAIR, "corrs": CORRS}
 
 
+def evidence(s, d):
+    """The curves that may be compared: a copy of run 1 with every return doubled is in-sample and must not count."""
+    curve = fx.equity_curve(s, d)
+    fitted = curve.where("run_id = 'run-1'").withColumns({"run_id": F.lit("run-9"), "net_return": 2 * F.col("net_return"), "evidence_level": F.lit("IN_SAMPLE")})
+    return e.evidence_of(curve.unionByName(fitted))
+
+
 def correlations(s, d):
-    return e.return_correlation(fx.equity_curve(s, d), tiles=3)
+    return e.return_correlation(evidence(s, d), tiles=3)
+
+
+add("r01_close_pairs", lambda s, d: e.close_pairs(evidence(s, d), 0.03), "SELECT * FROM corrs WHERE abs(return_correlation) >= 0.03", "run_id_a run_id_b", "return_correlation points", pairs=PAIR, corrs=CORRS)
 
 
 add("r01_return_correlation", correlations, "SELECT * FROM corrs", "run_id_a run_id_b", "return_correlation points", **CV)
 EDGE = "SELECT run_id_a AS src, run_id_b AS dst FROM corrs WHERE abs(return_correlation) >= 0.03 UNION SELECT run_id_b, run_id_a FROM corrs WHERE abs(return_correlation) >= 0.03"
 REACH = "/*RECURSIVE_MARK*/SELECT DISTINCT run_id, run_id AS other FROM curve UNION SELECT r.run_id, e.dst FROM reach r JOIN edges e ON e.src = r.other"
-add("r02_clusters", lambda s, d: e.clusters(fx.equity_curve(s, d), correlations(s, d), 0.03), "SELECT run_id, min(other) AS cluster_id FROM reach GROUP BY 1", "run_id cluster_id", edges=EDGE, reach=REACH, **CV)
+add("r02_clusters", lambda s, d: e.clusters(evidence(s, d), e.close_pairs(evidence(s, d), 0.03), 0.03), "SELECT run_id, min(other) AS cluster_id FROM reach GROUP BY 1", "run_id cluster_id", edges=EDGE, reach=REACH, **CV)
 SETS = "SELECT DISTINCT run_id, month_, symbol, side FROM (SELECT *, strftime(timestamp, '%Y-%m') AS month_ FROM fills)"
 add("r03_jaccard_overlap", lambda s, d: e.jaccard_overlap(fx.fills(s, d).withColumn("month", F.date_format("timestamp", "yyyy-MM")), ["month", "symbol", "side"], tiles=2),
     """SELECT a.run_id AS run_id_a, b.run_id AS run_id_b, count(*) / (max(na.n) + max(nb.n) - count(*)) AS overlap FROM sets a JOIN sets b ON a.month_ = b.month_ AND a.symbol = b.symbol AND a.side = b.side AND a.run_id < b.run_id
     JOIN (SELECT run_id, count(*) AS n FROM sets GROUP BY 1) na ON na.run_id = a.run_id JOIN (SELECT run_id, count(*) AS n FROM sets GROUP BY 1) nb ON nb.run_id = b.run_id GROUP BY 1, 2""", "run_id_a run_id_b", "overlap", sets=SETS)
-add("r04_drawdown_overlap", lambda s, d: e.drawdown_overlap(fx.equity_curve(s, d), tiles=2),
+add("r04_drawdown_overlap", lambda s, d: e.drawdown_overlap(evidence(s, d), tiles=2),
     """SELECT run_id_a, run_id_b, count(*) FILTER (x < 0 AND y < 0) / nullif(count(*) FILTER (x < 0 OR y < 0), 0) AS drawdown_overlap FROM (
     SELECT p.a AS run_id_a, p.b AS run_id_b, coalesce(ca.drawdown, 1) AS x, coalesce(cb.drawdown, 1) AS y FROM (SELECT a.run_id AS a, b.run_id AS b, t.timestamp FROM (SELECT DISTINCT run_id FROM curve) a JOIN (SELECT DISTINCT run_id FROM curve) b ON a.run_id < b.run_id CROSS JOIN (SELECT DISTINCT timestamp FROM curve) t) p
     LEFT JOIN curve ca ON ca.run_id = p.a AND ca.timestamp = p.timestamp LEFT JOIN curve cb ON cb.run_id = p.b AND cb.timestamp = p.timestamp) GROUP BY 1, 2""", "run_id_a run_id_b", "drawdown_overlap")
-add("r05_regime_correlation", lambda s, d: e.regime_correlation(fx.equity_curve(s, d), tiles=2),
+add("r05_regime_correlation", lambda s, d: e.regime_correlation(evidence(s, d), tiles=2),
     """SELECT run_id_a, run_id_b, coalesce(nullif(corr(x, y) FILTER (mk > 0), 'nan'::DOUBLE), 0) AS up, coalesce(nullif(corr(x, y) FILTER (mk < 0), 'nan'::DOUBLE), 0) AS down, coalesce(nullif(corr(x, y) FILTER (abs(mk) >= md), 'nan'::DOUBLE), 0) AS high_vol
     FROM pairs JOIN (SELECT run_id_a, run_id_b, quantile_cont(abs(mk), 0.5) AS md FROM pairs GROUP BY 1, 2) USING (run_id_a, run_id_b) GROUP BY 1, 2""", "run_id_a run_id_b", "up down high_vol", **CV)
-add("r06_effective_bets", lambda s, d: e.effective_bets(fx.equity_curve(s, d), correlations(s, d)),
+add("r06_effective_bets", lambda s, d: e.effective_bets(evidence(s, d)),
     "SELECT n * n / (n + o) AS effective_bets FROM (SELECT count(DISTINCT run_id)::DOUBLE AS n FROM curve), (SELECT sum(2 * return_correlation * return_correlation) AS o FROM corrs)", "", "effective_bets", **CV)
 
 
@@ -292,7 +302,7 @@ def promoted(s, d):
 
 
 add("p5_latest_promoted", promoted, "SELECT run_id, stage FROM promoted", "run_id stage", **PV)
-add("p6_max_correlation_to_promoted", lambda s, d: e.max_correlation_to_promoted(correlations(s, d), promoted(s, d)), "SELECT * FROM maxc", "run_id", "maximum_correlation", **PV)
+add("p6_max_correlation_to_promoted", lambda s, d: e.max_correlation_to_promoted(evidence(s, d), promoted(s, d)), "SELECT * FROM maxc", "run_id", "maximum_correlation", **PV)
 
 
 def cert_runs(s, d):
@@ -335,7 +345,7 @@ def gates(s, d):
     n = F.substring_index("run_id", "-", -1).cast("int")
     rs = fx.equity_curve(s, d).select("run_id").distinct().withColumns({"is_portfolio": n % 2 == 0, "human_approved": n % 3 == 0, "paper_activation": n % 4 == 0})
     return e.promotion_gates(rs, fold_metrics(s, d), fx.equity_curve(s, d), simple_certs(s, d), e.parameter_stability(chosen(s, d)), e.cost_stress(fx.equity_curve(s, d), fx.attribution(s, d)),
-                             e.profit_breadth(fx.attribution(s, d)), promoted(s, d), e.max_correlation_to_promoted(correlations(s, d), promoted(s, d)), POLICY)
+                             e.profit_breadth(fx.attribution(s, d)), promoted(s, d), e.max_correlation_to_promoted(evidence(s, d), promoted(s, d)), POLICY)
 
 
 GATES = [("sharpe", "sharpe >= -0.3"), ("sortino", "sortino >= -0.3"), ("profit_factor", "pf >= 0.95"), ("drawdown", "abs(max_drawdown) <= 0.6"), ("trades", "trades >= 20"), ("out_of_sample", f"{RN} <> 7"), ("minimum_folds", "folds_n >= 3"),
