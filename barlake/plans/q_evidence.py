@@ -211,7 +211,8 @@ def folds(s, d):
 add("wf1_walk_forward_folds", lambda s, d: folds(s, d).select("fold_id", "train_size", *[F.date_format(c, YMD).alias(c[:5] + c[5:7]) for c in ("train_start", "train_end", "test_start", "test_end")]),
     "SELECT fold_id, train_size, " + ", ".join(f"strftime({c}, '%Y-%m-%d') AS {c[:7]}" for c in ("train_start", "train_end", "test_start", "test_end")) + " FROM folds",
     "fold_id train_s train_e test_st test_en", "train_size", **WV)
-GRID = g.parameter_grid({"fast": (3, 5), "slow": (20, 40)})
+GRID = {"fast": (3, 5), "slow": (20, 40)}
+SETS_OF = [{"fast": fast, "slow": slow} for fast in GRID["fast"] for slow in GRID["slow"]]  # for the SQL
 
 
 def candidate_curve(s, d):
@@ -238,7 +239,7 @@ def walk_forward(s, d):
 
 SWEEP = " UNION ALL ".join(
     f"SELECT symbol, timestamp, day, close, {i} AS pid, '{{\"fast\":{c['fast']},\"slow\":{c['slow']}}}' AS parameters_json, CASE WHEN coalesce({qs.full('avg(close)', 'close', c['fast'])} > {qs.full('avg(close)', 'close', c['slow'])}, false) THEN 0.5 ELSE 0 END::DOUBLE AS target_position FROM bars"
-    for i, c in enumerate(GRID))
+    for i, c in enumerate(SETS_OF))
 WP = "OVER (PARTITION BY pid, symbol ORDER BY timestamp)"
 CAND = f"""SELECT *, exp(lg - greatest(lg, max(lg) {WP})) - 1 AS drawdown, exp(lg) * 100000 AS equity, year(timestamp) - 1994 AS fold FROM (SELECT *, sum(ln(1 + net_return)) {WP} AS lg FROM (
  SELECT *, coalesce(lag(target_position) {WP}, 0) * coalesce(close / lag(close) {WP} - 1, 0) AS net_return FROM sweep))"""

@@ -231,10 +231,11 @@ add("g24_cap_weights",
     SELECT *, w0 * CASE WHEN sc <> 'UNKNOWN' AND sum(w0) OVER g > 0.25 THEN 0.25 / sum(w0) OVER g ELSE 1 END AS w1 FROM (
     SELECT symbol, day, timestamp, CASE WHEN sector = 'ASIA' THEN 'UNKNOWN' ELSE sector END AS sc, least(0.05, greatest(0, target_position)) AS w0 FROM sig)
     WINDOW g AS (PARTITION BY timestamp, sc)) WINDOW t AS (PARTITION BY timestamp)""", "symbol day", "capped_weight", **SIZED)
-GRID = g.parameter_grid({"fast": (3, 5, 8), "slow": (20, 40)})
+GRID = {"fast": (3, 5, 8), "slow": (20, 40)}
+SETS_OF = [{"fast": fast, "slow": slow} for fast in GRID["fast"] for slow in GRID["slow"]]  # for the SQL
 add("g25_parameter_sweep",
     lambda s, d: g.sma_cross_sweep(fx.bars(s, d), GRID).groupBy("param_id", "fast", "slow", "symbol").agg(F.sum("target_position").alias("days_long")),
     " UNION ALL ".join(
         f"SELECT {i} AS param_id, {c['fast']} AS fast, {c['slow']} AS slow, symbol, sum(CAST(coalesce(a > b, false) AS INT)) AS days_long FROM "
         f"(SELECT symbol, {full('avg(close)', 'close', c['fast'])} AS a, {full('avg(close)', 'close', c['slow'])} AS b FROM bars) GROUP BY symbol"
-        for i, c in enumerate(GRID)), "param_id fast slow symbol", "days_long")
+        for i, c in enumerate(SETS_OF)), "param_id fast slow symbol", "days_long")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -109,6 +110,16 @@ FAULT = """CASE WHEN event_id % 29 = 0 THEN NULL WHEN event_id % 17 = 0 THEN 'IN
 add("s03_check_book", lambda s, d: a.check_book(books(s, d)),
     f"SELECT event_id, book_fault, CASE WHEN book_fault IS NULL THEN 'ACCEPT' WHEN book_fault IN ('INVALID_DEPTH_PRICE', 'INVALID_DEPTH_QUANTITY') THEN 'REJECT_MALFORMED' ELSE 'QUARANTINE' END AS book_action FROM (SELECT event_id, {FAULT} AS book_fault FROM ticks)",
     "event_id book_fault book_action")
+def depth_ticks(s, d):
+    """Every third tick is a depth snapshot without price and volume; the others carry price and books."""
+    snapshot = F.col("event_id") % 3 == 0
+    return books(s, d).withColumns({"ltp": F.when(~snapshot, F.col("ltp")), "cumulative_volume": F.when(~snapshot, F.col("cumulative_volume")).otherwise(-1)})
+
+
+add("s02_depth", lambda s, d: a.admit(depth_ticks(s, d), None, POLICY),
+    f"""SELECT event_id, reason, CASE WHEN reason = 'VALID_TICK' THEN 'ACCEPT' WHEN reason = 'STALE_TICK_LATENCY' THEN 'DROP_STALE' WHEN reason IN ('INVALID_DEPTH_ORDERING', 'CROSSED_BOOK_BID_GE_ASK') THEN 'QUARANTINE' ELSE 'REJECT_MALFORMED' END AS action
+    FROM (SELECT event_id, CASE WHEN event_id % 7 = 6 THEN 'STALE_TICK_LATENCY' WHEN event_id % 3 = 0 AND event_id % 29 = 0 THEN 'PRICE_NON_FINITE' ELSE coalesce({FAULT}, 'VALID_TICK') END AS reason FROM (SELECT * REPLACE (greatest(ltp, 2.0::DOUBLE) AS ltp) FROM ticks))""",
+    "event_id reason action")
 add("s04_dedup", lambda s, d: a.dedup(good(s, d).unionByName(good(s, d).filter("event_id % 3 = 0"))).groupBy("token").agg(F.count(F.lit(1)).alias("ticks")), f"SELECT token, count(*) AS ticks FROM ({GOOD}) GROUP BY 1", "token", "ticks")
 STATE_ROWS = "SELECT *, row_number() OVER (PARTITION BY token ORDER BY received_at, event_id) AS srn, CAST(exchange_timestamp + INTERVAL 330 MINUTE AS DATE) AS ld FROM (SELECT * REPLACE (greatest(ltp, 0.01::DOUBLE) AS ltp) FROM ticks)"
 LATE = "r.ld = t.ld AND r.us - epoch_us(t.exchange_timestamp) > 500000"
@@ -187,6 +198,31 @@ add("s14_sequence_gaps", lambda s, d: b.sequence_gaps(fx.ticks(s, d)),
     SELECT *, max(sequence_number) OVER (PARTITION BY exchange, token ORDER BY received_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM ticks)""", "event_id is_duplicate is_gap", "gap_size")
 
 
+@contextmanager
+def rocksdb(s):
+    """The state store that keyed state needs, for the streams started inside."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = s.conf.get(name)
+    s.conf.set(name, a.ROCKSDB)
+    try:
+        yield
+    finally:
+        s.conf.set(name, before)
+
+
+def volume_stream(s, d):
+    """The day's volume grows by the traded quantity; every 13th tick is late with a smaller one."""
+    volume = F.when(F.col("event_id") % 13 == 0, 1).otherwise(F.col("event_id") * 10)
+    with rocksdb(s):
+        deltas = b.volume_deltas_stream(tick_stream(s, d).withColumn("cumulative_volume", volume))
+        return drained(s, lambda out, check: sinks.sink_upsert(deltas, out, ("event_id",), check).outputMode("append"))
+
+
+add("s09_stream", volume_stream,
+    """SELECT event_id, CASE WHEN base IS NULL THEN k ELSE greatest(v - base, 0) END AS volume_delta FROM (SELECT event_id, k, v, max(v) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base FROM (
+    SELECT *, greatest(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k, CASE WHEN event_id % 13 = 0 THEN 1 ELSE event_id * 10 END AS v FROM events))""", "event_id", "volume_delta")
+
+
 def gap_events(s, d):
     e = F.col("event_id")
     minutes = F.when(e % 10 == 0, e % 90).otherwise(0).cast("int")  # most gaps close at once
@@ -198,6 +234,14 @@ GAPS = "SELECT symbol, exchange_timestamp AS st, CASE WHEN event_id % 400 <> 0 T
 add("s15_mark_untrusted", lambda s, d: minute(b.mark_untrusted(b.resample_ticks(good(s, d), "30m"), gap_events(s, d), "30m")),
     f"""SELECT symbol, strftime(ws, '%Y-%m-%d %H:%M') AS minute, CASE WHEN EXISTS (SELECT 1 FROM gap_rows g WHERE g.symbol = w.symbol AND g.st < w.ws + INTERVAL 30 MINUTE AND (g.et IS NULL OR (g.et > w.ws AND g.et > g.st))) THEN 'UNTRUSTED' ELSE 'TRUSTED' END AS quality_status
     FROM (SELECT DISTINCT symbol, time_bucket(INTERVAL 30 MINUTE, exchange_timestamp) AS ws FROM ({GOOD})) w""", "symbol minute quality_status", gap_rows=GAPS)
+def trusted_stream(s, d):
+    bars = b.mark_untrusted(b.tick_bars(tick_stream(s, d), "30m"), gap_events(s, d), "30m")
+    return minute(drained(s, lambda out, check: sinks.sink_bars(bars, out, check).outputMode("append")))
+
+
+add("s15_stream", trusted_stream,
+    f"""SELECT symbol, strftime(ws, '%Y-%m-%d %H:%M') AS minute, CASE WHEN EXISTS (SELECT 1 FROM gap_rows g WHERE g.symbol = w.symbol AND g.st < w.ws + INTERVAL 30 MINUTE AND (g.et IS NULL OR (g.et > w.ws AND g.et > g.st))) THEN 'UNTRUSTED' ELSE 'TRUSTED' END AS quality_status
+    FROM (SELECT DISTINCT symbol, time_bucket(INTERVAL 30 MINUTE, exchange_timestamp) AS ws FROM ({GOOD})) w WHERE ws + INTERVAL 30 MINUTE <= {CLOSED}""", "symbol minute quality_status", gap_rows=GAPS)
 add("s16_latency_stats", lambda s, d: b.latency_stats(good(s, d).withColumn("latency_ms", F.col("ltp") * (1 + F.col("event_id") % 7)), ("token",)),
     f"""SELECT token, n AS count, max(v) AS max, max(v) FILTER (rk = floor(n * 0.5)) AS p50, max(v) FILTER (rk = least(floor(n * 0.95::DOUBLE), n - 1)) AS p95, max(v) FILTER (rk = least(floor(n * 0.99::DOUBLE), n - 1)) AS p99 FROM (
     SELECT token, ltp * (1 + event_id % 7) AS v, row_number() OVER (PARTITION BY token ORDER BY ltp * (1 + event_id % 7)) - 1 AS rk, count(*) OVER (PARTITION BY token) AS n FROM ({GOOD})) GROUP BY 1, 2""", "token", "count max p50 p95 p99")

@@ -33,6 +33,9 @@ ACCEPT, MALFORMED, STALE, CLOSED, DUPLICATE, QUARANTINE = (
 )
 
 
+BOOK_FAULTS = {"INVALID_DEPTH_PRICE": MALFORMED, "INVALID_DEPTH_QUANTITY": MALFORMED, "INVALID_DEPTH_ORDERING": QUARANTINE, "CROSSED_BOOK_BID_GE_ASK": QUARANTINE}
+
+
 def book_fault(bids: str = "bids", asks: str = "asks") -> Column:
     """First fault of a depth book, or NULL: bid levels, then ask levels, then a crossed top."""
 
@@ -59,7 +62,11 @@ def check_book(ticks: DataFrame, bids: str = "bids", asks: str = "asks") -> Data
 
 
 def admit(ticks: DataFrame, calendar: DataFrame | None = None, policy: AdmissionPolicy = AdmissionPolicy()) -> DataFrame:
-    """``action`` and ``reason`` by the first stateless rule that fails; works on streams (static calendar join)."""
+    """``action`` and ``reason`` by the first stateless rule that fails; works on streams (static calendar join).
+
+    With columns ``bids`` and ``asks`` a row that has both but no ``ltp`` is a depth snapshot: its book is judged
+    instead of a price and a volume.  A row with price and books must pass both.
+    """
     c = F.col
     blank = lambda name: c(name).isNull() | (F.trim(c(name).cast("string")) == "")
     at, got = c("exchange_timestamp"), c("received_at")
@@ -81,10 +88,14 @@ def admit(ticks: DataFrame, calendar: DataFrame | None = None, policy: Admission
         checks += [
             (F.weekday("_local") >= 5, CLOSED, "WEEKEND_SESSION_REJECTED"), (c("_open").isNull(), CLOSED, "HOLIDAY_SESSION_REJECTED"),
             (~at.between(c("_open"), c("_close")), CLOSED, "OUT_OF_SESSION_HOURS")]
-    price = c("ltp")
+    price, booked = c("ltp"), {"bids", "asks"} <= {*ticks.columns}
+    depth = price.isNull() & c("bids").isNotNull() & c("asks").isNotNull() if booked else F.lit(False)
     checks += [
-        (price.isNull() | F.isnan(price) | (F.abs(price) == float("inf")), MALFORMED, "PRICE_NON_FINITE"), (price <= 0, MALFORMED, "PRICE_NON_POSITIVE"),
-        (c("cumulative_volume") < 0, MALFORMED, "VOLUME_NEGATIVE")]
+        (~depth & (price.isNull() | F.isnan(price) | (F.abs(price) == float("inf"))), MALFORMED, "PRICE_NON_FINITE"), (price <= 0, MALFORMED, "PRICE_NON_POSITIVE"),
+        (~depth & (c("cumulative_volume") < 0), MALFORMED, "VOLUME_NEGATIVE")]
+    if booked:
+        fault = book_fault()
+        checks += [(fault == code, action, code) for code, action in BOOK_FAULTS.items()]
     action, reason = F.lit(ACCEPT), F.lit("VALID_TICK")
     for test, act, why in reversed(checks):
         action, reason = F.when(test, act).otherwise(action), F.when(test, why).otherwise(reason)

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from barlake.functions.windows import Running, index_rows, scan, value_chunk
 
@@ -111,6 +116,47 @@ def volume_deltas(ticks: DataFrame, order: tuple[str, ...] = ("received_at", "ev
     return run.withColumn("volume_delta", F.when(F.col("_base").isNull(), first).otherwise(step)).drop("_day", "_base")
 
 
+KEPT_DAYS = 3
+
+
+class _Volume(StatefulProcessor):
+    """The highest cumulative volume of a symbol on each of its last KEPT_DAYS days."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.tops = handle.getMapState("tops", "day bigint", "volume bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frames = list(rows)  # of one micro-batch
+        if not frames:
+            return
+        pdf = pd.concat(frames, ignore_index=True).sort_values(["received_at", "event_id"], kind="stable")
+        for day, part in pdf.groupby("day"):
+            volume = part["cumulative_volume"].to_numpy(float)
+            known = float(self.tops.getValue((int(day),))[0]) if self.tops.containsKey((int(day),)) else np.nan
+            top = np.fmax.accumulate(np.concatenate(([known], volume)))
+            first = np.maximum(part["last_traded_qty"].to_numpy(float), 0)
+            delta = np.nan_to_num(np.where(np.isnan(top[:-1]), first, np.fmax(volume - top[:-1], 0)))
+            if not np.isnan(top[-1]):
+                self.tops.updateValue((int(day),), (int(top[-1]),))
+            yield pd.DataFrame({"event_id": part["event_id"].to_numpy(), "symbol": key[0], "volume_delta": delta.astype(np.int64)})
+        days = sorted(k[0] for k, _ in self.tops.iterator())
+        for old in days[:-KEPT_DAYS]:
+            self.tops.removeKey((old,))
+
+    def close(self) -> None:
+        pass
+
+
+def volume_deltas_stream(ticks: DataFrame) -> DataFrame:
+    """``volume_deltas`` of a tick stream: (event_id, symbol, volume_delta).
+
+    Ticks of a micro-batch are taken in order of (received_at, event_id).  A late tick counts 0 and never lowers the
+    baseline of its day; a symbol keeps the baselines of its last KEPT_DAYS days.  Needs the RocksDB state store.
+    """
+    needed = ticks.select("event_id", "symbol", F.unix_date(F.to_date("exchange_timestamp")).cast("long").alias("day"), "received_at", "last_traded_qty", "cumulative_volume")
+    return needed.groupBy("symbol").transformWithStateInPandas(_Volume(), "event_id bigint, symbol string, volume_delta bigint", "append", "none")
+
+
 def sequence_gaps(ticks: DataFrame, keys: tuple[str, ...] = ("exchange", "token"), order: tuple[str, ...] = ("received_at", "event_id")) -> DataFrame:
     """Gap, duplicate and gap size against the highest sequence number seen before in the stream."""
     known = ticks.filter("sequence_number > 0")
@@ -121,23 +167,45 @@ def sequence_gaps(ticks: DataFrame, keys: tuple[str, ...] = ("exchange", "token"
         "is_gap": F.coalesce(size > 0, F.lit(False))}).drop("_top")
 
 
+def gap_reach(gaps: DataFrame) -> DataFrame:
+    """(symbol, starts, reach): the starts of a symbol's unrepaired gaps in order, and how far the gaps up to each reach.
+
+    An open gap reaches past every bar; a closed gap without length has none.  Gaps of one start are one.
+    """
+    live = gaps.filter("status = 'UNREPAIRED' AND start_time IS NOT NULL AND (end_time IS NULL OR end_time > start_time)")
+    end = F.when(F.col("end_time").isNull(), FOREVER).otherwise(F.unix_micros("end_time"))
+    each = live.groupBy("symbol", F.unix_micros("start_time").alias("start")).agg(F.max(end).alias("end"))
+    listed = each.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("g"))
+    grow = lambda out, g: F.concat(out, F.array(F.greatest(g["end"], F.coalesce(F.try_element_at(out, F.lit(-1)), g["end"]))))
+    return listed.select("symbol", F.transform("g", lambda g: g["start"]).alias("starts"), F.aggregate("g", F.array().cast("array<bigint>"), grow).alias("reach"))
+
+
+FOREVER = 2**62
+
+
+def count_below(ordered: Column, value: Column) -> Column:
+    """How many elements of an ascending array are under ``value``, by binary search."""
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        under = F.element_at(ordered, middle + 1) < value
+        step = F.struct(F.when(under, middle + 1).otherwise(s["lo"]).alias("lo"), F.when(under, s["hi"]).otherwise(middle).alias("hi"))
+        return F.when(s["lo"] < s["hi"], step).otherwise(s)
+
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(ordered) + 1)).cast("int"))
+    return F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), F.size(ordered).alias("hi")), halve, lambda s: s["lo"])
+
+
 def mark_untrusted(bars: DataFrame, gaps: DataFrame, timeframe: str) -> DataFrame:
-    """UNTRUSTED where a bar overlaps an unrepaired gap.
+    """UNTRUSTED where a bar overlaps an unrepaired gap; ``bars`` may be a stream, ``gaps`` is a table.
 
-    A closed gap is expanded to the bars it touches and joined by equality; open gaps are
-    reduced to their earliest start per symbol.
+    Of the gaps that start before a bar's end, found by binary search, the farthest reach decides, so a long gap costs
+    no more than a short one.
     """
-    seconds = TIMEFRAME_SECONDS[timeframe]
-    step = F.expr(f"INTERVAL '{seconds}' SECOND")
-    live = gaps.filter("status = 'UNREPAIRED'")
-    closed = live.filter("end_time IS NOT NULL AND end_time > start_time")
-    last = bar_start(F.timestamp_micros(F.unix_micros("end_time") - 1), timeframe)
-    touched = closed.select("symbol", F.explode(F.sequence(bar_start(F.col("start_time"), timeframe), last, step)).alias("timestamp")).distinct()
-    opened = live.filter("end_time IS NULL").groupBy("symbol").agg(F.min("start_time").alias("_open"))
-    df = bars.join(touched.withColumn("_hit", F.lit(True)), ["symbol", "timestamp"], "left").join(opened, "symbol", "left")
-    running = F.coalesce(F.col("_open") < F.col("timestamp") + step, F.lit(False))
-    bad = F.coalesce("_hit", F.lit(False)) | running
-    return df.withColumns({"quality_status": F.when(bad, "UNTRUSTED").otherwise("TRUSTED"), "is_authoritative": ~bad}).drop("_hit", "_open")
+    begin = F.unix_micros("timestamp")
+    df = bars.join(gap_reach(gaps), "symbol", "left")
+    before = count_below(F.col("starts"), begin + TIMEFRAME_SECONDS[timeframe] * 1_000_000)
+    bad = F.coalesce(F.try_element_at("reach", F.when(before > 0, before)) > begin, F.lit(False))
+    return df.withColumns({"quality_status": F.when(bad, "UNTRUSTED").otherwise("TRUSTED"), "is_authoritative": ~bad}).drop("starts", "reach")
 
 
 def latency_stats(ticks: DataFrame, keys: tuple[str, ...] = ("exchange",), value: str = "latency_ms", quantiles: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:

@@ -80,8 +80,9 @@ def test_sequence_carries_over_to_the_next_session(spark):
     assert got == ["VALID_TICK"] * 4 + ["SEQUENCE_GAP_DETECTED,VALID_TICK"] * 2
 
 
-def test_grid_is_whole():
-    assert len(signals.parameter_grid({"a": range(10), "b": range(7)})) == 70
+def test_grid_is_whole(spark):
+    rows = signals.with_grid(spark.range(2), {"b": range(7), "a": range(10), "c": (1, 2)}, {"c": 5}).collect()
+    assert sorted((r.id, r.a, r.b, r.c, r.param_id) for r in rows) == [(i, a, b, 5, 7 * a + b) for i in range(2) for a in range(10) for b in range(7)]
 
 
 def test_cluster_needs_a_shared_folder():

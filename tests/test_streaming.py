@@ -116,3 +116,28 @@ def test_packet_faults(spark):
 def test_bar_start(spark, timeframe, minute):
     row = spark.range(1).select(b.bar_start(F.lit("2024-01-03 04:08:59").cast("timestamp"), timeframe).alias("t")).first()
     assert row.t.minute == minute
+
+
+def test_volume_stream_keeps_its_baseline_over_late_ticks(spark, tmp_path):
+    path = files(tmp_path / "in", [tick(1, 1, volume=100), tick(2, 2, volume=130)], [tick(3, 1, volume=90), tick(4, 3, volume=150)], [tick(5, 4, volume=140), tick(6, 5, volume=151)])
+    out = str(tmp_path / "out")
+    drain(sinks.sink_upsert(b.volume_deltas_stream(source(spark, path)), out, ("event_id",), str(tmp_path / "check")).outputMode("append"))
+    assert {r.event_id: r.volume_delta for r in spark.read.parquet(out).collect()} == {1: 1, 2: 30, 3: 0, 4: 20, 5: 0, 6: 1}
+
+
+def test_gaps_mark_bars_by_their_reach(spark):
+    at = lambda m: (pd.Timestamp("2024-01-03 04:00:00", tz="UTC") + pd.Timedelta(minutes=m)).to_pydatetime()
+    gaps = spark.createDataFrame([("A", at(1), at(50), "UNREPAIRED"), ("A", at(5), at(6), "UNREPAIRED"), ("A", at(70), at(70), "UNREPAIRED"), ("A", at(80), at(90), "REPAIRED"), ("A", at(120), None, "UNREPAIRED"), ("B", at(0), at(10), "UNREPAIRED")], "symbol string, start_time timestamp, end_time timestamp, status string")
+    bars = spark.createDataFrame([(s, at(m)) for s in "ABC" for m in (0, 10, 40, 50, 70, 80, 110, 120, 600)], "symbol string, timestamp timestamp")
+    bad = {(r.symbol, r.timestamp.hour * 60 + r.timestamp.minute - 240) for r in b.mark_untrusted(bars, gaps, "5m").where("NOT is_authoritative").collect()}
+    assert bad == {("A", 0), ("A", 10), ("A", 40), ("A", 120), ("A", 600), ("B", 0)}, bad
+    assert b.mark_untrusted(bars, gaps.limit(0), "5m").where("is_authoritative").count() == 27
+
+
+def test_depth_snapshots_need_no_price(spark):
+    book = "array<struct<price:double,quantity:bigint>>"
+    rows = [(1, "T", None, [(9.0, 1)], [(10.0, 1)]), (2, "T", None, [(11.0, 1)], [(10.0, 1)]), (3, "T", None, [(9.0, -1)], [(10.0, 1)]), (4, "T", None, None, [(10.0, 1)]), (5, "T", 9.5, [(0.0, 1)], [(10.0, 1)]), (6, "T", 9.5, None, None)]
+    at = F.lit("2024-01-03 04:00:00").cast("timestamp")
+    ticks = spark.createDataFrame(rows, f"event_id bigint, token string, ltp double, bids {book}, asks {book}").withColumns({"exchange": F.lit("NSE"), "exchange_timestamp": at, "received_at": at, "cumulative_volume": F.lit(1)})
+    assert {r.event_id: (r.action, r.reason) for r in a.admit(ticks).collect()} == {
+        1: ("ACCEPT", "VALID_TICK"), 2: ("QUARANTINE", "CROSSED_BOOK_BID_GE_ASK"), 3: ("REJECT_MALFORMED", "INVALID_DEPTH_QUANTITY"), 4: ("REJECT_MALFORMED", "PRICE_NON_FINITE"), 5: ("REJECT_MALFORMED", "INVALID_DEPTH_PRICE"), 6: ("ACCEPT", "VALID_TICK")}
