@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_features", "q_signals", "q_quality", "q_market", "q_execution", "q_evidence", "q_stream")
+MODULES = ("q_features", "q_signals", "q_quality", "q_market", "q_execution", "q_evidence", "q_stream", "q_files")
 
 
 def load_queries():

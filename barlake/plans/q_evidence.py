@@ -315,13 +315,15 @@ def cert_runs(s, d):
 def cert_inputs(s, d):
     ds = qq.datasets(s, d)
     links = fx.round_trips(s, d).select("run_id", "symbol").distinct()
-    used = links.filter("run_id = concat('run-', substring_index(symbol, '_', -1) % 8)").select("run_id", F.concat(F.lit("ds-"), F.col("symbol")).alias("dataset_id"))
-    late = fx.fills(s, d).filter("run_id <> 'run-6'").select("run_id", "order_id", "timestamp", "requested_at")
+    used = links.select(F.expr("concat('run-', substring_index(symbol, '_', -1) % 8)").alias("run_id"), F.concat(F.lit("ds-"), F.col("symbol")).alias("dataset_id")).distinct()
+    after = F.when(F.col("run_id") == "run-6", F.lit("2100-01-01").cast("timestamp")).otherwise(F.col("timestamp"))
+    late = fx.fills(s, d).select("run_id", "order_id", after.alias("timestamp"))
+    curves = fx.equity_curve(s, d).withColumn("run_id", F.expr("CASE run_id WHEN 'run-2' THEN 'run-102' WHEN 'run-4' THEN 'run-104' ELSE run_id END"))
     orders = fx.table(s, d, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_orderdate").cast("timestamp").alias("requested_at"))
-    return cert_runs(s, d), used, ds, qq.certificates(s, d), qq.child_checks(s, d), late.drop("requested_at"), orders, fx.constituents(s, d), fx.equity_curve(s, d).filter("run_id NOT IN ('run-2', 'run-4')"), q.REQUIRED_CHECKS
+    return cert_runs(s, d), used, ds, qq.certificates(s, d), qq.child_checks(s, d), late, orders, fx.constituents(s, d), curves, q.REQUIRED_CHECKS
 
 
-USED = f"SELECT DISTINCT run_id, 'ds-' || symbol AS dataset_id, symbol FROM round_trips WHERE run_id = 'run-' || ({NUM} % 8)"
+USED = f"SELECT DISTINCT 'run-' || ({NUM} % 8) AS run_id, 'ds-' || symbol AS dataset_id, symbol FROM round_trips"
 OKDS = f"""SELECT ds.symbol, ds.dataset_id, ds.status = 'VERIFIED' AND lifecycle_status = 'CANONICAL_PROMOTED' AS ver, ds.status = 'VERIFIED' AND lifecycle_status = 'CANONICAL_PROMOTED' AND {NUM.replace('symbol', 'ds.symbol')} % 8 <> 7 AND c.st = 'CERTIFIED' AND {NUM.replace('symbol', 'ds.symbol')} % 6 <> 3 AS ok
  FROM ds JOIN (SELECT m.symbol, CASE WHEN sum(issue_count) = 0 AND max(critical_count + error_count) = 0 THEN 'CERTIFIED' ELSE 'FAILED' END AS st FROM mixed_report m JOIN severe USING (symbol) WHERE check_type IN ({qq.REQ}) GROUP BY 1) c ON c.symbol = ds.symbol"""
 CERT = f"""SELECT run_id, unnest([{', '.join(repr(c) for c in e.CATEGORIES)}]) AS category, unnest([CASE WHEN {RN} = 5 OR nds IS NULL OR NOT allver THEN 'FAIL' ELSE 'PASS' END, CASE WHEN nds IS NULL OR NOT allok THEN 'FAIL' ELSE 'PASS' END,

@@ -146,7 +146,7 @@ add("f24_panel_problems",
     lambda s, d: f.panel_problems(
         fx.bars(s, d).withColumn("adjustment", F.when(F.col("symbol") == "NATION_0", "SPLIT_ADJUSTED").otherwise(F.col("adjustment"))).unionByName(
             fx.bars(s, d).filter("dayofmonth(timestamp) = 3")),
-        fx.benchmark(s, d).filter("dayofmonth(timestamp) <> 4")),
+        fx.benchmark(s, d).withColumn("timestamp", F.expr("CASE WHEN dayofmonth(timestamp) = 4 THEN timestamp + INTERVAL '1' HOUR ELSE timestamp END"))),
     """SELECT 'DUPLICATE_KEYS' AS problem, count(*) AS rows FROM bars WHERE day(d) = 3
     UNION ALL SELECT 'MISSING_BENCHMARK', count(DISTINCT timestamp) FROM bars WHERE day(d) = 4
     UNION ALL SELECT 'MIXED_ADJUSTMENT', 2 FROM (SELECT 1 FROM bars WHERE symbol = 'NATION_0' LIMIT 1)""", "problem rows")

@@ -210,16 +210,16 @@ def members(s, d):
 
 
 def instruments(s, d):
-    """Listed instruments: suppliers as names, some with the -EQ suffix."""
+    """Listed instruments: nations as names, some with the -EQ suffix, some under a name that no member has."""
     n = fx.table(s, d, "nation")
     k = F.col("n_nationkey")
-    return n.filter(k % 8 != 7).select(F.when(k % 3 == 0, F.concat("n_name", F.lit("-EQ"))).otherwise(F.col("n_name")).alias("symbol"), (k + 1000).cast("string").alias("token"),
+    return n.select(F.when(k % 8 == 7, F.concat(F.lit("OTHER_"), "n_name")).when(k % 3 == 0, F.concat("n_name", F.lit("-EQ"))).otherwise(F.col("n_name")).alias("symbol"), (k + 1000).cast("string").alias("token"),
                                        F.expr("CASE n_nationkey % 3 WHEN 0 THEN 'NSE' WHEN 1 THEN 'NSE_CM' ELSE 'MCX' END").alias("exchange"), F.concat(F.lit("Index - "), F.col("n_name")).alias("name"),
                                        F.expr("CASE WHEN n_nationkey % 5 = 0 THEN 'AMXIDX' ELSE '' END").alias("instrument_type"))
 
 
-INS = """SELECT CASE WHEN n_nationkey % 3 = 0 THEN n_name || '-EQ' ELSE n_name END AS symbol, (n_nationkey + 1000)::VARCHAR AS token, CASE n_nationkey % 3 WHEN 0 THEN 'NSE' WHEN 1 THEN 'NSE_CM' ELSE 'MCX' END AS exchange,
- 'Index - ' || n_name AS name, CASE WHEN n_nationkey % 5 = 0 THEN 'AMXIDX' ELSE '' END AS instrument_type FROM nation WHERE n_nationkey % 8 <> 7"""
+INS = """SELECT CASE WHEN n_nationkey % 8 = 7 THEN 'OTHER_' || n_name WHEN n_nationkey % 3 = 0 THEN n_name || '-EQ' ELSE n_name END AS symbol, (n_nationkey + 1000)::VARCHAR AS token, CASE n_nationkey % 3 WHEN 0 THEN 'NSE' WHEN 1 THEN 'NSE_CM' ELSE 'MCX' END AS exchange,
+ 'Index - ' || n_name AS name, CASE WHEN n_nationkey % 5 = 0 THEN 'AMXIDX' ELSE '' END AS instrument_type FROM nation"""
 add("u01_import_members", lambda s, d: u.import_members(fx.table(s, d, "nation").select(F.col("n_name").alias("symbol")), instruments(s, d)),
     "SELECT n_name AS symbol, coalesce(a.symbol, b.symbol) AS provider_symbol, coalesce(a.token, b.token) AS provider_token FROM nation LEFT JOIN ins a ON a.symbol = n_name LEFT JOIN ins b ON b.symbol = n_name || '-EQ'",
     "symbol provider_symbol provider_token", ins=INS)
@@ -227,9 +227,19 @@ add("u02_eligible_members", lambda s, d: u.eligible_members(members(s, d)), "SEL
 add("u03_universe_as_of", lambda s, d: u.universe_as_of(fx.constituents(s, d), "1996-06-01", "1996-06-01", "all"),
     "SELECT symbol, instrument_id FROM constituents WHERE effective_from <= '1996-06-01' AND (effective_until IS NULL OR effective_until > '1996-06-01') AND (known_from IS NULL OR known_from <= '1996-06-01')", "symbol instrument_id")
 add("u04_mark_pit", lambda s, d: u.mark_pit(fx.bars(s, d), fx.constituents(s, d)), f"SELECT symbol, day, {qf.PIT} AS pit_eligible FROM bars b", "symbol day pit_eligible")
-add("u05_pit_coverage", lambda s, d: u.pit_coverage(fx.bars(s, d), fx.constituents(s, d).filter("effective_until IS NOT NULL AND effective_from > '1995-06-01'")),
-    """SELECT reason FROM (SELECT 'EVIDENCE_STARTS_AFTER_PANEL' AS reason, (SELECT min(effective_from) FROM constituents WHERE effective_until IS NOT NULL AND effective_from > '1995-06-01') > (SELECT min(d) FROM bars) AS hit
-    UNION ALL SELECT 'EVIDENCE_ENDS_BEFORE_PANEL', (SELECT max(effective_until) FROM constituents WHERE effective_until IS NOT NULL AND effective_from > '1995-06-01') <= (SELECT max(d) FROM bars)) WHERE hit""", "reason")
+
+
+def short_evidence(s, d):
+    """All membership intervals, none known to last beyond the middle of 1996."""
+    end = F.lit("1996-06-01").cast("date")
+    return fx.constituents(s, d).withColumn("effective_until", F.least(F.coalesce("effective_until", end), end))
+
+
+add("u05_pit_coverage", lambda s, d: u.pit_coverage(fx.bars(s, d), short_evidence(s, d)),
+    """SELECT reason FROM (SELECT 'EVIDENCE_STARTS_AFTER_PANEL' AS reason, (SELECT min(effective_from) FROM short) > (SELECT min(d) FROM bars) AS hit
+    UNION ALL SELECT 'EVIDENCE_ENDS_BEFORE_PANEL', (SELECT max(effective_until) FROM short) <= (SELECT max(d) FROM bars)
+    UNION ALL SELECT 'INVALID_INTERVAL', (SELECT count(*) FROM short WHERE effective_until <= effective_from) > 0) WHERE hit""", "reason",
+    short="SELECT * REPLACE (coalesce(least(effective_until, DATE '1996-06-01'), DATE '1996-06-01') AS effective_until) FROM constituents")
 
 
 def crossing(s, d):

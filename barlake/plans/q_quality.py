@@ -118,24 +118,39 @@ add("q03_validate_raw", lambda s, d: q.validate_raw(fx.raw_bars(s, d)), "SELECT
 CLEAN_ROW = "source_row_number < 1000000 AND " + " AND ".join(f"source_row_number % {m} <> 0" for m in (73, 79, 83, 89, 97))
 
 
-def some_clean(s, d):
-    """Raw bars where a third of the datasets carries no planted defects."""
-    return fx.raw_bars(s, d).filter(f"substring_index(symbol, '_', -1) % 3 <> 0 OR ({CLEAN_ROW})")
+def sorted_out(s, d):
+    """All raw bars; a third of the symbols keep their planted defects in a dataset of their own."""
+    apart = F.expr(f"substring_index(symbol, '_', -1) % 3 = 0 AND NOT ({CLEAN_ROW})")
+    return fx.raw_bars(s, d).withColumn("dataset_id", F.when(apart, F.concat("dataset_id", F.lit("-defects"))).otherwise(F.col("dataset_id")))
 
 
 def split(part: int):
     def build(s, d):
-        raw = some_clean(s, d)
+        raw = sorted_out(s, d)
         return q.quarantine_split(raw, q.validate_raw(raw))[part].groupBy("dataset_id").agg(F.count(F.lit(1)).alias("rows"))
     return build
 
 
-THIRD = "CAST(split_part(dataset_id, '_', 2) AS INT) % 3"
-add("q04_quarantine_valid", split(0),
-    f"SELECT dataset_id, count(*) AS rows FROM raw_bars WHERE {THIRD} = 0 AND {CLEAN_ROW} AND dataset_id NOT IN (SELECT dataset_id FROM issues WHERE {CLEAN_ROW}) GROUP BY 1",
-    "dataset_id", "rows", **IV)
-add("q04_quarantine_held", split(1), f"SELECT dataset_id, count(*) AS rows FROM raw_bars WHERE {THIRD} <> 0 AND dataset_id IN (SELECT dataset_id FROM issues) GROUP BY 1", "dataset_id", "rows", **IV)
+SORTED = f"SELECT * REPLACE (CASE WHEN CAST(split_part(symbol, '_', 2) AS INT) % 3 = 0 AND NOT ({CLEAN_ROW}) THEN dataset_id || '-defects' ELSE dataset_id END AS dataset_id) FROM raw_bars"
+SV = {"sorted_bars": SORTED, **IV, "parsed": PARSED.replace("FROM raw_bars", "FROM sorted_bars")}
+add("q04_quarantine_valid", split(0), "SELECT dataset_id, count(*) AS rows FROM sorted_bars WHERE dataset_id NOT IN (SELECT dataset_id FROM issues) GROUP BY 1", "dataset_id", "rows", **SV)
+add("q04_quarantine_held", split(1), "SELECT dataset_id, count(*) AS rows FROM sorted_bars WHERE dataset_id IN (SELECT dataset_id FROM issues) GROUP BY 1", "dataset_id", "rows", **SV)
 add("q05_dataset_hash", lambda s, d: q.dataset_hash(fx.bars(s, d), ["symbol"], ["timestamp", "open", "high", "low", "close", "volume"]), None, "symbol rows data_hash")
+
+
+def hash_changes(s, d):
+    """Hashes of the bars against those of a copy in another order, and of one whose lowest closes moved."""
+    columns = ["timestamp", "open", "high", "low", "close", "volume"]
+    bars = fx.bars(s, d)
+    hashes = lambda df, name: q.dataset_hash(df, ["symbol"], columns).select("symbol", "rows", F.col("data_hash").alias(name))
+    moved = bars.withColumn("close", F.when((F.col("symbol") == "NATION_3") & (F.dayofmonth("timestamp") == 13), F.col("close") + 1e-9).otherwise(F.col("close")))
+    copy = bars.repartition("timestamp").sortWithinPartitions(F.desc("timestamp"))
+    joined = hashes(bars, "a").join(hashes(copy, "b").drop("rows"), "symbol").join(hashes(moved, "c").drop("rows"), "symbol")
+    return joined.select("symbol", "rows", (F.col("a") == F.col("b")).alias("same_in_any_order"), (F.col("a") != F.col("c")).alias("changed"))
+
+
+add("q05_hash_changes", hash_changes, "SELECT symbol, count(*) AS rows, true AS same_in_any_order, symbol = 'NATION_3' AND count(*) FILTER (day(d) = 13) > 0 AS changed FROM bars GROUP BY 1",
+    "symbol same_in_any_order changed", "rows")
 add("q06_localize_ts",
     lambda s, d: q.localize_ts(fx.table(s, d, "orders").withColumn("t", F.col("o_orderdate").cast("timestamp_ntz")), "t").groupBy(F.date_format("t", "yyyy-MM-dd HH:mm").alias("minute")).agg(F.count(F.lit(1)).alias("rows")),
     "SELECT strftime(o_orderdate - INTERVAL 330 MINUTE, '%Y-%m-%d %H:%M') AS minute, count(*) AS rows FROM orders GROUP BY 1", "minute", "rows")
@@ -310,7 +325,7 @@ def tables(s, d):
         "costs": f_.select(F.when(F.col("order_id") % 20 == 0, -F.col("order_id")).otherwise(F.col("fill_id")).alias("fill_id")),
         "bars": fx.bars(s, d).select(F.concat(F.lit("ds-"), F.col("symbol")).alias("dataset_id")), "datasets": datasets(s, d).withColumn("dataset_id", F.expr("CASE WHEN status = 'VERIFIED' THEN dataset_id ELSE 'other-' || dataset_id END")),
         "members": fx.constituents(s, d).withColumn("symbol", F.when(F.col("token").cast("int") % 6 == 0, " ").otherwise(F.col("symbol"))),
-        "quarantined": datasets(s, d), "issues": q.validate_raw(some_clean(s, d)),
+        "quarantined": datasets(s, d), "issues": q.validate_raw(sorted_out(s, d)),
         "paper_sessions": fx.promotion_reviews(s, d).select("run_id"), "runs": fx.equity_curve(s, d).select(F.expr("CASE WHEN run_id = 'run-3' THEN 'other' ELSE run_id END").alias("run_id")),
     }
 

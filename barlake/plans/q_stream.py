@@ -223,6 +223,59 @@ add("s09_stream", volume_stream,
     SELECT *, greatest(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k, CASE WHEN event_id % 13 = 0 THEN 1 ELSE event_id * 10 END AS v FROM events))""", "event_id", "volume_delta")
 
 
+def replayed(s, ticks, by, writer_of, slices=3):
+    """Feed all ticks as successive micro-batches of ascending ``by`` to one stream that stops and restarts between them."""
+    base = workspace(s)
+    at = F.unix_micros(by)
+    low, high = ticks.agg(F.min(at), F.max(at)).first()
+    cut = F.floor((at - F.lit(low)) * slices / F.lit(high - low + 1))
+    with rocksdb(s):
+        for i in range(slices):
+            ticks.filter(cut == i).write.mode("append").parquet(f"{base}/in")
+            stream = s.readStream.schema(ticks.schema).parquet(f"{base}/in")
+            writer_of(stream, f"{base}/out", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{base}/out")
+
+
+def kept(operator, keys):
+    return lambda stream, out, check: sinks.sink_upsert(operator(stream), out, keys, check).outputMode("append")
+
+
+add("s05_stream", lambda s, d: replayed(s, good(s, d), "received_at", kept(lambda t: a.admit_stateful(t, a.AdmissionPolicy(max_price_velocity=0.5)), ("token", "event_id"))),
+    "SELECT t.token, event_id, action, gap AS reasons FROM state_rec r JOIN state_rows t ON t.token = r.token AND t.srn = r.srn", "token event_id action reasons", state_rows=STATE_ROWS, state_rec=STATE_REC)
+add("s14_stream", lambda s, d: replayed(s, fx.ticks(s, d), "received_at", kept(b.sequence_gaps_stream, ("event_id",))),
+    """SELECT event_id, coalesce(sequence_number <= top, false) AS is_duplicate, coalesce(greatest(sequence_number - top - 1, 0), 0) AS gap_size, coalesce(sequence_number - top > 1, false) AS is_gap FROM (
+    SELECT *, max(sequence_number) OVER (PARTITION BY exchange, token ORDER BY received_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM ticks)""", "event_id is_duplicate is_gap", "gap_size")
+
+
+def snapshot_bars(s, d):
+    versions = replayed(s, good(s, d), "exchange_timestamp", lambda stream, out, check: sinks.sink_snapshot(b.tick_bars(stream, "1h"), out, check))
+    bars = sinks.newest(versions, ("symbol", "timestamp"))
+    values = [c for c in bars.columns if c not in ("symbol", "timestamp")]
+    last = bars.groupBy("symbol").agg(F.max("timestamp").alias("timestamp"), F.max_by(F.struct(*values), "timestamp").alias("_b"))
+    return minute(last.select("symbol", "timestamp", "_b.*"))
+
+
+add("s12_stream", snapshot_bars,
+    f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY minute DESC) AS rn FROM (SELECT symbol, strftime(time_bucket(INTERVAL 1 HOUR, exchange_timestamp), '%Y-%m-%d %H:%M') AS minute, {BAR} FROM ({GOOD}) GROUP BY 1, 2)) WHERE rn = 1",
+    "symbol minute", "open high low close volume tick_count")
+add("s13_stream", lambda s, d: minute(drained(s, lambda out, check: sinks.sink_bars(b.tick_bars(tick_stream(s, d), "1d"), out, check).outputMode("append"))),
+    f"""SELECT symbol, strftime(st, '%Y-%m-%d %H:%M') AS minute, open, high, low, close, volume, tick_count FROM (
+    SELECT symbol, time_bucket(INTERVAL 1 DAY, exchange_timestamp - INTERVAL 225 MINUTE) + INTERVAL 225 MINUTE AS st, {BAR} FROM ({GOOD}) GROUP BY 1, 2) WHERE st + INTERVAL 1 DAY <= {CLOSED}""",
+    "symbol minute", "open high low close volume tick_count")
+
+
+def repeated_stream(s, d):
+    """Every third tick arrives twice in its micro-batch."""
+    t = tick_stream(s, d)
+    twice = t.withColumn("n", F.explode(F.when(F.col("event_id") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("n")
+    with rocksdb(s):
+        return drained(s, lambda out, check: a.dedup(twice).writeStream.format("parquet").option("path", out).option("checkpointLocation", check)).groupBy("token").agg(F.count(F.lit(1)).alias("ticks"))
+
+
+add("s04_stream", repeated_stream, f"SELECT token, count(*) AS ticks FROM ({GOOD}) GROUP BY 1", "token", "ticks")
+
+
 def gap_events(s, d):
     e = F.col("event_id")
     minutes = F.when(e % 10 == 0, e % 90).otherwise(0).cast("int")  # most gaps close at once

@@ -221,7 +221,8 @@ def admit_batch(ticks: DataFrame, policy: AdmissionPolicy = AdmissionPolicy(), a
 class _TickState(StatefulProcessor):
     """The same rules on a stream: last accepted tick and this session's fingerprints per token."""
 
-    policy = AdmissionPolicy()
+    def __init__(self, policy: AdmissionPolicy = AdmissionPolicy()) -> None:
+        self.policy = policy
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "session bigint, sequence bigint, at_us bigint, price double, volume bigint")
@@ -249,10 +250,10 @@ class _TickState(StatefulProcessor):
         pass
 
 
-def admit_stateful(ticks: DataFrame) -> DataFrame:
+def admit_stateful(ticks: DataFrame, policy: AdmissionPolicy = AdmissionPolicy()) -> DataFrame:
     """Streaming admission keyed by token; needs the RocksDB state store provider."""
     needed = ticks.select(*STATE_COLUMNS, "received_at")
-    return needed.groupBy("token").transformWithStateInPandas(_TickState(), VERDICT, "append", "none")
+    return needed.groupBy("token").transformWithStateInPandas(_TickState(policy), VERDICT, "append", "none")
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

@@ -167,6 +167,42 @@ def sequence_gaps(ticks: DataFrame, keys: tuple[str, ...] = ("exchange", "token"
         "is_gap": F.coalesce(size > 0, F.lit(False))}).drop("_top")
 
 
+class _Sequence(StatefulProcessor):
+    """The highest sequence number of a key."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.top = handle.getValueState("top", "sequence bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frames = list(rows)  # of one micro-batch
+        if not frames:
+            return
+        pdf = pd.concat(frames, ignore_index=True).sort_values(["received_at", "event_id"], kind="stable")
+        number = pdf["sequence_number"].to_numpy(np.int64)
+        known = int(self.top.get()[0]) if self.top.exists() else 0  # numbers are positive
+        top = np.maximum.accumulate(np.concatenate(([known], number)))
+        seen = top[:-1] > 0
+        size = np.where(seen, np.maximum(number - top[:-1] - 1, 0), 0)
+        self.top.update((int(top[-1]),))
+        yield pd.DataFrame({
+            "event_id": pdf["event_id"].to_numpy(), "symbol": pdf["symbol"].to_numpy(), "exchange_timestamp": pdf["exchange_timestamp"].to_numpy(),
+            "is_duplicate": seen & (number <= top[:-1]), "gap_size": size, "is_gap": size > 0})
+
+    def close(self) -> None:
+        pass
+
+
+def sequence_gaps_stream(ticks: DataFrame, keys: tuple[str, ...] = ("exchange", "token")) -> DataFrame:
+    """``sequence_gaps`` of a tick stream: (event_id, symbol, exchange_timestamp, is_duplicate, gap_size, is_gap).
+
+    A key's state is one number.  Ticks of a micro-batch are taken in order of (received_at, event_id); ticks without a
+    positive sequence number are left out.  Needs the RocksDB state store.
+    """
+    known = ticks.filter("sequence_number > 0").select(*keys, "event_id", "symbol", "exchange_timestamp", "received_at", "sequence_number")
+    schema = "event_id bigint, symbol string, exchange_timestamp timestamp, is_duplicate boolean, gap_size bigint, is_gap boolean"
+    return known.groupBy(*keys).transformWithStateInPandas(_Sequence(), schema, "append", "none")
+
+
 def gap_reach(gaps: DataFrame) -> DataFrame:
     """(symbol, starts, reach): the starts of a symbol's unrepaired gaps in order, and how far the gaps up to each reach.
 

@@ -49,6 +49,24 @@ def sink_bars(bars: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     return sink_upsert(bars, path, ("symbol", "timeframe", "timestamp"), checkpoint)
 
 
+def sink_snapshot(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """Store every version that an update-mode stream emits; ``newest`` reads the current ones.
+
+    As in ``sink_upsert`` a batch owns its folder, so a replay does not add versions.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{BATCH}={number}")
+
+    return stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
+
+
+def newest(versions: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The row of the latest batch for every key of a snapshot table; one aggregation, combined before the shuffle."""
+    values = [c for c in versions.columns if c not in (*keys, BATCH)]
+    return versions.groupBy(*keys).agg(F.max_by(F.struct(*values), BATCH).alias("_row")).select(*keys, "_row.*")
+
+
 def sink_ticks(ticks: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     return sink_upsert(ticks, path, ("exchange", "token", "sequence_number", "exchange_timestamp"), checkpoint)
 

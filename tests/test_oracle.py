@@ -12,6 +12,7 @@ CHOSEN = [
     "g11_cross_sectional_momentum", "g24_cap_weights", "q03_validate_raw", "q19_quality_report", "q16_check_missing_bars", "ca07_adjust_back", "ca10_detect_basis",
     "cal2_session_flags", "u04_mark_pit", "u08_readiness", "x02_cost_breakdown", "x08_ledger", "x17_risk_decide", "m02_var_cvar", "m03_bootstrap_sharpe",
     "r01_return_correlation", "r02_clusters", "wf1_walk_forward_folds", "p1_promotion_gates", "s01_decode_packets", "s05_admit_stateful_batch", "s08_tick_bars_stream", "s15_mark_untrusted",
+    "q04_quarantine_valid", "u05_pit_coverage", "p7_certify_runs", "io04_read_actions_json", "io06_archive_bars", "io14_write_report_csv", "io15_replace_scope", "s05_stream", "s12_stream", "s14_stream",
 ]
 
 
