@@ -36,6 +36,35 @@ def chunk_of(ts: str, seconds: int | None = None) -> Column:
     return F.floor(F.col(ts).cast("double") / F.lit(float(seconds or CHUNK_SECONDS))).cast("long")
 
 
+def packed_chunks(df: DataFrame, keys: str | Sequence[str], ts: str, rows: int | None = None) -> DataFrame:
+    """Add ``CHUNK``, numbered 0, 1, 2, ... per key in order of time, with about ``rows`` rows each at most.
+
+    Keys of at most ``rows`` rows are one chunk.  The rows of others are counted per day and days are packed up to the
+    bound; a day over the bound is cut by seconds first, so a chunk has fewer than twice ``rows`` rows unless one second
+    of a key has more.  Only counts are windowed: a window holds a key's days and the pieces of its busy days, or the
+    seconds of one day.
+    """
+    keys, size = cols(keys), rows or BLOCK_ROWS
+    day, second = "_day", "_second"
+    times = df.select(*keys, F.unix_date(F.to_date(ts)).cast("long").alias(day), F.unix_seconds(ts).alias(second))
+    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > size).select(*keys)
+    times = times.join(large, keys, "left_semi")
+    days = times.groupBy(*keys, day).agg(F.count(F.lit(1)).alias("_n"))
+    calm = days.filter(F.col("_n") <= size).select(*keys, day, F.lit(-(2**62)).alias("_start"), "_n")
+    busy = days.filter(F.col("_n") > size).select(*keys, day)
+    seconds = times.join(busy, [*keys, day], "left_semi").groupBy(*keys, day, second).agg(F.count(F.lit(1)).alias("_n"))
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pieces = seconds.withColumn("_piece", F.floor(before(Window.partitionBy(*keys, day).orderBy(second)) / size))
+    cut = pieces.groupBy(*keys, day, "_piece").agg(F.min(second).alias("_start"), F.sum("_n").alias("_n")).drop("_piece")
+    along = Window.partitionBy(*keys).orderBy(day, "_start")
+    packs = calm.unionByName(cut).withColumn("_pack", F.floor(before(along) / size))
+    packs = packs.withColumn(CHUNK, F.dense_rank().over(Window.partitionBy(*keys).orderBy("_pack")).cast("long") - 1)
+    found = packs.groupBy(*keys, day).agg(F.array_sort(F.collect_list(F.struct("_start", CHUNK))).alias("_packs"))
+    placed = df.withColumn(day, F.unix_date(F.to_date(ts)).cast("long")).join(found, [*keys, day], "left")
+    reached = F.filter("_packs", lambda p: p["_start"] <= F.unix_seconds(ts))
+    return placed.withColumn(CHUNK, F.coalesce(F.element_at(reached, -1)[CHUNK], F.lit(0).cast("long"))).drop(day, "_packs")
+
+
 def value_chunk(value: Column, per_unit: int = 256) -> Column:
     """A monotone bucket of a number, for ranking by value: fine near zero, log-wide far out."""
     return F.floor(F.asinh(value) * per_unit).cast("long")
@@ -304,10 +333,10 @@ def held_quantity(df: DataFrame, keys: str | Sequence[str], order: Sequence[str]
     """``held_before`` and ``held_after`` for a long-only holding that a sale cannot take below zero.
 
     The holding is the running sum minus its running minimum; a chunk is summed up by both.
-    The row number of the key comes from the same pass.
+    The row number of the key comes from the same pass.  A chunk column of ``packed_chunks`` is used and kept.
     """
-    keys = cols(keys)
-    base = df.withColumns({CHUNK: chunk_of(order[0], seconds), "_q": signed})
+    keys, cut = cols(keys), CHUNK in df.columns
+    base = (df if cut else df.withColumn(CHUNK, chunk_of(order[0], seconds))).withColumn("_q", signed)
     inside = Window.partitionBy(*keys, CHUNK).orderBy(*_ordering(order))
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     local = base.withColumns({"_s": F.sum("_q").over(upto), "_n": F.row_number().over(inside)})
@@ -322,7 +351,8 @@ def held_quantity(df: DataFrame, keys: str | Sequence[str], order: Sequence[str]
     after = now - F.least(F.col("_m0"), F.col("_s0") + F.col("_low"))
     before = now - F.col("_q") - F.least(F.col("_m0"), F.col("_s0") + F.col("_low0"))
     out = joined.withColumns({"held_before": before, "held_after": after, INDEX: F.col("_n0") + F.col("_n") - 1})
-    return out.drop(CHUNK, "_q", "_s", "_n", "_low", "_low0", "_s0", "_n0", "_m0")
+    out = out.drop("_q", "_s", "_n", "_low", "_low0", "_s0", "_n0", "_m0")
+    return out if cut else out.drop(CHUNK)
 
 
 def asof(

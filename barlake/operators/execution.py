@@ -8,12 +8,13 @@ from datetime import date
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlake.functions.machine import run_blocks
-from barlake.functions.windows import INDEX, Running, add_smoothing, asof, growth, held_quantity, scan, series, smoothing_lookback
+from barlake.functions.windows import CHUNK, INDEX, Running, add_smoothing, asof, growth, held_quantity, packed_chunks, scan, series, smoothing_lookback
 from barlake.operators.features import session_date
+from barlake.session import staged
 
 
 @dataclass(frozen=True)
@@ -228,12 +229,28 @@ class _Book:
         return keep, gain
 
 
+def chained(keep: np.ndarray, gain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row i of the result maps a starting value x to keep * x + gain after steps 0 to i, by doubling."""
+    keep, gain, reach = keep.copy(), gain.copy(), 1
+    while reach < len(keep):
+        gain[reach:] = keep[reach:] * gain[:-reach] + gain[reach:]
+        keep[reach:] = keep[reach:] * keep[:-reach]
+        reach *= 2
+    return keep, gain
+
+
+def _latest(marks: np.ndarray) -> np.ndarray:
+    """Per row the last marked row at or before it, -1 for none."""
+    return np.maximum.accumulate(np.where(marks, np.arange(len(marks)), -1))
+
+
 def _ledger(fills: DataFrame, keys: Sequence[str], fees_in_average: bool, block_rows: int | None) -> DataFrame:
+    """Fills with their bookkeeping; the chunks of bounded rows that the holdings run in are also the blocks of the pools."""
     order = ("timestamp", "fill_id") if "fill_no" not in fills.columns else ("timestamp", "fill_no")
     signed = F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(-F.col("quantity"))
-    df = held_quantity(fills, list(keys), order, signed)
+    df = held_quantity(packed_chunks(fills, list(keys), order[0], block_rows), list(keys), order, signed)
     df = df.withColumn("held_before", F.when(F.col("held_before") > DUST * F.greatest("quantity", F.lit(1.0)), F.col("held_before")).otherwise(0.0))
-    df = df.withColumns({"_opens": (F.col("side") == "BUY") & (F.col("held_before") <= 0), "_us": F.unix_micros("timestamp")})
+    df = staged(df.withColumns({"_opens": (F.col("side") == "BUY") & (F.col("held_before") <= 0), "_us": F.unix_micros("timestamp")}))
     names = [*_Book.POOLS, "entry_us"]
     entry = "entry_us bigint, entry_reason string"
     values = "average double, cost_pool double, drag_pool double"
@@ -249,10 +266,8 @@ def _ledger(fills: DataFrame, keys: Sequence[str], fees_in_average: bool, block_
 
     def summarise(pdf: pd.DataFrame) -> dict:
         book = _Book(pdf, fees_in_average)
-        keep, gain = book.terms()
-        k, g = np.ones(3), np.zeros(3)
-        for a, b in zip(keep, gain):
-            k, g = a * k, a * g + b
+        keep, gain = chained(*book.terms())
+        k, g = keep[-1], gain[-1]
         return {**{f"keep_{n}": k[i] for i, n in enumerate(_Book.POOLS)}, **{f"gain_{n}": g[i] for i, n in enumerate(_Book.POOLS)}, **last_entry(pdf, book)}
 
     def advance(state: dict, row: dict) -> dict:
@@ -264,27 +279,22 @@ def _ledger(fills: DataFrame, keys: Sequence[str], fees_in_average: bool, block_
     def emit(pdf: pd.DataFrame, state: dict) -> dict:
         book = _Book(pdf, fees_in_average)
         keep, gain = book.terms()
-        n = len(pdf)
-        before = np.zeros((n, 3))
-        now = np.array([float(state[p]) for p in _Book.POOLS])
-        for i in range(n):
-            before[i] = now
-            now = keep[i] * now + gain[i]
+        run_keep, run_gain = chained(keep, gain)
+        start = np.array([[float(state[p]) for p in _Book.POOLS]])
+        before = np.concatenate([start, run_keep[:-1] * start + run_gain[:-1]])
         after = np.where(book.buy, keep[:, 0] * before[:, 0] + gain[:, 0], before[:, 0])
         share = book.closed / np.maximum(book.held, 1e-12)
-        opens, us, reasons = pdf["_opens"].to_numpy(dtype=bool), pdf["_us"].to_numpy(), pdf["_reason"].to_numpy()
-        entry_us, entry_reason = [None] * n, [None] * n
-        start = state["entry_us"]
-        start, why = (None if start is None or pd.isna(start) else int(start)), state["entry_reason"]
-        for i in range(n):
-            if opens[i]:
-                start, why = int(us[i]), reasons[i]
-            entry_us[i], entry_reason[i] = start, why
-            if book.empty[i]:
-                start, why = None, None
+        opened, emptied = _latest(pdf["_opens"].to_numpy(dtype=bool)), np.concatenate([[-1], _latest(book.empty)[:-1]])
+        own, inherited = opened > emptied, (opened < 0) & (emptied < 0)
+        known = None if state["entry_us"] is None or pd.isna(state["entry_us"]) else int(state["entry_us"])
+        entry_us = pdf["_us"].astype("Int64").take(np.maximum(opened, 0)).reset_index(drop=True).where(own, pd.NA)
+        reasons = np.where(own, pdf["_reason"].to_numpy(dtype=object)[np.maximum(opened, 0)], None)
+        if known is not None:
+            entry_us[inherited] = known
+            reasons[inherited] = state["entry_reason"]
         return {
             "closed_quantity": book.closed, "average_cost": after, "entry_cost": before[:, 1] * share, "entry_drag": before[:, 2] * share,
-            "entry_us": pd.array(entry_us, dtype="Int64"), "entry_reason": entry_reason,
+            "entry_us": entry_us.array, "entry_reason": reasons,
         }
 
     pools = ", ".join(f"{p}_{n} double" for p in ("keep", "gain") for n in _Book.POOLS)
@@ -292,8 +302,8 @@ def _ledger(fills: DataFrame, keys: Sequence[str], fees_in_average: bool, block_
         df, list(keys), order, ["side", "quantity", "price", "_cost", "_drag", "held_before", "_opens", "_us", "_reason"],
         summarise, f"{pools}, changed boolean, {entry}", advance,
         {**{n: 0.0 for n in _Book.POOLS}, "entry_us": None, "entry_reason": None}, f"{values}, {entry}",
-        emit, f"closed_quantity double, average_cost double, entry_cost double, entry_drag double, {entry}", block_rows=block_rows,
-    )
+        emit, f"closed_quantity double, average_cost double, entry_cost double, entry_drag double, {entry}", blocks=CHUNK,
+    ).drop(CHUNK)
 
 
 def ledger(fills: DataFrame, keys: Sequence[str] = ("run_id", "symbol"), drag_bps: float = 0.0, block_rows: int | None = None) -> DataFrame:
@@ -340,23 +350,38 @@ def trade_pnls(fills: DataFrame, keys: Sequence[str] = ("run_id", "symbol"), blo
 def frozen_prices(bars: DataFrame) -> DataFrame:
     """Last known close of every symbol on every panel date from its first bar on."""
     dates = bars.select(session_date().alias("date")).distinct()
-    end = bars.agg(F.max(session_date()).alias("_end")).withColumn("_one", F.lit(1))
-    first = bars.groupBy("symbol").agg(F.min(session_date()).alias("_first")).withColumn("_one", F.lit(1)).join(end, "_one")
+    end = bars.agg(F.max(session_date())).scalar()
+    first = bars.groupBy("symbol").agg(F.min(session_date()).alias("_first")).withColumn("_end", end)
     grid = first.select("symbol", F.explode(F.sequence("_first", "_end")).alias("date")).join(dates, "date", "left_semi")
     closes = bars.groupBy("symbol", session_date().alias("date")).agg(F.max_by("close", "timestamp").alias("_close"))
     filled = scan(grid.join(closes, ["symbol", "date"], "left").withColumn("_t", F.col("date").cast("timestamp")), "symbol", ("_t",), [Running("price", "last", F.col("_close"))])
     return filled.select("symbol", "date", "price")
 
 
-def positions_at_close(fills: DataFrame, bars: DataFrame) -> DataFrame:
-    """Signed quantity and value per run, symbol and panel date; a missing bar keeps the last price."""
+def holdings(fills: DataFrame) -> DataFrame:
+    """(run_id, symbol, from, until, quantity): stretches of days with one open holding at the close; ``until`` is the day of
+    the next change, null for the last.
+
+    Fills are summed per day first, so the window of a run and symbol holds its trading days, not its fills.
+    """
     signed = F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(-F.col("quantity"))
-    moves = fills.groupBy("run_id", "symbol", session_date().alias("date")).agg(F.sum(signed).alias("_q"))
-    starts = moves.groupBy("run_id", "symbol").agg(F.min("date").alias("_from"))
-    marks = frozen_prices(bars).join(starts, "symbol").filter("date >= _from").select("run_id", "symbol", "date", "price", F.lit(1).alias("_side"))
-    both = marks.unionByName(moves.withColumn("_side", F.lit(0)), allowMissingColumns=True).withColumn("_t", F.col("date").cast("timestamp"))
-    held = scan(both, ("run_id", "symbol"), ("_t", "_side"), [Running("quantity", "sum", F.col("_q"))])
-    out = held.filter("_side = 1 AND quantity <> 0")
+    moves = fills.groupBy("run_id", "symbol", session_date().alias("from")).agg(F.sum(signed).alias("_q"))
+    days = Window.partitionBy("run_id", "symbol").orderBy("from")
+    spans = moves.select("run_id", "symbol", "from", F.lead("from").over(days).alias("until"), F.sum("_q").over(days).alias("quantity"))
+    return spans.filter("quantity <> 0")
+
+
+def positions_at_close(fills: DataFrame, bars: DataFrame) -> DataFrame:
+    """Signed quantity and value per run, symbol and panel date; a missing bar keeps the last price.
+
+    Holdings are stretched over their days and meet prices on (symbol, date), so a closed position makes no row and a
+    popular symbol is as many keys as dates.
+    """
+    prices = frozen_prices(bars)
+    ended = holdings(fills).withColumn("_end", bars.agg(F.max(session_date())).scalar())
+    spans = ended.withColumn("_last", F.least(F.date_sub("until", 1), F.col("_end"))).filter(F.col("_last") >= F.col("from"))
+    daily = spans.select("run_id", "symbol", "quantity", F.explode(F.sequence("from", "_last")).alias("date"))
+    out = daily.join(prices, ["symbol", "date"])
     return out.select("run_id", "symbol", "date", "quantity", "price", (F.col("quantity") * F.col("price")).alias("market_value"))
 
 
@@ -366,8 +391,8 @@ def mark_to_market(positions: DataFrame, fills: DataFrame, bars: DataFrame, capi
     moves = fills.groupBy("run_id", session_date().alias("date")).agg(F.sum(flow).alias("_cash"))
     value = positions.groupBy("run_id", "date").agg(F.sum("market_value").alias("market_value"))
     dates = bars.select(session_date().alias("date")).distinct()
-    span = bars.agg(F.min(session_date()).alias("_a"), F.max(session_date()).alias("_b")).withColumn("_one", F.lit(1))
-    runs = fills.select("run_id").distinct().withColumn("_one", F.lit(1)).join(span, "_one")
+    span = [bars.agg(end(session_date())).scalar() for end in (F.min, F.max)]
+    runs = fills.select("run_id").distinct().withColumn("_a", span[0]).withColumn("_b", span[1])
     grid = runs.select("run_id", F.explode(F.sequence("_a", "_b")).alias("date")).join(dates, "date", "left_semi")
     rows = grid.join(value, ["run_id", "date"], "left").na.fill(0.0, ["market_value"]).withColumn("_side", F.lit(1))
     both = rows.unionByName(moves.withColumn("_side", F.lit(0)), allowMissingColumns=True).withColumn("_t", F.col("date").cast("timestamp"))

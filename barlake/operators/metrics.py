@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlake.functions.windows import Running, cols, index_rows, scan, value_chunk
+from barlake.functions.windows import Running, cols, scan, value_chunk
 from barlake.operators.calendar import annualization_factor
 
 RUN = ("run_id",)
@@ -47,20 +47,29 @@ def metrics_long(wide: DataFrame, keys: Sequence[str], names: Sequence[str]) ->
     return typed.unpivot(list(keys), list(names), "metric_name", "metric_value")
 
 
-def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, name: str, per_unit: int = 25_600) -> DataFrame:
-    """Exact linear-interpolated quantile per key.
+def value_ranks(df: DataFrame, keys: Sequence[str], value: str, per_unit: int = 256) -> DataFrame:
+    """(keys, value, _n, _upto): each distinct value of a key, its rows, and the rows at or below it.
 
-    Values are ranked through monotone value buckets and only the two rows around the
-    wanted position are kept, so no key's values are gathered in one buffer.
+    Equal values are counted before the shuffle, so a value that a third of the rows share is one row; distinct values
+    are ranked through monotone value buckets, so no key's values are gathered in one buffer.
     """
-    present = df.filter(F.col(value).isNotNull()).select(*keys, value)
-    ranked = index_rows(present, keys, (value,), name="_rank", chunk=value_chunk(F.col(value), per_unit))
-    sizes = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    spot = (F.col("_n") - 1) * F.lit(q)
-    near = ranked.join(sizes, list(keys)).withColumn("_spot", spot).filter(
-        (F.col("_rank") == F.floor("_spot")) | (F.col("_rank") == F.ceil("_spot")))
-    share = F.col("_spot") - F.floor("_spot")
-    picked = near.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.first(share).alias("_w"))
+    present = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    return scan(present, keys, (value,), [Running("_upto", "sum", F.col("_n"))], chunk=value_chunk(F.col(value), per_unit))
+
+
+def at_rank(value: str, rank: Column) -> Column:
+    """The value whose rows cover a 0-based rank; NULL on the rows of other values."""
+    return F.when((F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank), F.col(value))
+
+
+def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, name: str, per_unit: int = 25_600) -> DataFrame:
+    """Exact linear-interpolated quantile per key, by weighted selection over distinct values and their counts."""
+    ranked = value_ranks(df, keys, value, per_unit)
+    sizes = ranked.groupBy(*keys).agg(F.sum("_n").alias("_size"))
+    placed = ranked.join(sizes, list(keys)).withColumn("_spot", (F.col("_size") - 1) * F.lit(q))
+    picked = placed.groupBy(*keys).agg(
+        F.max(at_rank(value, F.floor("_spot"))).alias("_lo"), F.max(at_rank(value, F.ceil("_spot"))).alias("_hi"),
+        F.first(F.col("_spot") - F.floor("_spot")).alias("_w"))
     return picked.select(*keys, (F.col("_lo") + F.col("_w") * (F.col("_hi") - F.col("_lo"))).alias(name))
 
 

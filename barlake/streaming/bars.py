@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from barlake.functions.windows import Running, index_rows, scan, value_chunk
+from barlake.functions.windows import Running, scan
+from barlake.operators.metrics import at_rank, value_ranks
 
 # Supported bar lengths in seconds.
 TIMEFRAME_SECONDS = {
@@ -246,10 +247,8 @@ def mark_untrusted(bars: DataFrame, gaps: DataFrame, timeframe: str) -> DataFram
 
 def latency_stats(ticks: DataFrame, keys: tuple[str, ...] = ("exchange",), value: str = "latency_ms", quantiles: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
     """Exact nearest-rank percentiles (row int(n*p)), maximum and count of non-negative latencies."""
-    present = ticks.filter(F.col(value) >= 0).select(*keys, value)
-    ranked = index_rows(present, keys, (value,), name="_rank", chunk=value_chunk(F.col(value)))
-    sizes = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), F.max(value).alias("max"))
-    joined = ranked.join(sizes, list(keys))
+    ranked = value_ranks(ticks.filter(F.col(value) >= 0).select(*keys, value), keys, value)
+    sizes = ranked.groupBy(*keys).agg(F.sum("_n").alias("count"), F.max(value).alias("max"))
     spot = lambda q: F.least(F.floor(F.col("count") * F.lit(q)), F.col("count") - 1)
-    picked = [F.max(F.when(F.col("_rank") == spot(q), F.col(value))).alias(f"p{round(q * 100)}") for q in quantiles]
-    return joined.groupBy(*keys).agg(*picked, F.first("max").alias("max"), F.first("count").alias("count"))
+    picked = [F.max(at_rank(value, spot(q))).alias(f"p{round(q * 100)}") for q in quantiles]
+    return ranked.join(sizes, list(keys)).groupBy(*keys).agg(*picked, F.first("max").alias("max"), F.first("count").alias("count"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -26,27 +26,40 @@ def _stored(batch: DataFrame, path: str, number: int) -> DataFrame | None:
         return None
 
 
-def upsert_batch(path: str, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:
+DAY = "key_day"
+
+
+def upsert_batch(path: str, keys: Sequence[str], at: Column | None = None) -> Callable[[DataFrame, int], None]:
     """foreachBatch body: store the rows whose key no other batch has.
 
-    A batch owns the folder of its number and overwrites it, so a replay after a failure half-way
-    replaces what was written instead of adding to it.
+    A batch owns the folders of its number and overwrites them, so a replay after a failure half-way
+    replaces what was written instead of adding to it.  ``at`` is a time that the key determines: the table
+    is then cut by its day too (``key_day``, "none" for null), and a batch reads only the days it has itself.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         table = _stored(batch, path, number)
+        if at is not None:
+            batch = batch.withColumn(DAY, F.coalesce(F.to_date(at).cast("string"), F.lit("none")))
+            days = [r[0] for r in batch.select(DAY).distinct().collect()]  # calendar days of one micro-batch
+            if table is not None:
+                table = table.withColumn(DAY, F.col(DAY).cast("string")).filter(F.col(DAY).isin(days))
         fresh = batch.dropDuplicates(list(keys)) if table is None else upsert_ignore(table, batch, keys)
-        fresh.write.mode("overwrite").parquet(f"{path}/{BATCH}={number}")
+        if at is None:
+            fresh.write.mode("overwrite").parquet(f"{path}/{BATCH}={number}")
+        else:
+            parts = fresh.withColumn(BATCH, F.lit(number)).write.partitionBy(DAY, BATCH)
+            parts.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
     return write
 
 
-def sink_upsert(stream: DataFrame, path: str, keys: Sequence[str], checkpoint: str) -> DataStreamWriter:
-    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(upsert_batch(path, keys))
+def sink_upsert(stream: DataFrame, path: str, keys: Sequence[str], checkpoint: str, at: Column | None = None) -> DataStreamWriter:
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(upsert_batch(path, keys, at))
 
 
 def sink_bars(bars: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    return sink_upsert(bars, path, ("symbol", "timeframe", "timestamp"), checkpoint)
+    return sink_upsert(bars, path, ("symbol", "timeframe", "timestamp"), checkpoint, F.col("timestamp"))
 
 
 def sink_snapshot(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
@@ -68,7 +81,7 @@ def newest(versions: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def sink_ticks(ticks: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    return sink_upsert(ticks, path, ("exchange", "token", "sequence_number", "exchange_timestamp"), checkpoint)
+    return sink_upsert(ticks, path, ("exchange", "token", "sequence_number", "exchange_timestamp"), checkpoint, F.col("exchange_timestamp"))
 
 
 def sink_admission(judged: DataFrame, accepted: str, held: str, checkpoint: str, keys: Sequence[str] = ("token", "event_id")) -> DataStreamWriter:
@@ -91,4 +104,5 @@ def dead_letters(failed: DataFrame, error: str = "error") -> DataFrame:
 
 
 def sink_dead_letter(failed: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    return sink_upsert(dead_letters(failed), path, ("idempotency_key",), checkpoint)
+    micros = F.element_at(F.split("idempotency_key", ":"), -2).try_cast("bigint")
+    return sink_upsert(dead_letters(failed), path, ("idempotency_key",), checkpoint, F.timestamp_micros(micros))

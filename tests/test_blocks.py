@@ -113,3 +113,49 @@ def test_asof_takes_latest_known(spark, cut):
     assert at == {5: 1.0, 10: 2.0}
     before = {r.t.second: r.v for r in w.asof(left, right, "k", "t", "u", ["v"], strict=True).filter("k = 'a'").collect()}
     assert before == {5: 1.0, 10: 1.0}
+
+
+def hot_fills(n: int) -> pd.DataFrame:
+    """One run and symbol with a busy day and sparse years, and a small second symbol."""
+    rng = np.random.default_rng(5)
+    start = pd.Timestamp("2020-01-01 04:00")
+    at = [start + pd.Timedelta(days=3 * i) if i < n // 2 else start + pd.Timedelta(days=2 * n, seconds=int(i // 3)) for i in range(n)]
+    hot = pd.DataFrame({"symbol": "H", "timestamp": at})
+    both = pd.concat([hot, pd.DataFrame({"symbol": "S", "timestamp": at[:5]})], ignore_index=True)
+    side = np.where(rng.random(len(both)) < 0.55, "BUY", "SELL")
+    return both.assign(run_id=1, fill_id=np.arange(len(both)), side=side, quantity=rng.integers(1, 9, len(both)).astype(float), price=rng.uniform(50, 150, len(both)), fees=rng.uniform(0, 2, len(both)), reason=rng.choice(["A", "B"], len(both)))
+
+
+def test_chunks_are_bounded_dense_and_ordered(spark):
+    got = w.packed_chunks(spark.createDataFrame(hot_fills(2000)), ("run_id", "symbol"), "timestamp", 50).toPandas()
+    assert len(got) == 2005
+    for _, part in got.groupby("symbol"):
+        part = part.sort_values(["timestamp", "fill_id"])
+        assert part[w.CHUNK].is_monotonic_increasing and set(part[w.CHUNK]) == set(range(part[w.CHUNK].max() + 1))
+        assert part[w.CHUNK].value_counts().max() < 100 and part.groupby("timestamp")[w.CHUNK].nunique().max() == 1
+
+
+def test_ledger_does_not_depend_on_its_chunks(spark):
+    fills = spark.createDataFrame(hot_fills(1200))
+    one, many = (pull(x.ledger(fills, drag_bps=3.0, block_rows=n), "symbol", "fill_id") for n in (65_536, 40))
+    pd.testing.assert_frame_equal(one, many, rtol=1e-9)
+    plain, cut_up = (pull(x.trade_pnls(fills, block_rows=n), "symbol", "fill_id") for n in (65_536, 40))
+    pd.testing.assert_frame_equal(plain, cut_up, rtol=1e-9)
+    average, held = 0.0, 0.0  # the plain loop
+    for r in one[one.symbol == "H"].itertuples():
+        if r.side == "BUY":
+            average = (average * held + r.quantity * r.price) / (held + r.quantity)
+            held += r.quantity
+            assert abs(r.average_cost - average) < 1e-8
+        else:
+            assert abs(r.closed_quantity - min(r.quantity, held)) < 1e-9 and (held == 0 or abs(r.average_cost - average) < 1e-8)
+            held = max(held - r.quantity, 0.0)
+            average = average if held > 0 else 0.0
+
+
+def test_closed_positions_make_no_rows(spark):
+    day = lambda d: pd.Timestamp(f"2024-01-{d:02d} 04:00").to_pydatetime()
+    fills = spark.createDataFrame([(1, "A", day(2), "BUY", 5.0), (1, "A", day(4), "SELL", 5.0), (1, "A", day(5), "BUY", 2.0), (2, "A", day(9), "BUY", 1.0), (1, "B", day(1), "BUY", 1.0)], "run_id int, symbol string, timestamp timestamp, side string, quantity double")
+    bars = spark.createDataFrame([(s, day(d), float(d)) for d in (1, 2, 3, 4, 5, 6) for s in "AB" if s == "A" or d in (2, 4)], "symbol string, timestamp timestamp, close double")
+    got = {(r.run_id, r.symbol, r.date.day, r.quantity, r.price) for r in x.positions_at_close(fills, bars).collect()}
+    assert got == {(1, "A", 2, 5.0, 2.0), (1, "A", 3, 5.0, 3.0), (1, "A", 5, 2.0, 5.0), (1, "A", 6, 2.0, 6.0), *[(1, "B", d, 1.0, float(d // 2 * 2)) for d in (2, 3, 4, 5, 6) if d < 5], (1, "B", 5, 1.0, 4.0), (1, "B", 6, 1.0, 4.0)}

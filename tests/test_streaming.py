@@ -105,6 +105,30 @@ def test_replayed_batch_adds_nothing(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == len(ODD[0])
 
 
+def test_sink_reads_only_the_days_of_its_batch(spark, tmp_path):
+    row = lambda i, day: (i, f"2024-01-0{day} 04:00:00")
+    frame = lambda *rows: spark.createDataFrame([*rows], "event_id long, at string").withColumn("at", F.col("at").cast("timestamp"))
+    path, write = tmp_path / "t", sinks.upsert_batch(str(tmp_path / "t"), ("event_id", "at"), F.col("at"))
+    write(frame(row(1, 3), row(2, 4), row(3, 5), (9, None)), 0)
+    for file in (path / "key_day=2024-01-05").rglob("*.parquet"):
+        file.write_bytes(b"unreadable")
+    write(frame(row(1, 3), row(4, 3), row(5, 4), (9, None)), 1)
+    write(frame(row(1, 3), row(4, 3), row(5, 4), (9, None)), 1)
+    kept = spark.read.parquet(*[str(path / f"key_day={d}") for d in ("2024-01-03", "2024-01-04")])
+    assert sorted(r.event_id for r in kept.collect()) == [1, 2, 4, 5]
+    with pytest.raises(Exception):
+        write(frame(row(3, 5)), 2)
+
+
+def test_percentiles_with_a_value_that_many_rows_share(spark):
+    values = [5.0] * 400 + [float(i % 97) for i in range(800)]
+    ticks = spark.createDataFrame([("N", v) for v in values] + [("M", 2.0), ("M", -1.0), ("L", None)], "exchange string, latency_ms double")
+    got = {r.exchange: r for r in b.latency_stats(ticks).collect()}
+    ordered = sorted(values)
+    assert [got["N"][c] for c in ("p50", "p95", "p99", "max", "count")] == [ordered[600], ordered[1140], ordered[1188], 96.0, 1200]
+    assert set(got) == {"N", "M"} and got["M"]["p50"] == 2.0 and got["M"]["count"] == 1
+
+
 def test_packet_faults(spark):
     raw = spark.createDataFrame([(1, bytearray(b"\x01")), (2, bytearray(b"\x09\x00")), (3, bytearray(b"\x01" + b"\x00" * 49)), (4, bytearray(b"\x01\x01" + b"77".ljust(25, b"\x00") + (5).to_bytes(8, "little") + (1_700_000_000_000).to_bytes(8, "little") + (12345).to_bytes(8, "little")))], "packet_id bigint, payload binary")
     got = {r.packet_id: r for r in pk.decode_packets(raw).collect()}
