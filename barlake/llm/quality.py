@@ -12,16 +12,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlake.llm import tokens
 from barlake.llm.common import batches, slices
+from barlake.session import staged
 
 SLOTS = 1 << 16  # weights per n-gram kind
 CHAR_N = (1, 3)
 WORD_N = (1, 2)
 SAMPLE = 4000  # labelled rows that the model is fitted on, at most
+SAMPLE_BYTES = 256 << 20  # of their texts together, at most
 THRESHOLD = 0.5  # least calibrated probability of a good text
 SYMBOLS = np.array([ord(c) for c in "#*$%&|<>"], np.uint32)
 
@@ -128,11 +130,18 @@ def _platt(score: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, fl
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` labelled rows, chosen by the hash of doc_id; the rows meet in one task, never on the driver.
 
+    A doc_id of several rows counts once, with its smallest text.  Texts over a sixteenth of SAMPLE_BYTES are not fitted
+    on, and the rows whose texts pass SAMPLE_BYTES together, in order of the hash, are left out of the fit as well.
+
     A row is good if its quality is 1 and it isn't toxic.  Only the bounded weights come to the driver.
     """
     target = F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).otherwise(0)
     chosen = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(target).alias("good")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
+    texts = docs.select("doc_id", "text").where("text IS NOT NULL").where(F.octet_length("text") <= SAMPLE_BYTES // 16)
+    rows = staged(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "good").agg(F.min("text").alias("text")))
+    so_far = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # of at most ``sample`` rows
+    fits = rows.select("doc_id", so_far.alias("so_far")).where(F.col("so_far") <= SAMPLE_BYTES).select("doc_id")
+    rows = rows.join(fits, "doc_id", "left_semi").select("doc_id", "text", "good")
 
     def one(group: pa.Table) -> pa.Table:
         group = group.sort_by([("doc_id", "ascending"), ("text", "ascending")])

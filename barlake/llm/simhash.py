@@ -22,6 +22,7 @@ from barlake.session import staged
 SEED = 42
 LEAF = 4096  # fingerprints that a leaf should hold
 SAMPLE = 65536  # fingerprints that place the boundaries of the tree, at most
+PIVOTS = 4  # random vantage points and points of the set itself that a leaf tries for a cut
 DEPTH = 16  # of the tree that is sent to tasks: at most 2**16 nodes of nine bytes, whatever the input
 
 
@@ -119,16 +120,20 @@ def links(points: np.ndarray, radius: int) -> list[tuple[int, int]]:
                     found.extend((int(i), int(others[k])) for k in first if label[others[k]] != label[i])
                     label[np.isin(label, merged)] = merged[0]
 
+    def cut(own: np.ndarray, pivot: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        far = np.bitwise_count(points[own] ^ pivot).astype(np.int64)
+        bound = int(np.median(far)) + 1
+        return own[far < bound + radius], own[far >= bound]
+
     stack = [(np.arange(len(points)), 0)]
     while stack:
         own, level = stack.pop()
         if len(own) > 512 and level < 64:
-            pivot = tokens.mix(np.array([level * 7919 + len(own)], np.uint64))[0]
-            far = np.bitwise_count(points[own] ^ pivot).astype(np.int64)
-            bound = int(np.median(far)) + 1
-            inside, outside = own[far < bound + radius], own[far >= bound]
-            if max(len(inside), len(outside)) < 0.9 * len(own):
-                stack += [(inside, level + 1), (outside, level + 1)]
+            random = tokens.mix(np.arange(PIVOTS, dtype=np.uint64) + np.uint64(level * 7919 + len(own)))
+            members = points[own[(random % np.uint64(len(own))).astype(np.int64)]]  # vantage points inside a tight ball
+            sides = min((cut(own, p) for p in (*random, *members)), key=lambda s: max(map(len, s)))
+            if max(map(len, sides)) < 0.9 * len(own):
+                stack += [(part, level + 1) for part in sides]
                 continue
         compare(own)
     return found
@@ -160,8 +165,10 @@ def link_fingerprints(prints: DataFrame, radius: int = 2, leaf: int = LEAF, samp
 
     Rows with a null doc_id get a null component.  The tree is built from a bounded sample of distinct fingerprints
     (``sample``, by hash order) and is at most 2**DEPTH nodes; every fingerprint goes through it.  Leaves split further
-    inside their tasks.
+    inside their tasks.  Other columns stay and an empty table gives an empty one; a column component_id is refused.
     """
+    if "component_id" in prints.columns:
+        raise ValueError("column component_id exists")
     spark = prints.sparkSession
     prints = staged(prints)
     points = staged(prints.where("doc_id IS NOT NULL").groupBy("fingerprint").agg(F.min("doc_id").alias("id")))

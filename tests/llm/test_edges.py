@@ -1,5 +1,8 @@
 """Every operator on nulls, empty and long texts, repeated rows, empty tables and extra columns."""
 
+import time
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +134,45 @@ def test_structured_words_have_their_own_hashes(spark):
     rest = " ".join(f"w{i}" for i in range(49))
     rows = spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{two} {rest}")], "doc_id long, text string")
     assert [r.n_removed for r in substrings.remove_repeats(rows).collect()] == [0, 0]
+
+
+def test_long_runs_cost_their_length_and_matches_may_touch(spark):
+    """A megabyte of letters or digits beside an address; a match may start where the last one ended."""
+    long = "x" * 1_000_000
+    rows = [(1, f"{long} a@b.cc"), (2, f"{'7' * 1_000_000} 1.2.3.4"), (3, "a@b.c_d@e.f 1.2.3.4.5.6.7.8"), (4, f"{long}@b.cc")]
+    start = time.time()
+    got = {r.doc_id: [(s["kind"], s["start"], s["end"]) for s in r.base] for r in spark.createDataFrame(rows, "doc_id int, text string").select("doc_id", personal.base_spans(F.col("text")).alias("base")).collect()}
+    assert got == {1: [(0, 1_000_001, 1_000_007)], 2: [(1, 1_000_001, 1_000_008)], 3: [(0, 0, 5), (0, 5, 11), (1, 12, 19), (1, 20, 27)], 4: [(0, 0, 1_000_005)]}
+    assert time.time() - start < 60
+
+
+def test_fingerprints_in_a_tight_ball(spark):
+    rng = np.random.default_rng(1)
+    points = np.unique(np.bitwise_xor.reduce(np.left_shift(np.uint64(1), rng.integers(0, 64, (1500, 4)).astype(np.uint64)), axis=1))
+    near = {(i, j) for i in range(len(points)) for j in np.flatnonzero(np.bitwise_count(points ^ points[i]) <= 2) if i < j}
+    root = list(range(len(points)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in near:
+        root[find(i)] = find(j)
+    want = len({find(i) for i in root})
+    found = simhash.links(points, 2)
+    assert {tuple(sorted(map(int, p))) for p in found} <= near and len(found) == len(points) - want
+
+
+def test_component_column_is_refused(spark):
+    with pytest.raises(ValueError):
+        simhash.link_fingerprints(spark.createDataFrame([(1, 2, 3)], "doc_id long, fingerprint long, component_id long"))
+
+
+def test_repeated_ids_count_once_in_the_fit(spark):
+    words = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    docs = [(i, words("good" if i % 2 else "bad")) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    once = quality.train(spark.createDataFrame(docs, "doc_id long, text string"), labels)
+    more = quality.train(spark.createDataFrame(docs + [(3, "zz " + words("good"))] * 50, "doc_id long, text string"), labels)
+    assert np.array_equal(once.weights, more.weights) and once.bias == more.bias
