@@ -40,7 +40,8 @@ def upsert_batch(path: str, keys: Sequence[str], at: Column | None = None) -> Ca
     def write(batch: DataFrame, number: int) -> None:
         table = _stored(batch, path, number)
         if at is not None:
-            batch = batch.withColumn(DAY, F.coalesce(F.to_date(at).cast("string"), F.lit("none")))
+            # read twice: kept, so that a stateful query runs its micro-batch once
+            batch = batch.withColumn(DAY, F.coalesce(F.to_date(at).cast("string"), F.lit("none"))).persist()
             days = [r[0] for r in batch.select(DAY).distinct().collect()]  # calendar days of one micro-batch
             if table is not None:
                 table = table.withColumn(DAY, F.col(DAY).cast("string")).filter(F.col(DAY).isin(days))
@@ -50,6 +51,7 @@ def upsert_batch(path: str, keys: Sequence[str], at: Column | None = None) -> Ca
         else:
             parts = fresh.withColumn(BATCH, F.lit(number)).write.partitionBy(DAY, BATCH)
             parts.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+            batch.unpersist()
 
     return write
 
