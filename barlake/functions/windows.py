@@ -22,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from barlake.session import broadcast_if_small, staged
+
 BLOCK_ROWS = 65_536
 CHUNK_SECONDS = 730 * 86_400
 
@@ -42,15 +44,16 @@ def packed_chunks(df: DataFrame, keys: str | Sequence[str], ts: str, rows: int |
     Keys of at most ``rows`` rows are one chunk.  The rows of others are counted per day and days are packed up to the
     bound; a day over the bound is cut by seconds first, so a chunk has fewer than twice ``rows`` rows unless one second
     of a key has more.  Only counts are windowed: a window holds a key's days and the pieces of its busy days, or the
-    seconds of one day.
+    seconds of one day.  A chunk is found by its first second among those of its key, of which there are as many as
+    chunks, so the rows themselves are not shuffled for it.
     """
     keys, size = cols(keys), rows or BLOCK_ROWS
     day, second = "_day", "_second"
     times = df.select(*keys, F.unix_date(F.to_date(ts)).cast("long").alias(day), F.unix_seconds(ts).alias(second))
     large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > size).select(*keys)
     times = times.join(large, keys, "left_semi")
-    days = times.groupBy(*keys, day).agg(F.count(F.lit(1)).alias("_n"))
-    calm = days.filter(F.col("_n") <= size).select(*keys, day, F.lit(-(2**62)).alias("_start"), "_n")
+    days = times.groupBy(*keys, day).agg(F.count(F.lit(1)).alias("_n"), F.min(second).alias("_start"))
+    calm = days.filter(F.col("_n") <= size).select(*keys, day, "_start", "_n")
     busy = days.filter(F.col("_n") > size).select(*keys, day)
     seconds = times.join(busy, [*keys, day], "left_semi").groupBy(*keys, day, second).agg(F.count(F.lit(1)).alias("_n"))
     before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -58,11 +61,23 @@ def packed_chunks(df: DataFrame, keys: str | Sequence[str], ts: str, rows: int |
     cut = pieces.groupBy(*keys, day, "_piece").agg(F.min(second).alias("_start"), F.sum("_n").alias("_n")).drop("_piece")
     along = Window.partitionBy(*keys).orderBy(day, "_start")
     packs = calm.unionByName(cut).withColumn("_pack", F.floor(before(along) / size))
-    packs = packs.withColumn(CHUNK, F.dense_rank().over(Window.partitionBy(*keys).orderBy("_pack")).cast("long") - 1)
-    found = packs.groupBy(*keys, day).agg(F.array_sort(F.collect_list(F.struct("_start", CHUNK))).alias("_packs"))
-    placed = df.withColumn(day, F.unix_date(F.to_date(ts)).cast("long")).join(found, [*keys, day], "left")
-    reached = F.filter("_packs", lambda p: p["_start"] <= F.unix_seconds(ts))
-    return placed.withColumn(CHUNK, F.coalesce(F.element_at(reached, -1)[CHUNK], F.lit(0).cast("long"))).drop(day, "_packs")
+    starts = packs.groupBy(*keys, "_pack").agg(F.min("_start").alias("_start"))
+    found = staged(starts.groupBy(*keys).agg(F.array_sort(F.collect_list("_start")).alias("_starts")))
+    placed = df.join(broadcast_if_small(found, found), keys, "left")
+    at = count_below(F.col("_starts"), F.unix_seconds(ts) + 1) - 1
+    return placed.withColumn(CHUNK, F.greatest(F.coalesce(at, F.lit(0)), F.lit(0)).cast("long")).drop("_starts")
+
+
+def count_below(ordered: Column, value: Column) -> Column:
+    """How many elements of an ascending array are under ``value``, by binary search."""
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        under = F.element_at(ordered, middle + 1) < value
+        step = F.struct(F.when(under, middle + 1).otherwise(s["lo"]).alias("lo"), F.when(under, s["hi"]).otherwise(middle).alias("hi"))
+        return F.when(s["lo"] < s["hi"], step).otherwise(s)
+
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(ordered) + 1)).cast("int"))
+    return F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), F.size(ordered).alias("hi")), halve, lambda s: s["lo"])
 
 
 def value_chunk(value: Column, per_unit: int = 256) -> Column:

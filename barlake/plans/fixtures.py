@@ -27,13 +27,16 @@ def _suppliers(spark: SparkSession, sf: str) -> DataFrame:
     return broadcast_if_small(named, supplier)
 
 
+TIE_BREAK = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+
+
 def price() -> Column:
     return F.col("l_extendedprice") / F.col("l_quantity")
 
 
 def tie_break() -> Column:
     """A total order of the lines of one ship date."""
-    return F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    return F.struct(*TIE_BREAK)
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -116,11 +119,21 @@ def _order_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fills(spark: SparkSession, sf: str, numbered: bool = False) -> DataFrame:
-    """Fills; ``numbered`` adds a per-run number and the fill_id built from it."""
+    """Fills; ``numbered`` adds a per-run number and the fill_id built from it.
+
+    Rows are numbered as they are in the tables; what follows from their values is computed behind the shuffle.
+    """
+    place = list(TIE_BREAK)
     base = _order_lines(spark, sf).select(
         F.expr("concat('run-', o_custkey % 8)").alias("run_id"),
         "symbol", "sector",
         F.col("l_shipdate").cast("timestamp").alias("timestamp"),
+        "l_returnflag", "l_linestatus", "l_discount", "l_tax", "o_orderdate", "o_orderpriority", *place,
+    )
+    if numbered:
+        base = scan(base, "run_id", ("timestamp", "symbol", *place), [Running("fill_no", "count", F.lit(1))], seconds=60 * 86_400)
+    return base.select(
+        "run_id", "symbol", "sector", "timestamp",
         F.expr("CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END").alias("side"),
         F.col("l_quantity").alias("quantity"),
         price().alias("price"),
@@ -130,13 +143,8 @@ def fills(spark: SparkSession, sf: str, numbered: bool = False) -> DataFrame:
         F.col("l_linestatus").alias("exit_reason"),
         F.col("o_orderpriority").alias("entry_reason"),
         F.col("l_discount").alias("discount"),
-        tie_break().alias("k"),
+        *(["fill_no", F.concat_ws("-", "run_id", F.col("fill_no").cast("string")).alias("fill_id")] if numbered else [F.lit(None).cast("string").alias("fill_id")]),
     )
-    if not numbered:
-        return base.withColumn("fill_id", F.lit(None).cast("string")).drop("k")
-    order = ("timestamp", "symbol", "k")
-    counted = scan(base, "run_id", order, [Running("fill_no", "count", F.lit(1))], seconds=60 * 86_400)
-    return counted.withColumn("fill_id", F.concat_ws("-", "run_id", F.col("fill_no").cast("string"))).drop("k")
 
 
 def round_trips(spark: SparkSession, sf: str, numbered: bool = False) -> DataFrame:

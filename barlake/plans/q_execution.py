@@ -109,12 +109,19 @@ LV = {"fl": FL, "led": LED.replace("EXTRA", "0"), "book": BOOK}
 
 
 def numbered(s, d):
-    """Numbered fills, written once because a ledger reads them several times."""
-    return staged(fx.fills(s, d, numbered=True))
+    """Numbered fills, written once because a ledger reads them several times; only the columns that one uses.
+
+    A ledger passes every column through its tasks, and ``fill_id`` follows from the number.
+    """
+    return staged(fx.fills(s, d, numbered=True).select("run_id", "symbol", "timestamp", "side", "quantity", "price", "fees", "entry_reason", "fill_no"))
+
+
+def with_fill_id(df):
+    return df.withColumn("fill_id", F.concat_ws("-", "run_id", F.col("fill_no").cast("string")))
 
 
 def booked(s, d):
-    return x.ledger(numbered(s, d).withColumn("reason", F.col("entry_reason")).drop("entry_reason"), drag_bps=5.0)
+    return with_fill_id(x.ledger(numbered(s, d).withColumnRenamed("entry_reason", "reason"), drag_bps=5.0))
 
 
 add("x08_ledger", lambda s, d: booked(s, d).withColumn("entered", F.date_format("entry_timestamp", "yyyy-MM-dd")),
@@ -126,7 +133,7 @@ add("x09_round_trips", lambda s, d: x.ledger_round_trips(booked(s, d)),
     "trade_id run_id symbol entry_reason", "quantity entry_price exit_price gross_pnl net_pnl", digits=4, **LV)
 PNL = "SELECT fl.run_id, fl.symbol, fill_id, closed AS closed_quantity, (price - avg_out) * closed - fees AS pnl FROM fl JOIN led l ON l.run_id = fl.run_id AND l.symbol = fl.symbol AND l.rn = fl.rn WHERE side = 'SELL' AND closed > 0"
 PV = {"fl": FL.replace("fees + quantity * price * 5 / 10000 AS cost", "fees AS cost"), "led": LED.replace("EXTRA", "f.cost"), "pnls": PNL}
-add("x10_trade_pnls", lambda s, d: x.trade_pnls(numbered(s, d)), "SELECT * FROM pnls", "run_id symbol fill_id", "closed_quantity pnl", digits=4, **PV)
+add("x10_trade_pnls", lambda s, d: with_fill_id(x.trade_pnls(numbered(s, d).drop("entry_reason"))), "SELECT * FROM pnls", "run_id symbol fill_id", "closed_quantity pnl", digits=4, **PV)
 
 # Whole amounts, so that sums over a book are exact in any order.
 def whole(s, d):

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from barlake.functions.windows import Running, scan
+from barlake.functions.windows import Running, count_below, scan
 from barlake.operators.metrics import at_rank, value_ranks
 
 # Supported bar lengths in seconds.
@@ -220,18 +220,6 @@ def gap_reach(gaps: DataFrame) -> DataFrame:
 FOREVER = 2**62
 
 
-def count_below(ordered: Column, value: Column) -> Column:
-    """How many elements of an ascending array are under ``value``, by binary search."""
-    def halve(s: Column, _: Column) -> Column:
-        middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        under = F.element_at(ordered, middle + 1) < value
-        step = F.struct(F.when(under, middle + 1).otherwise(s["lo"]).alias("lo"), F.when(under, s["hi"]).otherwise(middle).alias("hi"))
-        return F.when(s["lo"] < s["hi"], step).otherwise(s)
-
-    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(ordered) + 1)).cast("int"))
-    return F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), F.size(ordered).alias("hi")), halve, lambda s: s["lo"])
-
-
 def mark_untrusted(bars: DataFrame, gaps: DataFrame, timeframe: str) -> DataFrame:
     """UNTRUSTED where a bar overlaps an unrepaired gap; ``bars`` may be a stream, ``gaps`` is a table.
 
