@@ -229,9 +229,11 @@ def replayed(s, ticks, by, writer_of, slices=3):
     at = F.unix_micros(by)
     low, high = ticks.agg(F.min(at), F.max(at)).first()
     cut = F.floor((at - F.lit(low)) * slices / F.lit(high - low + 1))
+    ticks.withColumn("_slice", cut).write.partitionBy("_slice").parquet(f"{base}/slices")  # the ticks are derived once
+    parts = s.read.parquet(f"{base}/slices")
     with rocksdb(s):
         for i in range(slices):
-            ticks.filter(cut == i).write.mode("append").parquet(f"{base}/in")
+            parts.filter(F.col("_slice") == i).drop("_slice").write.mode("append").parquet(f"{base}/in")
             stream = s.readStream.schema(ticks.schema).parquet(f"{base}/in")
             writer_of(stream, f"{base}/out", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return s.read.parquet(f"{base}/out")

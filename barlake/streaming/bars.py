@@ -118,31 +118,56 @@ def volume_deltas(ticks: DataFrame, order: tuple[str, ...] = ("received_at", "ev
 
 
 KEPT_DAYS = 3
+# Keys share this many groups of a stream, so that a micro-batch costs a few calls of the state store a group, not a key.
+SHARDS = 1 << 10
+
+
+def shard(*keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(SHARDS)).alias("shard")
+
+
+def _arrivals(rows: Iterator[pd.DataFrame], keys: list[str]) -> pd.DataFrame:
+    """A group's rows of one micro-batch in order of arrival, with numbers of its keys in column ``k``."""
+    frames = list(rows)
+    if not frames:
+        return pd.DataFrame()
+    pdf = pd.concat(frames, ignore_index=True).sort_values(["received_at", "event_id"], kind="stable", ignore_index=True)
+    return pdf.assign(k=pdf.groupby(keys, dropna=False, sort=False).ngroup())
+
+
+def _tops(key: pd.Series, value: pd.Series, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(highest earlier value of each row's key, highest of each key in the end); ``known`` has what the state says by key."""
+    running = value.groupby(key).cummax()
+    before = np.maximum(running.groupby(key).shift(1, fill_value=NONE).to_numpy(), known[key.to_numpy()])
+    return before, np.maximum(value.groupby(key).max().to_numpy(), known)
+
+
+NONE = -(2**63)  # below every value
 
 
 class _Volume(StatefulProcessor):
-    """The highest cumulative volume of a symbol on each of its last KEPT_DAYS days."""
+    """The highest cumulative volume of each symbol of a group on each of its last KEPT_DAYS days."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tops = handle.getMapState("tops", "day bigint", "volume bigint")
+        self.tops = handle.getValueState("tops", "symbol array<string>, day array<bigint>, volume array<bigint>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frames = list(rows)  # of one micro-batch
-        if not frames:
+        pdf = _arrivals(rows, ["symbol", "day"])
+        if pdf.empty:
             return
-        pdf = pd.concat(frames, ignore_index=True).sort_values(["received_at", "event_id"], kind="stable")
-        for day, part in pdf.groupby("day"):
-            volume = part["cumulative_volume"].to_numpy(float)
-            known = float(self.tops.getValue((int(day),))[0]) if self.tops.containsKey((int(day),)) else np.nan
-            top = np.fmax.accumulate(np.concatenate(([known], volume)))
-            first = np.maximum(part["last_traded_qty"].to_numpy(float), 0)
-            delta = np.nan_to_num(np.where(np.isnan(top[:-1]), first, np.fmax(volume - top[:-1], 0)))
-            if not np.isnan(top[-1]):
-                self.tops.updateValue((int(day),), (int(top[-1]),))
-            yield pd.DataFrame({"event_id": part["event_id"].to_numpy(), "symbol": key[0], "volume_delta": delta.astype(np.int64)})
-        days = sorted(k[0] for k, _ in self.tops.iterator())
-        for old in days[:-KEPT_DAYS]:
-            self.tops.removeKey((old,))
+        symbols, days, volumes = self.tops.get() if self.tops.exists() else ([], [], [])
+        stored = dict(zip(zip(symbols, days), volumes))
+        first, volume = pdf.drop_duplicates("k"), pdf["cumulative_volume"]
+        names = list(zip(first["symbol"].tolist(), first["day"].tolist()))
+        before, top = _tops(pdf["k"], volume, np.array([stored.get(n, NONE) for n in names], np.int64))
+        gain = np.where(volume.to_numpy() > before, volume.to_numpy() - before, 0)
+        yield pd.DataFrame({"event_id": pdf["event_id"], "symbol": pdf["symbol"], "volume_delta": np.where(before == NONE, pdf["last_traded_qty"], gain)})
+        stored.update((n, v) for n, v in zip(names, top.tolist()) if v != NONE)
+        last: dict[str | None, list[int]] = {}
+        for symbol, day in sorted(stored, key=lambda n: n[1]):
+            last.setdefault(symbol, []).append(day)
+        kept = [(symbol, day) for symbol, known in last.items() for day in known[-KEPT_DAYS:]]
+        self.tops.update(([n[0] for n in kept], [n[1] for n in kept], [stored[n] for n in kept]))
 
     def close(self) -> None:
         pass
@@ -154,8 +179,14 @@ def volume_deltas_stream(ticks: DataFrame) -> DataFrame:
     Ticks of a micro-batch are taken in order of (received_at, event_id).  A late tick counts 0 and never lowers the
     baseline of its day; a symbol keeps the baselines of its last KEPT_DAYS days.  Needs the RocksDB state store.
     """
-    needed = ticks.select("event_id", "symbol", F.unix_date(F.to_date("exchange_timestamp")).cast("long").alias("day"), "received_at", "last_traded_qty", "cumulative_volume")
-    return needed.groupBy("symbol").transformWithStateInPandas(_Volume(), "event_id bigint, symbol string, volume_delta bigint", "append", "none")
+    day = F.coalesce(F.unix_date(F.to_date("exchange_timestamp")).cast("long"), F.lit(NO_DAY))
+    needed = ticks.select(
+        shard("symbol"), "event_id", "symbol", day.alias("day"), "received_at", F.greatest("last_traded_qty", F.lit(0)).cast("long").alias("last_traded_qty"),
+        F.coalesce(F.col("cumulative_volume").cast("long"), F.lit(NONE)).alias("cumulative_volume"))
+    return needed.groupBy("shard").transformWithStateInPandas(_Volume(), "event_id bigint, symbol string, volume_delta bigint", "append", "none")
+
+
+NO_DAY = -(2**31)  # ticks without a time are a day of their own, as in the table
 
 
 def sequence_gaps(ticks: DataFrame, keys: tuple[str, ...] = ("exchange", "token"), order: tuple[str, ...] = ("received_at", "event_id")) -> DataFrame:
@@ -169,25 +200,25 @@ def sequence_gaps(ticks: DataFrame, keys: tuple[str, ...] = ("exchange", "token"
 
 
 class _Sequence(StatefulProcessor):
-    """The highest sequence number of a key."""
+    """The highest sequence number of each key of a group."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.top = handle.getValueState("top", "sequence bigint")
+        self.top = handle.getValueState("top", "name array<string>, sequence array<bigint>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frames = list(rows)  # of one micro-batch
-        if not frames:
+        pdf = _arrivals(rows, ["name"])
+        if pdf.empty:
             return
-        pdf = pd.concat(frames, ignore_index=True).sort_values(["received_at", "event_id"], kind="stable")
-        number = pdf["sequence_number"].to_numpy(np.int64)
-        known = int(self.top.get()[0]) if self.top.exists() else 0  # numbers are positive
-        top = np.maximum.accumulate(np.concatenate(([known], number)))
-        seen = top[:-1] > 0
-        size = np.where(seen, np.maximum(number - top[:-1] - 1, 0), 0)
-        self.top.update((int(top[-1]),))
+        stored = dict(zip(*self.top.get())) if self.top.exists() else {}
+        names, number = pdf.drop_duplicates("k")["name"].tolist(), pdf["sequence_number"]
+        before, top = _tops(pdf["k"], number, np.array([stored.get(n, 0) for n in names], np.int64))  # numbers are positive
+        seen = before > 0
+        size = np.where(seen, np.maximum(number.to_numpy() - np.where(seen, before, 0) - 1, 0), 0)
+        stored.update(zip(names, top.tolist()))
+        self.top.update((list(stored), list(stored.values())))
         yield pd.DataFrame({
-            "event_id": pdf["event_id"].to_numpy(), "symbol": pdf["symbol"].to_numpy(), "exchange_timestamp": pdf["exchange_timestamp"].to_numpy(),
-            "is_duplicate": seen & (number <= top[:-1]), "gap_size": size, "is_gap": size > 0})
+            "event_id": pdf["event_id"], "symbol": pdf["symbol"], "exchange_timestamp": pdf["exchange_timestamp"],
+            "is_duplicate": seen & (number.to_numpy() <= before), "gap_size": size, "is_gap": size > 0})
 
     def close(self) -> None:
         pass
@@ -199,9 +230,10 @@ def sequence_gaps_stream(ticks: DataFrame, keys: tuple[str, ...] = ("exchange",
     A key's state is one number.  Ticks of a micro-batch are taken in order of (received_at, event_id); ticks without a
     positive sequence number are left out.  Needs the RocksDB state store.
     """
-    known = ticks.filter("sequence_number > 0").select(*keys, "event_id", "symbol", "exchange_timestamp", "received_at", "sequence_number")
+    name = F.to_json(F.struct(*keys)).alias("name")
+    known = ticks.filter("sequence_number > 0").select(shard(*keys), name, "event_id", "symbol", "exchange_timestamp", "received_at", "sequence_number")
     schema = "event_id bigint, symbol string, exchange_timestamp timestamp, is_duplicate boolean, gap_size bigint, is_gap boolean"
-    return known.groupBy(*keys).transformWithStateInPandas(_Sequence(), schema, "append", "none")
+    return known.groupBy("shard").transformWithStateInPandas(_Sequence(), schema, "append", "none")
 
 
 def gap_reach(gaps: DataFrame) -> DataFrame:
