@@ -165,3 +165,58 @@ def test_depth_snapshots_need_no_price(spark):
     ticks = spark.createDataFrame(rows, f"event_id bigint, token string, ltp double, bids {book}, asks {book}").withColumns({"exchange": F.lit("NSE"), "exchange_timestamp": at, "received_at": at, "cumulative_volume": F.lit(1)})
     assert {r.event_id: (r.action, r.reason) for r in a.admit(ticks).collect()} == {
         1: ("ACCEPT", "VALID_TICK"), 2: ("QUARANTINE", "CROSSED_BOOK_BID_GE_ASK"), 3: ("REJECT_MALFORMED", "INVALID_DEPTH_QUANTITY"), 4: ("REJECT_MALFORMED", "PRICE_NON_FINITE"), 5: ("REJECT_MALFORMED", "INVALID_DEPTH_PRICE"), 6: ("ACCEPT", "VALID_TICK")}
+
+
+def test_stream_state_holds_many_keys_in_few_groups(spark, tmp_path, monkeypatch):
+    """Tokens of one group keep their own state over micro-batches; the store is asked a group at a time."""
+    monkeypatch.setattr(b, "SHARDS", 2)
+    tokens = [f"T{i}" for i in range(20)]
+    one = [tick(100 * i + 1, 1, seq=1, volume=50 + i, token=t) for i, t in enumerate(tokens)] + [tick(9001, 1, seq=3, volume=5, token=None)]
+    two = [tick(100 * i + 2, 2, seq=1 + i, volume=60 + 2 * i, token=t) for i, t in enumerate(tokens)] + [tick(9002, 2, seq=9, volume=7, token=None), tick(100 * 5 + 1, 1, seq=1, volume=55, token="T5")]
+    path = files(tmp_path / "in", one, two)
+    read = lambda name: spark.read.parquet(str(tmp_path / name)).collect()
+    drain(sinks.sink_upsert(b.volume_deltas_stream(source(spark, path)), str(tmp_path / "v"), ("event_id",), str(tmp_path / "cv")))
+    volumes = {r.event_id: r.volume_delta for r in read("v")}
+    assert volumes == {100 * i + 1: 1 for i in range(20)} | {100 * i + 2: 10 + i for i in range(20)} | {9001: 1, 9002: 2}
+    drain(sinks.sink_upsert(b.sequence_gaps_stream(source(spark, path)), str(tmp_path / "g"), ("event_id",), str(tmp_path / "cg")))
+    gaps = {r.event_id: (r.is_duplicate, r.gap_size) for r in read("g")}
+    assert [gaps[100 * i + 2] for i in range(20)] == [(i == 0, max(i - 1, 0)) for i in range(20)] and gaps[9002] == (False, 5)
+    judged = a.admit_stateful(source(spark, path))
+    drain(judged.writeStream.format("parquet").option("path", str(tmp_path / "a")).option("checkpointLocation", str(tmp_path / "ca")))
+    rows = read("a")
+    assert len(rows) == 43 and [r.reasons for r in rows if r.event_id == 501 and r.action != "ACCEPT"] == ["DUPLICATE_TICK_FINGERPRINT"]
+    assert {r.event_id for r in rows if r.action == "DROP_DUPLICATE"} == {2, 501}
+
+
+class _Counted(dict):
+    """A map of the state store that counts its calls."""
+
+    calls = 0
+
+    def getValue(self, key):
+        self.calls += 1
+        return self[key]
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self[key]
+
+
+def test_fingerprints_are_read_for_late_ticks_only():
+    store, hour = _Counted(), 3_600_000_000
+    first = a._Prints(store, "T", 0, -(2**63), [])
+    for n, day in ((1, 7), (2, 7), (30, 8), (30.5, 8)):
+        at = int(n * hour)
+        assert not first.known(f"1:{at}:1.0000:1", day, at)
+        first.add(f"1:{at}:1.0000:1", day, at)
+    hours = first.close(8)
+    assert hours == [a.OTHER, 30] and store.calls == 2  # two hours' writes for four ticks, nothing read
+    same = a._Prints(store, "T", 8, first.newest, hours)
+    late = lambda n: f"1:{int(n * hour)}:1.0000:1"
+    assert same.known(late(30), 8, 30 * hour) and same.known(late(1), 7, hour) and not same.known(late(3), 7, 3 * hour)
+    same.add(late(33), 9, 33 * hour)
+    assert same.close(9) == [33] and list(store) == [("T", 33)]
