@@ -145,8 +145,14 @@ def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_wo
     marked = docs.withColumn(ver, F.xxhash64(text))
     gone = gone.select(F.col("doc").alias(f"{out}_doc"), F.col("version").alias(f"{out}_version"), F.col("gone").alias(out))
     joined = marked.join(gone, F.col(doc).eqNullSafe(F.col(f"{out}_doc")) & (F.col(ver) == F.col(f"{out}_version")), "left")
-    lines = F.split(F.col(text), "\n")
-    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(out))
-    kept = F.when(F.col(out).isNull(), F.col(text)).otherwise(F.array_join(F.transform(places, lambda p: F.element_at(lines, p + 1)), "\n"))
-    counted = F.size(F.filter(F.coalesce(lines, F.array().cast("array<string>")), lambda x: F.btrim(x, F.lit(" \t\n\v\f\r")) != ""))
-    return joined.select(*[kept.alias(c) if c == text else F.col(c) for c in docs.columns], counted.cast("long").alias("n_lines"), F.coalesce(F.size(out), F.lit(0)).cast("long").alias("n_removed"))
+    blank = F.lit(" \t\n\v\f\r")
+
+    def rest(lines: Column) -> Column:
+        places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(out))
+        kept = F.when(F.col(out).isNull(), F.col(text)).otherwise(F.array_join(F.transform(places, lambda p: F.element_at(lines, p + 1)), "\n"))
+        return F.struct(kept.alias("kept"), F.size(F.filter(lines, lambda x: F.btrim(x, blank) != "")).cast("long").alias("n_lines"))
+
+    # split once a row: an expression inside a lambda would split the text again for each line
+    done, at = let(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), rest), fresh(docs, "rest")
+    split = joined.withColumn(at, done)
+    return split.select(*[F.col(at)["kept"].alias(c) if c == text else F.col(c) for c in docs.columns], F.col(at)["n_lines"].alias("n_lines"), F.coalesce(F.size(out), F.lit(0)).cast("long").alias("n_removed"))
