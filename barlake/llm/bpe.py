@@ -9,13 +9,12 @@ in its own order.  Texts never move, a frequent word costs one entry a chunk, an
 from __future__ import annotations
 
 import base64
-import json
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +23,8 @@ from barlake.llm.common import fresh, let, slices
 CHUNK_BYTES = 8 << 20
 BUCKETS = 64  # that the words of a slice are dealt to
 SLICE = 64  # tasks whose words are folded together
-NONE = 2**31 - 1
-MARK = chr(256)
+BITS = 31
+NONE = 2**BITS - 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -34,69 +33,86 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in (line.split() for line in lines if line.strip())}
 
 
-def _chars(piece: bytes) -> str:
-    """Bytes as a string with one character a byte."""
-    return piece.decode("latin-1")
+def merge_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of each byte, id of each number, base, cells): which two pieces join to which, in two arrays.
 
-
-def rank_table(ranks: dict[bytes, int]) -> tuple[Column, int]:
-    """The rank map as one literal: an array of small maps, addressed by the hash of a piece.
-
-    Spark looks a key up in a map entry by entry; with about one entry a map a lookup takes constant time.
+    Pieces are numbered by rank, then come bytes that the vocabulary lacks, then a mark that joins with nothing.  The cell
+    at base[a] + b holds a and the number of a and b joined; rows of a are laid over each other so that no cells meet.
     """
-    size = 1 << max(4, (len(ranks) - 1).bit_length())
-    maps: list[dict[str, int]] = [{} for _ in range(size)]
-    for piece, rank in ranks.items():
-        key = _chars(piece)
-        maps[xxhash.xxh64_intdigest(key.encode(), 42) % size][key] = rank
-    return F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>"), size
-
-
-def _rank(piece: Column, table: Column, size: int) -> Column:
-    slot = F.element_at(table, (F.xxhash64(piece).bitwiseAND(F.lit(size - 1)) + 1).cast("int"))
-    return F.coalesce(F.try_element_at(slot, piece), F.lit(NONE))
-
-
-def encode_words(words: Column, ranks: dict[bytes, int]) -> Column:
-    """Ids of each word of an array.  The literal is bound once per array, so the plan holds it once."""
-    table, size = rank_table(ranks)
-    return let(table, lambda bound: F.transform(words, lambda w: _encode_word(w, bound, size)))
+    pieces = sorted(ranks, key=ranks.__getitem__)
+    number = {piece: n for n, piece in enumerate(pieces)}
+    for byte in map(bytes, zip(range(256), strict=True)):
+        number.setdefault(byte, len(number))
+    mark = len(number)
+    rows: dict[int, list[tuple[int, int]]] = {}
+    for n, piece in enumerate(pieces):
+        for cut in range(1, len(piece)):
+            left, right = number.get(piece[:cut]), number.get(piece[cut:])
+            if left is not None and right is not None:
+                rows.setdefault(left, []).append((right, n))
+    base = np.zeros(mark + 1, np.int32)
+    cells = np.full(2 * mark + sum(map(len, rows.values())) + 1, (mark + 1) << BITS, np.int64)
+    taken, start = np.zeros(len(cells), bool), 0
+    for left, row in sorted(rows.items(), key=lambda r: (-len(r[1]), r[0])):
+        columns, joined = np.array(row, np.int64).T
+        while True:  # larger rows come first, and a row goes on where the last one was laid
+            starts = start + np.flatnonzero(~taken[start + columns[0] : start + columns[0] + 256])
+            if len(fits := starts[~taken[starts[:, None] + columns].any(axis=1)]):
+                start = int(fits[0])
+                break
+            start += 256
+            if start + 256 + mark >= len(cells):
+                grown = len(cells)
+                cells, taken = np.concatenate((cells, np.full(grown, (mark + 1) << BITS))), np.concatenate((taken, np.zeros(grown, bool)))
+        base[left] = start
+        taken[start + columns] = True
+        cells[start + columns] = left << BITS | joined
+    ids = np.full(mark, NONE, np.int32)
+    ids[: len(pieces)] = [ranks[piece] for piece in pieces]
+    return np.array([number[bytes([byte])] for byte in range(256)], np.int64), ids, base, cells[: int(base.max()) + mark + 1]
+
+
+def _start(words: pa.Array, byte: np.ndarray, base: np.ndarray, cells: np.ndarray) -> pa.Array:
+    """Each word as its parts, at first bytes between two marks: the number a part makes joined to the next, and its own."""
+    until = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1).astype(np.int64)
+    text = np.frombuffer(words.buffers()[2] or b"", np.uint8)[: until[-1]]
+    bounds = until + 2 * np.arange(len(until))
+    parts = np.full(bounds[-1] + 1, len(base) - 1, np.int64)
+    parts[np.arange(len(text)) + np.repeat(2 * np.arange(len(words)) + 1, np.diff(until))] = byte[text]
+    order = np.minimum(cells[base[parts[:-1]] + parts[1:]] ^ parts[:-1] << BITS, NONE)
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(order << BITS | parts[:-1]))
+
+
+def fold_merges(words: Column, base: Column, cells: Column) -> Column:
+    """The numbers of the pieces of each word of an array: a fold over merges, the lowest rank first and the leftmost of equals."""
+    return let(base, lambda b: let(cells, lambda c: F.transform(words, lambda w: _fold_word(w, b, c))))
+
+
+def _fold_word(word: Column, base: Column, cells: Column) -> Column:
+    """A part is one number: that of it joined to the next part (NONE if there is none such) before its own.
+
+    Marks stand before the first and after the last part, so joins over the ends need no case of their own.
+    """
+    low, rest = F.lit(NONE).cast("long"), F.lit(1 << 30)
 
+    def part(left: Column, right: Column) -> Column:
+        # a cell of another row differs in its high bits
+        joined = F.least(F.element_at(cells, F.element_at(base, (left + 1).cast("int")) + right.cast("int") + 1).bitwiseXOR(F.shiftleft(left, BITS)), low)
+        return F.shiftleft(joined, BITS).bitwiseOR(left)
 
-def _encode_word(word: Column, table: Column, size: int) -> Column:
-    """Start from the bytes of the word and fold over merges, the lowest rank first and the leftmost of equals.
+    def take(parts: Column, place: Column) -> Column:
+        own = lambda at: F.element_at(parts, at).bitwiseAND(low)
+        # aggregate over one value binds it without a copy of the parts
+        return F.aggregate(F.array(F.shiftright(F.element_at(parts, place), BITS)), parts, lambda _, joined: F.concat(
+            F.slice(parts, F.lit(1), place - 2), F.array(part(own(place - 1), joined), part(joined, own(place + 2))), F.slice(parts, place + 2, rest)))
 
-    The state holds the parts and the rank of each part joined to the next.  A mark that no byte has stands before the
-    first and after the last part, so joins over the ends find no rank and need no case of their own.
-    """
-    rest = F.lit(1 << 30)
-    rank = lambda piece: _rank(piece, table, size)
-
-    def merge(state: Column, _: Column) -> Column:
-        parts, order = state["parts"], state["order"]
-        # aggregate over one value binds it without a copy of the state
-        take = lambda place: F.aggregate(F.array(F.concat(F.element_at(parts, place), F.element_at(parts, place + 1))), state, lambda _, joined: F.struct(
-            F.concat(F.slice(parts, F.lit(1), place - 1), F.array(joined), F.slice(parts, place + 2, rest)).alias("parts"),
-            F.concat(
-                F.slice(order, F.lit(1), place - 2),
-                F.array(rank(F.concat(F.element_at(parts, place - 1), joined)), rank(F.concat(joined, F.element_at(parts, place + 2)))),
-                F.slice(order, place + 2, rest),
-            ).alias("order"),
-        ))
+    def merge(parts: Column, _: Column) -> Column:
         # rank and place as one number: array_min finds the leftmost of the lowest ranks (array_position takes far longer)
-        least = F.array_min(F.transform(order, lambda r, i: F.shiftleft(r.cast("long"), 31).bitwiseOR(i)))
-        return F.aggregate(F.array(least), state, lambda _, m: F.when(m >= NONE << 31, state).otherwise(take(m.bitwiseAND(F.lit((1 << 31) - 1)).cast("int") + 1)))
+        least = F.array_min(F.transform(parts, lambda p, i: p.bitwiseAND(F.lit(NONE << BITS)).bitwiseOR(i.cast("long"))))
+        return F.aggregate(F.array(least), parts, lambda _, m: F.when(m >= NONE << BITS, parts).otherwise(
+            F.aggregate(F.array(m.bitwiseAND(low).cast("int") + 1), parts, lambda _, place: take(parts, place))))
 
-    def fold(parts: Column) -> Column:
-        order = F.transform(F.slice(parts, F.lit(2), rest), lambda p, i: rank(F.concat(F.element_at(parts, i + 1), p)))
-        inner = lambda p: F.slice(p, F.lit(2), F.size(p) - 2)
-        return F.aggregate(F.sequence(F.lit(4), F.size(parts)), F.struct(parts.alias("parts"), order.alias("order")), merge, lambda state: F.transform(inner(state["parts"]), rank))
-
-    def one(chars: Column) -> Column:
-        whole = let(rank(chars), lambda r: F.when(r != NONE, F.array(r)))
-        return F.when(F.length(chars) == 0, F.array().cast("array<int>")).otherwise(F.coalesce(whole, let(F.split(F.concat(F.lit(MARK), chars, F.lit(MARK)), ""), fold)))
-
-    return let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), one)
+    return F.aggregate(F.sequence(F.lit(4), F.size(word)), word, merge, lambda parts: F.transform(F.slice(parts, F.lit(2), F.size(parts) - 2), lambda p: p.bitwiseAND(low).cast("int")))
 
 
 def _squeeze(values: np.ndarray) -> bytes:
@@ -125,23 +141,34 @@ def _beyond(whole: dict[str, int]) -> int:
     return max(whole.values(), default=-1) + 1
 
 
+class _Codes(dict):
+    """The ids of whole words; any other word gets the next number beyond them when it is first looked up."""
+
+    def __init__(self, whole: dict[str, int]) -> None:
+        super().__init__(whole)
+        self.shift = _beyond(whole) - len(whole)
+
+    def __missing__(self, word: str) -> int:
+        self[word] = code = len(self) + self.shift
+        return code
+
+
 def _chunks(source: Iterable[pa.RecordBatch], text: int, keep: list[int], whole: dict[str, int], pattern: str) -> Iterator[pa.RecordBatch]:
     """Chunks of documents: each word as an id or, beyond the ids, as the number of a word to fold; those are listed by bucket."""
     import regex
     from pyspark import TaskContext
 
-    find, task, count, beyond = regex.compile(pattern).findall, TaskContext.get().partitionId(), 0, _beyond(whole)
+    find, task, count = regex.compile(pattern).findall, TaskContext.get().partitionId(), 0
     for batch in source:
         for start, end in slices(batch.column(text), CHUNK_BYTES):
             part = batch.slice(start, end - start)
-            other: dict[str, int] = {}
-            codes, sizes = [], []
+            codes, sizes, code = [], [], _Codes(whole)
             for a, b in slices(part.column(text), 1 << 18):
                 for value in part.column(text)[a:b].to_pylist():
                     found = find(value or "")
-                    codes.append(np.array([whole[w] if w in whole else other.setdefault(w, beyond + len(other)) for w in found], np.int32))
+                    codes.append(np.fromiter(map(code.__getitem__, found), np.int32, len(found)))
                     sizes.append(len(found))
-            words = [w.encode() for w in other]
+            words = [w.encode() for w in islice(code, len(whole), None)]
             bucket = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % BUCKETS
             order = np.argsort(bucket, kind="stable")
             rows = pa.StructArray.from_arrays([pa.concat_arrays([part.column(k)]) for k in keep], fields=[part.schema.field(k) for k in keep]) if keep else pa.array([{}] * part.num_rows, pa.struct([]))
@@ -159,22 +186,22 @@ _ASK = pa.struct([("bucket", pa.int32()), ("n", pa.int64()), ("size", pa.int64()
 ASK = "bucket int, n long, size long, sizes binary, text binary"
 
 
-def _distinct(group: pa.Table) -> pa.Table:
-    """The distinct words of a bucket and slice, and which of them each chunk asked for."""
+def _distinct(group: pa.Table, byte: np.ndarray, base: np.ndarray, cells: np.ndarray) -> pa.Table:
+    """The distinct words of a bucket and slice, the table to fold them by, and which of them each chunk asked for."""
     asked = [_read_words(r["n"], r["size"], r["sizes"], r["text"]) for r in group.column("ask").to_pylist()]
     coded = pa.concat_arrays(asked).dictionary_encode()
     parts = [_squeeze(c) for c in np.split(coded.indices.to_numpy(), np.cumsum([len(a) for a in asked])[:-1])]
     asks = pa.StructArray.from_arrays([group.column("chunk").combine_chunks(), pa.array([len(a) for a in asked], pa.int64()), pa.array(parts, pa.binary())], ["chunk", "n", "asked"])
     one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-    return pa.table({"bucket": pa.array([group.column("bucket")[0].as_py()], pa.int32()), "words": one(coded.dictionary), "asks": one(asks)})
+    return pa.table({"bucket": pa.array([group.column("bucket")[0].as_py()], pa.int32()), "words": one(_start(coded.dictionary, byte, base, cells)), "base": one(pa.array(base)), "cells": one(pa.array(cells)), "asks": one(asks)})
 
 
-def _answer(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _answer(source: Iterable[pa.RecordBatch], ids: np.ndarray) -> Iterator[pa.RecordBatch]:
     """For each chunk and bucket the ids of the words asked for: sizes, and all ids in order."""
     for batch in source:
         for i in range(batch.num_rows):
             codes, asks = batch.column("codes")[i].values, batch.column("asks")[i].as_py()
-            bounds, flat, rows = codes.offsets.to_numpy(), codes.values.to_numpy(), []
+            bounds, flat, rows = codes.offsets.to_numpy(), ids[codes.values.to_numpy()], []
             for ask in asks:
                 out, size = _gather(bounds, flat, _widen(ask["asked"], ask["n"]))
                 rows.append((ask["chunk"], batch.column("bucket")[i].as_py(), ask["n"], len(out), _squeeze(size), _squeeze(out)))
@@ -207,13 +234,13 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
             whole[piece.decode()] = rank
         except UnicodeDecodeError:  # part of a character, never a word
             continue
-    shared = spark.sparkContext.broadcast(whole)  # the vocabulary, whatever the input
+    shared = spark.sparkContext.broadcast((whole, *merge_table(ranks)))  # the vocabulary, whatever the input
     source = df.select(*needed)
     kept = df.select(*keep).schema
     place, places = needed.index(text), [needed.index(k) for k in keep]
     schema = f"chunk long, slice long, rows array<{kept.simpleString()}>, n_words long, codes binary, sizes binary, n_other long, places binary, asks array<struct<{ASK.replace(' ', ':').replace(',:', ',')}>>"
     # both uses below read this exchange: chunks are cut and moved once
-    packed = source.mapInArrow(lambda batches: _chunks(batches, place, places, shared.value, pattern), schema).repartition("chunk")
+    packed = source.mapInArrow(lambda batches: _chunks(batches, place, places, shared.value[0], pattern), schema).repartition("chunk")
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,11 +251,18 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
                     yield pa.RecordBatch.from_arrays([same("chunk"), same("slice"), asks.field("bucket"), asks], ["chunk", "slice", "bucket", "ask"])
 
     asked = packed.mapInArrow(ask, f"chunk long, slice long, bucket int, ask struct<{ASK.replace(' ', ':').replace(',:', ',')}>")
-    distinct = asked.groupBy("slice", "bucket").applyInArrow(_distinct, "bucket int, words array<string>, asks array<struct<chunk:long,n:long,asked:binary>>")
-    answers = distinct.select("bucket", encode_words(F.col("words"), ranks).alias("codes"), "asks").mapInArrow(_answer, "chunk long, bucket int, n long, n_ids long, sizes binary, ids binary")
+
+    def distinct(group: pa.Table) -> pa.Table:
+        _, byte, _, base, cells = shared.value
+        return _distinct(group, byte, base, cells)
+
+    # the table comes as data: a literal of its size would stand in every plan and its description, in the driver's memory
+    listed = asked.groupBy("slice", "bucket").applyInArrow(distinct, "bucket int, words array<array<long>>, base array<int>, cells array<long>, asks array<struct<chunk:long,n:long,asked:binary>>")
+    folded = listed.select("bucket", fold_merges(F.col("words"), F.col("base"), F.col("cells")).alias("codes"), "asks")
+    answers = folded.mapInArrow(lambda batches: _answer(batches, shared.value[2]), "chunk long, bucket int, n long, n_ids long, sizes binary, ids binary")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        row, first = left.slice(0, 1), _beyond(shared.value)
+        row, first = left.slice(0, 1), _beyond(shared.value[0])
         rows = row.column("rows").combine_chunks().values
         n_docs = len(rows)
         order = _widen(row.column("places")[0].as_py(), row.column("n_other")[0].as_py())
