@@ -24,6 +24,7 @@ CHAR_N = (1, 3)
 WORD_N = (1, 2)
 SAMPLE = 4000  # labelled rows that the model is fitted on, at most
 SAMPLE_BYTES = 256 << 20  # of their texts together, at most
+PART = 1 << 18  # bytes of texts that are scored together; a longer text is scored alone
 THRESHOLD = 0.5  # least calibrated probability of a good text
 SYMBOLS = np.array([ord(c) for c in "#*$%&|<>"], np.uint32)
 
@@ -196,7 +197,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, *rest = shared.value
         local = Model(np.frombuffer(raw, np.float32).reshape(-1, SLOTS), *rest)
-        for batch in batches(source, text):
+        for batch in batches(source, text, PART):
             texts = batch.column(text).to_pylist()
             words = tokens.split(texts)
             found = measures(texts, words)
