@@ -18,9 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlake.llm.common import fresh, let, slices
+from barlake.llm.common import fresh, lean, let, release, slices
+from barlake.llm.common import sizes as text_bytes
 
 CHUNK_BYTES = 8 << 20
+PART = 1 << 18  # bytes of texts that are split together; a longer text is split alone
 BUCKETS = 64  # that the words of a slice are dealt to
 SLICE = 64  # tasks whose words are folded together
 BITS = 31
@@ -153,33 +155,45 @@ class _Codes(dict):
         return code
 
 
-def _chunks(source: Iterable[pa.RecordBatch], text: int, keep: list[int], whole: dict[str, int], pattern: str) -> Iterator[pa.RecordBatch]:
-    """Chunks of documents: each word as an id or, beyond the ids, as the number of a word to fold; those are listed by bucket."""
+def _chunks(source: Iterable[pa.RecordBatch], text: int, keep: list[int], whole: dict[str, int], pattern: str, limit: int = 0) -> Iterator[pa.RecordBatch]:
+    """Chunks of documents: each word as an id or, beyond the ids, as the number of a word to fold; those are listed by bucket.
+
+    A chunk takes rows of as many batches as it has room for, and of them it holds the codes and the kept columns only.
+    """
     import regex
     from pyspark import TaskContext
 
     find, task, count = regex.compile(pattern).findall, TaskContext.get().partitionId(), 0
+    rows, codes, sizes, code, held = [], [], [], _Codes(whole), 0
+
+    def chunk() -> pa.RecordBatch:
+        words = [w.encode() for w in islice(code, len(whole), None)]
+        bucket = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % BUCKETS
+        order = np.argsort(bucket, kind="stable")
+        own, every = pa.concat_arrays(rows), np.concatenate(codes)
+        found, first = np.unique(bucket[order], return_index=True)
+        asks = [(b, *_list_words([words[i] for i in of.tolist()])) for b, of in zip(found.tolist(), np.split(order, first[1:]), strict=False)]
+        return pa.RecordBatch.from_arrays([
+            pa.array([(task << 32) + count]), pa.array([task // SLICE]), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), pa.array([len(every)]), pa.array([_squeeze(every)], pa.binary()), pa.array([_squeeze(np.array(sizes))], pa.binary()),
+            pa.array([len(words)]), pa.array([_squeeze(order)], pa.binary()), pa.array([[dict(zip(_ASK.names, a, strict=True)) for a in asks]], pa.list_(_ASK)),
+        ], ["chunk", "slice", "rows", "n_words", "codes", "sizes", "n_other", "places", "asks"])
+
     for batch in source:
-        for start, end in slices(batch.column(text), CHUNK_BYTES):
+        for start, end in slices(batch.column(text), PART):
             part = batch.slice(start, end - start)
-            codes, sizes, code = [], [], _Codes(whole)
-            for a, b in slices(part.column(text), 1 << 18):
-                for value in part.column(text)[a:b].to_pylist():
-                    found = find(value or "")
-                    codes.append(np.fromiter(map(code.__getitem__, found), np.int32, len(found)))
-                    sizes.append(len(found))
-            words = [w.encode() for w in islice(code, len(whole), None)]
-            bucket = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % BUCKETS
-            order = np.argsort(bucket, kind="stable")
-            rows = pa.StructArray.from_arrays([pa.concat_arrays([part.column(k)]) for k in keep], fields=[part.schema.field(k) for k in keep]) if keep else pa.array([{}] * part.num_rows, pa.struct([]))
-            every = np.concatenate(codes) if codes else np.zeros(0, np.int32)
-            found, first = np.unique(bucket[order], return_index=True)
-            asks = [(b, *_list_words([words[i] for i in own.tolist()])) for b, own in zip(found.tolist(), np.split(order, first[1:]), strict=False)]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([(task << 32) + count]), pa.array([task // SLICE]), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows), pa.array([len(every)]), pa.array([_squeeze(every)], pa.binary()), pa.array([_squeeze(np.array(sizes))], pa.binary()),
-                pa.array([len(words)]), pa.array([_squeeze(order)], pa.binary()), pa.array([[dict(zip(_ASK.names, a, strict=True)) for a in asks]], pa.list_(_ASK)),
-            ], ["chunk", "slice", "rows", "n_words", "codes", "sizes", "n_other", "places", "asks"])
-            count += 1
+            size = int(text_bytes(part.column(text)).sum())
+            if rows and held + size > (limit or CHUNK_BYTES):
+                yield chunk()
+                rows, codes, sizes, code, held, count = [], [], [], _Codes(whole), 0, count + 1
+            every = pa.array(np.arange(part.num_rows))  # taken, not sliced: a slice would keep its whole batch
+            rows.append(pa.StructArray.from_arrays([part.column(k).take(every) for k in keep], fields=[part.schema.field(k) for k in keep]) if keep else pa.array([{}] * part.num_rows, pa.struct([])))
+            for value in part.column(text).to_pylist():
+                found = find(value or "")
+                codes.append(np.fromiter(map(code.__getitem__, found), np.int32, len(found)))
+                sizes.append(len(found))
+            held += size
+    if rows:
+        yield chunk()
 
 
 _ASK = pa.struct([("bucket", pa.int32()), ("n", pa.int64()), ("size", pa.int64()), ("sizes", pa.binary()), ("text", pa.binary())])
@@ -217,11 +231,12 @@ def _gather(bounds: np.ndarray, flat: np.ndarray, which: np.ndarray) -> tuple[np
     return flat[np.repeat(bounds[which] - offset, size) + np.arange(size.sum())], size
 
 
-def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
+def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids", keep: list[str] | None = None, chunk: int = 0) -> DataFrame:
     """The ``keep`` columns (default: all) and ``ids`` (array of int): each match of ``pattern`` in the whole text encoded by itself.
 
     Null texts are encoded as empty; special tokens are ordinary text; a text of any length is one piece of work.  All
     rows stay, repeated ones too; an empty table gives no rows.  An output column that clashes with a kept one is refused.
+    ``chunk``: bytes of texts that a task holds and assembles together (0: CHUNK_BYTES); fewer move more words.
     """
     keep = list(df.columns) if keep is None else keep
     if ids in keep:
@@ -234,13 +249,16 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
             whole[piece.decode()] = rank
         except UnicodeDecodeError:  # part of a character, never a word
             continue
-    shared = spark.sparkContext.broadcast((whole, *merge_table(ranks)))  # the vocabulary, whatever the input
+    byte, numbers, base, cells = merge_table(ranks)
+    first = _beyond(whole)
+    # the vocabulary, whatever the input; each step's workers load their own part of it
+    known, joins, back = (spark.sparkContext.broadcast(x) for x in (whole, (byte, base, cells), numbers))
     source = df.select(*needed)
     kept = df.select(*keep).schema
     place, places = needed.index(text), [needed.index(k) for k in keep]
     schema = f"chunk long, slice long, rows array<{kept.simpleString()}>, n_words long, codes binary, sizes binary, n_other long, places binary, asks array<struct<{ASK.replace(' ', ':').replace(',:', ',')}>>"
     # both uses below read this exchange: chunks are cut and moved once
-    packed = source.mapInArrow(lambda batches: _chunks(batches, place, places, shared.value[0], pattern), schema).repartition("chunk")
+    packed = source.mapInArrow(lean(lambda batches: _chunks(batches, place, places, known.value, pattern, chunk)), schema).repartition("chunk")
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,16 +271,16 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
     asked = packed.mapInArrow(ask, f"chunk long, slice long, bucket int, ask struct<{ASK.replace(' ', ':').replace(',:', ',')}>")
 
     def distinct(group: pa.Table) -> pa.Table:
-        _, byte, _, base, cells = shared.value
-        return _distinct(group, byte, base, cells)
+        return _distinct(group, *joins.value)
 
     # the table comes as data: a literal of its size would stand in every plan and its description, in the driver's memory
     listed = asked.groupBy("slice", "bucket").applyInArrow(distinct, "bucket int, words array<array<long>>, base array<int>, cells array<long>, asks array<struct<chunk:long,n:long,asked:binary>>")
     folded = listed.select("bucket", fold_merges(F.col("words"), F.col("base"), F.col("cells")).alias("codes"), "asks")
-    answers = folded.mapInArrow(lambda batches: _answer(batches, shared.value[2]), "chunk long, bucket int, n long, n_ids long, sizes binary, ids binary")
+    answers = folded.mapInArrow(lean(lambda batches: _answer(batches, back.value)), "chunk long, bucket int, n long, n_ids long, sizes binary, ids binary")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        row, first = left.slice(0, 1), _beyond(shared.value[0])
+        release()  # what the chunk before has left
+        row = left.slice(0, 1)
         rows = row.column("rows").combine_chunks().values
         n_docs = len(rows)
         order = _widen(row.column("places")[0].as_py(), row.column("n_other")[0].as_py())
@@ -272,12 +290,12 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
         flat = np.concatenate([_widen(r["ids"], r["n_ids"]) for r in found]) if found else np.zeros(0, np.int32)
         start = np.zeros(len(order), np.int64)
         start[order] = np.cumsum(size[order]) - size[order]
-        codes = _widen(row.column("codes")[0].as_py(), row.column("n_words")[0].as_py())
+        codes = _widen(row.column("codes")[0].as_py(), row.column("n_words")[0].as_py()).astype(np.int32)
         whole_word = codes < first
         own = codes[~whole_word] - first
-        length = np.ones(len(codes), np.int64)
+        length = np.ones(len(codes), np.int32)
         length[~whole_word] = size[own]
-        until = np.cumsum(length)
+        until = np.cumsum(length, dtype=np.int32)  # the ids of a chunk are one list of Arrow, under 2**31
         out = np.empty(until[-1] if len(until) else 0, np.int32)
         out[(until - length)[whole_word]] = codes[whole_word]
         span = size[own]

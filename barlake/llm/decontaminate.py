@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlake.llm import tokens
-from barlake.llm.common import batches
+from barlake.llm.common import batches, lean
 from barlake.session import staged
 
 WINDOW = 13
@@ -122,7 +122,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, subst
     shared = spark.sparkContext.broadcast(packed.tobytes())
 
     def hits(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little").astype(bool)
+        bits = np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little").view(bool)
         yield from _rows(source, "doc_id", "text", masks, window, bits)
 
     spans = np.array([len(m) for m in masks])
@@ -146,7 +146,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, subst
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(good)) for c in ("doc_id", "item_id")] + [pa.array(batch.column(c).to_numpy()[good] + start[good]) for c in ("at", "item_at")] + [pa.array(best[good].astype(np.int64))], ["doc_id", "item_id", "doc_start", "item_start", "differences"])
 
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = texts.mapInArrow(hits, ROW).withColumnRenamed("id", "doc_id")
+    found = texts.mapInArrow(lean(hits), ROW).withColumnRenamed("id", "doc_id")
     named = seeds.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "mask", "seed", F.col("around").alias("item_around"))
     verified = found.join(named, ["mask", "seed"]).mapInArrow(verify, "doc_id long, item_id long, doc_start long, item_start long, differences long")
     return verified.groupBy("doc_id", "item_id").agg(

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlake.llm import tokens
-from barlake.llm.common import batches, slices
+from barlake.llm.common import batches, lean, release, slices
 from barlake.session import staged
 
 SLOTS = 1 << 16  # weights per n-gram kind
@@ -149,6 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         order = np.argsort(tokens.mix(group.column("doc_id").to_numpy().astype(np.uint64)), kind="stable")
         texts = group.column("text").to_pylist()
         model = fit([texts[i] for i in order], group.column("good").to_numpy()[order])
+        release()
         return pa.table({"weights": pa.array([model.weights.astype(np.float32).tobytes()], pa.binary()), "bias": [model.bias], "slope": [model.slope], "shift": [model.shift]})
 
     fitted = rows.groupBy(F.lit(1).alias("all")).applyInArrow(one, "weights binary, bias double, slope double, shift double").collect()
@@ -207,4 +208,4 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *MEASURES, "base_failed", "kept", "quality"])
 
     row = docs.select("*", *[F.lit(0).cast("long").alias(k) for k in MEASURES], F.lit(True).alias("base_failed"), F.lit(True).alias("kept"), F.lit(0.0).alias("quality"))
-    return docs.mapInArrow(run, row.schema)
+    return docs.mapInArrow(lean(run), row.schema)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlake.llm import tokens
-from barlake.llm.common import batches
+from barlake.llm.common import batches, lean
 from barlake.session import staged
 
 SEED = 42
@@ -40,7 +40,7 @@ def fingerprints(docs: DataFrame, text: str = "text", n: int = 3) -> DataFrame:
             prints = _prints(batch.column(text).to_pylist(), n)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], names=[*batch.schema.names, "fingerprint"])
 
-    return docs.mapInArrow(run, docs.withColumn("fingerprint", F.lit(0).cast("long")).schema)
+    return docs.mapInArrow(lean(run), docs.withColumn("fingerprint", F.lit(0).cast("long")).schema)
 
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))

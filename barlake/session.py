@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def local_session(app: str = "barlake", cores: int | str = "*", **conf: str) -> SparkSession:
     """Build a local session for tests and benches; clusters bring their own."""
@@ -35,6 +37,17 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Hand rows to Python workers in Arrow batches of about 1 MB; a session that sets its own size keeps it.
+
+    By default a batch holds 10,000 rows: of texts that is tens of MB, which the executor builds beside its heap, once for
+    each task, and the worker holds again.  Both keep much of such memory after the task.
+    """
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, str(1 << 20))
+    return spark
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared checkpoint folder; a local session without one gets a fresh folder.
 
