@@ -41,31 +41,48 @@ def chunk_of(ts: str, seconds: int | None = None) -> Column:
 def packed_chunks(df: DataFrame, keys: str | Sequence[str], ts: str, rows: int | None = None) -> DataFrame:
     """Add ``CHUNK``, numbered 0, 1, 2, ... per key in order of time, with about ``rows`` rows each at most.
 
-    Keys of at most ``rows`` rows are one chunk.  The rows of others are counted per day and days are packed up to the
-    bound; a day over the bound is cut by seconds first, so a chunk has fewer than twice ``rows`` rows unless one second
-    of a key has more.  Only counts are windowed: a window holds a key's days and the pieces of its busy days, or the
-    seconds of one day.  A chunk is found by its first second among those of its key, of which there are as many as
+    A chunk is found by its first second among those of its key (``chunk_starts``), of which there are as many as
     chunks, so the rows themselves are not shuffled for it.
     """
+    return in_chunks(df, chunk_starts(df.select(*cols(keys), ts, F.lit(1).alias("_n")), keys, ts, rows), keys, ts)
+
+
+def chunk_starts(times: DataFrame, keys: str | Sequence[str], ts: str, rows: int | None = None) -> tuple[DataFrame, int]:
+    """(keys, ``_starts``), the first seconds of the chunks of each key, from ``_n`` rows at each of its times; and the most of a key.
+
+    Keys of at most ``rows`` rows are one chunk and are left out.  The rows of others are counted per day and days are
+    packed up to the bound; a day over the bound is cut by seconds first, so a chunk has fewer than twice ``rows`` rows
+    unless one second of a key has more.  Only counts are windowed: a window holds a key's days and the pieces of its
+    busy days, or the seconds of one day.
+    """
     keys, size = cols(keys), rows or BLOCK_ROWS
     day, second = "_day", "_second"
-    times = df.select(*keys, F.unix_date(F.to_date(ts)).cast("long").alias(day), F.unix_seconds(ts).alias(second))
-    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > size).select(*keys)
+    total = F.sum("_n").alias("_n")
+    large = times.groupBy(*keys).agg(total).filter(F.col("_n") > size).select(*keys)
+    times = times.select(*keys, F.unix_date(F.to_date(ts)).cast("long").alias(day), F.unix_seconds(ts).alias(second), "_n")
     times = times.join(large, keys, "left_semi")
-    days = times.groupBy(*keys, day).agg(F.count(F.lit(1)).alias("_n"), F.min(second).alias("_start"))
+    days = times.groupBy(*keys, day).agg(total, F.min(second).alias("_start"))
     calm = days.filter(F.col("_n") <= size).select(*keys, day, "_start", "_n")
     busy = days.filter(F.col("_n") > size).select(*keys, day)
-    seconds = times.join(busy, [*keys, day], "left_semi").groupBy(*keys, day, second).agg(F.count(F.lit(1)).alias("_n"))
+    seconds = times.join(busy, [*keys, day], "left_semi").groupBy(*keys, day, second).agg(total)
     before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     pieces = seconds.withColumn("_piece", F.floor(before(Window.partitionBy(*keys, day).orderBy(second)) / size))
-    cut = pieces.groupBy(*keys, day, "_piece").agg(F.min(second).alias("_start"), F.sum("_n").alias("_n")).drop("_piece")
+    cut = pieces.groupBy(*keys, day, "_piece").agg(F.min(second).alias("_start"), total).drop("_piece")
     along = Window.partitionBy(*keys).orderBy(day, "_start")
     packs = calm.unionByName(cut).withColumn("_pack", F.floor(before(along) / size))
     starts = packs.groupBy(*keys, "_pack").agg(F.min("_start").alias("_start"))
     found = staged(starts.groupBy(*keys).agg(F.array_sort(F.collect_list("_start")).alias("_starts")))
-    placed = df.join(broadcast_if_small(found, found), keys, "left")
-    at = count_below(F.col("_starts"), F.unix_seconds(ts) + 1) - 1
-    return placed.withColumn(CHUNK, F.greatest(F.coalesce(at, F.lit(0)), F.lit(0)).cast("long")).drop("_starts")
+    return found, found.agg(F.max(F.size("_starts"))).first()[0] or 0
+
+
+def in_chunks(df: DataFrame, found: tuple[DataFrame, int], keys: str | Sequence[str], ts: str) -> DataFrame:
+    """Add ``CHUNK``: one less than the starts at or before a row, of those that ``chunk_starts`` found; by binary search."""
+    starts, most = found
+    placed = df.join(broadcast_if_small(starts, starts), cols(keys), "left").withColumn(CHUNK, F.lit(0))
+    for bit in reversed(range(most.bit_length())):
+        ahead = F.col(CHUNK) + (1 << bit)
+        placed = placed.withColumn(CHUNK, F.when(F.get("_starts", ahead - 1) <= F.unix_seconds(ts), ahead).otherwise(F.col(CHUNK)))
+    return placed.withColumn(CHUNK, F.greatest(F.col(CHUNK) - 1, F.lit(0)).cast("long")).drop("_starts")
 
 
 def count_below(ordered: Column, value: Column) -> Column:

@@ -8,13 +8,16 @@ from datetime import date
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from barlake.functions.machine import run_blocks
-from barlake.functions.windows import CHUNK, INDEX, Running, add_smoothing, asof, growth, held_quantity, packed_chunks, scan, series, smoothing_lookback
+from barlake.functions.packs import PACK_ROWS, UPTO, Rows, over_packs, pack
+from barlake.functions.windows import BLOCK_ROWS, CHUNK, Running, add_smoothing, asof, chunk_starts, growth, in_chunks, scan, series, smoothing_lookback
 from barlake.operators.features import session_date
-from barlake.session import staged
+from barlake.session import broadcast_if_small, discard, sliced, staged, staged_parts
 
 
 @dataclass(frozen=True)
@@ -205,17 +208,32 @@ DUST = 1e-9
 # --- ledgers ------------------------------------------------------------------------------------
 
 class _Book:
-    """Average-cost bookkeeping of one block; holdings before each fill are already known."""
+    """Average-cost bookkeeping of one chunk; the holding before it is known from the sums of the chunks before."""
 
     POOLS = ("average", "cost_pool", "drag_pool")
 
-    def __init__(self, pdf: pd.DataFrame, fees_in_average: bool):
-        self.buy = (pdf["side"] == "BUY").to_numpy()
-        take = lambda c: pdf[c].to_numpy(dtype=float)
-        self.quantity, self.price, self.cost, self.drag, self.held = (take(c) for c in ("quantity", "price", "_cost", "_drag", "held_before"))
+    def __init__(self, rows: Rows, before: dict, fees_in_average: bool, drag_bps: float):
+        take = lambda c: rows[c].cast(pa.float64()).to_numpy(zero_copy_only=False)
+        self.buy = _buys(rows)
+        self.quantity, self.price = take("quantity"), take("price")
+        fees = rows["fees"].fill_null(0).cast(pa.float64()).to_numpy(zero_copy_only=False) if "fees" in rows else 0.0
+        if fees_in_average:
+            self.drag, self.cost = np.zeros(len(self.buy)), fees
+        else:
+            self.drag = take("execution_drag") if "execution_drag" in rows else np.abs(self.quantity * self.price) * drag_bps / 10_000
+            self.cost = take("total_cost") if "total_cost" in rows else fees + self.drag
+        self.held = self._held_before(_moves(rows), before["_s0"] or 0.0, before["_m0"] or 0.0)
+        self.opens = self.buy & (self.held <= 0)
         self.closed = np.where(self.buy, 0.0, np.minimum(self.quantity, self.held))
         self.empty = ~self.buy & (self.held - self.closed <= DUST * np.maximum(self.held, 1.0))
-        self.extra = self.cost if fees_in_average else np.zeros(len(pdf))
+        self.extra = self.cost if fees_in_average else np.zeros(len(self.buy))
+
+    def _held_before(self, moves: np.ndarray, opened: float, lowest: float) -> np.ndarray:
+        """The running sum minus its running minimum, over all chunks; a holding of dust is none."""
+        total = np.cumsum(moves)
+        low = np.concatenate([[np.inf], np.minimum.accumulate(total)[:-1]])
+        held = opened + total - moves - np.minimum(lowest, opened + low)
+        return np.where(held > DUST * np.fmax(self.quantity, 1.0), held, 0.0)
 
     def terms(self) -> tuple[np.ndarray, np.ndarray]:
         """Each pool after a fill is keep * before + gain; returns (keep, gain) per fill and pool."""
@@ -229,6 +247,20 @@ class _Book:
         return keep, gain
 
 
+def _buys(rows: Rows) -> np.ndarray:
+    return pc.equal(rows["side"], "BUY").fill_null(False).to_numpy(zero_copy_only=False)
+
+
+def _moves(rows: Rows) -> np.ndarray:
+    quantity = rows["quantity"].fill_null(0).cast(pa.float64()).to_numpy(zero_copy_only=False)
+    return np.where(_buys(rows), quantity, -quantity)
+
+
+def _moved(rows: Rows) -> dict:
+    total = np.cumsum(_moves(rows))
+    return {"_sum": float(total[-1]), "_min": float(total.min())}
+
+
 def chained(keep: np.ndarray, gain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row i of the result maps a starting value x to keep * x + gain after steps 0 to i, by doubling."""
     keep, gain, reach = keep.copy(), gain.copy(), 1
@@ -244,87 +276,135 @@ def _latest(marks: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(marks, np.arange(len(marks)), -1))
 
 
-def _ledger(fills: DataFrame, keys: Sequence[str], fees_in_average: bool, block_rows: int | None) -> DataFrame:
-    """Fills with their bookkeeping; the chunks of bounded rows that the holdings run in are also the blocks of the pools."""
-    order = ("timestamp", "fill_id") if "fill_no" not in fills.columns else ("timestamp", "fill_no")
-    signed = F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(-F.col("quantity"))
-    df = held_quantity(packed_chunks(fills, list(keys), order[0], block_rows), list(keys), order, signed)
-    df = df.withColumn("held_before", F.when(F.col("held_before") > DUST * F.greatest("quantity", F.lit(1.0)), F.col("held_before")).otherwise(0.0))
-    df = staged(df.withColumns({"_opens": (F.col("side") == "BUY") & (F.col("held_before") <= 0), "_us": F.unix_micros("timestamp")}))
-    names = [*_Book.POOLS, "entry_us"]
-    entry = "entry_us bigint, entry_reason string"
-    values = "average double, cost_pool double, drag_pool double"
-
-    def last_entry(pdf: pd.DataFrame, book: _Book) -> dict:
-        marks = np.flatnonzero(pdf["_opens"].to_numpy(dtype=bool) | book.empty)
-        if not marks.size:
-            return {"changed": False, "entry_us": None, "entry_reason": None}
-        at = marks[-1]
-        if book.empty[at]:
-            return {"changed": True, "entry_us": None, "entry_reason": None}
-        return {"changed": True, "entry_us": int(pdf["_us"].iloc[at]), "entry_reason": pdf["_reason"].iloc[at]}
-
-    def summarise(pdf: pd.DataFrame) -> dict:
-        book = _Book(pdf, fees_in_average)
-        keep, gain = chained(*book.terms())
-        k, g = keep[-1], gain[-1]
-        return {**{f"keep_{n}": k[i] for i, n in enumerate(_Book.POOLS)}, **{f"gain_{n}": g[i] for i, n in enumerate(_Book.POOLS)}, **last_entry(pdf, book)}
-
-    def advance(state: dict, row: dict) -> dict:
-        out = {n: row[f"keep_{n}"] * state[n] + row[f"gain_{n}"] for n in _Book.POOLS}
-        source = row if row["changed"] else state
-        us = source["entry_us"]
-        return {**out, "entry_us": None if us is None or pd.isna(us) else int(us), "entry_reason": source["entry_reason"]}
-
-    def emit(pdf: pd.DataFrame, state: dict) -> dict:
-        book = _Book(pdf, fees_in_average)
+def _ledger(
+    fills: DataFrame, keys: Sequence[str], fees_in_average: bool, drag_bps: float, block_rows: int | None,
+    ties: Sequence[str], values: Mapping[str, Column], within: Sequence[str], parts: int,
+) -> DataFrame:
+    """Fills with their bookkeeping.
+
+    The rows of a key are cut into chunks of bounded rows by counts per time, shuffled once to be stored as arrays in
+    order, and read from there twice: to sum up what each chunk does to the pools, and to write its fills with the pools
+    of the chunks before.  Only sums of chunks are windowed or chained.
+    """
+    keys, ts = list(keys), "timestamp"
+    order = [ts, *ties] if ties else [ts, "fill_no" if "fill_no" in fills.columns else "fill_id"]
+    keep = [ts, *values] if values else [c for c in fills.columns if c not in keys]
+    times = staged_parts([fills.groupBy(*keys, ts).agg(F.count(F.lit(1)).alias("_n"))])
+    found = chunk_starts(times, keys, ts, block_rows or min(BLOCK_ROWS, PACK_ROWS))
+    starts = None
+    if ties:
+        rest = [k for k in keys if k not in within]
+        upto = scan(times, list(within), (ts, *rest), [Running(UPTO, "sum", F.col("_n"), inclusive=False)], seconds=60 * 86_400)
+        upto = upto.select(*keys, ts, F.coalesce(UPTO, F.lit(0)).alias(UPTO))
+        starts = staged_parts([in_chunks(upto, found, keys, ts)])
+
+    def packed(i: int) -> DataFrame:
+        rows = in_chunks(sliced(fills, keys, (i, parts)), found, keys, ts)
+        if values:
+            rows = rows.repartition(*keys, CHUNK).withColumns(dict(values))
+        rows = rows.select(*dict.fromkeys([*keys, CHUNK, *order, *keep]))
+        return pack(rows, keys, order, keep, _moved, "_sum double, _min double", None if starts is None else sliced(starts, keys, (i, parts)))
+
+    packs = staged_parts(packed(i) for i in range(parts))
+    for stage in (times, *([] if starts is None else [starts]), found[0]):
+        discard(stage)
+    earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    sums = packs.select(*keys, CHUNK, "_sum", "_min").withColumns({
+        "_s0": F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)), "_end": F.max(CHUNK).over(Window.partitionBy(*keys))})
+    opened = staged(sums.withColumn("_m0", F.least(F.lit(0.0), F.min(F.col("_s0") + F.col("_min")).over(earlier))).drop("_sum", "_min"))
+    lists = [f.name for f in packs.schema.fields if isinstance(f.dataType, T.ArrayType) and f.name not in keys]
+    listed = packs.select(*keys, CHUNK, *lists)
+    marks = "entry_us bigint, entry_reason string"
+
+    def reason_of(rows: Rows) -> pa.Array:
+        if "reason" in rows and not fees_in_average:
+            return rows["reason"].fill_null("ENTRY")
+        return pa.array(np.full(len(rows[ts]), "ENTRY"), pa.string())
+
+    def summarise(head: dict, rows: Rows) -> dict:
+        book = _Book(rows, head, fees_in_average, drag_bps)
+        keep, gain = (x[-1] for x in chained(*book.terms()))
+        last = _latest(book.opens | book.empty)[-1]
+        entered = last >= 0 and not book.empty[last]
+        return {
+            **{f"keep_{n}": keep[i] for i, n in enumerate(_Book.POOLS)}, **{f"gain_{n}": gain[i] for i, n in enumerate(_Book.POOLS)},
+            "changed": bool(last >= 0), "entry_us": rows[ts][last].cast(pa.int64()).as_py() if entered else None,
+            "entry_reason": reason_of(rows)[last].as_py() if entered else None}
+
+    def chain(summaries: pd.DataFrame) -> pd.DataFrame:
+        state, out = {**{n: 0.0 for n in _Book.POOLS}, "entry_us": None, "entry_reason": None}, []
+        for row in summaries.sort_values(CHUNK).to_dict(orient="records"):
+            pools = {n: row[f"keep_{n}"] * state[n] + row[f"gain_{n}"] for n in _Book.POOLS}
+            us, reason = (row if row["changed"] else state)["entry_us"], (row if row["changed"] else state)["entry_reason"]
+            state = {**pools, "entry_us": None if us is None or pd.isna(us) else int(us), "entry_reason": reason}
+            out.append({**{k: row[k] for k in keys}, CHUNK: row[CHUNK] + 1, **state})
+        return pd.DataFrame(out)
+
+    def emit(head: dict, rows: Rows) -> dict:
+        book = _Book(rows, head, fees_in_average, drag_bps)
         keep, gain = book.terms()
         run_keep, run_gain = chained(keep, gain)
-        start = np.array([[float(state[p]) for p in _Book.POOLS]])
+        start = np.array([[head[p] or 0.0 for p in _Book.POOLS]])
         before = np.concatenate([start, run_keep[:-1] * start + run_gain[:-1]])
         after = np.where(book.buy, keep[:, 0] * before[:, 0] + gain[:, 0], before[:, 0])
         share = book.closed / np.maximum(book.held, 1e-12)
-        opened, emptied = _latest(pdf["_opens"].to_numpy(dtype=bool)), np.concatenate([[-1], _latest(book.empty)[:-1]])
-        own, inherited = opened > emptied, (opened < 0) & (emptied < 0)
-        known = None if state["entry_us"] is None or pd.isna(state["entry_us"]) else int(state["entry_us"])
-        entry_us = pdf["_us"].astype("Int64").take(np.maximum(opened, 0)).reset_index(drop=True).where(own, pd.NA)
-        reasons = np.where(own, pdf["_reason"].to_numpy(dtype=object)[np.maximum(opened, 0)], None)
-        if known is not None:
-            entry_us[inherited] = known
-            reasons[inherited] = state["entry_reason"]
+        opening, emptied = _latest(book.opens), np.concatenate([[-1], _latest(book.empty)[:-1]])
+        own, inherited = opening > emptied, (opening < 0) & (emptied < 0) & (head["entry_us"] is not None)
+        at = pa.array(np.maximum(opening, 0), mask=~own)
+        known = pa.array(inherited)
         return {
-            "closed_quantity": book.closed, "average_cost": after, "entry_cost": before[:, 1] * share, "entry_drag": before[:, 2] * share,
-            "entry_us": entry_us.array, "entry_reason": reasons,
-        }
+            **rows, "closed_quantity": pa.array(book.closed), "average_cost": pa.array(after),
+            "entry_cost": pa.array(before[:, 1] * share), "entry_drag": pa.array(before[:, 2] * share),
+            "entry_us": pc.if_else(known, pa.scalar(head["entry_us"], pa.int64()), rows[ts].cast(pa.int64()).take(at)),
+            "entry_reason": pc.if_else(known, pa.scalar(head["entry_reason"], pa.string()), reason_of(rows).take(at))}
 
+    key_fields = [packs.schema[k] for k in [*keys, CHUNK]]
+    fields = lambda text: list(T._parse_datatype_string(text).fields)
     pools = ", ".join(f"{p}_{n} double" for p in ("keep", "gain") for n in _Book.POOLS)
-    return run_blocks(
-        df, list(keys), order, ["side", "quantity", "price", "_cost", "_drag", "held_before", "_opens", "_us", "_reason"],
-        summarise, f"{pools}, changed boolean, {entry}", advance,
-        {**{n: 0.0 for n in _Book.POOLS}, "entry_us": None, "entry_reason": None}, f"{values}, {entry}",
-        emit, f"closed_quantity double, average_cost double, entry_cost double, entry_drag double, {entry}", blocks=CHUNK,
-    ).drop(CHUNK)
-
-
-def ledger(fills: DataFrame, keys: Sequence[str] = ("run_id", "symbol"), drag_bps: float = 0.0, block_rows: int | None = None) -> DataFrame:
+    early = listed.join(broadcast_if_small(opened, opened), [*keys, CHUNK]).filter(F.col(CHUNK) < F.col("_end")).drop("_end")
+    summaries = over_packs(early, summarise, lists, T.StructType([*key_fields, *fields(f"{pools}, changed boolean, {marks}")]))
+    states = summaries.groupBy(*keys).applyInPandas(
+        chain, T.StructType([*key_fields, *fields(f"average double, cost_pool double, drag_pool double, {marks}")]))
+    heads = staged(opened.drop("_end").join(states, [*keys, CHUNK], "left"))
+    discard(opened)
+    made = fields(f"closed_quantity double, average_cost double, entry_cost double, entry_drag double, {marks}")
+    names = {f.name for f in made}
+    heads = heads.withColumnsRenamed({"entry_reason": "_reason", "entry_us": "_us"})
+    placed = listed.join(broadcast_if_small(heads, heads), [*keys, CHUNK], "left")
+    kinds = {**{k: packs.schema[k].dataType for k in keys}, **{c: packs.schema[c].dataType.elementType for c in lists}}
+    shown = [c for c in (fills.columns if not values else [*keys, *lists]) if c not in names]
+    schema = T.StructType([*[T.StructField(c, kinds[c]) for c in shown], *made])
+    renamed = lambda head, rows: emit({**head, "entry_us": head["_us"], "entry_reason": head["_reason"]}, rows)
+    return over_packs(placed, renamed, lists, schema)
+
+
+def ledger(
+    fills: DataFrame, keys: Sequence[str] = ("run_id", "symbol"), drag_bps: float = 0.0, block_rows: int | None = None,
+    ties: Sequence[str] = (), values: Mapping[str, Column] | None = None, within: Sequence[str] = ("run_id",), parts: int = 1,
+) -> DataFrame:
     """Attribution of every fill: holding, average cost, pooled entry costs, realized P&L, holding days, exit class.
 
     Fills without ``total_cost`` are charged fees plus ``drag_bps`` of their value.
+
+    ``fills`` are read before this returns, and what is needed of them is stored.  Those without ``fill_no`` or ``fill_id``
+    come with ``ties``, the columns that order fills of one key and time; they get ``fill_no``, their number in ``within`` by
+    time, the other keys and ``ties``.  ``values`` are the columns of a fill where they follow from others: they are computed
+    behind the shuffle, and what they follow from is not returned.  Fills are shuffled in ``parts`` slices of their keys, one
+    after the other, each of which reads all of them.
     """
-    drag = F.col("execution_drag") if "execution_drag" in fills.columns else F.abs(F.col("quantity") * F.col("price")) * drag_bps / 10_000
-    cost = F.col("total_cost") if "total_cost" in fills.columns else F.coalesce("fees", F.lit(0.0)) + drag
-    reason = F.coalesce(F.col("reason"), F.lit("ENTRY")) if "reason" in fills.columns else F.lit("ENTRY")
-    df = _ledger(fills.withColumns({"_drag": drag, "_cost": cost, "_reason": reason}), keys, False, block_rows)
+    df = _ledger(fills, keys, False, drag_bps, block_rows, ties, values or {}, within, parts)
+    drag = F.col("execution_drag") if "execution_drag" in df.columns else F.abs(F.col("quantity") * F.col("price")) * drag_bps / 10_000
+    cost = F.col("total_cost") if "total_cost" in df.columns else F.coalesce("fees", F.lit(0.0)) + drag
     sell = F.col("side") == "SELL"
-    gross = F.when(sell, (F.col("price") - F.col("average_cost")) * F.col("closed_quantity") + F.col("entry_drag") + F.col("_drag")).otherwise(0.0)
-    leaving = F.when(F.col("target_weight") <= 0, "RANK_REMOVAL").otherwise("REBALANCE_REDUCTION") if "target_weight" in fills.columns else F.lit("SIGNAL_FLIP")
+    gross = F.when(sell, (F.col("price") - F.col("average_cost")) * F.col("closed_quantity") + F.col("entry_drag") + drag).otherwise(0.0)
+    leaving = F.when(F.col("target_weight") <= 0, "RANK_REMOVAL").otherwise("REBALANCE_REDUCTION") if "target_weight" in df.columns else F.lit("SIGNAL_FLIP")
     entered = F.timestamp_micros("entry_us")
     df = df.withColumns({
-        "gross_pnl": gross, "cost": F.col("_cost"), "realized_pnl": gross - F.col("_cost"), "entry_timestamp": entered,
+        "gross_pnl": gross, "cost": cost, "realized_pnl": gross - cost, "entry_timestamp": entered,
         "holding_period_days": F.when(sell, (F.unix_micros("timestamp") - F.col("entry_us")) / F.lit(86_400e6)),
         "exit_classification": F.when(sell, leaving).otherwise("ENTRY"),
     })
-    return df.drop("_drag", "_cost", "_reason", "_opens", "_us", "entry_us", INDEX)
+    return df.drop("entry_us")
 
 
 def ledger_round_trips(booked: DataFrame) -> DataFrame:
@@ -336,13 +416,18 @@ def ledger_round_trips(booked: DataFrame) -> DataFrame:
         "holding_period_days", "entry_reason", "exit_classification")
 
 
-def trade_pnls(fills: DataFrame, keys: Sequence[str] = ("run_id", "symbol"), block_rows: int | None = None) -> DataFrame:
-    """P&L of each sale against an average cost that includes entry fees; sales are capped at the holding."""
-    fees = F.coalesce("fees", F.lit(0.0))
-    df = _ledger(fills.withColumns({"_drag": F.lit(0.0), "_cost": fees, "_reason": F.lit("ENTRY")}), keys, True, block_rows)
-    pnl = (F.col("price") - F.col("average_cost")) * F.col("closed_quantity") - F.col("_cost")
+def trade_pnls(
+    fills: DataFrame, keys: Sequence[str] = ("run_id", "symbol"), block_rows: int | None = None,
+    ties: Sequence[str] = (), values: Mapping[str, Column] | None = None, within: Sequence[str] = ("run_id",), parts: int = 1,
+) -> DataFrame:
+    """P&L of each sale against an average cost that includes entry fees; sales are capped at the holding.
+
+    The last parameters are those of ``ledger``.
+    """
+    df = _ledger(fills, keys, True, 0.0, block_rows, ties, values or {}, within, parts)
+    pnl = (F.col("price") - F.col("average_cost")) * F.col("closed_quantity") - F.coalesce("fees", F.lit(0.0))
     closed = df.filter("side = 'SELL' AND closed_quantity > 0").withColumn("pnl", pnl)
-    return closed.select(*keys, "timestamp", *[c for c in ("fill_id", "fill_no") if c in fills.columns], "closed_quantity", "pnl")
+    return closed.select(*keys, "timestamp", *[c for c in ("fill_id", "fill_no") if c in df.columns], "closed_quantity", "pnl")
 
 
 # --- positions ----------------------------------------------------------------------------------

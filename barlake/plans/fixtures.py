@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlake.functions.windows import Running, growth, scan
-from barlake.session import broadcast_if_small, prepare
+from barlake.session import broadcast_if_small, prepare, sliced, slices, staged_parts
 
 OPEN_OFFSET = "INTERVAL '3' HOUR + INTERVAL '45' MINUTE"
 
@@ -113,9 +113,37 @@ def constituents(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _order_lines(spark: SparkSession, sf: str) -> DataFrame:
-    orders = table(spark, sf, "orders")
-    return _lines(spark, sf).join(orders, F.col("l_orderkey") == orders.o_orderkey)
+def _order_lines(spark: SparkSession, sf: str, part: tuple[int, int] = (0, 1)) -> DataFrame:
+    key = lambda name: [F.col(name).cast("long")]
+    lines, orders = sliced(_lines(spark, sf), key("l_orderkey"), part), sliced(table(spark, sf, "orders"), key("o_orderkey"), part)
+    return lines.join(orders, F.col("l_orderkey") == orders.o_orderkey)
+
+
+def _unshaped_fills(spark: SparkSession, sf: str, part: tuple[int, int] = (0, 1)) -> DataFrame:
+    """Fills with the columns of the tables; ``fill_values`` follow from them."""
+    return _order_lines(spark, sf, part).select(
+        F.expr("concat('run-', o_custkey % 8)").alias("run_id"),
+        "symbol", "sector",
+        F.col("l_shipdate").cast("timestamp").alias("timestamp"),
+        "l_returnflag", "l_linestatus", "l_discount", "l_tax", "o_orderdate", "o_orderpriority", *TIE_BREAK,
+    )
+
+
+def fill_values() -> dict[str, Column]:
+    return {
+        "side": F.expr("CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END"),
+        "quantity": F.col("l_quantity"),
+        "price": price(),
+        "fees": F.expr("l_extendedprice * l_tax / 100"),
+        "entry_reason": F.col("o_orderpriority"),
+    }
+
+
+def stored_fills(spark: SparkSession, sf: str) -> DataFrame:
+    """What a ledger needs of the fills, not numbered, with the columns of the tables; lines meet their orders in slices."""
+    n = slices(table(spark, sf, "lineitem"), table(spark, sf, "orders"))
+    kept = ["run_id", "symbol", "timestamp", "l_returnflag", "l_tax", "o_orderpriority", *TIE_BREAK]
+    return staged_parts(_unshaped_fills(spark, sf, (i, n)).select(*kept) for i in range(n))
 
 
 def fills(spark: SparkSession, sf: str, numbered: bool = False) -> DataFrame:
@@ -123,25 +151,16 @@ def fills(spark: SparkSession, sf: str, numbered: bool = False) -> DataFrame:
 
     Rows are numbered as they are in the tables; what follows from their values is computed behind the shuffle.
     """
-    place = list(TIE_BREAK)
-    base = _order_lines(spark, sf).select(
-        F.expr("concat('run-', o_custkey % 8)").alias("run_id"),
-        "symbol", "sector",
-        F.col("l_shipdate").cast("timestamp").alias("timestamp"),
-        "l_returnflag", "l_linestatus", "l_discount", "l_tax", "o_orderdate", "o_orderpriority", *place,
-    )
+    base, values = _unshaped_fills(spark, sf), fill_values()
     if numbered:
-        base = scan(base, "run_id", ("timestamp", "symbol", *place), [Running("fill_no", "count", F.lit(1))], seconds=60 * 86_400)
+        base = scan(base, "run_id", ("timestamp", "symbol", *TIE_BREAK), [Running("fill_no", "count", F.lit(1))], seconds=60 * 86_400)
     return base.select(
         "run_id", "symbol", "sector", "timestamp",
-        F.expr("CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END").alias("side"),
-        F.col("l_quantity").alias("quantity"),
-        price().alias("price"),
-        F.expr("l_extendedprice * l_tax / 100").alias("fees"),
+        *[values[name].alias(name) for name in ("side", "quantity", "price", "fees")],
         F.col("l_orderkey").alias("order_id"),
         F.col("o_orderdate").cast("timestamp").alias("requested_at"),
         F.col("l_linestatus").alias("exit_reason"),
-        F.col("o_orderpriority").alias("entry_reason"),
+        values["entry_reason"].alias("entry_reason"),
         F.col("l_discount").alias("discount"),
         *(["fill_no", F.concat_ws("-", "run_id", F.col("fill_no").cast("string")).alias("fill_id")] if numbered else [F.lit(None).cast("string").alias("fill_id")]),
     )

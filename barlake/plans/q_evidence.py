@@ -64,7 +64,7 @@ add("m03_bootstrap_sharpe", lambda s, d: m.bootstrap_sharpe(fx.equity_curve(s, d
 add("m04_drawdown_duration", lambda s, d: m.drawdown_duration(fx.equity_curve(s, d)),
     """SELECT run_id, max(n) AS max_drawdown_duration FROM (SELECT run_id, isl, count(*) FILTER (drawdown < 0) AS n FROM (
     SELECT *, sum(CAST(drawdown >= 0 AS BIGINT)) OVER (PARTITION BY run_id ORDER BY timestamp) AS isl FROM curve) GROUP BY 1, 2) GROUP BY 1""", "run_id", "max_drawdown_duration")
-add("m05_trade_stats", lambda s, d: m.trade_stats(x.trade_pnls(qx.numbered(s, d).drop("entry_reason"))),
+add("m05_trade_stats", lambda s, d: m.trade_stats(qx.closings(s, d)),
     """SELECT run_id, count(*) AS trades, avg(CAST(pnl > 0 AS DOUBLE)) AS win_rate, avg(pnl) AS average_trade, CASE WHEN sum(CASE WHEN pnl < 0 THEN pnl ELSE 0 END) < 0 THEN
     sum(CASE WHEN pnl > 0 THEN pnl ELSE 0 END) / abs(sum(CASE WHEN pnl < 0 THEN pnl ELSE 0 END)) ELSE sum(CASE WHEN pnl > 0 THEN pnl ELSE 0 END) END AS profit_factor FROM pnls GROUP BY 1""",
     "run_id", "trades win_rate average_trade profit_factor", digits=5, **qx.PV)

@@ -11,7 +11,7 @@ from barlake.operators import features as f
 from barlake.plans import fixtures as fx
 from barlake.plans import q_features as qf
 from barlake.plans.registry import add
-from barlake.session import staged
+from barlake.session import discard, slices, staged
 
 W = qf.W
 SCHEDULES = x.dated(x.DEFAULT_SCHEDULES, [date(1995, 1, 1), date(1997, 6, 1), date(1999, 10, 1), date(2001, 4, 1)])
@@ -108,20 +108,23 @@ BOOK = """SELECT fl.*, l.closed AS closed_quantity, avg_out AS average_cost, eco
 LV = {"fl": FL, "led": LED.replace("EXTRA", "0"), "book": BOOK}
 
 
-def numbered(s, d):
-    """Numbered fills, written once because a ledger reads them several times; only the columns that one uses.
+def of_fills(s, d, book, drop=(), **options):
+    """A ledger of the fills, which are stored for it with their tables' columns and deleted when it has them in order."""
+    raw = fx.stored_fills(s, d)
+    values = {name: value for name, value in fx.fill_values().items() if name not in drop}
+    if "entry_reason" in values:
+        values["reason"] = values.pop("entry_reason")
+    booked = book(raw, ties=fx.TIE_BREAK, values=values, parts=slices(raw), **options)
+    discard(raw)
+    return booked.withColumn("fill_id", F.concat_ws("-", "run_id", F.col("fill_no").cast("string")))
 
-    A ledger passes every column through its tasks, and ``fill_id`` follows from the number.
-    """
-    return staged(fx.fills(s, d, numbered=True).select("run_id", "symbol", "timestamp", "side", "quantity", "price", "fees", "entry_reason", "fill_no"))
 
-
-def with_fill_id(df):
-    return df.withColumn("fill_id", F.concat_ws("-", "run_id", F.col("fill_no").cast("string")))
+def booked(s, d):
+    return of_fills(s, d, x.ledger, drag_bps=5.0)
 
 
-def booked(s, d):
-    return with_fill_id(x.ledger(numbered(s, d).withColumnRenamed("entry_reason", "reason"), drag_bps=5.0))
+def closings(s, d):
+    return of_fills(s, d, x.trade_pnls, drop=["entry_reason"])
 
 
 add("x08_ledger", lambda s, d: booked(s, d).withColumn("entered", F.date_format("entry_timestamp", "yyyy-MM-dd")),
@@ -133,7 +136,7 @@ add("x09_round_trips", lambda s, d: x.ledger_round_trips(booked(s, d)),
     "trade_id run_id symbol entry_reason", "quantity entry_price exit_price gross_pnl net_pnl", digits=4, **LV)
 PNL = "SELECT fl.run_id, fl.symbol, fill_id, closed AS closed_quantity, (price - avg_out) * closed - fees AS pnl FROM fl JOIN led l ON l.run_id = fl.run_id AND l.symbol = fl.symbol AND l.rn = fl.rn WHERE side = 'SELL' AND closed > 0"
 PV = {"fl": FL.replace("fees + quantity * price * 5 / 10000 AS cost", "fees AS cost"), "led": LED.replace("EXTRA", "f.cost"), "pnls": PNL}
-add("x10_trade_pnls", lambda s, d: with_fill_id(x.trade_pnls(numbered(s, d).drop("entry_reason"))), "SELECT * FROM pnls", "run_id symbol fill_id", "closed_quantity pnl", digits=4, **PV)
+add("x10_trade_pnls", closings, "SELECT * FROM pnls", "run_id symbol fill_id", "closed_quantity pnl", digits=4, **PV)
 
 # Whole amounts, so that sums over a book are exact in any order.
 def whole(s, d):

@@ -5,11 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# A table's bytes that one slice of it stands for, and the most slices: each of them reads the whole table.
+SLICE_BYTES, MOST_SLICES = 512 * 1024 * 1024, 8
 
 
 def local_session(app: str = "barlake", cores: int | str = "*", **conf: str) -> SparkSession:
@@ -76,10 +80,52 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def staged_parts(parts: Iterable[DataFrame]) -> DataFrame:
+    """``staged`` for tables too large to be shuffled at once: each part is written before the next one is made.
+
+    The shuffle files of a part are removed as soon as it is written, so the disk holds those of one part.
+    """
+    path = None
+    for part in parts:
+        spark = part.sparkSession
+        path = path or f"{ensure_checkpoint_dir(spark)}/stage-{uuid.uuid4().hex}"
+        before = spark.conf.get(TIDY, None)
+        spark.conf.set(TIDY, "true")
+        try:
+            # small row groups: a row may be an array of thousands of values
+            part.write.mode("append").option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
+        finally:
+            spark.conf.set(TIDY, before or "false")
+    return spark.read.parquet(path)
+
+
+def discard(stage: DataFrame) -> None:
+    """Delete the files of a table of ``staged`` or ``staged_parts`` that nothing will read again."""
+    context = stage.sparkSession.sparkContext
+    for name in {part for file in stage.inputFiles() for part in file.split("/") if part.startswith("stage-")}:
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(stage.sparkSession)}/{name}")
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def slices(*tables: DataFrame) -> int:
+    """In how many slices to shuffle the largest of these tables, by its size in files."""
+    size = max(_bytes(t) for t in tables)
+    return max(1, min(MOST_SLICES, -(-size // SLICE_BYTES)))
+
+
+def sliced(df: DataFrame, keys: Iterable[str], part: tuple[int, int]) -> DataFrame:
+    """The rows of one slice: ``part`` is its number and how many there are; rows of equal keys are in the same one."""
+    i, n = part
+    return df if n == 1 else df.filter(F.pmod(F.xxhash64(*keys), F.lit(n)) == i)
+
+
+def _bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def broadcast_if_small(df: DataFrame, source: DataFrame, limit: int = 8 * 1024 * 1024) -> DataFrame:
     """Hint a broadcast only where the scan behind ``df`` is measured to be under ``limit`` bytes.
 
     ``df`` must not have more rows than ``source``.  Beyond the limit the join is left to Spark.
     """
-    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if size <= limit else df
+    return F.broadcast(df) if _bytes(source) <= limit else df
