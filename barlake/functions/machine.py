@@ -1,9 +1,8 @@
 """Path-dependent rules over ordered rows, split into bounded blocks.
 
-Some rules (a position latch with a stop, an average-cost ledger) need the state left by
-the row before.  A block of rows is first reduced to a small summary of what it does to
-*any* incoming state; the summaries of one key are chained to find each block's incoming
-state; then every block is evaluated on its own.  Only the chain, one row per block, is
+Some rules (a position latch with a stop) need the state left by the row before.  A block
+of rows is first reduced to a small summary of what it does to *any* incoming state; the
+summaries of one key are chained to find each block's incoming state; then every block is evaluated on its own.  Only the chain, one row per block, is
 sequential, and the last block of a key is never summarised.
 """
 
@@ -36,26 +35,20 @@ def run_blocks(
     block_rows: int | None = None,
     chunk: Column | None = None,
     seconds: int | None = None,
-    blocks: str | None = None,
 ) -> DataFrame:
     """``df`` plus the columns of ``emit_schema``, evaluated in ``order`` per key.
 
-    ``blocks`` names a column that already cuts the keys, numbered 0, 1, 2, ... along the row number in ``INDEX``.
-
     ``summarise(rows)`` describes one block, ``advance(state, summary)`` gives the state after
     it, and ``emit(rows, state)`` returns the new columns for a block entered in ``state``.
     """
     size = block_rows or w.BLOCK_ROWS
     keys = list(keys)
-    if blocks:
-        blocked = df.withColumn(w.BLOCK, F.col(blocks))
-    else:
-        indexed = w.index_rows(df, keys, order, chunk=chunk, seconds=seconds)
-        blocked = indexed.withColumn(w.BLOCK, F.floor(F.col(w.INDEX) / size))
+    indexed = w.index_rows(df, keys, order, chunk=chunk, seconds=seconds)
+    blocked = indexed.withColumn(w.BLOCK, F.floor(F.col(w.INDEX) / size))
     needed = blocked.select(*keys, w.BLOCK, w.INDEX, *[c for c in inputs if c not in keys])
 
     rows = F.max(w.INDEX) if w.INDEX in df.columns else F.count(F.lit(1)) - 1
-    final = df.groupBy(*keys).agg((F.max(blocks) if blocks else F.floor(rows / size)).alias("_final"))
+    final = df.groupBy(*keys).agg(F.floor(rows / size).alias("_final"))
     early = needed.join(final, keys).filter(F.col(w.BLOCK) < F.col("_final")).drop("_final")
     key_fields = [needed.schema[k] for k in keys]
     block_field = T.StructField(w.BLOCK, T.LongType())

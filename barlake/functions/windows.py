@@ -361,32 +361,6 @@ def add_ema(s: Series, value: str, span: int, name: str) -> Series:
     return add_smoothing(s, value, 2.0 / (span + 1.0), name)
 
 
-def held_quantity(df: DataFrame, keys: str | Sequence[str], order: Sequence[str], signed: Column, seconds: int | None = None) -> DataFrame:
-    """``held_before`` and ``held_after`` for a long-only holding that a sale cannot take below zero.
-
-    The holding is the running sum minus its running minimum; a chunk is summed up by both.
-    The row number of the key comes from the same pass.  A chunk column of ``packed_chunks`` is used and kept.
-    """
-    keys, cut = cols(keys), CHUNK in df.columns
-    base = (df if cut else df.withColumn(CHUNK, chunk_of(order[0], seconds))).withColumn("_q", signed)
-    inside = Window.partitionBy(*keys, CHUNK).orderBy(*_ordering(order))
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    local = base.withColumns({"_s": F.sum("_q").over(upto), "_n": F.row_number().over(inside)})
-    local = local.withColumns({"_low": F.min("_s").over(upto), "_low0": F.min("_s").over(inside.rowsBetween(Window.unboundedPreceding, -1))})
-    totals = local.groupBy(*keys, CHUNK).agg(F.sum("_q").alias("_sum"), F.min("_low").alias("_min"), F.count(F.lit(1)).alias("_rows"))
-    earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    opened = totals.withColumns({
-        "_s0": F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)), "_n0": F.coalesce(F.sum("_rows").over(earlier), F.lit(0))})
-    carries = opened.withColumn("_m0", F.least(F.lit(0.0), F.min(F.col("_s0") + F.col("_min")).over(earlier))).drop("_sum", "_min", "_rows")
-    joined = local.join(carries, [*keys, CHUNK], "left")
-    now = F.col("_s0") + F.col("_s")
-    after = now - F.least(F.col("_m0"), F.col("_s0") + F.col("_low"))
-    before = now - F.col("_q") - F.least(F.col("_m0"), F.col("_s0") + F.col("_low0"))
-    out = joined.withColumns({"held_before": before, "held_after": after, INDEX: F.col("_n0") + F.col("_n") - 1})
-    out = out.drop("_q", "_s", "_n", "_low", "_low0", "_s0", "_n0", "_m0")
-    return out if cut else out.drop(CHUNK)
-
-
 def asof(
     left: DataFrame,
     right: DataFrame,

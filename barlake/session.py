@@ -95,7 +95,7 @@ def staged_parts(parts: Iterable[DataFrame]) -> DataFrame:
             # small row groups: a row may be an array of thousands of values
             part.write.mode("append").option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
         finally:
-            spark.conf.set(TIDY, before or "false")
+            spark.conf.unset(TIDY) if before is None else spark.conf.set(TIDY, before)
     return spark.read.parquet(path)
 
 
